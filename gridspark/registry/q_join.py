@@ -1 +1,113 @@
-"""Registered queries."""
+"""Join, lookup and concatenation queries."""
+
+from pyspark.sql import functions as F
+
+from gridspark.operators.join import (concat_columns, join, lookup_column, natural_join, stack,
+                                      vlookup_join)
+from gridspark.registry.base import query, table
+
+
+@query("join_left", "SELECT * FROM orders LEFT JOIN customer ON o_custkey = c_custkey")
+def join_left(spark, d):
+    return join(table(spark, d, "orders"), table(spark, d, "customer"), "o_custkey", "c_custkey", "left")
+
+
+@query("join_inner", "SELECT * FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def join_inner(spark, d):
+    return join(table(spark, d, "customer"), table(spark, d, "nation"), "c_nationkey", "n_nationkey",
+                "inner")
+
+
+@query("join_full", """
+SELECT * FROM (SELECT * FROM nation WHERE n_regionkey < 3) n
+FULL OUTER JOIN (SELECT * FROM region WHERE r_regionkey > 0) r ON n_regionkey = r_regionkey""")
+def join_full(spark, d):
+    n = table(spark, d, "nation").where("n_regionkey < 3")
+    r = table(spark, d, "region").where("r_regionkey > 0")
+    return join(n, r, "n_regionkey", "r_regionkey", "full")
+
+
+@query("join_right", """
+SELECT * FROM (SELECT * FROM nation WHERE n_regionkey < 3) n
+RIGHT JOIN (SELECT * FROM region WHERE r_regionkey > 0) r ON n_regionkey = r_regionkey""")
+def join_right(spark, d):
+    n = table(spark, d, "nation").where("n_regionkey < 3")
+    r = table(spark, d, "region").where("r_regionkey > 0")
+    return join(n, r, "n_regionkey", "r_regionkey", "right")
+
+
+@query("join_suffixes", """
+SELECT a.n_nationkey AS n_nationkey_L, a.n_name AS n_name_L, a.n_regionkey,
+       b.n_nationkey AS n_nationkey_R, b.n_name AS n_name_R
+FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey""")
+def join_suffixes(spark, d):
+    n = table(spark, d, "nation")
+    return join(n, n, "n_regionkey", "n_regionkey", "inner")
+
+
+@query("join_semi", "SELECT * FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders "
+                    "WHERE o_totalprice > 450000)")
+def join_semi(spark, d):
+    o = table(spark, d, "orders").where("o_totalprice > 450000")
+    return join(table(spark, d, "customer"), o, "c_custkey", "o_custkey", "semi")
+
+
+@query("join_natural", """
+SELECT a.l_orderkey, a.l_linenumber, a.l_partkey, a.l_quantity, b.l_extendedprice
+FROM (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity FROM lineitem) a
+LEFT JOIN (SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice FROM lineitem WHERE l_quantity > 40) b
+  ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber AND a.l_partkey = b.l_partkey""")
+def join_natural(spark, d):
+    li = table(spark, d, "lineitem")
+    a = li.select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
+    b = li.where("l_quantity > 40").select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
+    return natural_join(a, b)
+
+
+@query("vlookup_join", """
+SELECT o.*, c.c_name, c.c_nationkey, c.c_acctbal, c.c_mktsegment
+FROM orders o LEFT JOIN customer c ON o.o_custkey = c.c_custkey""")
+def vlookup_join_q(spark, d):
+    return vlookup_join(table(spark, d, "orders"), table(spark, d, "customer"), "o_custkey", "c_custkey")
+
+
+@query("lookup_first", """
+SELECT o.*, l.l_partkey FROM orders o LEFT JOIN (
+  SELECT l_orderkey, l_partkey FROM (
+    SELECT l_orderkey, l_partkey,
+           row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity) AS rn
+    FROM lineitem) WHERE rn = 1) l ON o.o_orderkey = l.l_orderkey""")
+def lookup_first(spark, d):
+    return lookup_column(table(spark, d, "orders"), table(spark, d, "lineitem"), "o_orderkey",
+                         "l_orderkey", "l_partkey", "first",
+                         order_by=["l_linenumber", "l_partkey", "l_quantity"])
+
+
+@query("lookup_agg", """
+SELECT o.*, round(l.s, 2) AS l_quantity FROM orders o LEFT JOIN (
+  SELECT l_orderkey, sum(l_quantity) AS s FROM lineitem GROUP BY 1) l ON o.o_orderkey = l.l_orderkey""")
+def lookup_agg(spark, d):
+    out = lookup_column(table(spark, d, "orders"), table(spark, d, "lineitem"), "o_orderkey",
+                        "l_orderkey", "l_quantity", "sum")
+    return out.withColumn("l_quantity", F.round("l_quantity", 2))
+
+
+@query("stack", """
+SELECT o_orderkey, o_totalprice, NULL::VARCHAR AS o_orderstatus FROM orders WHERE o_orderpriority = '1-URGENT'
+UNION ALL
+SELECT o_orderkey, NULL::DOUBLE, o_orderstatus FROM orders WHERE o_orderpriority = '2-HIGH'""")
+def stack_q(spark, d):
+    o = table(spark, d, "orders")
+    a = o.where("o_orderpriority = '1-URGENT'").select("o_orderkey", "o_totalprice")
+    b = o.where("o_orderpriority = '2-HIGH'").select("o_orderkey", "o_orderstatus")
+    return stack(a, b)
+
+
+@query("concat_cols", """
+WITH n AS (SELECT *, row_number() OVER (ORDER BY n_nationkey) AS p FROM nation),
+     r AS (SELECT *, row_number() OVER (ORDER BY r_regionkey) AS p FROM region)
+SELECT n_nationkey, n_name, n_regionkey, r_regionkey, r_name, coalesce(n.p, r.p) AS row_position
+FROM n FULL OUTER JOIN r ON n.p = r.p""")
+def concat_cols(spark, d):
+    return concat_columns(table(spark, d, "nation"), table(spark, d, "region"),
+                          ["n_nationkey"], ["r_regionkey"])

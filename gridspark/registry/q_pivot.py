@@ -1 +1,69 @@
-"""Registered queries."""
+"""Pivot and crosstab queries (V-P1 to V-P5)."""
+
+from pyspark.sql import functions as F
+
+from gridspark.operators.pivot import crosstab, pivot_table
+from gridspark.registry.base import query, table
+
+
+@query("pivot_sum", """
+SELECT l_returnflag,
+       round(coalesce(sum(l_quantity) FILTER (WHERE l_linestatus = 'F'), 0), 2) AS "F",
+       round(coalesce(sum(l_quantity) FILTER (WHERE l_linestatus = 'O'), 0), 2) AS "O"
+FROM lineitem GROUP BY 1""")
+def pivot_sum(spark, d):
+    out = pivot_table(table(spark, d, "lineitem"), "l_returnflag", "l_linestatus", "l_quantity", "sum")
+    return out.select("l_returnflag", *[F.round(c, 2).alias(c) for c in ("F", "O")])
+
+
+_STAT = ["F", "O", "P"]
+_PRIO = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+
+
+@query("pivot_mean", "SELECT o_orderpriority, " + ", ".join(
+    f"round(coalesce(avg(o_totalprice) FILTER (WHERE o_orderstatus = '{s}'), 0), 4) AS \"{s}\""
+    for s in _STAT) + " FROM orders GROUP BY 1")
+def pivot_mean(spark, d):
+    out = pivot_table(table(spark, d, "orders"), "o_orderpriority", "o_orderstatus", "o_totalprice", "mean")
+    return out.select("o_orderpriority", *[F.round(c, 4).alias(c) for c in _STAT])
+
+
+@query("pivot_nunique", "SELECT c_nationkey, " + ", ".join(
+    f"count(DISTINCT c_acctbal) FILTER (WHERE c_mktsegment = '{s}') AS \"{s}\""
+    for s in ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"])
+    + " FROM customer GROUP BY 1")
+def pivot_nunique(spark, d):
+    return pivot_table(table(spark, d, "customer"), "c_nationkey", "c_mktsegment", "c_acctbal", "nunique")
+
+
+_COMBOS = [f"{r}_{s}" for r in ("A", "N", "R") for s in ("F", "O")]
+
+
+@query("pivot_multi_cols", "SELECT l_linenumber, " + ", ".join(
+    f"count(l_orderkey) FILTER (WHERE l_returnflag || '_' || l_linestatus = '{k}') AS \"{k}\""
+    for k in _COMBOS) + " FROM lineitem GROUP BY 1")
+def pivot_multi_cols(spark, d):
+    return pivot_table(table(spark, d, "lineitem"), "l_linenumber", ["l_returnflag", "l_linestatus"],
+                       "l_orderkey", "count")
+
+
+@query("pivot_no_columns", """
+SELECT o_orderstatus, round(sum(o_totalprice), 2) AS sum_o_totalprice FROM orders GROUP BY 1""")
+def pivot_no_columns(spark, d):
+    out = pivot_table(table(spark, d, "orders"), "o_orderstatus", None, "o_totalprice", "sum")
+    return out.withColumn("sum_o_totalprice", F.round("sum_o_totalprice", 2))
+
+
+@query("crosstab", "SELECT o_orderpriority, " + ", ".join(
+    f"count(*) FILTER (WHERE o_orderstatus = '{s}') AS \"{s}\"" for s in _STAT)
+    + " FROM orders GROUP BY 1")
+def crosstab_q(spark, d):
+    return crosstab(table(spark, d, "orders"), "o_orderpriority", "o_orderstatus")
+
+
+@query("crosstab_totals", "SELECT o_orderpriority, " + ", ".join(
+    f"count(*) FILTER (WHERE o_orderstatus = '{s}') AS \"{s}\"" for s in _STAT)
+    + ", count(*) AS \"Total\" FROM orders GROUP BY 1 UNION ALL SELECT 'Total', " + ", ".join(
+    f"count(*) FILTER (WHERE o_orderstatus = '{s}')" for s in _STAT) + ", count(*) FROM orders")
+def crosstab_totals(spark, d):
+    return crosstab(table(spark, d, "orders"), "o_orderpriority", "o_orderstatus", totals=True)

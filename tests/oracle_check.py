@@ -35,13 +35,13 @@ def duck(sf_dir: str):
 
 
 def norm(v):
-    if v is None:
+    if v is None or v is pd.NA or v is pd.NaT:
         return None
     if isinstance(v, float):
         if math.isnan(v):
             return None
-        if v == 0:
-            return 0.0
+        if v.is_integer() and abs(v) < 2**53:
+            return int(v)
         return float(f"{v:.6g}")
     if hasattr(v, "item") and not isinstance(v, (str, bytes)):
         try:
