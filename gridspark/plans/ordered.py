@@ -218,36 +218,48 @@ def quantile_array(df: DataFrame, column: str, qs: Sequence[float], by: Sequence
                     lambda s: s["value"]).alias("values"))
 
 
-def segmented_last(df: DataFrame, value: str, order, by: Sequence[str] = (), out: str | None = None,
-                   n_buckets: int | None = None) -> DataFrame:
-    """Forward fill: each row gets the last non-null ``value`` at or before it
-    in ``order`` (ascending keys) within its group (C6), without sending a
-    group to one task.
-
-    Rows are range-bucketed on ``(by, order)``; a bucket-local window fills
-    inside each bucket and the last non-null value of the group's earlier
-    buckets (a table of at most buckets + groups rows) fills the rest.
+FILL_BLOCK_ROWS = 1_000_000
+
+
+def segmented_last(df: DataFrame, values, order, by: Sequence[str] = (),
+                   block_rows: int = FILL_BLOCK_ROWS) -> DataFrame:
+    """Forward fill: each row gets, per column in ``values``, the last
+    non-null value at or before it in ``order`` (ascending keys) within its
+    group (C6), without sending a whole group to one task.
+
+    The position table numbers the rows of each group; rows are cut into
+    blocks of ``block_rows`` consecutive positions (a value computed from
+    the data, so every branch of the plan agrees on it). A window fills
+    inside each block, and the last non-null value of the group's earlier
+    blocks (a table of one row per block) fills the rest. Rows tied on the
+    whole order key are filled in an unspecified order among themselves.
     """
+    values = [values] if isinstance(values, str) else list(values)
     order = _norm_order(order)
     if not all(asc for _, asc in order):
         raise ValueError("forward fill needs ascending order keys")
     by = list(by)
-    out = out or value
-    nb = n_buckets or default_buckets(df)
-    okeys = [F.col(f"`{k}`") for k, _ in order]
-    sort_cols = [F.col(f"`{b}`").asc_nulls_last() for b in by] + [k.asc_nulls_last() for k in okeys]
-    b = df.repartitionByRange(nb, *sort_cols).withColumn("_b", F.spark_partition_id())
-    part = ["_b"] + by
-    w = Window.partitionBy(*part).orderBy(*sort_cols[len(by):]).rowsBetween(
-        Window.unboundedPreceding, 0)
-    v = F.col(f"`{value}`")
-    local = b.withColumn("_fill", F.last(v, ignorenulls=True).over(w))
-    # last non-null value of every (bucket, group) slice; null if it has none
-    tails = b.groupBy(*part).agg(
-        F.max(F.when(v.isNotNull(), F.struct(*okeys, v.alias("_v")))).alias("_t"))
-    wg = (Window.partitionBy(*by) if by else Window.partitionBy()).orderBy("_b").rowsBetween(
-        Window.unboundedPreceding, -1)
-    carry = tails.select(*part, F.last(F.col("_t._v"), ignorenulls=True).over(wg).alias("_carry"))
-    res = local.join(carry, on=part, how="left")
-    res = res.withColumn(out, F.coalesce(F.col("_fill"), F.col("_carry")))
-    return res.drop("_b", "_fill", "_carry")
+    keys = [k for k, _ in order]
+    okeys = [F.col(f"`{k}`") for k in keys]
+    pos = positions(df, order, by, null_groups=True).select(
+        *[F.col(f"`{c}`") for c in by + keys],
+        F.floor(F.col("_before") / F.lit(block_rows)).cast("long").alias("_blk"))
+    rows = null_safe_join(df, pos, by + keys, how="left").withColumn(
+        "_blk", F.coalesce(F.col("_blk"), F.lit(2 ** 62)))  # null order keys sort last
+    part = by + ["_blk"]
+    w = Window.partitionBy(*[F.col(f"`{c}`") for c in part]).orderBy(
+        *[k.asc_nulls_last() for k in okeys]).rowsBetween(Window.unboundedPreceding, 0)
+    local = rows.select("*", *[F.last(F.col(f"`{v}`"), ignorenulls=True).over(w).alias(f"_fill{i}")
+                               for i, v in enumerate(values)])
+    tails = rows.groupBy(*[F.col(f"`{c}`") for c in part]).agg(*[
+        F.max(F.when(F.col(f"`{v}`").isNotNull(), F.struct(*okeys, F.col(f"`{v}`").alias("_v"))))
+        .alias(f"_t{i}") for i, v in enumerate(values)])
+    wg = (Window.partitionBy(*[F.col(f"`{b}`") for b in by]) if by else Window.partitionBy()).orderBy(
+        "_blk").rowsBetween(Window.unboundedPreceding, -1)
+    carry = tails.select(*[F.col(f"`{c}`") for c in part],
+                         *[F.last(F.col(f"_t{i}._v"), ignorenulls=True).over(wg).alias(f"_c{i}")
+                           for i in range(len(values))])
+    res = null_safe_join(local, carry, part, how="left")
+    return res.select(*[
+        (F.coalesce(F.col(f"_fill{values.index(c)}"), F.col(f"_c{values.index(c)}")).alias(c)
+         if c in values else F.col(f"`{c}`")) for c in df.columns])
