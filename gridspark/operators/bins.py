@@ -21,8 +21,13 @@ def _c(n: str) -> Column:
     return F.col(f"`{n}`")
 
 
-def _bin_of(v: Column, inner: Column) -> Column:
-    return F.when(v.isNotNull(), F.lit(1) + F.size(F.filter(inner, lambda e: v > e)))
+def _bin_of(v: Column, inner: list[Column]) -> Column:
+    """1 + number of inner edges below ``v`` (unrolled: edges may be scalar
+    subqueries, which Spark does not allow inside lambda functions)."""
+    n = F.lit(1)
+    for e in inner:
+        n = n + F.coalesce((v > e).cast("int"), F.lit(0))
+    return F.when(v.isNotNull(), n)
 
 
 def equal_width_bins(df: DataFrame, column, n: int, name: str | None = None) -> DataFrame:
@@ -41,8 +46,7 @@ def equal_width_bins(df: DataFrame, column, n: int, name: str | None = None) ->
     lo = F.when(same & (lo0 == 0), F.lit(-0.001)).when(same, lo0 - F.lit(0.001) * F.abs(lo0)).otherwise(lo0)
     hi = F.when(same & (hi0 == 0), F.lit(0.001)).when(same, hi0 + F.lit(0.001) * F.abs(hi0)).otherwise(hi0)
     step = (hi - lo) / F.lit(n)
-    inner = F.array(*[lo + step * F.lit(i) for i in range(1, n)]) if n > 1 else F.array().cast("array<double>")
-    b = _bin_of(v, inner)
+    b = _bin_of(v, [lo + step * F.lit(i) for i in range(1, n)])
     first_lo = F.when(same, lo).otherwise(lo - (hi - lo) * F.lit(0.001))
     return df.select("*", b.alias(out),
                      F.when(b == 1, first_lo).otherwise(lo + step * (b - 1)).alias(f"{out}_lo"),
@@ -58,8 +62,11 @@ def quantile_bins(df: DataFrame, column, q: int, name: str | None = None, exact:
     col = resolve_column(column, df.columns)
     out = name or f"{col}_qbin"
     qs = [i / q for i in range(q + 1)]
-    edges = F.array_distinct(quantile_array(df, col, qs, exact=exact).select("values").scalar())
-    inner = F.slice(edges, 2, F.greatest(F.size(edges) - 2, F.lit(0)))
+    edges = quantile_array(df, col, qs, exact=exact).select(
+        F.array_distinct("values").alias("e")).scalar()
+    k = F.size(edges)
+    # inner edges are positions 2 .. k-1 of the distinct edge list
+    inner = [F.when(F.lit(i) < k, F.element_at(edges, i)) for i in range(2, q + 1)]
     v = _c(col).cast("double")
     b = _bin_of(v, inner)
     return df.select("*", b.alias(out), F.element_at(edges, b).alias(f"{out}_lo"),
@@ -79,7 +86,7 @@ def custom_bins(df: DataFrame, column, edges: Sequence[float], labels: Sequence[
     out = name or f"{col}_bin"
     v = _c(col).cast("double")
     inside = (v >= e[0]) & (v <= e[-1])
-    b = F.when(inside, _bin_of(v, F.array(*[F.lit(x) for x in e[1:-1]]).cast("array<double>")))
+    b = F.when(inside, _bin_of(v, [F.lit(x) for x in e[1:-1]]))
     if labels is not None:
         b = F.element_at(F.array(*[F.lit(x) for x in labels]), b)
     return df.withColumn(out, b)

@@ -65,6 +65,7 @@ def outliers(df: DataFrame, column, method: str = "iqr", keep: str = "only", **k
 def outlier_summary(df: DataFrame, column, method: str = "iqr", **kw) -> DataFrame:
     """U4: count and percentage of outliers."""
     f = outlier_flag(df, column, method, **kw)
-    return df.agg(F.count_if(f).alias("outliers"), F.count(F.lit(1)).alias("rows")).select(
+    flagged = df.select(f.alias("_f"))
+    return flagged.agg(F.count_if("_f").alias("outliers"), F.count(F.lit(1)).alias("rows")).select(
         "outliers", "rows",
         F.round(F.try_divide(F.col("outliers") * F.lit(100.0), F.col("rows")), 2).alias("pct"))

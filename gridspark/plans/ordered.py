@@ -213,9 +213,9 @@ def quantile_array(df: DataFrame, column: str, qs: Sequence[float], by: Sequence
         return df.groupBy(*by).agg(F.percentile_approx(
             F.col(f"`{column}`").cast("double"), [float(q) for q in qs], accuracy).alias("values"))
     long = exact_quantiles(df, column, qs, by, null_groups=null_groups)
-    return long.groupBy(*by).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("q", "value"))),
-                    lambda s: s["value"]).alias("values"))
+    return long.groupBy(*by).agg(F.array(*[
+        F.max(F.when(F.abs(F.col("q") - F.lit(float(q))) < 1e-12, F.col("value"))) for q in qs
+    ]).alias("values"))
 
 
 FILL_BLOCK_ROWS = 1_000_000
