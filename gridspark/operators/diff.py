@@ -20,7 +20,7 @@ def table_diff(before: DataFrame, after: DataFrame, key: Sequence[str] | str,
 
     One full outer join; per row: ``status`` (added / removed / changed /
     same), ``changed_cells`` (null-safe comparison of each shared column)
-    and ``changed_columns``. ``only_changes`` drops unchanged rows.
+    and ``changed_columns`` (their names, comma-separated). ``only_changes`` drops unchanged rows.
     """
     keys = resolve_columns([key] if isinstance(key, str) else key, before.columns)
     shared = [c for c in before.columns if c in after.columns and c not in keys]
@@ -39,8 +39,8 @@ def table_diff(before: DataFrame, after: DataFrame, key: Sequence[str] | str,
                    status.alias("status"),
                    F.when(F.col("__in_b").isNotNull() & F.col("__in_a").isNotNull(), F.size(changed))
                    .otherwise(F.lit(len(cols))).cast("long").alias("changed_cells"),
-                   F.when(F.col("__in_b").isNotNull() & F.col("__in_a").isNotNull(), changed)
-                   .otherwise(F.array(*[F.lit(c) for c in cols]).cast("array<string>"))
+                   F.concat_ws(",", F.when(F.col("__in_b").isNotNull() & F.col("__in_a").isNotNull(), changed)
+                               .otherwise(F.array(*[F.lit(c) for c in cols]).cast("array<string>")))
                    .alias("changed_columns"))
     return out.where(F.col("status") != "same") if only_changes else out
 

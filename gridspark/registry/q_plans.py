@@ -1 +1,111 @@
-"""Registered queries."""
+"""Saved views, SQL, sources/sinks and streaming queries (V1, Z1-Z2,
+S1-S8, 2.14)."""
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from gridspark.plans.sql import run_sql
+from gridspark.plans.views import apply_view, view_from_json, view_to_json
+from gridspark.registry.base import query, table
+from gridspark.session import checkpoint_dir
+from gridspark.sources import io as S
+from gridspark.streaming import stream as ST
+
+_VIEW = {
+    "name": "open big lines",
+    "filters": [{"column": "l_linestatus", "op": "==", "value": "O"},
+                {"column": "l_quantity", "op": ">=", "value": 30},
+                {"column": "l_gone", "op": "==", "value": 1}],
+    "sort": [{"column": "l_extendedprice", "ascending": False}, {"column": "l_orderkey", "ascending": True},
+             {"column": "l_linenumber", "ascending": True}, {"column": "l_partkey", "ascending": True},
+             {"column": "l_gone", "ascending": True}],
+    "columns": ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice"],
+    "page": 2, "page_size": 50,
+}
+
+
+@query("apply_view", """
+SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice FROM lineitem
+WHERE l_linestatus = 'O' AND l_quantity >= 30
+ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey LIMIT 50 OFFSET 50""")
+def apply_view_q(spark, d):
+    spec = view_from_json(view_to_json(_VIEW))
+    return apply_view(table(spark, d, "lineitem"), spec)
+
+
+_SQL = """
+SELECT n.n_name, c.c_mktsegment, count(*) AS orders, round(sum(o.o_totalprice), 2) AS revenue
+FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey
+WHERE o.o_orderstatus <> 'P'
+GROUP BY n.n_name, c.c_mktsegment"""
+
+
+@query("sql_passthrough", _SQL)
+def sql_passthrough_q(spark, d):
+    tabs = {t: table(spark, d, t) for t in ("orders", "customer", "nation")}
+    return run_sql(spark, _SQL, tables=tabs)
+
+
+@query("sql_window", """
+SELECT o_custkey, o_orderkey, o_totalprice,
+       sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey
+                               ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS running
+FROM orders""")
+def sql_window_q(spark, d):
+    q = """SELECT o_custkey, o_orderkey, o_totalprice,
+       sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey
+                               ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS running FROM df"""
+    out = run_sql(spark, q, current=table(spark, d, "orders"))
+    return out.withColumn("running", F.col("running"))
+
+
+def _scratch(spark, name):
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query("csv_roundtrip", "SELECT * FROM supplier")
+def csv_roundtrip_q(spark, d):
+    path = _scratch(spark, "csv")
+    S.write_csv(table(spark, d, "supplier"), path, sep=";")
+    back = S.read_csv(spark, path)  # delimiter sniffed from the header line
+    return back.select(F.col("s_suppkey").cast("long"), "s_name", F.col("s_nationkey").cast("int"),
+                       F.col("s_acctbal").cast("double"))
+
+
+@query("parquet_roundtrip", "SELECT * FROM orders WHERE o_orderstatus = 'O'")
+def parquet_roundtrip_q(spark, d):
+    path = _scratch(spark, "pq")
+    S.write_table(table(spark, d, "orders"), path, mode="replace", partition_by=["o_orderstatus"])
+    back = S.load_table(spark, path)
+    # partition pruning: only the o_orderstatus=O folder is scanned
+    return back.where("o_orderstatus = 'O'").select(
+        "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
+
+
+@query("export_rows", "SELECT * FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 100")
+def export_rows_q(spark, d):
+    path = _scratch(spark, "export")
+    S.export_rows(table(spark, d, "customer").orderBy(F.col("c_acctbal").desc(), "c_custkey"), path, n=100)
+    back = S.read_csv(spark, path)
+    return back.select(F.col("c_custkey").cast("long"), "c_name", F.col("c_nationkey").cast("int"),
+                       F.col("c_acctbal").cast("double"), "c_mktsegment")
+
+
+@query("stream_period_counts", """
+SELECT date_trunc('day', ts) AS period, event_type, count(*) AS count, round(sum(value), 4) AS sum_value
+FROM events GROUP BY 1, 2""")
+def stream_period_counts_q(spark, d):
+    ev = table(spark, d, "events")
+    sdf = ST.read_stream(spark, d, ev.schema, glob="events.parquet")
+    agg = ST.period_counts(sdf, "ts", "1 day", "1 hour", by=["event_type"], value="value")
+    out = ST.run_to_table(agg, "complete")
+    return out.withColumn("sum_value", F.round("sum_value", 4))
+
+
+@query("stream_dedupe", "SELECT DISTINCT ON (user_id, event_type) user_id, event_type FROM events")
+def stream_dedupe_q(spark, d):
+    ev = table(spark, d, "events")
+    sdf = ST.read_stream(spark, d, ev.schema, glob="events.parquet")
+    dd = ST.dedupe_stream(sdf, ["user_id", "event_type"], "ts", "1000 days")
+    return ST.run_to_table(dd.select("user_id", "event_type"), "append")

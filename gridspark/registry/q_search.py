@@ -1 +1,108 @@
-"""Registered queries."""
+"""Search and diff queries (Q1-Q3, G1)."""
+
+from pyspark.sql import functions as F
+
+from gridspark.operators.diff import diff_summary, table_diff
+from gridspark.operators.search import fuzzy_replace, fuzzy_search, search_all, suggest_values
+from gridspark.registry.base import query, table
+
+
+@query("search_all", """
+SELECT * FROM customer WHERE contains(lower(CAST(c_custkey AS VARCHAR)), '77')
+   OR contains(lower(c_name), '77') OR contains(lower(CAST(c_nationkey AS VARCHAR)), '77')
+   OR contains(lower(CAST(c_acctbal AS VARCHAR)), '77') OR contains(lower(c_mktsegment), '77')""")
+def search_all_q(spark, d):
+    return search_all(table(spark, d, "customer"), "77")
+
+
+@query("search_text", """
+SELECT * FROM part WHERE contains(lower(p_name), 'gear') OR contains(lower(p_brand), 'gear')
+   OR contains(lower(p_type), 'gear')""")
+def search_text_q(spark, d):
+    return search_all(table(spark, d, "part"), "GEAR", columns=["p_name", "p_brand", "p_type"])
+
+
+_SCORE = "100.0 * (1 - levenshtein(lower(v), '{q}') / greatest(length(v), {n}))"
+
+
+@query("fuzzy_search", f"""
+SELECT value, score, count FROM (
+  SELECT v AS value, {_SCORE.format(q='red rign', n=8)} AS score, n AS count
+  FROM (SELECT p_name AS v, count(*) AS n FROM part WHERE p_name IS NOT NULL GROUP BY 1))
+ORDER BY score DESC, value LIMIT 10""")
+def fuzzy_search_q(spark, d):
+    return fuzzy_search(table(spark, d, "part"), "p_name", "red rign")
+
+
+_CHOICES = ["economy", "standard", "promo", "large", "small", "medium"]
+
+
+def _suggest_sql():
+    arms = " UNION ALL ".join(f"SELECT {i} AS pos, '{c}' AS choice" for i, c in enumerate(_CHOICES))
+    return f"""
+WITH v AS (SELECT p_type AS value, count(*) AS count FROM part WHERE p_type IS NOT NULL GROUP BY 1),
+c AS ({arms}),
+s AS (SELECT value, count, choice, pos,
+             100.0 * (1 - levenshtein(lower(value), lower(choice)) / greatest(length(value), length(choice))) AS score
+      FROM v, c),
+b AS (SELECT *, row_number() OVER (PARTITION BY value ORDER BY score DESC, pos) AS rn FROM s)
+SELECT value, CASE WHEN score >= 60 THEN choice END AS match, score, count FROM b WHERE rn = 1"""
+
+
+@query("fuzzy_match_list", _suggest_sql())
+def fuzzy_match_list_q(spark, d):
+    return suggest_values(table(spark, d, "part"), "p_type", _CHOICES, threshold=60)
+
+
+@query("fuzzy_replace")
+def fuzzy_replace_q(spark, d):
+    return fuzzy_replace(table(spark, d, "part"), "p_type", _CHOICES, threshold=60)
+
+
+# after = orders with status-P prices changed, 5-LOW open orders removed, and
+# a shifted copy of the urgent orders added under new keys
+_AFTER_SPARK = """
+SELECT o_orderkey, o_custkey, o_orderstatus,
+       CASE WHEN o_orderstatus = 'P' THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice,
+       o_orderdate, o_orderpriority FROM orders
+WHERE NOT (o_orderstatus = 'O' AND o_orderpriority = '5-LOW')
+UNION ALL
+SELECT o_orderkey + 1000000000, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority
+FROM orders WHERE o_orderpriority = '1-URGENT'"""
+
+
+def _after(spark, d):
+    table(spark, d, "orders").createOrReplaceTempView("orders")
+    return spark.sql(_AFTER_SPARK)
+
+
+@query("table_diff", f"""
+WITH a AS ({_AFTER_SPARK}),
+j AS (SELECT coalesce(b.o_orderkey, a.o_orderkey) AS o_orderkey, b.o_orderkey IS NOT NULL AS in_b,
+             a.o_orderkey IS NOT NULL AS in_a,
+             (b.o_custkey IS DISTINCT FROM a.o_custkey)::INT + (b.o_orderstatus IS DISTINCT FROM a.o_orderstatus)::INT
+             + (b.o_totalprice IS DISTINCT FROM a.o_totalprice)::INT + (b.o_orderdate IS DISTINCT FROM a.o_orderdate)::INT
+             + (b.o_orderpriority IS DISTINCT FROM a.o_orderpriority)::INT AS n,
+             b.o_totalprice IS DISTINCT FROM a.o_totalprice AS price_changed
+      FROM orders b FULL OUTER JOIN a ON b.o_orderkey = a.o_orderkey)
+SELECT o_orderkey,
+       CASE WHEN NOT in_b THEN 'added' WHEN NOT in_a THEN 'removed' WHEN n > 0 THEN 'changed' ELSE 'same' END AS status,
+       CAST(CASE WHEN in_a AND in_b THEN n ELSE 5 END AS BIGINT) AS changed_cells,
+       CASE WHEN in_a AND in_b THEN 'o_totalprice'
+            ELSE 'o_custkey,o_orderstatus,o_totalprice,o_orderdate,o_orderpriority' END AS changed_columns
+FROM j WHERE NOT (in_a AND in_b AND n = 0)""")
+def table_diff_q(spark, d):
+    return table_diff(table(spark, d, "orders"), _after(spark, d), "o_orderkey")
+
+
+@query("diff_summary", f"""
+WITH a AS ({_AFTER_SPARK}),
+j AS (SELECT b.o_orderkey IS NOT NULL AS in_b, a.o_orderkey IS NOT NULL AS in_a,
+             (b.o_totalprice IS DISTINCT FROM a.o_totalprice)::INT AS n
+      FROM orders b FULL OUTER JOIN a ON b.o_orderkey = a.o_orderkey)
+SELECT count(*) FILTER (WHERE in_b) AS rows_before, count(*) FILTER (WHERE in_a) AS rows_after,
+       count(*) FILTER (WHERE NOT in_b) AS added, count(*) FILTER (WHERE NOT in_a) AS removed,
+       count(*) FILTER (WHERE in_a AND in_b AND n > 0) AS changed,
+       CAST(coalesce(sum(n) FILTER (WHERE in_a AND in_b AND n > 0), 0) AS BIGINT) AS changed_cells FROM j""")
+def diff_summary_q(spark, d):
+    return diff_summary(table(spark, d, "orders"), _after(spark, d), "o_orderkey")

@@ -18,9 +18,12 @@ from gridspark.session import checkpoint_dir
 
 
 def read_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet",
-                max_files_per_trigger: int | None = None) -> DataFrame:
-    """A file folder as a stream (explicit schema, as streams require)."""
+                max_files_per_trigger: int | None = None, glob: str | None = None) -> DataFrame:
+    """A file folder as a stream (explicit schema, as streams require);
+    ``glob`` limits it to matching file names."""
     r = spark.readStream.format(fmt).schema(schema)
+    if glob:
+        r = r.option("pathGlobFilter", glob)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
     return r.load(path)
@@ -34,8 +37,11 @@ def period_counts(sdf: DataFrame, ts: str, period: str = "1 day", watermark: str
     aggs = [F.count(F.lit(1)).alias("count")]
     if value:
         aggs.append(F.sum(value).alias(f"sum_{value}"))
-    return (sdf.withWatermark(ts, watermark)
-            .groupBy(F.window(ts, period).alias("w"), *by).agg(*aggs)
+    # watermarks need a zoned timestamp; the session zone is UTC, so the
+    # instants of a timestamp_ntz column are unchanged
+    timed = sdf.withColumn("__et", F.col(ts).cast("timestamp"))
+    return (timed.withWatermark("__et", watermark)
+            .groupBy(F.window("__et", period).alias("w"), *by).agg(*aggs)
             .select(F.col("w.start").cast("timestamp_ntz").alias("period"), *by,
                     *[a for a in ["count"] + ([f"sum_{value}"] if value else [])]))
 
@@ -51,7 +57,8 @@ def lookup_stream(sdf: DataFrame, static: DataFrame, stream_key: str, static_key
 
 def dedupe_stream(sdf: DataFrame, keys: Sequence[str], ts: str, watermark: str = "1 hour") -> DataFrame:
     """C8 on a stream: drop repeats of ``keys`` seen within the watermark."""
-    return sdf.withWatermark(ts, watermark).dropDuplicatesWithinWatermark(list(keys))
+    timed = sdf.withColumn("__et", F.col(ts).cast("timestamp"))
+    return timed.withWatermark("__et", watermark).dropDuplicatesWithinWatermark(list(keys)).drop("__et")
 
 
 def run_to_table(sdf: DataFrame, output_mode: str = "complete", path: str | None = None) -> DataFrame:

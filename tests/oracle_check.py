@@ -40,9 +40,8 @@ def norm(v):
     if isinstance(v, float):
         if math.isnan(v):
             return None
-        if v.is_integer() and abs(v) < 2**53:
-            return int(v)
-        return float(f"{v:.6g}")
+        r = float(f"{v:.6g}")
+        return int(r) if r.is_integer() else r
     if hasattr(v, "item") and not isinstance(v, (str, bytes)):
         try:
             return norm(v.item())
