@@ -2,10 +2,11 @@
 
 All statistics are computed in one aggregation pass where Spark allows
 (partial aggregation on the map side, so a hot key costs one row per map
-task). Medians and quantiles are exact and computed from the position table
-of ``plans.ordered`` instead of Spark's ``percentile``, whose per-group value
-map would be gathered in one task for a hot group; ``exact=False`` switches
-to ``percentile_approx``.
+task). Medians and quantiles are exact: Spark's ``percentile`` keeps a value
+map per group in one task, so it is used only when the largest group is
+measured to fit one task (``strategy="auto"``); bigger groups go through the
+bucketed position table of ``plans.ordered``. ``exact=False`` switches to
+``percentile_approx`` (one pass, bounded memory).
 """
 
 from __future__ import annotations
@@ -69,7 +70,7 @@ def agg_expr(func: str, column: str, exact: bool = True) -> Column:
 
 
 def aggregate(df: DataFrame, by: Sequence[str], specs: Sequence[tuple[str, str, str]],
-              exact: bool = True) -> DataFrame:
+              exact: bool = True, strategy: str = "auto") -> DataFrame:
     """General grouped aggregation: ``specs`` = ``[(column, func, alias)]``.
 
     Null group keys form their own group. Exact medians are joined on the
@@ -83,7 +84,7 @@ def aggregate(df: DataFrame, by: Sequence[str], specs: Sequence[tuple[str, str,
         exprs = [F.count(F.lit(1)).alias("__n")]
     out = df.groupBy(*[_c(b) for b in by]).agg(*exprs)
     for c, _, a in medians:
-        med = exact_quantiles(df, c, [0.5], by, null_groups=True).select(
+        med = exact_quantiles(df, c, [0.5], by, null_groups=True, strategy=strategy).select(
             *[_c(b) for b in by], F.col("value").alias(a))
         if by:
             out = null_safe_join(out, med, by, how="left")
@@ -119,13 +120,14 @@ def avg_by(df: DataFrame, key, value, digits: int = 2) -> DataFrame:
         _c(k).asc_nulls_last())
 
 
-def custom_agg(df: DataFrame, value, func: str, key=None, exact: bool = True) -> DataFrame:
+def custom_agg(df: DataFrame, value, func: str, key=None, exact: bool = True,
+               strategy: str = "auto") -> DataFrame:
     """A5: one of count, sum, mean, median, min, max per group, or over the
     whole table when ``key`` is None. Output column ``<func>_<value>``."""
     v = resolve_column(value, df.columns)
     f = canonical_agg(func)
     by = [resolve_column(key, df.columns)] if key is not None else []
-    out = aggregate(df, by, [(v, f, f"{f}_{v}")], exact=exact)
+    out = aggregate(df, by, [(v, f, f"{f}_{v}")], exact=exact, strategy=strategy)
     return out.orderBy(*[_c(b).asc_nulls_last() for b in by]) if by else out
 
 
@@ -199,7 +201,7 @@ def _unpivot_numeric(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def numeric_summary(df: DataFrame, columns: Sequence[str], qs: Sequence[float],
-                    digits: int | None = None, exact: bool = True) -> DataFrame:
+                    digits: int | None = None, exact: bool = True, strategy: str = "auto") -> DataFrame:
     """One row per column: count, mean, std, min, ``p<q>``..., max.
 
     Moments come from one aggregation; quantiles from the position table of
@@ -214,7 +216,7 @@ def numeric_summary(df: DataFrame, columns: Sequence[str], qs: Sequence[float],
     long = _unpivot_numeric(df, cols)
     names = [f"p{round(q * 100):d}" if abs(q * 100 - round(q * 100)) < 1e-9 else f"p{q}" for q in qs]
     if exact:
-        qv = exact_quantiles(long, "v", qs, by=["column"])
+        qv = exact_quantiles(long, "v", qs, by=["column"], strategy=strategy)
         wide = qv.groupBy("column").agg(*[
             F.max(F.when(F.abs(F.col("q") - q) < 1e-12, F.col("value"))).alias(n)
             for q, n in zip(qs, names)])
@@ -228,10 +230,11 @@ def numeric_summary(df: DataFrame, columns: Sequence[str], qs: Sequence[float],
     return out.select("column", "count", *stat_cols)
 
 
-def describe(df: DataFrame, columns: Sequence | None = None, exact: bool = True) -> DataFrame:
+def describe(df: DataFrame, columns: Sequence | None = None, exact: bool = True,
+             strategy: str = "auto") -> DataFrame:
     """Count, mean, sample std, min, quartiles, max per numeric column."""
     cols = resolve_columns(columns, df.columns) if columns else numeric_columns(df)
-    return numeric_summary(df, cols, [0.25, 0.5, 0.75], exact=exact)
+    return numeric_summary(df, cols, [0.25, 0.5, 0.75], exact=exact, strategy=strategy)
 
 
 def column_stats(df: DataFrame, columns: Sequence | None = None, exact: bool = True) -> DataFrame:

@@ -86,16 +86,18 @@ def blank_to_null(df: DataFrame, columns=None) -> DataFrame:
         for f in df.schema.fields])
 
 
-def forward_fill(df: DataFrame, columns, order_by: Sequence[str], partition_by: Sequence[str] = ()) -> DataFrame:
+def forward_fill(df: DataFrame, columns, order_by: Sequence[str], partition_by: Sequence[str] = (),
+                 strategy: str = "auto") -> DataFrame:
     """Carry the last non-null value forward in ``order_by`` order
-    (mandatory), optionally within ``partition_by`` groups; bucketed so
+    (mandatory), optionally within ``partition_by`` groups. Groups proven
+    to fit one task use a plain window; larger ones are filled in blocks so
     that no group is filled inside a single task."""
     if not order_by:
         raise ValueError("forward fill needs order_by")
     cols = _cols(df, columns)
     ob = resolve_columns(order_by, df.columns)
     pb = resolve_columns(partition_by, df.columns) if partition_by else []
-    return segmented_last(df, cols, ob, pb)
+    return segmented_last(df, cols, ob, pb, strategy=strategy)
 
 
 def blank_flags(df: DataFrame, columns=None) -> DataFrame:

@@ -1,11 +1,12 @@
 """Ranking with every tie method.
 
-Default strategy ``"positions"`` ranks through the position table of
-``plans.ordered``: repeated values collapse in a partial aggregate, the
-distinct values are range-bucketed, and the ranks are joined back. No group
-(not even one holding a third of the rows) and no global ordering is ever
-gathered into a single task. ``strategy="window"`` uses plain window
-functions, which is cheaper when every group is known to be small.
+The default strategy ``"auto"`` first measures the largest group (one
+aggregation). Groups proven to fit one task (``gridspark.singleTaskRows``,
+2 million rows by default) are ranked with plain window functions; larger
+ones through the position table of ``plans.ordered``: repeated values
+collapse in a partial aggregate, the distinct values are range-bucketed and
+the ranks are joined back, so no group (not even one holding a third of the
+rows) and no global ordering is gathered into a single task.
 
 Null values and null groups get a null rank and do not count towards the
 percentile denominator.
@@ -41,14 +42,16 @@ def _cast(method: str, c: Column) -> Column:
 
 
 def rank(df: DataFrame, columns, method: str = "min", group=None, ascending=False,
-         name: str | None = None, tiebreak: Sequence[str] = (), strategy: str = "positions") -> DataFrame:
+         name: str | None = None, tiebreak: Sequence[str] = (), strategy: str = "auto") -> DataFrame:
     """Add a rank column (default ``<first column>_rank``).
 
     ``columns`` is one column or several (lexicographic order); ``ascending``
     one shared direction or one per column (default: largest first).
     ``method`` is one of min, max, average, first (ordinal), dense,
     percentile. ``first`` breaks ties by the ``tiebreak`` columns, then by
-    scan order.
+    scan order. ``strategy``: ``auto`` checks the largest group and uses a
+    plain window when it fits one task, else the bucketed position table;
+    ``window`` / ``positions`` force one of them.
     """
     cols = resolve_columns([columns] if isinstance(columns, (str, int)) else columns, df.columns)
     asc = ascending if isinstance(ascending, (list, tuple)) else [ascending] * len(cols)
@@ -56,45 +59,14 @@ def rank(df: DataFrame, columns, method: str = "min", group=None, ascending=Fals
     by = resolve_columns([group] if isinstance(group, (str, int)) else group, df.columns) if group else []
     m = canonical_method(method)
     out_name = name or f"{cols[0]}_rank"
-    if strategy == "window":
-        return _rank_window(df, order, by, m, out_name, tiebreak)
-    if strategy != "positions":
-        raise ValueError(f"unknown strategy {strategy!r}")
     if m == "first":
         tb = [(resolve_column(t, df.columns), True) for t in tiebreak]
-        res = row_numbers(df, order + tb, by, name="__r")
+        res = row_numbers(df, order + tb, by, name="__r", strategy=strategy)
     else:
-        res = attach_ranks(df, order, by, {"__r": m})
+        res = attach_ranks(df, order, by, {"__r": m}, strategy=strategy)
     return res.select(*[_c(c) for c in df.columns], _cast(m, F.col("__r")).alias(out_name))
 
 
-def _rank_window(df, order, by, m, out_name, tiebreak):
-    keys = [_c(k).asc() if a else _c(k).desc() for k, a in order]
-    valid = F.lit(True)
-    for k, _ in order:
-        valid = valid & _c(k).isNotNull()
-    for b in by:
-        valid = valid & _c(b).isNotNull()
-    part = [*[_c(b) for b in by], valid]
-    w = Window.partitionBy(*part).orderBy(*keys)
-    if m == "min":
-        r = F.rank().over(w)
-    elif m == "dense":
-        r = F.dense_rank().over(w)
-    elif m == "first":
-        w2 = Window.partitionBy(*part).orderBy(*keys, *[_c(t).asc() for t in tiebreak])
-        r = F.row_number().over(w2)
-    else:
-        hi = F.count(F.lit(1)).over(w.rangeBetween(Window.unboundedPreceding, 0))
-        lo = F.rank().over(w)
-        if m == "max":
-            r = hi
-        else:
-            avg = (lo + hi) / F.lit(2.0)
-            r = avg if m == "average" else avg / F.count(F.lit(1)).over(Window.partitionBy(*part))
-    return df.withColumn(out_name, F.when(valid, _cast(m, r)))
-
-
 def top_n_ranked(df: DataFrame, column, n: int, method: str = "min", group=None,
                  ascending: bool = False, name: str | None = None,
                  tiebreak: Sequence[str] = ()) -> DataFrame:

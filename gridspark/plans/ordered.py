@@ -45,6 +45,36 @@ def default_buckets(df: DataFrame) -> int:
     return max(1, int(conf))
 
 
+SINGLE_TASK_ROWS = 2_000_000
+STRATEGIES = ("auto", "window", "positions")
+
+
+def single_task_rows(df: DataFrame) -> int:
+    """Largest group a single task may order (``gridspark.singleTaskRows``)."""
+    return int(df.sparkSession.conf.get("gridspark.singleTaskRows", str(SINGLE_TASK_ROWS)))
+
+
+def largest_group(df: DataFrame, by: Sequence[str], not_null: Sequence[str]) -> int:
+    """Rows in the largest group (one aggregation; returns one number)."""
+    base = df
+    for c in not_null:
+        base = base.where(F.col(f"`{c}`").isNotNull())
+    if not by:
+        return base.count()
+    top = base.groupBy(*[F.col(f"`{b}`") for b in by]).count().agg(F.max("count")).first()[0]
+    return int(top or 0)
+
+
+def choose_strategy(df: DataFrame, strategy: str, by: Sequence[str], not_null: Sequence[str]) -> str:
+    """``auto``: a plain window when the largest group is proven to fit one
+    task (checked with one aggregation), else the bucketed position table."""
+    if strategy not in STRATEGIES:
+        raise ValueError(f"unknown strategy {strategy!r}; choose from {STRATEGIES}")
+    if strategy != "auto":
+        return strategy
+    return "window" if largest_group(df, by, not_null) <= single_task_rows(df) else "positions"
+
+
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Join on ``keys`` treating null = null (``<=>``), keeping one copy of
     each key column."""
@@ -139,13 +169,34 @@ def rank_expr(method: str) -> Column:
     raise ValueError(f"unknown rank method {method!r}; choose from {RANK_METHODS}")
 
 
+def _window_ranks(df: DataFrame, order, by: list[str], outputs: dict) -> DataFrame:
+    keys = [k for k, _ in order]
+    valid = F.lit(True)
+    for c in by + keys:
+        valid = valid & F.col(f"`{c}`").isNotNull()
+    part = [*[F.col(f"`{b}`") for b in by], valid]
+    ordering = [F.col(f"`{k}`").asc() if a else F.col(f"`{k}`").desc() for k, a in order]
+    w = Window.partitionBy(*part).orderBy(*ordering)
+    lo = F.rank().over(w)
+    hi = F.count(F.lit(1)).over(w.rangeBetween(Window.unboundedPreceding, 0))
+    exprs = {"min": lo, "max": hi, "average": (lo + hi) / F.lit(2.0), "dense": F.dense_rank().over(w),
+             "percentile": ((lo + hi) / F.lit(2.0)) / F.count(F.lit(1)).over(Window.partitionBy(*part))}
+    for m in outputs.values():
+        if m not in exprs:
+            raise ValueError(f"unknown rank method {m!r}; choose from {RANK_METHODS}")
+    return df.select("*", *[F.when(valid, exprs[m]).alias(n) for n, m in outputs.items()])
+
+
 def attach_ranks(df: DataFrame, order, by: Sequence[str] = (), outputs: dict | None = None,
-                 n_buckets: int | None = None) -> DataFrame:
-    """Add rank columns ``{name: method}`` to every row of ``df`` by joining
-    the position table back on ``(by, keys)``; null keys or groups rank null."""
+                 n_buckets: int | None = None, strategy: str = "auto") -> DataFrame:
+    """Add rank columns ``{name: method}`` to every row of ``df``; null keys
+    or groups rank null. Groups proven small rank with a plain window; else
+    the position table is joined back on ``(by, keys)``."""
     order = _norm_order(order)
     keys = [k for k, _ in order]
     by = list(by)
+    if choose_strategy(df, strategy, by, by + keys) == "window":
+        return _window_ranks(df, order, by, outputs)
     pos = positions(df, order, by, n_buckets)
     pos = pos.select(*[F.col(f"`{c}`") for c in by + keys],
                      *[rank_expr(m).alias(name) for name, m in outputs.items()])
@@ -153,7 +204,7 @@ def attach_ranks(df: DataFrame, order, by: Sequence[str] = (), outputs: dict | N
 
 
 def row_numbers(df: DataFrame, order, by: Sequence[str] = (), name: str = "_row",
-                n_buckets: int | None = None) -> DataFrame:
+                n_buckets: int | None = None, strategy: str = "auto") -> DataFrame:
     """1-based row number in the given order (ordinal rank, R4).
 
     A hidden row id is appended as the last order key, so rows tied on every
@@ -161,9 +212,17 @@ def row_numbers(df: DataFrame, order, by: Sequence[str] = (), name: str = "_row"
     however hot, is numbered inside one task. Rows with a null group or key
     get a null number.
     """
-    order = _norm_order(order) + [("_uid", True)]
-    keys = [k for k, _ in order]
     by = list(by)
+    plain = _norm_order(order)
+    if choose_strategy(df, strategy, by, by + [k for k, _ in plain]) == "window":
+        valid = F.lit(True)
+        for c in by + [k for k, _ in plain]:
+            valid = valid & F.col(f"`{c}`").isNotNull()
+        w = Window.partitionBy(*[F.col(f"`{b}`") for b in by], valid).orderBy(
+            *[F.col(f"`{k}`").asc() if a else F.col(f"`{k}`").desc() for k, a in plain])
+        return df.withColumn(name, F.when(valid, F.row_number().over(w).cast("long")))
+    order = plain + [("_uid", True)]
+    keys = [k for k, _ in order]
     tagged = df.withColumn("_uid", F.monotonically_increasing_id())
     pos = positions(tagged, order, by, n_buckets).select(
         *[F.col(f"`{c}`") for c in by + keys], (F.col("_before") + 1).alias(name))
@@ -171,13 +230,27 @@ def row_numbers(df: DataFrame, order, by: Sequence[str] = (), name: str = "_row"
 
 
 def exact_quantiles(df: DataFrame, column: str, qs: Sequence[float], by: Sequence[str] = (),
-                    n_buckets: int | None = None, null_groups: bool = False) -> DataFrame:
+                    n_buckets: int | None = None, null_groups: bool = False,
+                    strategy: str = "auto") -> DataFrame:
     """Exact quantiles with linear interpolation (pandas / ``quantile_cont``).
 
     Returns ``(by..., q, value)`` with one row per group and requested q.
     Uses the position table, so no group's values are gathered in one task.
     """
     by = list(by)
+    not_null = [column] if null_groups else by + [column]
+    if choose_strategy(df, strategy, by, not_null) == "window":
+        # every group is proven small: Spark's exact percentile keeps at most
+        # one map entry per row of a group
+        base = df
+        for c in not_null:
+            base = base.where(F.col(f"`{c}`").isNotNull())
+        agg = base.groupBy(*[F.col(f"`{b}`") for b in by]).agg(
+            F.percentile(F.col(f"`{column}`").cast("double"), [float(q) for q in qs]).alias("_vals"))
+        return agg.select(*[F.col(f"`{b}`") for b in by],
+                          F.posexplode("_vals").alias("_i", "value")).select(
+            *[F.col(f"`{b}`") for b in by],
+            F.element_at(F.array(*[F.lit(float(q)) for q in qs]), F.col("_i") + 1).alias("q"), "value")
     qarr = F.array(*[F.lit(float(q)) for q in qs])
     pos = positions(df, [column], by, n_buckets, null_groups=null_groups)
     p = lambda q: q * (F.col("_total") - 1)
@@ -222,7 +295,7 @@ FILL_BLOCK_ROWS = 1_000_000
 
 
 def segmented_last(df: DataFrame, values, order, by: Sequence[str] = (),
-                   block_rows: int = FILL_BLOCK_ROWS) -> DataFrame:
+                   block_rows: int = FILL_BLOCK_ROWS, strategy: str = "auto") -> DataFrame:
     """Forward fill: each row gets, per column in ``values``, the last
     non-null value at or before it in ``order`` (ascending keys) within its
     group (C6), without sending a whole group to one task.
@@ -241,6 +314,11 @@ def segmented_last(df: DataFrame, values, order, by: Sequence[str] = (),
     by = list(by)
     keys = [k for k, _ in order]
     okeys = [F.col(f"`{k}`") for k in keys]
+    if choose_strategy(df, strategy, by, []) == "window":
+        w = Window.partitionBy(*[F.col(f"`{b}`") for b in by]).orderBy(
+            *[k.asc_nulls_last() for k in okeys]).rowsBetween(Window.unboundedPreceding, 0)
+        return df.select(*[F.last(F.col(f"`{c}`"), ignorenulls=True).over(w).alias(c) if c in values
+                           else F.col(f"`{c}`") for c in df.columns])
     pos = positions(df, order, by, null_groups=True).select(
         *[F.col(f"`{c}`") for c in by + keys],
         F.floor(F.col("_before") / F.lit(block_rows)).cast("long").alias("_blk"))

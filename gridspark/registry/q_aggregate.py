@@ -49,6 +49,14 @@ def agg_median_by(spark, d):
     return A.custom_agg(table(spark, d, "lineitem"), "l_extendedprice", "median", key="l_returnflag")
 
 
+@query("agg_median_by_bucketed", """
+SELECT l_returnflag, quantile_cont(l_extendedprice, 0.5) AS median_l_extendedprice
+FROM lineitem GROUP BY 1""")
+def agg_median_by_bucketed(spark, d):
+    return A.custom_agg(table(spark, d, "lineitem"), "l_extendedprice", "median", key="l_returnflag",
+                        strategy="positions")
+
+
 @query("agg_median_all", "SELECT quantile_cont(o_totalprice, 0.5) AS median_o_totalprice FROM orders")
 def agg_median_all(spark, d):
     return A.custom_agg(table(spark, d, "orders"), "o_totalprice", "median")
@@ -140,6 +148,11 @@ def describe_q(spark, d):
     return A.describe(table(spark, d, "lineitem"), _LI_NUM)
 
 
+@query("describe_bucketed", _stats_sql("lineitem", _LI_NUM, [0.25, 0.5, 0.75]))
+def describe_bucketed(spark, d):
+    return A.describe(table(spark, d, "lineitem"), _LI_NUM, strategy="positions")
+
+
 @query("stats_percentiles", _stats_sql("orders", ["o_totalprice", "o_custkey"],
                                        [0.1, 0.25, 0.5, 0.75, 0.9, 0.95], digits=4))
 def stats_percentiles(spark, d):

@@ -77,6 +77,27 @@ def ffill(spark, d):
     return C.forward_fill(ev, ["value"], ["ts", "event_id"], ["user_id"])
 
 
+@query("ffill_bucketed", f"""
+SELECT event_id, ts, user_id, event_type,
+       last_value({_EV_VALUE} IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id
+           ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS value
+FROM events""")
+def ffill_bucketed(spark, d):
+    ev = table(spark, d, "events").select("event_id", "ts", "user_id", "event_type",
+                                          F.expr(_EV_VALUE).alias("value"))
+    return C.forward_fill(ev, ["value"], ["ts", "event_id"], ["user_id"], strategy="positions")
+
+
+@query("ffill_global_bucketed", f"""
+SELECT event_id, ts, event_type,
+       last_value({_EV_VALUE} IGNORE NULLS) OVER (ORDER BY ts, event_id
+           ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS value
+FROM events""")
+def ffill_global_bucketed(spark, d):
+    ev = table(spark, d, "events").select("event_id", "ts", "event_type", F.expr(_EV_VALUE).alias("value"))
+    return C.forward_fill(ev, ["value"], ["ts", "event_id"], strategy="positions")
+
+
 @query("ffill_global", f"""
 SELECT event_id, ts, event_type,
        last_value({_EV_VALUE} IGNORE NULLS) OVER (ORDER BY ts, event_id

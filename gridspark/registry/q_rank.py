@@ -6,6 +6,45 @@ from gridspark.registry.base import query, table
 _O = "o_orderkey, o_custkey, o_totalprice"
 
 
+@query("rank_min_bucketed", f"""
+SELECT {_O}, rank() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC) AS o_totalprice_rank
+FROM orders""")
+def rank_min_bucketed(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    return rank(o, "o_totalprice", "min", group="o_custkey", strategy="positions")
+
+
+@query("rank_avg_bucketed", """
+SELECT l_orderkey, l_linenumber, l_returnflag, l_quantity,
+       (rank() OVER w + count(*) OVER (w RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) / 2.0
+         AS l_quantity_rank
+FROM lineitem WINDOW w AS (PARTITION BY l_returnflag ORDER BY l_quantity)""")
+def rank_avg_bucketed(spark, d):
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_quantity")
+    return rank(li, "l_quantity", "average", group="l_returnflag", ascending=True, strategy="positions")
+
+
+@query("rank_pct_bucketed", """
+SELECT c_custkey, c_mktsegment, c_acctbal,
+       round((rank() OVER w + count(*) OVER (w RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) / 2.0
+             / count(*) OVER (PARTITION BY c_mktsegment), 9) AS c_acctbal_rank
+FROM customer WINDOW w AS (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC)""")
+def rank_pct_bucketed(spark, d):
+    from pyspark.sql import functions as F
+    c = table(spark, d, "customer").select("c_custkey", "c_mktsegment", "c_acctbal")
+    r = rank(c, "c_acctbal", "percentile", group="c_mktsegment", strategy="positions")
+    return r.withColumn("c_acctbal_rank", F.round("c_acctbal_rank", 9))
+
+
+@query("rank_first_bucketed", """
+SELECT p_partkey, p_brand, p_size,
+       row_number() OVER (PARTITION BY p_brand ORDER BY p_size DESC, p_partkey) AS p_size_rank
+FROM part""")
+def rank_first_bucketed(spark, d):
+    p = table(spark, d, "part").select("p_partkey", "p_brand", "p_size")
+    return rank(p, "p_size", "first", group="p_brand", tiebreak=["p_partkey"], strategy="positions")
+
+
 @query("rank_min", f"""
 SELECT {_O}, rank() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC) AS o_totalprice_rank
 FROM orders""")
@@ -115,8 +154,8 @@ SELECT l_orderkey, l_linenumber, l_extendedprice,
 FROM lineitem""")
 def rank_global_bucketed(spark, d):
     li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
-    r = rank(li, "l_extendedprice", "min", name="rank_min")
-    return rank(r, "l_extendedprice", "dense", name="rank_dense")
+    r = rank(li, "l_extendedprice", "min", name="rank_min", strategy="positions")
+    return rank(r, "l_extendedprice", "dense", name="rank_dense", strategy="positions")
 
 
 @query("rank_global_window", """
@@ -132,3 +171,12 @@ def rank_global_window(spark, d):
 SELECT p_partkey, p_type, (dense_rank() OVER (ORDER BY p_type) - 1) AS p_type_code FROM part""")
 def category_codes_q(spark, d):
     return category_codes(table(spark, d, "part").select("p_partkey", "p_type"), "p_type")
+
+
+@query("rank_dense_bucketed", """
+SELECT p_partkey, p_brand, p_size,
+       dense_rank() OVER (PARTITION BY p_brand ORDER BY p_size DESC) AS p_size_rank
+FROM part""")
+def rank_dense_bucketed(spark, d):
+    p = table(spark, d, "part").select("p_partkey", "p_brand", "p_size")
+    return rank(p, "p_size", "dense", group="p_brand", strategy="positions")
