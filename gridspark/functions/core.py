@@ -41,6 +41,13 @@ AUTO_DATE_FORMATS = (
 )
 
 
+# Cheap shape test run before the format list: every format above needs a
+# numeric date (1-4 digits, separator, digits, separator, digits) or a month
+# name next to a day and a 4-digit year.
+DATE_SHAPE = (r"^\s*(\d{1,4}[-/.]\d{1,2}[-/.]\d{1,4}"
+              r"|[A-Za-z]{3,9}\.? \d{1,2}, \d{4}|\d{1,2} [A-Za-z]{3,9}\.? \d{4})")
+
+
 def as_col(c) -> Column:
     """Accept a column name or a Column."""
     return F.col(c) if isinstance(c, str) else c
@@ -123,7 +130,8 @@ def to_date(c, fmt: str | None = None, formats: Iterable[str] = AUTO_DATE_FORMAT
     if fmt:
         parsed = F.try_to_timestamp(s, F.lit(fmt))
     else:
-        parsed = F.coalesce(*[F.try_to_timestamp(s, F.lit(f)) for f in formats])
+        parsed = F.when(s.rlike(DATE_SHAPE),
+                        F.coalesce(*[F.try_to_timestamp(s, F.lit(f)) for f in formats]))
     return parsed.cast("timestamp_ntz")
 
 

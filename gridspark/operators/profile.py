@@ -1,10 +1,11 @@
 """Table profiling (D1p-D7p): per-column statistics in one wide aggregation,
 reshaped to one row per column.
 
-Exact distinct counts over many columns make Spark expand each row once per
-distinct-counted column; ``exact=False`` switches to HyperLogLog
-(``approx_count_distinct``). Medians come from the position table, computed
-for all numeric columns at once.
+Exact distinct counts come from one shuffle of pre-aggregated
+``(column, value)`` pairs (Spark's own multi-distinct rewrite would expand
+every row once per column together with all other aggregates);
+``exact=False`` switches to HyperLogLog (``approx_count_distinct``). Medians
+of all numeric columns are computed at once, by column.
 """
 
 from __future__ import annotations
@@ -47,12 +48,10 @@ def _column_struct(name: str, dt: T.DataType, exact: bool) -> Column:
     c = _c(name)
     k = _kind(dt)
     num = c.cast("double") if k == "number" else F.lit(None).cast("double")
-    dist = F.count_distinct(c) if exact else F.approx_count_distinct(c)
     txt = c.cast("string")
     fields = [
         F.lit(name).alias("column"), F.lit(dt.simpleString()).alias("type"), F.lit(k).alias("kind"),
         F.count(F.lit(1)).alias("rows"), F.count_if(c.isNull()).alias("nulls"),
-        dist.alias("distinct_nonnull"),
         F.avg(num).alias("mean"), F.stddev_samp(num).alias("std"),
         F.min(num).alias("min"), F.max(num).alias("max"),
         (F.coalesce(F.bool_and(F.when(c.isNotNull(), c.cast("double").isin(0.0, 1.0))), F.lit(True))
@@ -91,11 +90,35 @@ def semantic_type(s=None) -> Column:
             .otherwise("Free Text"))
 
 
+def distinct_per_column(df: DataFrame, exact: bool = True) -> DataFrame:
+    """``(pos, distinct_nonnull)`` for every column.
+
+    Exact counts unpivot to ``(column, value)`` and count distinct pairs:
+    one shuffle of pre-aggregated pairs, instead of Spark's multi-distinct
+    rewrite that expands every row once per column together with all other
+    aggregates. ``exact=False`` uses HyperLogLog in one pass.
+    """
+    if not exact:
+        row = df.agg(F.array(*[F.struct(F.lit(i).alias("pos"),
+                                        F.approx_count_distinct(_c(f.name)).alias("distinct_nonnull"))
+                               for i, f in enumerate(df.schema.fields)]).alias("s"))
+        return row.select(F.inline("s"))
+    long = df.select(F.explode(F.array(*[
+        F.struct(F.lit(i).alias("pos"), _c(f.name).cast("string").alias("v"))
+        for i, f in enumerate(df.schema.fields)])).alias("u")).select("u.pos", "u.v")
+    pairs = long.where("v IS NOT NULL").select("pos", "v").distinct()
+    counted = pairs.groupBy("pos").agg(F.count(F.lit(1)).alias("distinct_nonnull"))
+    all_pos = df.sparkSession.range(len(df.columns)).select(F.col("id").cast("int").alias("pos"))
+    return all_pos.join(counted, on="pos", how="left").select(
+        "pos", F.coalesce("distinct_nonnull", F.lit(0)).cast("long").alias("distinct_nonnull"))
+
+
 def column_facts(df: DataFrame, exact: bool = True) -> DataFrame:
     """One row per column with the raw counts behind D1p/D5p/D6p."""
     structs = [_column_struct(f.name, f.dataType, exact) for f in df.schema.fields]
     facts = df.agg(F.array(*structs).alias("s")).select(F.posexplode("s").alias("pos", "f"))
-    return facts.select("pos", "f.*")
+    facts = facts.select("pos", "f.*")
+    return facts.join(distinct_per_column(df, exact), on="pos", how="left")
 
 
 def profile(df: DataFrame, exact: bool = True, with_outliers: bool = True) -> DataFrame:
