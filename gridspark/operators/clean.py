@@ -100,6 +100,21 @@ def forward_fill(df: DataFrame, columns, order_by: Sequence[str], partition_by:
     return segmented_last(df, cols, ob, pb, strategy=strategy)
 
 
+def all_null_columns(df: DataFrame) -> list[str]:
+    """Names of columns holding no value at all (one aggregation; the
+    answer decides the output schema, so its one row is read)."""
+    if not df.columns:
+        return []
+    row = df.agg(*[F.max(_c(c).isNotNull().cast("int")).alias(f"_{i}")
+                   for i, c in enumerate(df.columns)]).first()
+    return [c for i, c in enumerate(df.columns) if not row[f"_{i}"]]
+
+
+def drop_empty_columns(df: DataFrame) -> DataFrame:
+    """Drop the columns that are entirely null."""
+    return df.drop(*all_null_columns(df))
+
+
 def blank_flags(df: DataFrame, columns=None) -> DataFrame:
     """Add ``<col>_is_blank`` (true where null)."""
     cols = _cols(df, columns)

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from gridspark.functions.columns import resolve_column
 from gridspark.functions.core import strip, to_date
+from gridspark.operators.profile import distinct_per_column
 
 # Fixed rule parameters of the issue scan.
 HIGH_NULL_SHARE = 0.9
@@ -30,14 +31,14 @@ def issue_scan(df: DataFrame) -> DataFrame:
     """``(column, issue)`` rows from one aggregation pass over the
     whole table (every value is examined; nothing is sampled)."""
     structs = []
-    for f in df.schema.fields:
+    for i, f in enumerate(df.schema.fields):
         c = _c(f.name)
         n = F.count(F.lit(1))
         nulls = F.count_if(c.isNull())
-        distinct_all = F.count_distinct(c) + F.max(c.isNull().cast("long"))
         checks = [
             F.when(F.try_divide(nulls.cast("double"), n.cast("double")) >= HIGH_NULL_SHARE, "high_nulls"),
-            F.when((F.coalesce(distinct_all, F.lit(0)) == n) & (n > UNIQUE_MIN_ROWS), "unique_values"),
+            # unique_values needs the distinct count, joined below
+            F.when((n > UNIQUE_MIN_ROWS) & (nulls <= 1), "__maybe_unique"),
         ]
         if isinstance(f.dataType, (T.FloatType, T.DoubleType)):
             intlike = F.bool_and(F.when(c.isNotNull(), F.abs(c - F.round(c)) < FLOAT_ID_TOLERANCE))
@@ -52,10 +53,16 @@ def issue_scan(df: DataFrame) -> DataFrame:
                      + F.coalesce(F.bool_or(c.rlike(DECIMAL_TEXT)), F.lit(False)).cast("int")
                      + F.coalesce(F.bool_or(c.rlike(LETTER)), F.lit(False)).cast("int"))
             checks.append(F.when(kinds >= 2, "mixed_types"))
-        structs.append(F.struct(F.lit(f.name).alias("column"),
+        structs.append(F.struct(F.lit(i).alias("pos"), F.lit(f.name).alias("column"),
+                                F.count(F.lit(1)).alias("rows"), F.count_if(c.isNull()).alias("nulls"),
                                 F.filter(F.array(*checks), lambda x: x.isNotNull()).alias("issues")))
     row = df.agg(F.array(*structs).alias("s")).select(F.inline("s"))
-    return row.select("column", F.explode("issues").alias("issue"))
+    row = row.join(distinct_per_column(df), on="pos", how="left")
+    unique = (F.col("distinct_nonnull") + (F.col("nulls") > 0).cast("long")) == F.col("rows")
+    issues = F.transform(F.col("issues"), lambda x: F.when(x == "__maybe_unique",
+                                                            F.when(unique, F.lit("unique_values"))).otherwise(x))
+    out = row.select("pos", "column", F.explode(F.filter(issues, lambda x: x.isNotNull())).alias("issue"))
+    return out.orderBy("pos").drop("pos")
 
 
 def apply_fix(df: DataFrame, column, issue: str) -> DataFrame:

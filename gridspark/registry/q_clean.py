@@ -108,6 +108,15 @@ def ffill_global(spark, d):
     return C.forward_fill(ev, ["value"], ["ts", "event_id"])
 
 
+@query("drop_empty_columns", """
+SELECT o_orderkey, o_orderstatus FROM orders""")
+def drop_empty_columns(spark, d):
+    o = table(spark, d, "orders").select(
+        "o_orderkey", F.expr("CASE WHEN o_totalprice < 0 THEN o_orderpriority END").alias("never"),
+        "o_orderstatus")
+    return C.drop_empty_columns(o)
+
+
 @query("blank_flags", f"""
 SELECT *, price IS NULL AS price_is_blank, prio IS NULL AS prio_is_blank FROM (SELECT {_ON} FROM orders)""")
 def blank_flags(spark, d):

@@ -47,6 +47,28 @@ def sql_passthrough_q(spark, d):
     return run_sql(spark, _SQL, tables=tabs)
 
 
+# The query shapes the tool documents, over the current table ``df``
+_Z2 = {
+    "sql_select_star": "SELECT * FROM df",
+    "sql_where": "SELECT * FROM df WHERE o_totalprice > 300000",
+    "sql_group_count": "SELECT o_orderstatus, count(*) AS n FROM df GROUP BY o_orderstatus",
+    "sql_avg": "SELECT o_orderpriority, round(avg(o_totalprice), 4) AS avg_price FROM df GROUP BY o_orderpriority",
+    "sql_order_limit": "SELECT * FROM df ORDER BY o_totalprice DESC, o_orderkey LIMIT 10",
+    "sql_distinct": "SELECT DISTINCT o_orderpriority FROM df",
+}
+
+
+def _z2(key, q):
+    @query(key, q.replace("FROM df", "FROM orders"))
+    def run(spark, d):
+        return run_sql(spark, q, current=table(spark, d, "orders"))
+    return run
+
+
+for _k, _q in _Z2.items():
+    _z2(_k, _q)
+
+
 @query("sql_window", """
 SELECT o_custkey, o_orderkey, o_totalprice,
        sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey
@@ -103,6 +125,17 @@ def stream_period_counts_q(spark, d):
     return out.withColumn("sum_value", F.round("sum_value", 4))
 
 
+@query("stream_lookup", """
+SELECT e.event_id, e.user_id, c.c_name, c.c_mktsegment FROM events e
+LEFT JOIN customer c ON e.user_id = c.c_custkey""")
+def stream_lookup_q(spark, d):
+    ev = table(spark, d, "events")
+    sdf = ST.read_stream(spark, d, ev.schema, glob="events.parquet").select("event_id", "user_id")
+    joined = ST.lookup_stream(sdf, table(spark, d, "customer"), "user_id", "c_custkey",
+                              ["c_name", "c_mktsegment"])
+    return ST.run_to_table(joined, "append")
+
+
 @query("stream_dedupe", "SELECT DISTINCT ON (user_id, event_type) user_id, event_type FROM events")
 def stream_dedupe_q(spark, d):
     ev = table(spark, d, "events")
