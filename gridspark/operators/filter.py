@@ -9,7 +9,6 @@ filters and pushes them into the Parquet scan.
 from __future__ import annotations
 
 import re
-from functools import reduce
 from typing import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -18,7 +17,15 @@ from pyspark.sql import types as T
 
 from gridspark.functions.columns import resolve_column
 from gridspark.functions.core import (FLAG_FALSY, FLAG_TEXT_VALUES, FLAG_TRUTHY, falsy,
-                                      is_blank, similarity, truthy)
+                                      is_blank, similarity)
+from gridspark.functions.core import truthy as _truthy
+
+
+
+
+def _keep(c: Column) -> Column:
+    return c
+
 
 # Operator spellings accepted from users, mapped to our names.
 OPERATOR_ALIASES = {
@@ -108,8 +115,16 @@ def _typed_operand(dtype: T.DataType, c: Column, value):
 
 
 def predicate(df: DataFrame, column, op: str, value=None, *, regex: bool = False,
-              case: bool = False) -> Column:
-    """Compile ``column op value`` to a never-null boolean Column."""
+              case: bool = False, where: bool = False) -> Column:
+    """Compile ``column op value`` to a boolean Column that is never null.
+
+    With ``where=True`` the positive operators are left in plain SQL form
+    (null where the value is null). Inside a ``WHERE`` clause combined only
+    with AND / OR this keeps exactly the same rows, and it lets Catalyst
+    push the comparison into the Parquet scan (a ``coalesce`` wrapper would
+    hide it). Negated operators always keep their null-keeping form.
+    """
+    truthy = _keep if where else _truthy
     name = resolve_column(column, df.columns)
     c = F.col(f"`{name}`")
     dtype = df.schema[name].dataType
@@ -142,8 +157,12 @@ def predicate(df: DataFrame, column, op: str, value=None, *, regex: bool = False
         items = _split_list(value)
         nums = [_as_number(v) for v in items]
         if items and all(n is not None for n in nums):
-            target = c if isinstance(dtype, _NUMERIC) else c.try_cast("double")
-            hit = target.isin(*[float(n) for n in nums])
+            if isinstance(dtype, _NUMERIC):
+                whole = all(float(n).is_integer() for n in nums) and not isinstance(
+                    dtype, (T.FloatType, T.DoubleType, T.DecimalType))
+                hit = c.isin(*[int(n) if whole else float(n) for n in nums])
+            else:
+                hit = c.try_cast("double").isin(*[float(n) for n in nums])
         else:
             hit = F.trim(text).isin(*[str(v).strip() for v in items])
         return truthy(hit) if kind == "in" else falsy(hit)
@@ -164,7 +183,7 @@ def predicate(df: DataFrame, column, op: str, value=None, *, regex: bool = False
 
 def filter_rows(df: DataFrame, column, op: str, value=None, **kw) -> DataFrame:
     """Keep rows where ``column op value`` holds."""
-    return df.where(predicate(df, column, op, value, **kw))
+    return df.where(predicate(df, column, op, value, where=True, **kw))
 
 
 def filter_multi(df: DataFrame, conditions: Sequence) -> DataFrame:
@@ -183,7 +202,7 @@ def filter_multi(df: DataFrame, conditions: Sequence) -> DataFrame:
             col, op, val = cond[0], cond[1], cond[2] if len(cond) > 2 else None
             logic = cond[3] if len(cond) > 3 else "and"
             extra = {}
-        p = predicate(df, col, op, val, **extra)
+        p = predicate(df, col, op, val, where=True, **extra)
         logic = str(logic).strip().lower()
         if acc is None:
             acc = p
@@ -212,7 +231,7 @@ def filter_stack(df: DataFrame, filters: Iterable, strict: bool = False) -> Data
             if strict:
                 raise KeyError(f"unknown column {col!r}")
             continue
-        out = out.where(predicate(df, col, op, val))
+        out = out.where(predicate(df, col, op, val, where=True))
     return out
 
 
@@ -243,8 +262,8 @@ def flag_columns(df: DataFrame) -> DataFrame:
         exprs.append(F.struct(
             F.lit(f.name).alias("column"), F.lit(kinds[f.name]).alias("kind"),
             F.bool_and(F.when(c.isNotNull(), ok)).alias("is_flag"),
-            F.count_if(truthy(t_)).alias("n_true"),
-            F.count_if(c.isNotNull() & ~truthy(t_)).alias("n_false")))
+            F.count_if(_truthy(t_)).alias("n_true"),
+            F.count_if(c.isNotNull() & ~_truthy(t_)).alias("n_false")))
     if not exprs:
         return df.sparkSession.createDataFrame(
             [], "column string, kind string, n_true long, n_false long")
