@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridspark.functions.columns import resolve_column, resolve_columns
-from gridspark.plans.ordered import exact_quantiles, null_safe_join
+from gridspark.plans.ordered import exact_quantiles, largest_group, null_safe_join, single_task_rows
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType,
            T.DoubleType, T.DecimalType)
@@ -128,7 +128,7 @@ def custom_agg(df: DataFrame, value, func: str, key=None, exact: bool = True,
     f = canonical_agg(func)
     by = [resolve_column(key, df.columns)] if key is not None else []
     out = aggregate(df, by, [(v, f, f"{f}_{v}")], exact=exact, strategy=strategy)
-    return out.orderBy(*[_c(b).asc_nulls_last() for b in by]) if by else out
+    return out
 
 
 def agg_multi(df: DataFrame, key, columns: Sequence, func: str, exact: bool = True) -> DataFrame:
@@ -204,17 +204,41 @@ def numeric_summary(df: DataFrame, columns: Sequence[str], qs: Sequence[float],
                     digits: int | None = None, exact: bool = True, strategy: str = "auto") -> DataFrame:
     """One row per column: count, mean, std, min, ``p<q>``..., max.
 
-    Moments come from one aggregation; quantiles from the position table of
-    all columns at once (unpivoted to ``(column, value)``).
+    Moments come from one aggregation. Exact quantiles: when the table is
+    measured to fit one task, the same aggregation also sorts each column's
+    values once (one pass, no join); otherwise the position table of all
+    columns at once (unpivoted to ``(column, value)``) is used.
     """
     cols = list(columns)
+    names = [f"p{round(q * 100):d}" if abs(q * 100 - round(q * 100)) < 1e-9 else f"p{q}" for q in qs]
+    stat_cols = ["mean", "std", "min"] + names + ["max"]
+    long = _unpivot_numeric(df, cols)
+    if exact and strategy in ("auto", "window") and (
+            strategy == "window" or largest_group(df, [], []) <= single_task_rows(df)):
+        # every column fits one task: one aggregation by column computes the
+        # moments and sorts the column's values once (columns in parallel)
+        def q_of(srt, q):
+            n = F.size(srt)
+            p = F.lit(float(q)) * (n - 1)
+            lo, hi = F.floor(p), F.ceil(p)
+            vlo = F.element_at(srt, (lo + 1).cast("int"))
+            vhi = F.element_at(srt, (hi + 1).cast("int"))
+            return vlo + (vhi - vlo) * (p - lo)
+
+        per = long.groupBy("column").agg(
+            F.count("v").alias("count"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"),
+            F.min("v").alias("min"), F.max("v").alias("max"),
+            F.array_sort(F.collect_list("v")).alias("_s"))
+        out = per.select("column", "count", "mean", "std", "min",
+                         *[q_of(F.col("_s"), q).alias(n) for q, n in zip(qs, names)], "max")
+        if digits is not None:
+            out = out.select("column", "count", *[F.round(F.col(s), digits).alias(s) for s in stat_cols])
+        return out.select("column", "count", *stat_cols)
     moments = df.agg(F.array(*[F.struct(
         F.lit(c).alias("column"), F.count(_c(c)).alias("count"),
         F.avg(_c(c).cast("double")).alias("mean"), F.stddev_samp(_c(c).cast("double")).alias("std"),
         F.min(_c(c).cast("double")).alias("min"), F.max(_c(c).cast("double")).alias("max"))
         for c in cols]).alias("s")).select(F.inline("s"))
-    long = _unpivot_numeric(df, cols)
-    names = [f"p{round(q * 100):d}" if abs(q * 100 - round(q * 100)) < 1e-9 else f"p{q}" for q in qs]
     if exact:
         qv = exact_quantiles(long, "v", qs, by=["column"], strategy=strategy)
         wide = qv.groupBy("column").agg(*[
@@ -224,7 +248,6 @@ def numeric_summary(df: DataFrame, columns: Sequence[str], qs: Sequence[float],
         wide = long.groupBy("column").agg(F.percentile_approx("v", list(qs), 10000).alias("_a")).select(
             "column", *[F.col("_a")[i].alias(n) for i, n in enumerate(names)])
     out = moments.join(wide, on="column", how="left")
-    stat_cols = ["mean", "std", "min"] + names + ["max"]
     if digits is not None:
         out = out.select("column", "count", *[F.round(F.col(s), digits).alias(s) for s in stat_cols])
     return out.select("column", "count", *stat_cols)

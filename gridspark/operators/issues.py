@@ -62,7 +62,7 @@ def issue_scan(df: DataFrame) -> DataFrame:
     issues = F.transform(F.col("issues"), lambda x: F.when(x == "__maybe_unique",
                                                             F.when(unique, F.lit("unique_values"))).otherwise(x))
     out = row.select("pos", "column", F.explode(F.filter(issues, lambda x: x.isNotNull())).alias("issue"))
-    return out.orderBy("pos").drop("pos")
+    return out.drop("pos")
 
 
 def apply_fix(df: DataFrame, column, issue: str) -> DataFrame:

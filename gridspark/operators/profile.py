@@ -5,7 +5,8 @@ Exact distinct counts come from one shuffle of pre-aggregated
 ``(column, value)`` pairs (Spark's own multi-distinct rewrite would expand
 every row once per column together with all other aggregates);
 ``exact=False`` switches to HyperLogLog (``approx_count_distinct``). Medians
-of all numeric columns are computed at once, by column.
+of all numeric columns are computed at once, by column. Result rows (one per
+column) come in no particular order; sort them if needed.
 """
 
 from __future__ import annotations
@@ -152,7 +153,7 @@ def profile(df: DataFrame, exact: bool = True, with_outliers: bool = True) -> Da
     else:
         out = out.withColumn("median", F.lit(None).cast("double")).withColumn(
             "outliers_3sd", F.lit(None).cast("long"))
-    return out.orderBy("pos").select("column", "type", "rows", "nulls", "null_pct", "distinct",
+    return out.select("column", "type", "rows", "nulls", "null_pct", "distinct",
                                      "semantic_type", "mean", "median", "std", "min", "max",
                                      "outliers_3sd")
 
@@ -208,7 +209,7 @@ def missing_report(df: DataFrame) -> DataFrame:
     status = (F.when((F.col("nulls") == 0) & (F.col("blanks") == 0), "Clean")
               .when(F.col("nulls") == F.col("rows"), "All Empty")
               .when(pct > 50, "High Missing").when(pct > 10, "Some Missing").otherwise("Minor"))
-    return facts.orderBy("pos").select("column", "type", "nulls", F.round(pct, 2).alias("null_pct"),
+    return facts.select("column", "type", "nulls", F.round(pct, 2).alias("null_pct"),
                                        "blanks", status.alias("status"))
 
 
@@ -231,6 +232,6 @@ def inspect_columns(df: DataFrame, top: int = 4, exact: bool = True) -> DataFram
     tv = top_values(df, k=top).groupBy("column").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("rank", "value"))), lambda s: s["value"])
         .alias("top_values"))
-    return facts.join(tv, on="column", how="left").orderBy("pos").select(
+    return facts.join(tv, on="column", how="left").select(
         F.element_at(letters, F.col("pos")).alias("letter"), "column", "type", "nulls",
         F.col("distinct_nonnull").alias("distinct"), "top_values")

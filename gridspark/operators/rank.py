@@ -67,6 +67,23 @@ def rank(df: DataFrame, columns, method: str = "min", group=None, ascending=Fals
     return res.select(*[_c(c) for c in df.columns], _cast(m, F.col("__r")).alias(out_name))
 
 
+def ranks(df: DataFrame, columns, methods: dict, group=None, ascending=False,
+          strategy: str = "auto") -> DataFrame:
+    """Several tie methods at once, ``{output name: method}`` (not
+    ``first``), sharing one ordering pass."""
+    cols = resolve_columns([columns] if isinstance(columns, (str, int)) else columns, df.columns)
+    asc = ascending if isinstance(ascending, (list, tuple)) else [ascending] * len(cols)
+    order = list(zip(cols, [bool(a) for a in asc]))
+    by = resolve_columns([group] if isinstance(group, (str, int)) else group, df.columns) if group else []
+    ms = {n: canonical_method(m) for n, m in methods.items()}
+    if "first" in ms.values():
+        raise ValueError("use rank(..., 'first') for ordinal ranks")
+    tmp = {f"__r{i}": m for i, m in enumerate(ms.values())}
+    res = attach_ranks(df, order, by, tmp, strategy=strategy)
+    return res.select(*[_c(c) for c in df.columns],
+                      *[_cast(m, F.col(t)).alias(n) for (n, m), t in zip(ms.items(), tmp)])
+
+
 def top_n_ranked(df: DataFrame, column, n: int, method: str = "min", group=None,
                  ascending: bool = False, name: str | None = None,
                  tiebreak: Sequence[str] = ()) -> DataFrame:

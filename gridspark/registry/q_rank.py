@@ -1,6 +1,6 @@
 """Ranking queries."""
 
-from gridspark.operators.rank import category_codes, rank, top_n_ranked, top_percent
+from gridspark.operators.rank import category_codes, rank, ranks, top_n_ranked, top_percent
 from gridspark.registry.base import query, table
 
 _O = "o_orderkey, o_custkey, o_totalprice"
@@ -154,8 +154,7 @@ SELECT l_orderkey, l_linenumber, l_extendedprice,
 FROM lineitem""")
 def rank_global_bucketed(spark, d):
     li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
-    r = rank(li, "l_extendedprice", "min", name="rank_min", strategy="positions")
-    return rank(r, "l_extendedprice", "dense", name="rank_dense", strategy="positions")
+    return ranks(li, "l_extendedprice", {"rank_min": "min", "rank_dense": "dense"}, strategy="positions")
 
 
 @query("rank_global_window", """
