@@ -124,13 +124,20 @@ def positions(df: DataFrame, order, by: Sequence[str] = (), n_buckets: int | Non
     part = ["_b"] + by
     w = Window.partitionBy(*part).orderBy(*[
         F.col(f"`{k}`").asc() if asc else F.col(f"`{k}`").desc() for k, asc in order])
+    # checksum of the keys in each (bucket, group) slice, computed on both
+    # sides of the join below: bucket ids come from the range exchange, which
+    # Spark shares between the two branches; if it ever did not, the slices
+    # would disagree and the query fails instead of returning wrong ranks
+    key_hash = F.xxhash64(*[F.col(f"`{k}`") for k in keys])
     local = bucketed.select(
         "*",
         F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_lb"),
-        F.row_number().over(w).alias("_ld"))
+        F.row_number().over(w).alias("_ld"),
+        F.bit_xor(key_hash).over(Window.partitionBy(*part)).alias("_lh"))
 
     # per (bucket, group) totals: at most n_buckets + n_groups rows
-    slices = local.groupBy(*part).agg(F.sum("_n").alias("_sn"), F.count(F.lit(1)).alias("_sd"))
+    slices = local.groupBy(*part).agg(F.sum("_n").alias("_sn"), F.count(F.lit(1)).alias("_sd"),
+                                      F.bit_xor(key_hash).alias("_sh"))
     wg = Window.partitionBy(*by).orderBy("_b") if by else Window.orderBy("_b")
     prior = Window.partitionBy(*by) if by else Window.partitionBy()
     offsets = slices.select(
@@ -138,12 +145,14 @@ def positions(df: DataFrame, order, by: Sequence[str] = (), n_buckets: int | Non
         F.coalesce(F.sum("_sn").over(wg.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_ob"),
         F.coalesce(F.sum("_sd").over(wg.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_od"),
         F.sum("_sn").over(prior).alias("_total"),
-        F.sum("_sd").over(prior).alias("_ndist"))
+        F.sum("_sd").over(prior).alias("_ndist"), "_sh")
 
     joined = null_safe_join(local, offsets, part) if null_groups else local.join(
         offsets, on=part, how="inner")
+    consistent = F.when(F.col("_lh") == F.col("_sh"), F.col("_n")).otherwise(
+        F.raise_error(F.lit("gridspark: range buckets disagree between plan branches")).cast("long"))
     return joined.select(
-        *[F.col(f"`{c}`") for c in cols], "_n",
+        *[F.col(f"`{c}`") for c in cols], consistent.alias("_n"),
         (F.col("_ob") + F.col("_lb")).alias("_before"),
         (F.col("_od") + F.col("_ld")).alias("_dense"),
         "_total", "_ndist")
