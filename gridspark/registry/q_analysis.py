@@ -41,7 +41,11 @@ def period_year(spark, d):
     return T.period_aggregate(table(spark, d, "orders"), "o_orderdate", "year")
 
 
-@query("date_columns")
+@query("date_columns", """
+SELECT 'o_orderdate' AS "column", 'date' AS kind, 1.0 AS parse_rate
+UNION ALL
+SELECT 'd_text', 'text', count(try_strptime(d_text, '%Y-%m-%d')) / count(d_text)
+FROM (SELECT strftime(o_orderdate, '%Y-%m-%d') AS d_text FROM orders)""")
 def date_columns_q(spark, d):
     o = table(spark, d, "orders").withColumn("d_text", F.date_format("o_orderdate", "yyyy-MM-dd"))
     return T.date_columns(o)

@@ -54,7 +54,10 @@ def fuzzy_match_list_q(spark, d):
     return suggest_values(table(spark, d, "part"), "p_type", _CHOICES, threshold=60)
 
 
-@query("fuzzy_replace")
+@query("fuzzy_replace", f"""
+WITH m AS ({_suggest_sql()})
+SELECT p.p_partkey, p.p_name, p.p_brand, coalesce(m.match, p.p_type) AS p_type, p.p_size, p.p_retailprice
+FROM part p LEFT JOIN m ON p.p_type = m.value""")
 def fuzzy_replace_q(spark, d):
     return fuzzy_replace(table(spark, d, "part"), "p_type", _CHOICES, threshold=60)
 
