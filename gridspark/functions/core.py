@@ -189,9 +189,9 @@ def date_part(c, part: str) -> Column:
 def day_diff(a, b) -> Column:
     """Whole days from ``b`` to ``a``, floored towards minus infinity
     (-12 hours gives -1; Spark's ``datediff`` would give 0)."""
-    secs = (F.unix_micros(as_col(a).cast("timestamp"))
-            - F.unix_micros(as_col(b).cast("timestamp")))
-    return F.floor(secs / F.lit(86_400_000_000)).cast("long")
+    # wall-clock difference (no time-zone conversion of timestamp_ntz values)
+    micros = F.timestamp_diff("MICROSECOND", as_col(b), as_col(a))
+    return F.floor(micros / F.lit(86_400_000_000)).cast("long")
 
 
 PERIODS = {"day": "day", "week": "week", "month": "month", "quarter": "quarter", "year": "year"}

@@ -29,6 +29,21 @@ def read_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet",
     return r.load(path)
 
 
+_EPOCH = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+
+
+def event_time(c):
+    """A zoned timestamp for watermarks from a wall-clock ``timestamp_ntz``
+    column, independent of the session time zone (its UTC rendering is the
+    wall clock, so day windows align with calendar days)."""
+    return F.timestamp_micros(F.timestamp_diff("MICROSECOND", _EPOCH, F.col(c)))
+
+
+def wall_clock(c):
+    """Inverse of ``event_time``: back to ``timestamp_ntz``."""
+    return F.timestamp_add("MICROSECOND", F.unix_micros(c), _EPOCH)
+
+
 def period_counts(sdf: DataFrame, ts: str, period: str = "1 day", watermark: str = "1 hour",
                   by: Sequence[str] = (), value: str | None = None) -> DataFrame:
     """T1 on a stream: per event-time window (and ``by`` keys) the row count
@@ -37,12 +52,11 @@ def period_counts(sdf: DataFrame, ts: str, period: str = "1 day", watermark: str
     aggs = [F.count(F.lit(1)).alias("count")]
     if value:
         aggs.append(F.sum(value).alias(f"sum_{value}"))
-    # watermarks need a zoned timestamp; the session zone is UTC, so the
-    # instants of a timestamp_ntz column are unchanged
-    timed = sdf.withColumn("__et", F.col(ts).cast("timestamp"))
+    # watermarks need a zoned timestamp
+    timed = sdf.withColumn("__et", event_time(ts))
     return (timed.withWatermark("__et", watermark)
             .groupBy(F.window("__et", period).alias("w"), *by).agg(*aggs)
-            .select(F.col("w.start").cast("timestamp_ntz").alias("period"), *by,
+            .select(wall_clock(F.col("w.start")).alias("period"), *by,
                     *[a for a in ["count"] + ([f"sum_{value}"] if value else [])]))
 
 
@@ -57,7 +71,7 @@ def lookup_stream(sdf: DataFrame, static: DataFrame, stream_key: str, static_key
 
 def dedupe_stream(sdf: DataFrame, keys: Sequence[str], ts: str, watermark: str = "1 hour") -> DataFrame:
     """C8 on a stream: drop repeats of ``keys`` seen within the watermark."""
-    timed = sdf.withColumn("__et", F.col(ts).cast("timestamp"))
+    timed = sdf.withColumn("__et", event_time(ts))
     return timed.withWatermark("__et", watermark).dropDuplicatesWithinWatermark(list(keys)).drop("__et")
 
 

@@ -102,6 +102,9 @@ def main(argv):
     from gridspark.session import get_spark
     import __spark_entry__ as E
     spark = get_spark("local[8]", shuffle_partitions=8)
+    import os
+    if os.environ.get("ORACLE_TZ"):
+        spark.conf.set("spark.sql.session.timeZone", os.environ["ORACLE_TZ"])
     con = duck(sf_dir)
     qs, sqls = E.queries(), E.oracle_sql()
     bad = 0
