@@ -64,6 +64,38 @@ def text_pipeline_q(spark, d):
     return X.transform_column(p, "p_name", ["upper"]).drop("p_type")
 
 
+_RAW_NUM = ("CASE WHEN c_mktsegment = 'BUILDING' THEN NULL WHEN c_mktsegment = 'MACHINERY' THEN 'n/a' "
+            "ELSE '$' || CAST(c_acctbal AS STRING) END")
+
+
+@query("text_pipeline_numbers", """
+SELECT c_custkey,
+       round_even(coalesce(TRY_CAST(regexp_replace(raw, '[$,%\\s]', '', 'g') AS DOUBLE), 0.0), 1) AS raw,
+       TRY_CAST(CAST(c_nationkey AS VARCHAR) AS DOUBLE) AS nation_f,
+       CASE WHEN TRY_CAST(regexp_replace(CAST(c_custkey AS VARCHAR) || '%', '[$,%\\s]', '', 'g') AS DOUBLE)
+                 = floor(TRY_CAST(regexp_replace(CAST(c_custkey AS VARCHAR) || '%', '[$,%\\s]', '', 'g') AS DOUBLE))
+            THEN CAST(TRY_CAST(regexp_replace(CAST(c_custkey AS VARCHAR) || '%', '[$,%\\s]', '', 'g') AS DOUBLE) AS BIGINT)
+       END AS key_i
+FROM (SELECT c_custkey, c_nationkey, """ + _RAW_NUM.replace("STRING", "VARCHAR") + """ AS raw FROM customer)""")
+def text_pipeline_numbers_q(spark, d):
+    c = table(spark, d, "customer").select(
+        "c_custkey", F.expr(_RAW_NUM).alias("raw"),
+        F.col("c_nationkey").cast("string").alias("nation_f"),
+        F.concat(F.col("c_custkey").cast("string"), F.lit("%")).alias("key_i"))
+    c = X.transform_column(c, "raw", ["clean_number", ("fill", 0.0), ("round", 1)])
+    c = X.transform_column(c, "nation_f", ["float"])
+    return X.transform_column(c, "key_i", ["int"])
+
+
+@query("text_pipeline_dates", """
+SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) AS d, CAST(length(o_orderpriority) AS INTEGER) AS n FROM orders""")
+def text_pipeline_dates_q(spark, d):
+    o = table(spark, d, "orders").select(
+        "o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("d"), "o_orderpriority")
+    o = X.transform_column(o, "d", ["date"])
+    return X.transform_column(o, "o_orderpriority", ["len"], name="n").drop("o_orderpriority")
+
+
 @query("regex_extract", r"""
 SELECT p_partkey, CASE WHEN regexp_matches(p_brand, '#(\d+)') THEN regexp_extract(p_brand, '#(\d+)', 1) END
        AS brand_no FROM part""")

@@ -45,6 +45,14 @@ def join_suffixes(spark, d):
     return join(n, n, "n_regionkey", "n_regionkey", "inner")
 
 
+@query("join_select", """
+SELECT o.o_orderkey, o.o_totalprice, c.c_name, c.c_mktsegment
+FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey""")
+def join_select(spark, d):
+    return join(table(spark, d, "orders"), table(spark, d, "customer"), "o_custkey", "c_custkey", "inner",
+                select=["o_orderkey", "o_totalprice", "c_name", "c_mktsegment"])
+
+
 @query("join_semi", "SELECT * FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders "
                     "WHERE o_totalprice > 450000)")
 def join_semi(spark, d):
