@@ -181,3 +181,19 @@ _CORR = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 def corr_matrix_q(spark, d):
     out = A.corr_matrix(table(spark, d, "lineitem"), _CORR)
     return out.select("column", *[F.round(c, 6).alias(c) for c in _CORR])
+
+
+@query("conversations_role_counts", 'SELECT role, count(*) AS "Count" FROM conversations GROUP BY 1')
+def conversations_role_counts(spark, d):
+    return A.count_by(table(spark, d, "conversations"), "role")
+
+
+@query("documents_lang_stats", """
+SELECT lang, count(n_chars) AS count_n_chars, round(avg(n_chars), 4) AS mean_n_chars,
+       quantile_cont(n_chars, 0.5) AS median_n_chars, max(n_chars) AS max_n_chars
+FROM documents GROUP BY 1""")
+def documents_lang_stats(spark, d):
+    out = A.aggregate(table(spark, d, "documents"), ["lang"],
+                      [("n_chars", "count", "count_n_chars"), ("n_chars", "mean", "mean_n_chars"),
+                       ("n_chars", "median", "median_n_chars"), ("n_chars", "max", "max_n_chars")])
+    return out.withColumn("mean_n_chars", F.round("mean_n_chars", 4))

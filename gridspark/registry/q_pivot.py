@@ -67,3 +67,12 @@ def crosstab_q(spark, d):
     f"count(*) FILTER (WHERE o_orderstatus = '{s}')" for s in _STAT) + ", count(*) FROM orders")
 def crosstab_totals(spark, d):
     return crosstab(table(spark, d, "orders"), "o_orderpriority", "o_orderstatus", totals=True)
+
+
+@query("labels_crosstab", """
+SELECT CAST(quality AS VARCHAR) AS quality, count(*) FILTER (WHERE toxic = 0) AS "0",
+       count(*) FILTER (WHERE toxic = 1) AS "1", count(*) AS "Total" FROM labels GROUP BY 1
+UNION ALL SELECT 'Total', count(*) FILTER (WHERE toxic = 0), count(*) FILTER (WHERE toxic = 1), count(*)
+FROM labels""")
+def labels_crosstab(spark, d):
+    return crosstab(table(spark, d, "labels"), "quality", "toxic", totals=True)

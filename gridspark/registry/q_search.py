@@ -109,3 +109,19 @@ SELECT count(*) FILTER (WHERE in_b) AS rows_before, count(*) FILTER (WHERE in_a)
        CAST(coalesce(sum(n) FILTER (WHERE in_a AND in_b AND n > 0), 0) AS BIGINT) AS changed_cells FROM j""")
 def diff_summary_q(spark, d):
     return diff_summary(table(spark, d, "orders"), _after(spark, d), "o_orderkey")
+
+
+@query("pages_search", """
+SELECT * FROM pages WHERE contains(lower(CAST(page_id AS VARCHAR)), '/fr/')
+   OR contains(lower(url), '/fr/') OR contains(lower(html), '/fr/')""")
+def pages_search(spark, d):
+    return search_all(table(spark, d, "pages"), "/FR/")
+
+
+@query("conversations_text_search", """
+SELECT conv_id, turn, role FROM conversations
+WHERE contains(lower(text), 'the') AND role = 'assistant'""")
+def conversations_text_search(spark, d):
+    from gridspark.operators.filter import filter_rows
+    c = filter_rows(table(spark, d, "conversations"), "role", "==", "assistant")
+    return search_all(c, "the", columns=["text"]).select("conv_id", "turn", "role")
