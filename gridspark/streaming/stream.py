@@ -29,19 +29,20 @@ def read_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet",
     return r.load(path)
 
 
-_EPOCH = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+def _epoch():
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
 
 
 def event_time(c):
     """A zoned timestamp for watermarks from a wall-clock ``timestamp_ntz``
     column, independent of the session time zone (its UTC rendering is the
     wall clock, so day windows align with calendar days)."""
-    return F.timestamp_micros(F.timestamp_diff("MICROSECOND", _EPOCH, F.col(c)))
+    return F.timestamp_micros(F.timestamp_diff("MICROSECOND", _epoch(), F.col(c)))
 
 
 def wall_clock(c):
     """Inverse of ``event_time``: back to ``timestamp_ntz``."""
-    return F.timestamp_add("MICROSECOND", F.unix_micros(c), _EPOCH)
+    return F.timestamp_add("MICROSECOND", F.unix_micros(c), _epoch())
 
 
 def period_counts(sdf: DataFrame, ts: str, period: str = "1 day", watermark: str = "1 hour",
