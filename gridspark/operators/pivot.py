@@ -86,8 +86,8 @@ def crosstab(df: DataFrame, row, column, totals: bool = False, values: Sequence
         return body.orderBy(_c(r))
     total_col = sum((_c(n) for n in names), F.lit(0)).cast("long").alias(total_label)
     body = body.select(_c(r).cast("string").alias(r), *[_c(n) for n in names], total_col)
-    foot = base.groupBy().pivot(c, vals).count()
-    foot = foot.select(F.lit(total_label).alias(r),
-                       *[F.coalesce(_c(n), F.lit(0)).cast("long").alias(n) for n in names])
-    foot = foot.select("*", sum((_c(n) for n in names), F.lit(0)).cast("long").alias(total_label))
+    # the total row sums the (small) body: no second pass over the table
+    foot = body.agg(*[F.coalesce(F.sum(_c(n)), F.lit(0)).cast("long").alias(n) for n in names],
+                    F.coalesce(F.sum(_c(total_label)), F.lit(0)).cast("long").alias(total_label))
+    foot = foot.select(F.lit(total_label).alias(r), *[_c(n) for n in names], _c(total_label))
     return body.unionByName(foot)

@@ -101,8 +101,13 @@ def main(argv):
     pats = [a for a in argv[1:] if not a.startswith("/")]
     from gridspark.session import get_spark
     import __spark_entry__ as E
-    spark = get_spark("local[8]", shuffle_partitions=8)
     import os
+    if os.environ.get("PLAIN_SESSION"):
+        from pyspark.sql import SparkSession
+        spark = SparkSession.builder.master("local[8]").config("spark.ui.enabled", "false").getOrCreate()
+        spark.sparkContext.setLogLevel("ERROR")
+    else:
+        spark = get_spark("local[8]", shuffle_partitions=8)
     if os.environ.get("ORACLE_TZ"):
         spark.conf.set("spark.sql.session.timeZone", os.environ["ORACLE_TZ"])
     con = duck(sf_dir)
