@@ -1,4 +1,4 @@
-"""Derived and conditional columns, text pipelines, calendar parts
+"""Derived and conditional columns, chained text steps, calendar parts
 (X1-X17). Each is one projection of built-in expressions."""
 
 from __future__ import annotations
@@ -79,7 +79,7 @@ TEXT_STEPS = ("upper", "lower", "strip", "title", "int", "float", "clean_number"
 
 
 def text_step(c: Column, step) -> Column:
-    """One pipeline step: a name, or ``(name, argument)`` for round, date,
+    """One step of a chain: a name, or ``(name, argument)`` for round, date,
     fill and extract."""
     name, arg = (step, None) if isinstance(step, str) else (step[0], step[1])
     if name == "upper":

@@ -55,10 +55,10 @@ def map_values_table_q(spark, d):
     return X.map_values_table(c, "c_nationkey", table(spark, d, "nation"), "n_nationkey", "n_name")
 
 
-@query("text_pipeline", """
+@query("text_steps", """
 SELECT p_partkey, CAST(length(upper(regexp_replace(p_type, '^\\s+|\\s+$', '', 'g'))) AS INTEGER) AS n, upper(p_name) AS p_name
 FROM part""")
-def text_pipeline_q(spark, d):
+def text_steps_q(spark, d):
     p = table(spark, d, "part").select("p_partkey", "p_name", "p_type")
     p = X.transform_column(p, "p_type", ["strip", "upper", "len"], name="n")
     return X.transform_column(p, "p_name", ["upper"]).drop("p_type")
@@ -68,7 +68,7 @@ _RAW_NUM = ("CASE WHEN c_mktsegment = 'BUILDING' THEN NULL WHEN c_mktsegment = '
             "ELSE '$' || CAST(c_acctbal AS STRING) END")
 
 
-@query("text_pipeline_numbers", """
+@query("text_steps_numbers", """
 SELECT c_custkey,
        round_even(coalesce(TRY_CAST(regexp_replace(raw, '[$,%\\s]', '', 'g') AS DOUBLE), 0.0), 1) AS raw,
        TRY_CAST(CAST(c_nationkey AS VARCHAR) AS DOUBLE) AS nation_f,
@@ -77,7 +77,7 @@ SELECT c_custkey,
             THEN CAST(TRY_CAST(regexp_replace(CAST(c_custkey AS VARCHAR) || '%', '[$,%\\s]', '', 'g') AS DOUBLE) AS BIGINT)
        END AS key_i
 FROM (SELECT c_custkey, c_nationkey, """ + _RAW_NUM.replace("STRING", "VARCHAR") + """ AS raw FROM customer)""")
-def text_pipeline_numbers_q(spark, d):
+def text_steps_numbers_q(spark, d):
     c = table(spark, d, "customer").select(
         "c_custkey", F.expr(_RAW_NUM).alias("raw"),
         F.col("c_nationkey").cast("string").alias("nation_f"),
@@ -87,9 +87,9 @@ def text_pipeline_numbers_q(spark, d):
     return X.transform_column(c, "key_i", ["int"])
 
 
-@query("text_pipeline_dates", """
+@query("text_steps_dates", """
 SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) AS d, CAST(length(o_orderpriority) AS INTEGER) AS n FROM orders""")
-def text_pipeline_dates_q(spark, d):
+def text_steps_dates_q(spark, d):
     o = table(spark, d, "orders").select(
         "o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("d"), "o_orderpriority")
     o = X.transform_column(o, "d", ["date"])

@@ -94,7 +94,7 @@ def test_map_values_and_if(ties):
     assert t[2] == "big" and t[1] == "x" and t[7] == "y"
 
 
-def test_text_pipeline(spark):
+def test_text_steps(spark):
     df = spark.createDataFrame([(1, "  hello world \t"), (2, None)], "k long, s string")
     got = col(X.transform_column(df, "s", ["strip", "upper"]), "s")
     assert got == {1: "HELLO WORLD", 2: None}
