@@ -25,8 +25,8 @@ def agg_sum_by(spark, d):
 
 
 @query("agg_sum_all_null_group", """
-SELECT o_orderstatus, coalesce(sum(CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_totalprice END), 0)::DOUBLE
-       AS Sum_price
+SELECT o_orderstatus,
+       round(coalesce(sum(CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_totalprice END), 0)::DOUBLE, 2) AS Sum_price
 FROM orders GROUP BY 1""")
 def agg_sum_all_null_group(spark, d):
     o = table(spark, d, "orders").withColumn(
@@ -42,24 +42,31 @@ def agg_avg_by(spark, d):
     return A.avg_by(table(spark, d, "lineitem"), "l_linestatus", "l_extendedprice")
 
 
+def _r4(df, *cols):
+    """Round float results to 4 decimals (both sides of the oracle do)."""
+    return df.select(*[F.round(c, 4).alias(c) if c in cols else F.col(c) for c in df.columns])
+
+
 @query("agg_median_by", """
-SELECT l_returnflag, quantile_cont(l_extendedprice, 0.5) AS median_l_extendedprice
+SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.5), 4) AS median_l_extendedprice
 FROM lineitem GROUP BY 1""")
 def agg_median_by(spark, d):
-    return A.custom_agg(table(spark, d, "lineitem"), "l_extendedprice", "median", key="l_returnflag")
+    out = A.custom_agg(table(spark, d, "lineitem"), "l_extendedprice", "median", key="l_returnflag")
+    return _r4(out, "median_l_extendedprice")
 
 
 @query("agg_median_by_bucketed", """
-SELECT l_returnflag, quantile_cont(l_extendedprice, 0.5) AS median_l_extendedprice
+SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.5), 4) AS median_l_extendedprice
 FROM lineitem GROUP BY 1""")
 def agg_median_by_bucketed(spark, d):
-    return A.custom_agg(table(spark, d, "lineitem"), "l_extendedprice", "median", key="l_returnflag",
-                        strategy="positions")
+    out = A.custom_agg(table(spark, d, "lineitem"), "l_extendedprice", "median", key="l_returnflag",
+                       strategy="positions")
+    return _r4(out, "median_l_extendedprice")
 
 
-@query("agg_median_all", "SELECT quantile_cont(o_totalprice, 0.5) AS median_o_totalprice FROM orders")
+@query("agg_median_all", "SELECT round(quantile_cont(o_totalprice, 0.5), 4) AS median_o_totalprice FROM orders")
 def agg_median_all(spark, d):
-    return A.custom_agg(table(spark, d, "orders"), "o_totalprice", "median")
+    return _r4(A.custom_agg(table(spark, d, "orders"), "o_totalprice", "median"), "median_o_totalprice")
 
 
 @query("agg_custom_max", "SELECT o_orderpriority, max(o_totalprice) AS max_o_totalprice FROM orders GROUP BY 1")
@@ -80,14 +87,14 @@ def agg_multi(spark, d):
 @query("agg_map", """
 SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS l_quantity,
        round(avg(l_discount), 6) AS l_discount, count(l_orderkey) AS l_orderkey,
-       quantile_cont(l_tax, 0.5) AS l_tax, count(DISTINCT l_suppkey) AS l_suppkey
+       round(quantile_cont(l_tax, 0.5), 4) AS l_tax, count(DISTINCT l_suppkey) AS l_suppkey
 FROM lineitem GROUP BY 1, 2""")
 def agg_map(spark, d):
     out = A.agg_map(table(spark, d, "lineitem"), ["l_returnflag", "l_linestatus"],
                     {"l_quantity": "sum", "l_discount": "mean", "l_orderkey": "count",
                      "l_tax": "median", "l_suppkey": "nunique"})
     return out.withColumn("l_quantity", F.round("l_quantity", 2)).withColumn(
-        "l_discount", F.round("l_discount", 6))
+        "l_discount", F.round("l_discount", 6)).withColumn("l_tax", F.round("l_tax", 4))
 
 
 @query("group_summary", """
@@ -143,14 +150,17 @@ def _stats_sql(table_name, cols, qs, digits=None):
 _LI_NUM = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
-@query("describe", _stats_sql("lineitem", _LI_NUM, [0.25, 0.5, 0.75]))
+_DESC = ("mean", "std", "min", "p25", "p50", "p75", "max")
+
+
+@query("describe", _stats_sql("lineitem", _LI_NUM, [0.25, 0.5, 0.75], digits=4))
 def describe_q(spark, d):
-    return A.describe(table(spark, d, "lineitem"), _LI_NUM)
+    return _r4(A.describe(table(spark, d, "lineitem"), _LI_NUM), *_DESC)
 
 
-@query("describe_bucketed", _stats_sql("lineitem", _LI_NUM, [0.25, 0.5, 0.75]))
+@query("describe_bucketed", _stats_sql("lineitem", _LI_NUM, [0.25, 0.5, 0.75], digits=4))
 def describe_bucketed(spark, d):
-    return A.describe(table(spark, d, "lineitem"), _LI_NUM, strategy="positions")
+    return _r4(A.describe(table(spark, d, "lineitem"), _LI_NUM, strategy="positions"), *_DESC)
 
 
 @query("stats_percentiles", _stats_sql("orders", ["o_totalprice", "o_custkey"],
@@ -190,10 +200,10 @@ def conversations_role_counts(spark, d):
 
 @query("documents_lang_stats", """
 SELECT lang, count(n_chars) AS count_n_chars, round(avg(n_chars), 4) AS mean_n_chars,
-       quantile_cont(n_chars, 0.5) AS median_n_chars, max(n_chars) AS max_n_chars
+       round(quantile_cont(n_chars, 0.5), 4) AS median_n_chars, max(n_chars) AS max_n_chars
 FROM documents GROUP BY 1""")
 def documents_lang_stats(spark, d):
     out = A.aggregate(table(spark, d, "documents"), ["lang"],
                       [("n_chars", "count", "count_n_chars"), ("n_chars", "mean", "mean_n_chars"),
                        ("n_chars", "median", "median_n_chars"), ("n_chars", "max", "max_n_chars")])
-    return out.withColumn("mean_n_chars", F.round("mean_n_chars", 4))
+    return _r4(out, "mean_n_chars", "median_n_chars")

@@ -77,13 +77,15 @@ WITH q AS (SELECT quantile_cont(o_totalprice, 0.25) AS a, quantile_cont(o_totalp
 SELECT o_orderkey, o_totalprice,
        CAST(1 + (o_totalprice > a)::INT + (o_totalprice > b)::INT + (o_totalprice > c)::INT AS INTEGER)
          AS o_totalprice_qbin,
-       CASE WHEN o_totalprice <= a THEN lo WHEN o_totalprice <= b THEN a WHEN o_totalprice <= c THEN b ELSE c END
-         AS o_totalprice_qbin_lo,
-       CASE WHEN o_totalprice <= a THEN a WHEN o_totalprice <= b THEN b WHEN o_totalprice <= c THEN c ELSE hi END
-         AS o_totalprice_qbin_hi
+       round(CASE WHEN o_totalprice <= a THEN lo WHEN o_totalprice <= b THEN a WHEN o_totalprice <= c THEN b
+             ELSE c END, 4) AS o_totalprice_qbin_lo,
+       round(CASE WHEN o_totalprice <= a THEN a WHEN o_totalprice <= b THEN b WHEN o_totalprice <= c THEN c
+             ELSE hi END, 4) AS o_totalprice_qbin_hi
 FROM orders, q""")
 def bins_quantile(spark, d):
-    return B.quantile_bins(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", 4)
+    out = B.quantile_bins(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", 4)
+    return out.withColumn("o_totalprice_qbin_lo", F.round("o_totalprice_qbin_lo", 4)).withColumn(
+        "o_totalprice_qbin_hi", F.round("o_totalprice_qbin_hi", 4))
 
 
 @query("bins_custom", """

@@ -42,11 +42,11 @@ def fill_mean(spark, d):
 
 
 @query("fill_median", f"""
-SELECT event_id, user_id, coalesce(value, (SELECT quantile_cont({_EV_VALUE}, 0.5) FROM events)) AS value
+SELECT event_id, user_id, round(coalesce(value, (SELECT quantile_cont({_EV_VALUE}, 0.5) FROM events)), 4) AS value
 FROM (SELECT event_id, user_id, {_EV_VALUE} AS value FROM events)""")
 def fill_median(spark, d):
     ev = table(spark, d, "events").select("event_id", "user_id", F.expr(_EV_VALUE).alias("value"))
-    return C.fill_stat(ev, ["value"], "median")
+    return C.fill_stat(ev, ["value"], "median").withColumn("value", F.round("value", 4))
 
 
 @query("fill_mode", f"""

@@ -7,11 +7,11 @@ from gridspark.registry.base import query, table
 
 
 @query("formula", """
-SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount) * (1 + l_tax), 4) AS charge
+SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) * (1 + l_tax) AS charge
 FROM lineitem""")
 def formula_q(spark, d):
     li = table(spark, d, "lineitem")
-    out = X.formula(li, "charge", "round(`l_extendedprice` * (1 - `l_discount`) * (1 + `l_tax`), 4)")
+    out = X.formula(li, "charge", "`l_extendedprice` * (1 - `l_discount`) * (1 + `l_tax`)")
     return out.select("l_orderkey", "l_linenumber", "charge")
 
 

@@ -71,15 +71,15 @@ for _k, _q in _Z2.items():
 
 @query("sql_window", """
 SELECT o_custkey, o_orderkey, o_totalprice,
-       sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey
-                               ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS running
+       round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey
+                               ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 2) AS running
 FROM orders""")
 def sql_window_q(spark, d):
     q = """SELECT o_custkey, o_orderkey, o_totalprice,
        sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey
                                ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS running FROM df"""
     out = run_sql(spark, q, current=table(spark, d, "orders"))
-    return out.withColumn("running", F.col("running"))
+    return out.withColumn("running", F.round("running", 2))
 
 
 def _scratch(spark, name):

@@ -41,7 +41,8 @@ def _profile_sql():
     parts = []
     for c, t, kind in _CUST:
         num = kind == "number"
-        stats = (f"avg({c}) AS mean, quantile_cont({c}, 0.5)::DOUBLE AS median, stddev_samp({c}) AS std, "
+        stats = (f"round(avg({c}), 4) AS mean, round(quantile_cont({c}, 0.5)::DOUBLE, 4) AS median, "
+                 f"round(stddev_samp({c}), 4) AS std, "
                  f"min({c})::DOUBLE AS min, max({c})::DOUBLE AS max, "
                  f"count(*) FILTER (WHERE abs({c} - (SELECT avg({c}) FROM customer)) > "
                  f"3 * (SELECT stddev_samp({c}) FROM customer)) AS outliers_3sd") if num else (
@@ -58,7 +59,8 @@ def _profile_sql():
 @query("profile", _profile_sql())
 def profile_q(spark, d):
     out = P.profile(table(spark, d, "customer"))
-    return out
+    return out.select(*[F.round(c, 4).alias(c) if c in ("mean", "median", "std") else F.col(c)
+                        for c in out.columns])
 
 
 @query("detect_types", "\nUNION ALL ".join(

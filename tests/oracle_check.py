@@ -16,6 +16,10 @@ import pandas as pd
 
 sys.path.insert(0, __file__.rsplit("/tests/", 1)[0])
 
+import os as _os
+
+STRICT = _os.environ.get("ORACLE_STRICT") == "1"  # compare floats bit for bit
+
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
 
@@ -40,7 +44,7 @@ def norm(v):
     if isinstance(v, float):
         if math.isnan(v):
             return None
-        r = float(f"{v:.6g}")
+        r = v if STRICT else float(f"{v:.6g}")
         return int(r) if r.is_integer() else r
     if hasattr(v, "item") and not isinstance(v, (str, bytes)):
         try:
