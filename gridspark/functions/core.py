@@ -146,8 +146,18 @@ def strip(c) -> Column:
 
 
 def title(c) -> Column:
-    """Title case by Spark's ``initcap`` (words split on spaces only)."""
-    return F.initcap(as_col(c).cast("string"))
+    """Title case as Python's ``str.title``: a letter is upper-cased when the
+    character before it is not a letter (``o'neil mc-donald`` ->
+    ``O'Neil Mc-Donald``, ``3rd`` -> ``3Rd``), every other letter is
+    lower-cased. Spark's ``initcap`` splits on spaces only; this is one
+    array expression over the characters, still inside codegen."""
+    s = as_col(c).cast("string")
+    chars = F.transform(
+        F.sequence(F.lit(1), F.greatest(F.length(s), F.lit(1))),
+        lambda i: F.when((i == 1) | ~F.substring(s, i - 1, 1).rlike(r"\p{L}"), F.upper(F.substring(s, i, 1)))
+        .otherwise(F.lower(F.substring(s, i, 1))))
+    return F.when(s.isNull(), F.lit(None).cast("string")).when(F.length(s) == 0, F.lit("")).otherwise(
+        F.array_join(chars, ""))
 
 
 def extract(c, pattern: str, group: int = 1) -> Column:

@@ -142,6 +142,10 @@ def day_diff_now_q(spark, d):
     return X.day_difference(ev, "ts", now="2024-02-01 12:00:00").select("event_id", "days")
 
 
-@query("title_case")
+@query("title_case", r"""
+SELECT p_partkey, array_to_string(list_transform(range(1, length(p_name) + 1),
+         lambda i: CASE WHEN i = 1 OR NOT regexp_matches(substr(p_name, i - 1, 1), '\p{L}')
+                   THEN upper(substr(p_name, i, 1)) ELSE lower(substr(p_name, i, 1)) END), '') AS p_name
+FROM part""")
 def title_case_q(spark, d):
     return X.transform_column(table(spark, d, "part").select("p_partkey", "p_name"), "p_name", ["title"])

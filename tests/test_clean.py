@@ -100,3 +100,10 @@ def test_text_steps(spark):
     assert got == {1: "HELLO WORLD", 2: None}
     ext = col(X.transform_column(df, "s", [("extract", r"(w\w+)")]), "s")
     assert ext == {1: "world", 2: None}
+
+
+def test_title_case_like_python(spark):
+    df = spark.createDataFrame([(1, "o'neil mc-donald"), (2, "3rd STREET"), (3, ""), (4, None)], "k long, s string")
+    got = col(X.transform_column(df, "s", ["title"]), "s")
+    assert got == {1: "O'Neil Mc-Donald", 2: "3Rd Street", 3: "", 4: None}
+    assert got[1] == "o'neil mc-donald".title() and got[2] == "3rd STREET".title()
