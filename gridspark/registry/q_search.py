@@ -1,6 +1,5 @@
 """Search and diff queries (Q1-Q3, G1)."""
 
-from pyspark.sql import functions as F
 
 from gridspark.operators.diff import diff_summary, table_diff
 from gridspark.operators.search import fuzzy_replace, fuzzy_search, search_all, suggest_values

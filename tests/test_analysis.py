@@ -1,7 +1,5 @@
 import datetime as dt
 
-import pytest
-from pyspark.sql import functions as F
 
 from gridspark.operators import bins as B
 from gridspark.operators import issues as I

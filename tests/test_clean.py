@@ -1,7 +1,6 @@
 import datetime as dt
 
 import pytest
-from pyspark.sql import functions as F
 
 from gridspark.operators import clean as C
 from gridspark.operators import derive as X

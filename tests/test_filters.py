@@ -1,8 +1,7 @@
-from pyspark.sql import functions as F
 
 from gridspark.operators.filter import (filter_expr, filter_flag, filter_fuzzy_value, filter_multi,
                                         filter_rows, filter_stack, flag_columns, predicate)
-from tests.conftest import rows
+
 
 
 def keys(df):

@@ -1,4 +1,3 @@
-from pyspark.sql import functions as F
 
 from gridspark.operators.join import (concat_columns, join, lookup_column, natural_join, stack,
                                       vlookup_join)

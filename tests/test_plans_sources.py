@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridspark.functions.columns import col_letter, parse_col_letter, parse_column_list, resolve_column
-from gridspark.operators.project import clean_names, page, sample_rows, select_columns, tail
+from gridspark.operators.project import clean_names, page, sample_rows, tail
 from gridspark.plans.sql import run_sql
 from gridspark.plans.views import apply_view, validate_view, view_from_json, view_to_json
 from gridspark.session import checkpoint_dir
