@@ -129,9 +129,25 @@ def date_ranges_q(spark, d):
     return P.date_ranges(o)
 
 
-@query("inspect_columns")
+def _inspect_sql():
+    cols = [("A", "c_custkey", "bigint"), ("B", "c_name", "string"), ("C", "c_nationkey", "int"),
+            ("D", "c_acctbal", "double"), ("E", "c_mktsegment", "string")]
+    parts = []
+    for letter, c, t in cols:
+        parts.append(f"""
+SELECT '{letter}' AS letter, '{c}' AS "column", '{t}' AS type, count(*) - count({c}) AS nulls,
+       count(DISTINCT {c}) AS distinct,
+       (SELECT string_agg(v, '|' ORDER BY n DESC, v) FROM (
+          SELECT CAST({c} AS VARCHAR) AS v, count(*) AS n FROM customer WHERE {c} IS NOT NULL
+          GROUP BY 1 ORDER BY n DESC, v LIMIT 4)) AS top_values
+FROM customer""")
+    return "\nUNION ALL".join(parts)
+
+
+@query("inspect_columns", _inspect_sql())
 def inspect_columns_q(spark, d):
-    return P.inspect_columns(table(spark, d, "customer"))
+    out = P.inspect_columns(table(spark, d, "customer"))
+    return out.withColumn("top_values", F.array_join("top_values", "|"))
 
 
 _ISSUE_COLS_SPARK = {
