@@ -173,14 +173,15 @@ def stack(*dfs: DataFrame) -> DataFrame:
 
 def concat_columns(left: DataFrame, right: DataFrame, left_order: Sequence[str],
                    right_order: Sequence[str], suffixes: tuple[str, str] = ("_L", "_R")) -> DataFrame:
-    """Side-by-side by row position in the given orders.
+    """Side-by-side by row position in the given orders (column names,
+    or ``(name, ascending)`` pairs).
 
     Each side is numbered with the bucketed row numbering of
     ``plans.ordered`` (no single-task window), then the two are full-outer
     joined on the number; the shorter side pads with nulls.
     """
-    ln = row_numbers(left, [(c, True) for c in left_order], name="__pos")
-    rn = row_numbers(right, [(c, True) for c in right_order], name="__pos")
+    ln = row_numbers(left, list(left_order), name="__pos")
+    rn = row_numbers(right, list(right_order), name="__pos")
     clash = (set(left.columns) & set(right.columns))
     L = ln.select("__pos", *[_c(c).alias(c + suffixes[0]) if c in clash else _c(c) for c in left.columns])
     R = rn.select(F.col("__pos").alias("__pos_r"),

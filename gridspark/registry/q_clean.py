@@ -225,9 +225,11 @@ def replace_contains_ci(spark, d):
 
 
 @query("replace_all_columns", """
-SELECT n_nationkey, regexp_replace(n_name, 'NATION_1', 'N-1', 'g') AS n_name, n_regionkey FROM nation""")
+SELECT p_partkey, regexp_replace(p_name, 'Brand#1', 'B1', 'g') AS p_name,
+       regexp_replace(p_brand, 'Brand#1', 'B1', 'g') AS p_brand, regexp_replace(p_type, 'Brand#1', 'B1', 'g') AS p_type,
+       p_size, p_retailprice FROM part""")
 def replace_all_columns(spark, d):
-    return C.find_replace(table(spark, d, "nation"), "NATION_1", "N-1", mode="contains", case=True)
+    return C.find_replace(table(spark, d, "part"), "Brand#1", "B1", mode="contains", case=True)
 
 
 @query("replace_regex", r"""

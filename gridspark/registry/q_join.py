@@ -18,31 +18,39 @@ def join_inner(spark, d):
                 "inner")
 
 
-@query("join_full", """
-SELECT * FROM (SELECT * FROM nation WHERE n_regionkey < 3) n
-FULL OUTER JOIN (SELECT * FROM region WHERE r_regionkey > 0) r ON n_regionkey = r_regionkey""")
+_BIG_ORDERS = "o_totalprice > 400000"
+_BUILDING = "c_mktsegment = 'BUILDING'"
+
+
+@query("join_full", f"""
+SELECT * FROM (SELECT * FROM orders WHERE {_BIG_ORDERS}) o
+FULL OUTER JOIN (SELECT * FROM customer WHERE {_BUILDING}) c ON o_custkey = c_custkey""")
 def join_full(spark, d):
-    n = table(spark, d, "nation").where("n_regionkey < 3")
-    r = table(spark, d, "region").where("r_regionkey > 0")
-    return join(n, r, "n_regionkey", "r_regionkey", "full")
+    o = table(spark, d, "orders").where(_BIG_ORDERS)
+    c = table(spark, d, "customer").where(_BUILDING)
+    return join(o, c, "o_custkey", "c_custkey", "full")
 
 
-@query("join_right", """
-SELECT * FROM (SELECT * FROM nation WHERE n_regionkey < 3) n
-RIGHT JOIN (SELECT * FROM region WHERE r_regionkey > 0) r ON n_regionkey = r_regionkey""")
+@query("join_right", f"""
+SELECT * FROM (SELECT * FROM orders WHERE {_BIG_ORDERS}) o
+RIGHT JOIN (SELECT * FROM customer WHERE {_BUILDING}) c ON o_custkey = c_custkey""")
 def join_right(spark, d):
-    n = table(spark, d, "nation").where("n_regionkey < 3")
-    r = table(spark, d, "region").where("r_regionkey > 0")
-    return join(n, r, "n_regionkey", "r_regionkey", "right")
+    o = table(spark, d, "orders").where(_BIG_ORDERS)
+    c = table(spark, d, "customer").where(_BUILDING)
+    return join(o, c, "o_custkey", "c_custkey", "right")
 
 
 @query("join_suffixes", """
-SELECT a.n_nationkey AS n_nationkey_L, a.n_name AS n_name_L, a.n_regionkey,
-       b.n_nationkey AS n_nationkey_R, b.n_name AS n_name_R
-FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey""")
+SELECT o.orderkey, o.price AS price_L, o.flag AS flag_L, l.price AS price_R, l.flag AS flag_R, l.line
+FROM (SELECT o_orderkey AS orderkey, o_totalprice AS price, o_orderstatus AS flag FROM orders) o
+JOIN (SELECT l_orderkey AS orderkey, l_extendedprice AS price, l_returnflag AS flag, l_linenumber AS line
+      FROM lineitem) l ON o.orderkey = l.orderkey""")
 def join_suffixes(spark, d):
-    n = table(spark, d, "nation")
-    return join(n, n, "n_regionkey", "n_regionkey", "inner")
+    o = table(spark, d, "orders").selectExpr("o_orderkey AS orderkey", "o_totalprice AS price",
+                                             "o_orderstatus AS flag")
+    li = table(spark, d, "lineitem").selectExpr("l_orderkey AS orderkey", "l_extendedprice AS price",
+                                                "l_returnflag AS flag", "l_linenumber AS line")
+    return join(o, li, "orderkey", "orderkey", "inner")
 
 
 @query("join_select", """
@@ -112,10 +120,12 @@ def stack_q(spark, d):
 
 
 @query("concat_cols", """
-WITH n AS (SELECT *, row_number() OVER (ORDER BY n_nationkey) AS p FROM nation),
-     r AS (SELECT *, row_number() OVER (ORDER BY r_regionkey) AS p FROM region)
-SELECT n_nationkey, n_name, n_regionkey, r_regionkey, r_name, coalesce(n.p, r.p) AS row_position
-FROM n FULL OUTER JOIN r ON n.p = r.p""")
+WITH c AS (SELECT c_custkey, c_name, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS p FROM customer),
+     s AS (SELECT s_suppkey, s_name, row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey) AS p FROM supplier)
+SELECT c_custkey, c_name, s_suppkey, s_name, coalesce(c.p, s.p) AS row_position
+FROM c FULL OUTER JOIN s ON c.p = s.p""")
 def concat_cols(spark, d):
-    return concat_columns(table(spark, d, "nation"), table(spark, d, "region"),
-                          ["n_nationkey"], ["r_regionkey"])
+    c = table(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal")
+    s = table(spark, d, "supplier").select("s_suppkey", "s_name", "s_acctbal")
+    out = concat_columns(c, s, [("c_acctbal", False), "c_custkey"], [("s_acctbal", False), "s_suppkey"])
+    return out.select("c_custkey", "c_name", "s_suppkey", "s_name", "row_position")

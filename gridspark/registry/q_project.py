@@ -33,15 +33,17 @@ def rename_drop(spark, d):
 
 
 @query("clean_names", """
-SELECT n_nationkey AS nation_key, n_name AS nation_name, n_regionkey AS region_key FROM nation""")
+SELECT c_custkey AS cust_key, c_name AS cust_name, c_nationkey AS nation_key, c_acctbal AS account_balance,
+       c_mktsegment AS market_segment FROM customer""")
 def clean_names_q(spark, d):
-    n = table(spark, d, "nation").toDF(" Nation Key", "Nation  Name ", "REGION KEY")
-    return clean_names(n)
+    c = table(spark, d, "customer").toDF(" Cust Key", "Cust  Name ", "NATION KEY", "Account\tBalance",
+                                         "Market Segment")
+    return clean_names(c)
 
 
-@query("add_constant", "SELECT *, 'tpch' AS source FROM region")
+@query("add_constant", "SELECT *, 'tpch' AS source FROM customer")
 def add_constant_q(spark, d):
-    return add_constant(table(spark, d, "region"), "source", "tpch")
+    return add_constant(table(spark, d, "customer"), "source", "tpch")
 
 
 @query("head", "SELECT * FROM orders ORDER BY o_orderdate, o_orderkey LIMIT 100")
@@ -59,9 +61,15 @@ def page_q(spark, d):
     return page(table(spark, d, "orders"), 3, 100, order_by=["o_orderkey"])
 
 
-@query("page_past_end", "SELECT * FROM region ORDER BY r_regionkey LIMIT 2")
+# page 400 of 50 rows: past the end of supplier at small scale (then page 1 comes back),
+# an ordinary page once supplier has more than 19 950 rows
+@query("page_past_end", """
+(SELECT * FROM supplier ORDER BY s_suppkey LIMIT 50 OFFSET 19950)
+UNION ALL
+(SELECT * FROM (SELECT * FROM supplier ORDER BY s_suppkey LIMIT 50)
+ WHERE (SELECT count(*) FROM supplier) <= 19950)""")
 def page_past_end_q(spark, d):
-    return page(table(spark, d, "region"), 9, 2, order_by=["r_regionkey"])
+    return page(table(spark, d, "supplier"), 400, 50, order_by=["s_suppkey"])
 
 
 @query("sample_hash")
