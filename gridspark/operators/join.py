@@ -156,9 +156,8 @@ def lookup_column(left: DataFrame, right: DataFrame, left_key, right_key, value,
         red = right.where(_c(rk).isNotNull()).groupBy(_c(rk).alias("__k")).agg(
             pick(_c(v), key).alias(out))
     else:
-        f = {"mean": "mean"}.get(a, a)
         red = right.where(_c(rk).isNotNull()).groupBy(_c(rk).alias("__k")).agg(
-            agg_expr(canonical_agg(f), v).alias(out))
+            agg_expr(canonical_agg(a), v).alias(out))
     j = left.join(red, left[f"`{lk}`"] == red["__k"], "left")
     return j.select(*[left[f"`{c}`"] for c in left.columns], red[f"`{out}`"])
 
