@@ -114,3 +114,14 @@ def test_table_diff(spark):
     assert got == {2: ("changed", 1), 4: ("added", 2)}
     s = diff_summary(a, b, "id").first()
     assert (s["rows_before"], s["rows_after"], s["added"], s["removed"], s["changed"]) == (3, 4, 1, 0, 1)
+
+
+def test_approximate_modes_run(spark):
+    from gridspark.operators import aggregate as A
+    li = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    d = {r["column"]: r for r in A.describe(li, ["l_quantity"], exact=False).collect()}
+    assert 1 <= d["l_quantity"]["p50"] <= 50
+    assert B.quantile_bins(li, "l_quantity", 4, exact=False).where("l_quantity_qbin IS NULL").count() == 0
+    assert U.outliers(li, "l_extendedprice", "iqr", exact=False).count() >= 0
+    assert A.distinct_counts(li, ["l_returnflag"], exact=False).first()["n_distinct"] == 3
+    assert P.profile(spark.read.parquet("/root/testdata/sf0.001/customer.parquet"), exact=False).count() == 5
