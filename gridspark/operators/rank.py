@@ -42,7 +42,8 @@ def _cast(method: str, c: Column) -> Column:
 
 
 def rank(df: DataFrame, columns, method: str = "min", group=None, ascending=False,
-         name: str | None = None, tiebreak: Sequence[str] = (), strategy: str = "auto") -> DataFrame:
+         name: str | None = None, tiebreak: Sequence[str] = (), strategy: str = "auto",
+         n_buckets: int | None = None) -> DataFrame:
     """Add a rank column (default ``<first column>_rank``).
 
     ``columns`` is one column or several (lexicographic order); ``ascending``
@@ -51,7 +52,8 @@ def rank(df: DataFrame, columns, method: str = "min", group=None, ascending=Fals
     percentile. ``first`` breaks ties by the ``tiebreak`` columns, then by
     scan order. ``strategy``: ``auto`` checks the largest group and uses a
     plain window when it fits one task, else the bucketed position table;
-    ``window`` / ``positions`` force one of them.
+    ``window`` / ``positions`` force one of them; ``n_buckets`` sets the
+    number of range buckets of the position table.
     """
     cols = resolve_columns([columns] if isinstance(columns, (str, int)) else columns, df.columns)
     asc = ascending if isinstance(ascending, (list, tuple)) else [ascending] * len(cols)
@@ -61,9 +63,9 @@ def rank(df: DataFrame, columns, method: str = "min", group=None, ascending=Fals
     out_name = name or f"{cols[0]}_rank"
     if m == "first":
         tb = [(resolve_column(t, df.columns), True) for t in tiebreak]
-        res = row_numbers(df, order + tb, by, name="__r", strategy=strategy)
+        res = row_numbers(df, order + tb, by, name="__r", strategy=strategy, n_buckets=n_buckets)
     else:
-        res = attach_ranks(df, order, by, {"__r": m}, strategy=strategy)
+        res = attach_ranks(df, order, by, {"__r": m}, strategy=strategy, n_buckets=n_buckets)
     return res.select(*[_c(c) for c in df.columns], _cast(m, F.col("__r")).alias(out_name))
 
 
