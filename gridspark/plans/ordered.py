@@ -75,6 +75,28 @@ def choose_strategy(df: DataFrame, strategy: str, by: Sequence[str], not_null: S
     return "window" if largest_group(df, by, not_null) <= single_task_rows(df) else "positions"
 
 
+def _order_is_reproducible(df: DataFrame) -> bool:
+    """True when recomputing ``df`` yields its rows in the same partitions and
+    order (file scans, filters, projections: no shuffle in the plan)."""
+    try:
+        return "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    except Exception:  # noqa: BLE001 - plan not inspectable: assume it is not
+        return False
+
+
+def materialize(df: DataFrame, name: str = "gridspark") -> DataFrame:
+    """Write ``df`` as Parquet under the shared checkpoint folder
+    (``spark.checkpoint.dir``) and read it back: the lineage is cut, so every
+    later branch sees exactly the same rows, even after executor loss."""
+    import uuid
+
+    from gridspark.session import checkpoint_dir
+
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Join on ``keys`` treating null = null (``<=>``), keeping one copy of
     each key column."""
@@ -218,8 +240,11 @@ def row_numbers(df: DataFrame, order, by: Sequence[str] = (), name: str = "_row"
 
     A hidden row id is appended as the last order key, so rows tied on every
     order column still get distinct numbers (in scan order) and no key group,
-    however hot, is numbered inside one task. Rows with a null group or key
-    get a null number.
+    however hot, is numbered inside one task. The id must be the same in the
+    two branches of the plan (numbering and joining back), so an input whose
+    row order is not reproducible (it contains a shuffle) is first written to
+    the shared checkpoint folder. Rows with a null group or key get a null
+    number.
     """
     by = list(by)
     plain = _norm_order(order)
@@ -233,6 +258,8 @@ def row_numbers(df: DataFrame, order, by: Sequence[str] = (), name: str = "_row"
     order = plain + [("_uid", True)]
     keys = [k for k, _ in order]
     tagged = df.withColumn("_uid", F.monotonically_increasing_id())
+    if not _order_is_reproducible(df):
+        tagged = materialize(tagged, "rownumbers")
     pos = positions(tagged, order, by, n_buckets).select(
         *[F.col(f"`{c}`") for c in by + keys], (F.col("_before") + 1).alias(name))
     return tagged.join(pos, on=by + keys, how="left").drop("_uid")

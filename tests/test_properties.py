@@ -55,3 +55,17 @@ def test_stack_count_is_sum(spark, rows):
     sdf, _ = _frame(spark, rows)
     a, b = sdf.select("k", "g"), sdf.select("k", "v")
     assert stack(a, b).count() == a.count() + b.count()
+
+
+@SETTINGS
+@given(rows=rows_st, strategy=st.sampled_from(["window", "positions"]))
+def test_forward_fill_equals_pandas(spark, rows, strategy):
+    from gridspark.plans.ordered import segmented_last
+    sdf, pdf = _frame(spark, rows)
+    got = {r["k"]: r["v"] for r in segmented_last(sdf, ["v"], ["k"], ["g"], block_rows=4,
+                                                  strategy=strategy).collect()}
+    exp = pdf.sort_values("k").copy()
+    exp["f"] = exp.groupby("g", dropna=False)["v"].ffill()
+    for k, e in zip(exp.k, exp.f):
+        g = got[k]
+        assert (g is None and pd.isna(e)) or (g is not None and g == e), (k, g, e)

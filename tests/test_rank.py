@@ -98,3 +98,12 @@ def test_exact_quantiles_interpolate(spark, strategy):
     df = spark.createDataFrame([(1.0,), (2.0,), (3.0,), (4.0,), (None,)], "v double")
     q = {r["q"]: r["value"] for r in exact_quantiles(df, "v", [0.0, 0.25, 0.5, 1.0], strategy=strategy).collect()}
     assert q == {0.0: 1.0, 0.25: 1.75, 0.5: 2.5, 1.0: 4.0}
+
+
+def test_row_numbers_after_a_shuffle(spark):
+    # input with a shuffle: the hidden ids are materialised before numbering
+    df = spark.range(0, 2000).select((F.col("id") % 7).alias("g"), (F.col("id") % 11).alias("v")) \
+        .groupBy("g", "v").count()
+    r = row_numbers(df, ["v"], by=["g"], name="n", strategy="positions")
+    got = r.groupBy("g").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.count("*").alias("c"))
+    assert got.where("lo != 1 OR hi != c").count() == 0
