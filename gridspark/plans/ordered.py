@@ -171,12 +171,16 @@ def positions(df: DataFrame, order, by: Sequence[str] = (), n_buckets: int | Non
 
     joined = null_safe_join(local, offsets, part) if null_groups else local.join(
         offsets, on=part, how="inner")
-    consistent = F.when(F.col("_lh") == F.col("_sh"), F.col("_n")).otherwise(
-        F.raise_error(F.lit("gridspark: range buckets disagree between plan branches")).cast("long"))
+    # the guard is attached to every output derived from the offsets, so the
+    # optimizer cannot prune it away whichever of them a caller uses
+    def guarded(c):
+        return F.when(F.col("_lh") == F.col("_sh"), c).otherwise(
+            F.raise_error(F.lit("gridspark: range buckets disagree between plan branches")).cast("long"))
+
     return joined.select(
-        *[F.col(f"`{c}`") for c in cols], consistent.alias("_n"),
-        (F.col("_ob") + F.col("_lb")).alias("_before"),
-        (F.col("_od") + F.col("_ld")).alias("_dense"),
+        *[F.col(f"`{c}`") for c in cols], guarded(F.col("_n")).alias("_n"),
+        guarded(F.col("_ob") + F.col("_lb")).alias("_before"),
+        guarded(F.col("_od") + F.col("_ld")).alias("_dense"),
         "_total", "_ndist")
 
 
