@@ -146,16 +146,17 @@ def positions(df: DataFrame, order, by: Sequence[str] = (), n_buckets: int | Non
     part = ["_b"] + by
     w = Window.partitionBy(*part).orderBy(*[
         F.col(f"`{k}`").asc() if asc else F.col(f"`{k}`").desc() for k, asc in order])
-    # checksum of the keys in each (bucket, group) slice, computed on both
-    # sides of the join below: bucket ids come from the range exchange, which
-    # Spark shares between the two branches; if it ever did not, the slices
-    # would disagree and the query fails instead of returning wrong ranks
+    # bucket ids come from the range exchange, which Spark shares between the
+    # two branches joined below. As a guard, each slice's key count and key
+    # checksum (xor of key hashes) from the offsets branch must agree with
+    # the running count / checksum of the same slice here; if the buckets
+    # ever differed, the query fails instead of returning wrong positions.
     key_hash = F.xxhash64(*[F.col(f"`{k}`") for k in keys])
     local = bucketed.select(
         "*",
         F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_lb"),
         F.row_number().over(w).alias("_ld"),
-        F.bit_xor(key_hash).over(Window.partitionBy(*part)).alias("_lh"))
+        F.bit_xor(key_hash).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("_lx"))
 
     # per (bucket, group) totals: at most n_buckets + n_groups rows
     slices = local.groupBy(*part).agg(F.sum("_n").alias("_sn"), F.count(F.lit(1)).alias("_sd"),
@@ -167,14 +168,17 @@ def positions(df: DataFrame, order, by: Sequence[str] = (), n_buckets: int | Non
         F.coalesce(F.sum("_sn").over(wg.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_ob"),
         F.coalesce(F.sum("_sd").over(wg.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_od"),
         F.sum("_sn").over(prior).alias("_total"),
-        F.sum("_sd").over(prior).alias("_ndist"), "_sh")
+        F.sum("_sd").over(prior).alias("_ndist"), "_sd", "_sh")
 
     joined = null_safe_join(local, offsets, part) if null_groups else local.join(
         offsets, on=part, how="inner")
     # the guard is attached to every output derived from the offsets, so the
     # optimizer cannot prune it away whichever of them a caller uses
+    same_slice = (F.col("_ld") <= F.col("_sd")) & (
+        (F.col("_ld") != F.col("_sd")) | (F.col("_lx") == F.col("_sh")))
+
     def guarded(c):
-        return F.when(F.col("_lh") == F.col("_sh"), c).otherwise(
+        return F.when(same_slice, c).otherwise(
             F.raise_error(F.lit("gridspark: range buckets disagree between plan branches")).cast("long"))
 
     return joined.select(
