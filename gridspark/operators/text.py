@@ -43,7 +43,8 @@ def top_chars(df: DataFrame, column, k: int = 10) -> DataFrame:
     character. Characters are exploded and counted with a partial
     aggregate, so texts of any length are processed whole."""
     name = resolve_column(column, df.columns)
-    chars = df.select(F.explode(F.split(_c(name).cast("string"), "")).alias("char"))
-    counts = chars.where((F.col("char") != " ") & (F.col("char") != "")).groupBy("char").agg(
-        F.count(F.lit(1)).alias("count"))
+    # spaces are skipped: drop them before splitting, so they are never exploded
+    text = F.replace(_c(name).cast("string"), F.lit(" "), F.lit(""))
+    chars = df.select(F.explode(F.split(text, "")).alias("char"))
+    counts = chars.where(F.col("char") != "").groupBy("char").agg(F.count(F.lit(1)).alias("count"))
     return counts.orderBy(F.col("count").desc(), F.col("char").asc()).limit(k)
