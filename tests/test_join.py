@@ -57,3 +57,18 @@ def test_cross_join_refused(spark):
     a = spark.range(2)
     with pytest.raises(ValueError):
         join(a, a, "id", how="cross")
+
+
+def test_broadcast_only_behind_size_check(spark):
+    from gridspark.operators.join import broadcast_if_small
+    # unknown size (a local frame): never broadcast
+    local = spark.createDataFrame([(1, "a")], "k long, v string")
+    assert "broadcast" not in broadcast_if_small(local)._jdf.queryExecution().analyzed().toString().lower()
+    small = spark.read.parquet("/root/testdata/sf0.01/nation.parquet")
+    hinted = broadcast_if_small(small)._jdf.queryExecution().analyzed().toString()
+    assert "broadcast" in hinted.lower()
+    plain = broadcast_if_small(small, max_bytes=1)._jdf.queryExecution().analyzed().toString()
+    assert "broadcast" not in plain.lower()
+    big = spark.read.parquet("/root/testdata/sf0.01/lineitem.parquet")
+    assert "broadcast" not in broadcast_if_small(big, max_bytes=1024)._jdf.queryExecution().analyzed() \
+        .toString().lower()
