@@ -6,7 +6,7 @@ belongs to. These helpers exist for scripts, tests and the benchmark.
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -46,18 +46,16 @@ def get_spark(master: str | None = None, app: str = "gridspark",
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this setting points at shared storage and is only read.
-    Where it is unset (local tests) a fresh folder is created and set.
+    On a cluster this setting must point at shared storage and is only read;
+    where it is unset the call raises. A local session (one machine, as in
+    tests) without the setting gets a fresh folder, since driver and executors
+    are one process there.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
-        current = spark.sparkContext.getCheckpointDir() if hasattr(
-            spark.sparkContext, "getCheckpointDir") else None
-    if current:
-        spark.sparkContext.setCheckpointDir(current)
-        return current
-    path = tempfile.mkdtemp(prefix="gridspark-ckpt-")
-    os.makedirs(path, exist_ok=True)
-    spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
-    return path
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        current = tempfile.mkdtemp(prefix="gridspark-ckpt-")
+        spark.conf.set("spark.checkpoint.dir", current)
+    spark.sparkContext.setCheckpointDir(current)
+    return current
