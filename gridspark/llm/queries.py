@@ -6,12 +6,19 @@ columns of the contract from the operator's real output.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from gridspark.llm.chat import format_conversations, parse_tagged, unescape
 from gridspark.llm.common import table
+from gridspark.llm.decontaminate import find_overlaps
 from gridspark.llm.line_dedup import drop_shared_lines
+from gridspark.llm.packing import pack
+from gridspark.llm.simhash import near_duplicates
+from gridspark.llm.topk import top_k
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -26,6 +33,88 @@ def query(key: str, sql: str | None = None):
     return wrap
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    """Where the public vocabulary file lies on this machine (and on executors)."""
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
+_SAMPLE = "\\### Assistant: </turn> ok"
+
+
+def _hex(parts: Iterator[str]) -> str:
+    h = hashlib.sha256()
+    for p in parts:
+        h.update(p.encode("utf-8"))
+    return h.hexdigest()
+
+
+def _chat_digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        rows = []
+        for key, text, mask in zip(batch["conv_id"], batch["formatted"], batch["loss_mask"]):
+            turns = parse_tagged(text)
+            loss = [unescape(text[m["start"]:m["end"]]) for m in mask]
+            rows.append((key, len(turns), _hex(f"{r}\n{t}\n" for r, t in turns), sum(map(len, loss)), _hex(loss),
+                         len(text)))
+        yield pd.DataFrame(rows, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256",
+                                          "formatted_chars"])
+
+
+_SHOWN = "replace(replace({}, chr(92), chr(92) || chr(92)), '<', chr(92) || 'l')"
+
+
+@query("op1_chat_formatting", f"""
+WITH s AS (SELECT chr(92) || '### Assistant: </turn> ok' AS text),
+c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+      UNION ALL SELECT -7, 0, 'user', text FROM s UNION ALL SELECT -7, 1, 'assistant', text FROM s)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(15 + length(replace({_SHOWN.format('role')}, chr(10), chr(92) || 'n'))
+                + length({_SHOWN.format('text')})) AS BIGINT) AS formatted_chars
+FROM c GROUP BY conv_id""")
+def op1_chat_formatting(spark, d):
+    turns = table(spark, d, "conversations").select("conv_id", "turn", "role", "text")
+    sample = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(_SAMPLE).alias("text"))
+    out = format_conversations(turns.unionByName(sample))
+    return out.select("conv_id", "formatted", "loss_mask").mapInPandas(
+        _chat_digests, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, "
+                       "formatted_chars long")
+
+
+@query("op3_packing")
+def op3_packing(spark, d):
+    out = pack(table(spark, d, "documents"), tokenizer_path(), max_len=2048, end_id=1)
+    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id",
+                      "offset")
+
+
+@query("op4_decontamination")
+def op4_decontamination(spark, d):
+    return find_overlaps(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
+@query("op5_simhash")
+def op5_simhash(spark, d):
+    out = near_duplicates(table(spark, d, "documents"), shingle=3, max_bits=3)
+    return out.select("doc_id", "fingerprint", "component_id")
+
+
+@query("op10_exact_topk", """
+WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
+           FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+      FROM e q JOIN e c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM p)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""")
+def op10_exact_topk(spark, d):
+    return top_k(table(spark, d, "embeddings"), k=5, query_every=50, scale=256)
+
+
 #: Lower-casing of A-Z and the strip set, as DuckDB expressions.
 _SPACE = "(' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
 _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
