@@ -15,10 +15,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from gridspark.llm.chat import format_conversations, parse_tagged, unescape
 from gridspark.llm.common import table
 from gridspark.llm.decontaminate import find_overlaps
+from gridspark.llm.license_scan import BLANK_LINES, scan, size_bounds, template_parts
+from gridspark.llm.license_templates import TEMPLATES
 from gridspark.llm.line_dedup import drop_shared_lines
 from gridspark.llm.packing import pack
 from gridspark.llm.simhash import near_duplicates
+from gridspark.llm.suffix_dedup import repeated_bytes
 from gridspark.llm.topk import top_k
+from gridspark.llm.toxicity import fit, learnable, with_score
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -104,6 +108,53 @@ def op5_simhash(spark, d):
     return out.select("doc_id", "fingerprint", "component_id")
 
 
+def _license_sql() -> str:
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    rows = ",\n".join(
+        f"({quoted(n)}, {p}, {size_bounds(len(g), 0.8)[0]}, {size_bounds(len(g), 0.8)[1]}, [{', '.join(map(quoted, g))}])"
+        for n, p, g in template_parts(TEMPLATES))
+    blank = BLANK_LINES.replace("\\x0B", "\\v")
+    return f"""
+WITH t(license, part, low, high, wanted) AS (VALUES {rows}),
+d AS (SELECT doc_id, text, regexp_split_to_array(text, '{blank}') AS ps, string_split(text, chr(10)) AS ls
+      FROM documents WHERE text IS NOT NULL),
+u AS (SELECT doc_id, 'line' AS kind, unnest(range(len(ls))) AS unit, unnest(ls) AS body FROM d
+      UNION ALL SELECT * FROM (SELECT doc_id, 'paragraph', unnest(range(len(ps))), unnest(ps) AS p FROM d)
+                WHERE contains(p, chr(10))
+      UNION ALL SELECT doc_id, 'text', 0, text FROM d WHERE len(ps) > 1),
+n AS (SELECT doc_id, kind, unit,
+             string_split(trim(regexp_replace(lower(body), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ') AS w FROM u),
+b AS (SELECT doc_id, kind, unit, CASE WHEN len(w) = 1 THEN w ELSE
+             list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS held
+      FROM n WHERE w <> ['']),
+m AS (SELECT doc_id, kind, unit, license, part,
+             2.0::DOUBLE * len(list_intersect(held, wanted)) / (len(held) + len(wanted)) AS dice
+      FROM b JOIN t ON len(held) BETWEEN low AND high)
+SELECT doc_id, kind, CAST(unit AS INTEGER) AS unit, license, part, dice FROM m WHERE dice >= 0.8
+QUALIFY row_number() OVER (PARTITION BY doc_id, kind, unit ORDER BY dice DESC, license, part) = 1"""
+
+
+@query("op6_license_scan", _license_sql())
+def op6_license_scan(spark, d):
+    return scan(table(spark, d, "documents"), threshold=0.8)
+
+
+@query("op7_toxicity")
+def op7_toxicity(spark, d):
+    docs = table(spark, d, "documents")
+    model = fit(docs, table(spark, d, "labels"))
+    return with_score(docs.select("doc_id", "text"), model).select(
+        "doc_id", (~learnable(F.col("doc_id"))).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op8_suffix_dedup")
+def op8_suffix_dedup(spark, d):
+    out = repeated_bytes(table(spark, d, "documents"), length=100)
+    return out.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+                      F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query("op10_exact_topk", """
 WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
            FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
