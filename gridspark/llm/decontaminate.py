@@ -10,7 +10,6 @@ longest stretch that holds enough equal words is measured.
 from __future__ import annotations
 
 import itertools
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from gridspark.llm.common import free_name
+from gridspark.llm.words import longest_stretch, words_of
 
 #: Fixed masks (1: the word counts). Together they meet every stretch of 13
 #: words in which at most 2 are substituted (tested over all such patterns).
@@ -28,15 +28,10 @@ SIMILARITY = 0.8        # least share of equal words along the stretch
 BLOCK_WORDS = 1_000_000  # benchmark words looked up in one pass over the documents
 CHUNK_WORDS = 1 << 20
 
-_WORD = re.compile(r"\w+")
 _MULT = np.random.default_rng(20).integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
 _BITS = 22
 
 
-def words_of(text: str | None) -> list[str]:
-    return _WORD.findall(text.lower()) if text else []
-
-
 def seed_hashes(ids: np.ndarray, kept: list[int]) -> tuple[np.ndarray, np.ndarray]:
     """(starts, hashes) of the windows all of whose kept words are known (not 0)."""
     n = len(ids) - kept[-1]
@@ -54,24 +49,6 @@ def seed_hashes(ids: np.ndarray, kept: list[int]) -> tuple[np.ndarray, np.ndarra
     return at, h * _MULT[63]
 
 
-def longest_stretch(equal: np.ndarray, similarity: float) -> tuple[int, int]:
-    """The longest [i, j) whose share of equal words is at least ``similarity``;
-    the first of them, trimmed of unequal words at its ends."""
-    n = len(equal)
-    total = np.concatenate(([0.0], np.cumsum(equal - similarity)))
-    lows = [i for i in range(n + 1) if i == 0 or total[i] < total[:i].min()]
-    best, j = (0, 0), n
-    for i in reversed(lows):       # lows descend in value, so a longer end may only come for earlier ones
-        j = n
-        while j - i > best[1] - best[0] and total[j] < total[i] - 1e-9:
-            j -= 1
-        if j - i >= best[1] - best[0] and j > i:
-            best = (i, j)
-    i, j = best
-    inside = np.flatnonzero(equal[i:j])
-    return (i + int(inside[0]), i + int(inside[-1]) + 1) if len(inside) else (0, 0)
-
-
 class SeedIndex:
     """Seeds of one block of benchmark items."""
 

@@ -19,6 +19,7 @@ from gridspark.llm.license_scan import BLANK_LINES, scan, size_bounds, template_
 from gridspark.llm.license_templates import TEMPLATES
 from gridspark.llm.line_dedup import drop_shared_lines
 from gridspark.llm.packing import pack
+from gridspark.llm.passages import repeated_passages
 from gridspark.llm.simhash import near_duplicates
 from gridspark.llm.suffix_dedup import repeated_bytes
 from gridspark.llm.topk import top_k
@@ -90,6 +91,11 @@ def op1_chat_formatting(spark, d):
                        "formatted_chars long")
 
 
+@query("op2_substring_dedup")
+def op2_substring_dedup(spark, d):
+    return repeated_passages(table(spark, d, "documents"))
+
+
 @query("op3_packing")
 def op3_packing(spark, d):
     out = pack(table(spark, d, "documents"), tokenizer_path(), max_len=2048, end_id=1)
