@@ -7,6 +7,8 @@ scalar subqueries: computed once, distributed as constants, never joined.
 
 from __future__ import annotations
 
+import datetime as dt
+from decimal import Decimal
 from typing import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -17,7 +19,7 @@ from gridspark.functions.columns import resolve_column, resolve_columns
 from gridspark.functions.core import (clean_number, literal_regex, literal_replacement, to_bool,
                                       to_date, to_float, to_int)
 from gridspark.operators.aggregate import NUMERIC
-from gridspark.plans.ordered import exact_quantiles, segmented_last
+from gridspark.plans.ordered import exact_quantiles, order_key, segmented_last
 
 
 def _c(n: str) -> Column:
@@ -35,10 +37,29 @@ def drop_nulls(df: DataFrame, subset=None, how: str = "any") -> DataFrame:
     return df.na.drop(how=how, subset=_cols(df, subset))
 
 
+def _can_hold(dtype: T.DataType, value) -> bool:
+    if isinstance(value, bool):
+        return isinstance(dtype, T.BooleanType)
+    if isinstance(value, (int, float, Decimal)):
+        if isinstance(dtype, T.IntegralType):
+            bits = {T.ByteType: 7, T.ShortType: 15, T.IntegerType: 31}.get(type(dtype), 63)
+            return value == value and abs(value) < float("inf") and int(value) == value and -(1 << bits) <= value < 1 << bits
+        return isinstance(dtype, NUMERIC)
+    if isinstance(value, dt.datetime):
+        return isinstance(dtype, (T.TimestampType, T.TimestampNTZType))
+    if isinstance(value, dt.date):
+        return isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType))
+    return isinstance(value, str) and isinstance(dtype, T.StringType)
+
+
 def fill_value(df: DataFrame, value, columns=None) -> DataFrame:
-    """Replace nulls with ``value`` cast to each column's type (columns
-    whose type cannot hold it raise at run time under ANSI casts)."""
+    """Replace nulls with ``value`` cast to each column's type. Without
+    ``columns`` every column whose type can hold the value is filled; named
+    columns are filled as told (a value that does not fit raises at run time
+    under ANSI casts)."""
     cols = set(_cols(df, columns))
+    if columns is None:
+        cols = {f.name for f in df.schema.fields if _can_hold(f.dataType, value)}
     out = []
     for f in df.schema.fields:
         if f.name in cols:
@@ -128,7 +149,8 @@ def dedupe(df: DataFrame, subset=None, order_by: Sequence[str] | None = None,
     Without ``subset`` whole rows are compared (nulls equal). With a subset,
     the first (or last) row per key in ``order_by`` order is kept: a
     ``min_by`` aggregate, so a hot key is reduced map-side instead of being
-    sorted in one task. Without ``order_by`` an arbitrary row is kept.
+    sorted in one task. Null order keys sort last. Without ``order_by``, or
+    among rows equal in every order key, an arbitrary row is kept.
     """
     if subset is None:
         return df.dropDuplicates()
@@ -142,7 +164,7 @@ def dedupe(df: DataFrame, subset=None, order_by: Sequence[str] | None = None,
         raise ValueError("keep must be 'first' or 'last'")
     row = F.struct(*[_c(c) for c in rest]) if rest else F.lit(None)
     red = df.groupBy(*[_c(k) for k in keys]).agg(
-        pick(row, F.struct(*[_c(o) for o in ob])).alias("_row"))
+        pick(row, order_key(ob)).alias("_row"))
     return red.select(*[_c(c) if c in keys else F.col("_row")[c].alias(c) for c in df.columns])
 
 
@@ -236,16 +258,17 @@ def find_replace(df: DataFrame, find: str, replace: str, columns=None, mode: str
 def replace_first(df: DataFrame, find: str, replace: str, column, order_by: Sequence[str],
                   mode: str = "contains", case: bool = False) -> DataFrame:
     """Replace only in the first matching row of ``column`` in
-    ``order_by`` order (which should be unique). The first row's order key
-    is a scalar subquery (one ``min`` over the matches)."""
+    ``order_by`` order (nulls last; it should be unique, as all rows equal in
+    it to the first match are replaced). The first row's order key is a scalar
+    subquery (one ``min`` over the matches)."""
     name = resolve_column(column, df.columns)
     if not order_by:
         raise ValueError("replace_first needs order_by")
     ob = resolve_columns(order_by, df.columns)
-    okey = F.struct(*[_c(o) for o in ob])
+    okey = order_key(ob)
     hit = match_expr(_c(name), find, mode, case)
     first = df.where(hit).select(F.min(okey)).scalar()
-    new = F.when(hit & (okey == first), replace_expr(_c(name), find, replace, mode, case)).otherwise(
+    new = F.when(hit & okey.eqNullSafe(first), replace_expr(_c(name), find, replace, mode, case)).otherwise(
         _c(name))
     return df.withColumn(name, new)
 

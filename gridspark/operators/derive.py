@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from gridspark.functions import core as fc
 from gridspark.functions.columns import resolve_column, resolve_columns
-from gridspark.operators.join import broadcast_if_small
 
 
 def _c(n: str) -> Column:
@@ -62,12 +61,15 @@ def map_values(df: DataFrame, column, mapping: dict, default=None, name: str | N
 def map_values_table(df: DataFrame, column, mapping: DataFrame, key: str, value: str,
                      default=None, name: str | None = None) -> DataFrame:
     """X4 for a mapping kept as a table (any size): a left join on the
-    trimmed key, broadcast only when the mapping is measured small."""
+    trimmed key. A key given twice with different values fails at run time."""
     col = resolve_column(column, df.columns)
     out = name or col
-    mp = mapping.select(F.trim(_c(key).cast("string")).alias("__mk"), _c(value).alias("__mv")) \
-        .dropDuplicates(["__mk"])
-    j = df.join(broadcast_if_small(mp), F.trim(df[f"`{col}`"].cast("string")) == F.col("__mk"), "left")
+    mp = mapping.select(F.trim(_c(key).cast("string")).alias("__mk"), _c(value).alias("__mv")).where("__mk IS NOT NULL")
+    one = (F.count("__mv") == F.count(F.lit(1))) & F.min("__mv").eqNullSafe(F.max("__mv")) | (F.count("__mv") == 0)
+    clash = F.raise_error(F.concat(F.lit("mapping key given twice with different values: "), F.col("__mk")))
+    mp = mp.groupBy("__mk").agg(F.min("__mv").alias("__mv"), one.alias("__one")).select(
+        "__mk", F.when(F.col("__one"), F.col("__mv")).otherwise(clash.cast(mp.schema["__mv"].dataType)).alias("__mv"))
+    j = df.join(mp, F.trim(df[f"`{col}`"].cast("string")) == F.col("__mk"), "left")
     fallback = F.lit(default) if default is not None else df[f"`{col}`"].cast("string")
     res = F.when(F.col("__mk").isNotNull(), F.col("__mv")).otherwise(fallback)
     keep = [df[f"`{c}`"] for c in df.columns if c != out]

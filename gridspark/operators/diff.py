@@ -18,7 +18,7 @@ def table_diff(before: DataFrame, after: DataFrame, key: Sequence[str] | str,
                columns: Sequence[str] | None = None, only_changes: bool = True) -> DataFrame:
     """G1: compare two versions of a table row by row on a unique ``key``.
 
-    One full outer join; per row: ``status`` (added / removed / changed /
+    One full outer join (a null key equals a null key); per row: ``status`` (added / removed / changed /
     same), ``changed_cells`` (null-safe comparison of each shared column)
     and ``changed_columns`` (their names, comma-separated). ``only_changes`` drops unchanged rows.
     """
@@ -29,7 +29,7 @@ def table_diff(before: DataFrame, after: DataFrame, key: Sequence[str] | str,
                       F.lit(True).alias("__in_b"))
     a = after.select(*[_c(k).alias(f"a__{k}") for k in keys], *[_c(c).alias(f"a__{c}") for c in cols],
                      F.lit(True).alias("__in_a"))
-    cond = [b[f"`{k}`"] == a[f"`a__{k}`"] for k in keys]
+    cond = [b[f"`{k}`"].eqNullSafe(a[f"`a__{k}`"]) for k in keys]
     j = b.join(a, on=cond, how="full_outer")
     diffs = [F.when(~_c(f"b__{c}").eqNullSafe(_c(f"a__{c}")), F.lit(c)) for c in cols]
     changed = F.filter(F.array(*diffs), lambda x: x.isNotNull()) if cols else F.array().cast("array<string>")

@@ -3,8 +3,7 @@
 Join strategy is left to Spark: with AQE on, a side whose *measured*
 runtime size is below ``spark.sql.autoBroadcastJoinThreshold`` is broadcast,
 anything else is a sort-merge join, and skewed partitions of the big side
-are split (``spark.sql.adaptive.skewJoin``). Explicit broadcasts are only
-used behind a size check (``broadcast_if_small``).
+are split (``spark.sql.adaptive.skewJoin``). No join carries a broadcast hint.
 
 A cross join operator is deliberately not offered (it emits all pairs).
 """
@@ -18,7 +17,7 @@ from pyspark.sql import functions as F
 
 from gridspark.functions.columns import resolve_column, resolve_columns
 from gridspark.operators.aggregate import agg_expr, canonical_agg
-from gridspark.plans.ordered import row_numbers
+from gridspark.plans.ordered import order_key, row_numbers
 
 JOIN_TYPES = {"left": "left", "inner": "inner", "outer": "full_outer", "full": "full_outer",
               "full_outer": "full_outer", "right": "right", "left_semi": "left_semi",
@@ -38,23 +37,6 @@ def _how(how: str) -> str:
     return JOIN_TYPES[h]
 
 
-def broadcast_if_small(df: DataFrame, max_bytes: int | None = None) -> DataFrame:
-    """Broadcast hint only when the optimizer's size estimate of ``df`` is
-    known and below ``max_bytes`` (default: the session's auto-broadcast
-    threshold); otherwise return ``df`` unchanged for a shuffle join."""
-    spark = df.sparkSession
-    limit = max_bytes if max_bytes is not None else int(
-        str(spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")).rstrip("b") or 0)
-    if limit <= 0:
-        return df
-    try:
-        size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-        size = int(str(size))
-    except Exception:  # noqa: BLE001 - no estimate available: do not broadcast
-        return df
-    return F.broadcast(df) if size <= limit else df
-
-
 def join(left: DataFrame, right: DataFrame, left_on, right_on=None, how: str = "left",
          suffixes: tuple[str, str] = ("_L", "_R"), null_safe: bool = False,
          select: Sequence[str] | None = None) -> DataFrame:
@@ -137,7 +119,7 @@ def lookup_column(left: DataFrame, right: DataFrame, left_key, right_key, value,
     """Add one column looked up from ``right``; never multiplies rows.
 
     ``first`` / ``last`` take the value of the first / last matching right
-    row in ``order_by`` order (required). The other aggregates reduce the
+    row in ``order_by`` order (required; nulls last, ties arbitrary). The other aggregates reduce the
     right table per key with a partial aggregate before the join.
     """
     lk = resolve_column(left_key, left.columns)
@@ -151,7 +133,7 @@ def lookup_column(left: DataFrame, right: DataFrame, left_key, right_key, value,
         if not order_by:
             raise ValueError("first/last lookups need order_by")
         ob = resolve_columns(order_by, right.columns)
-        key = F.struct(*[_c(o) for o in ob])
+        key = order_key(ob)
         pick = F.min_by if a == "first" else F.max_by
         red = right.where(_c(rk).isNotNull()).groupBy(_c(rk).alias("__k")).agg(
             pick(_c(v), key).alias(out))
@@ -176,11 +158,11 @@ def concat_columns(left: DataFrame, right: DataFrame, left_order: Sequence[str],
     or ``(name, ascending)`` pairs).
 
     Each side is numbered with the bucketed row numbering of
-    ``plans.ordered`` (no single-task window), then the two are full-outer
+    ``plans.ordered`` (no single-task window; null keys last), then the two are full-outer
     joined on the number; the shorter side pads with nulls.
     """
-    ln = row_numbers(left, list(left_order), name="__pos")
-    rn = row_numbers(right, list(right_order), name="__pos")
+    ln = row_numbers(left, list(left_order), name="__pos", null_keys=True)
+    rn = row_numbers(right, list(right_order), name="__pos", null_keys=True)
     clash = (set(left.columns) & set(right.columns))
     L = ln.select("__pos", *[_c(c).alias(c + suffixes[0]) if c in clash else _c(c) for c in left.columns])
     R = rn.select(F.col("__pos").alias("__pos_r"),

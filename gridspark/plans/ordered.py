@@ -25,6 +25,8 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridspark.session import scratch_path
+
 OrderSpec = Sequence  # of column names or (name, ascending) pairs
 
 
@@ -84,17 +86,14 @@ def _order_is_reproducible(df: DataFrame) -> bool:
         return False
 
 
-def materialize(df: DataFrame, name: str = "gridspark") -> DataFrame:
+def materialize(df: DataFrame, name: str = "gridspark", partition_by: Sequence[str] = ()) -> DataFrame:
     """Write ``df`` as Parquet under the shared checkpoint folder
     (``spark.checkpoint.dir``) and read it back: the lineage is cut, so every
-    later branch sees exactly the same rows, even after executor loss."""
-    import uuid
-
-    from gridspark.session import checkpoint_dir
-
-    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    later branch sees exactly the same rows, even after executor loss. The
+    folder goes when the application ends."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.partitionBy(*partition_by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -116,8 +115,34 @@ def _scalar_join(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.select("*", *[row[c].alias(c) for c in right.columns])
 
 
+def order_key(columns: Sequence[str]) -> Column:
+    """A struct that sorts like ``columns`` ascending with nulls last (for
+    ``min``, ``max``, ``min_by`` and ``max_by``)."""
+    return F.struct(*[x for i, c in enumerate(columns) for x in (
+        F.col(f"`{c}`").isNull().alias(f"_null{i}"), F.col(f"`{c}`").alias(f"_key{i}"))])
+
+
+def sort_order(order) -> list[Column]:
+    """Sort columns of an order, nulls last in either direction."""
+    return [F.col(f"`{k}`").asc_nulls_last() if asc else F.col(f"`{k}`").desc_nulls_last()
+            for k, asc in _norm_order(order)]
+
+
+def range_buckets(df: DataFrame, order, by: Sequence[str] = (), n_buckets: int | None = None,
+                  bucket: str = "_b", row_id: str = "_uid") -> DataFrame:
+    """``df`` written in contiguous slices of the order ``(by, order, row id)``,
+    with its slice number and row id. The row id splits rows that are equal in
+    every order key, so no slice depends on how often a key repeats; the written
+    table fixes both numbers for every later branch of a plan."""
+    nb = n_buckets or default_buckets(df)
+    tagged = df.withColumn(row_id, F.monotonically_increasing_id())
+    cut = tagged.repartitionByRange(
+        nb, *[F.col(f"`{b}`").asc() for b in by], *sort_order(order), F.col(row_id).asc())
+    return materialize(cut.withColumn(bucket, F.spark_partition_id()), "buckets", [bucket])
+
+
 def positions(df: DataFrame, order, by: Sequence[str] = (), n_buckets: int | None = None,
-              null_groups: bool = False) -> DataFrame:
+              null_groups: bool = False, null_keys: bool = False) -> DataFrame:
     """Position table: one row per distinct ``(by, order keys)`` with
 
     * ``_n``       rows holding this key
@@ -126,8 +151,9 @@ def positions(df: DataFrame, order, by: Sequence[str] = (), n_buckets: int | Non
     * ``_total``   non-null rows in the group
     * ``_ndist``   distinct keys in the group
 
-    Rows whose order key is null are left out (they rank null); so are rows
-    of a null group unless ``null_groups`` (aggregations keep null groups).
+    Rows whose order key is null are left out (they rank null) unless
+    ``null_keys`` (nulls then sort last); so are rows of a null group unless
+    ``null_groups`` (aggregations keep null groups).
     """
     order = _norm_order(order)
     by = list(by)
@@ -135,17 +161,15 @@ def positions(df: DataFrame, order, by: Sequence[str] = (), n_buckets: int | Non
     nb = n_buckets or default_buckets(df)
     cols = by + keys
     base = df.select(*[F.col(f"`{c}`") for c in cols])
-    for c in (keys if null_groups else cols):
+    for c in ([] if null_groups else by) + ([] if null_keys else keys):
         base = base.where(F.col(f"`{c}`").isNotNull())
     counts = base.groupBy(*[F.col(f"`{c}`") for c in cols]).agg(F.count(F.lit(1)).alias("_n"))
 
-    sort_cols = [F.col(f"`{b}`").asc() for b in by] + [
-        F.col(f"`{k}`").asc() if asc else F.col(f"`{k}`").desc() for k, asc in order]
+    sort_cols = [F.col(f"`{b}`").asc() for b in by] + sort_order(order)
     bucketed = counts.repartitionByRange(nb, *sort_cols).withColumn("_b", F.spark_partition_id())
 
     part = ["_b"] + by
-    w = Window.partitionBy(*part).orderBy(*[
-        F.col(f"`{k}`").asc() if asc else F.col(f"`{k}`").desc() for k, asc in order])
+    w = Window.partitionBy(*part).orderBy(*sort_order(order))
     # bucket ids come from the range exchange, which Spark shares between the
     # two branches joined below. As a guard, each slice's key count and key
     # checksum (xor of key hashes) from the offsets branch must agree with
@@ -208,14 +232,21 @@ def rank_expr(method: str) -> Column:
     raise ValueError(f"unknown rank method {method!r}; choose from {RANK_METHODS}")
 
 
-def _window_ranks(df: DataFrame, order, by: list[str], outputs: dict) -> DataFrame:
-    keys = [k for k, _ in order]
+def _numbered_rows(df: DataFrame, not_null: Sequence[str]) -> tuple[DataFrame, Column]:
+    """``df`` with ``_alone``, null for the rows that a window numbers and a value
+    of its own for each of the others (null in one of ``not_null``), so that those
+    never meet in one window partition."""
     valid = F.lit(True)
-    for c in by + keys:
+    for c in not_null:
         valid = valid & F.col(f"`{c}`").isNotNull()
-    part = [*[F.col(f"`{b}`") for b in by], valid]
-    ordering = [F.col(f"`{k}`").asc() if a else F.col(f"`{k}`").desc() for k, a in order]
-    w = Window.partitionBy(*part).orderBy(*ordering)
+    return df.withColumn("_alone", F.when(~valid, F.monotonically_increasing_id())), F.col("_alone").isNull()
+
+
+def _window_ranks(df: DataFrame, order, by: list[str], outputs: dict) -> DataFrame:
+    plain = df.columns
+    df, valid = _numbered_rows(df, by + [k for k, _ in order])
+    part = [*[F.col(f"`{b}`") for b in by], F.col("_alone")]
+    w = Window.partitionBy(*part).orderBy(*sort_order(order))
     lo = F.rank().over(w)
     hi = F.count(F.lit(1)).over(w.rangeBetween(Window.unboundedPreceding, 0))
     exprs = {"min": lo, "max": hi, "average": (lo + hi) / F.lit(2.0), "dense": F.dense_rank().over(w),
@@ -223,7 +254,8 @@ def _window_ranks(df: DataFrame, order, by: list[str], outputs: dict) -> DataFra
     for m in outputs.values():
         if m not in exprs:
             raise ValueError(f"unknown rank method {m!r}; choose from {RANK_METHODS}")
-    return df.select("*", *[F.when(valid, exprs[m]).alias(n) for n, m in outputs.items()])
+    return df.select(*[F.col(f"`{c}`") for c in plain],
+                     *[F.when(valid, exprs[m]).alias(n) for n, m in outputs.items()])
 
 
 def attach_ranks(df: DataFrame, order, by: Sequence[str] = (), outputs: dict | None = None,
@@ -239,11 +271,11 @@ def attach_ranks(df: DataFrame, order, by: Sequence[str] = (), outputs: dict | N
     pos = positions(df, order, by, n_buckets)
     pos = pos.select(*[F.col(f"`{c}`") for c in by + keys],
                      *[rank_expr(m).alias(name) for name, m in outputs.items()])
-    return df.join(pos, on=by + keys, how="left")
+    return df.join(pos, on=by + keys, how="left").select(*[F.col(f"`{c}`") for c in df.columns], *outputs)
 
 
 def row_numbers(df: DataFrame, order, by: Sequence[str] = (), name: str = "_row",
-                n_buckets: int | None = None, strategy: str = "auto") -> DataFrame:
+                n_buckets: int | None = None, strategy: str = "auto", null_keys: bool = False) -> DataFrame:
     """1-based row number in the given order (ordinal rank, R4).
 
     A hidden row id is appended as the last order key, so rows tied on every
@@ -251,26 +283,26 @@ def row_numbers(df: DataFrame, order, by: Sequence[str] = (), name: str = "_row"
     however hot, is numbered inside one task. The id must be the same in the
     two branches of the plan (numbering and joining back), so an input whose
     row order is not reproducible (it contains a shuffle) is first written to
-    the shared checkpoint folder. Rows with a null group or key get a null
-    number.
+    the shared checkpoint folder. Rows with a null group get a null number, and
+    so do rows with a null key unless ``null_keys`` (they are then numbered last).
     """
     by = list(by)
     plain = _norm_order(order)
-    if choose_strategy(df, strategy, by, by + [k for k, _ in plain]) == "window":
-        valid = F.lit(True)
-        for c in by + [k for k, _ in plain]:
-            valid = valid & F.col(f"`{c}`").isNotNull()
-        w = Window.partitionBy(*[F.col(f"`{b}`") for b in by], valid).orderBy(
-            *[F.col(f"`{k}`").asc() if a else F.col(f"`{k}`").desc() for k, a in plain])
-        return df.withColumn(name, F.when(valid, F.row_number().over(w).cast("long")))
+    not_null = by + ([] if null_keys else [k for k, _ in plain])
+    if choose_strategy(df, strategy, by, not_null) == "window":
+        rows, valid = _numbered_rows(df, not_null)
+        w = Window.partitionBy(*[F.col(f"`{b}`") for b in by], F.col("_alone")).orderBy(*sort_order(plain))
+        return rows.withColumn(name, F.when(valid, F.row_number().over(w).cast("long"))).drop("_alone")
     order = plain + [("_uid", True)]
     keys = [k for k, _ in order]
     tagged = df.withColumn("_uid", F.monotonically_increasing_id())
     if not _order_is_reproducible(df):
         tagged = materialize(tagged, "rownumbers")
-    pos = positions(tagged, order, by, n_buckets).select(
+    pos = positions(tagged, order, by, n_buckets, null_keys=null_keys).select(
         *[F.col(f"`{c}`") for c in by + keys], (F.col("_before") + 1).alias(name))
-    return tagged.join(pos, on=by + keys, how="left").drop("_uid")
+    out = null_safe_join(tagged, pos, by + keys, how="left") if null_keys else tagged.join(
+        pos, on=by + keys, how="left")
+    return out.select(*[F.col(f"`{c}`") for c in df.columns], name)
 
 
 def exact_quantiles(df: DataFrame, column: str, qs: Sequence[float], by: Sequence[str] = (),
@@ -290,7 +322,7 @@ def exact_quantiles(df: DataFrame, column: str, qs: Sequence[float], by: Sequenc
         for c in not_null:
             base = base.where(F.col(f"`{c}`").isNotNull())
         srt = base.groupBy(*[F.col(f"`{b}`") for b in by]).agg(
-            F.array_sort(F.collect_list(F.col(f"`{column}`").cast("double"))).alias("_s"))
+            F.array_sort(F.collect_list(F.col(f"`{column}`").cast("double"))).alias("_s")).where(F.size("_s") > 0)
         n = F.size("_s")
         picks = []
         for q in qs:
@@ -340,53 +372,41 @@ def quantile_array(df: DataFrame, column: str, qs: Sequence[float], by: Sequence
     ]).alias("values"))
 
 
-FILL_BLOCK_ROWS = 1_000_000
-
-
 def segmented_last(df: DataFrame, values, order, by: Sequence[str] = (),
-                   block_rows: int = FILL_BLOCK_ROWS, strategy: str = "auto") -> DataFrame:
+                   n_buckets: int | None = None, strategy: str = "auto") -> DataFrame:
     """Forward fill: each row gets, per column in ``values``, the last
-    non-null value at or before it in ``order`` (ascending keys) within its
-    group (C6), without sending a whole group to one task.
-
-    The position table numbers the rows of each group; rows are cut into
-    blocks of ``block_rows`` consecutive positions (a value computed from
-    the data, so every branch of the plan agrees on it). A window fills
-    inside each block, and the last non-null value of the group's earlier
-    blocks (a table of one row per block) fills the rest. Rows tied on the
-    whole order key are filled in an unspecified order among themselves.
+    non-null value at or before it in ``order`` (ascending keys, nulls last)
+    within its group (C6), without sending a whole group to one task.
+
+    Above ``gridspark.singleTaskRows`` the rows are written once in slices of
+    the order (``range_buckets``). A window fills inside each slice and group,
+    and the last non-null value of the group's earlier slices (a table of one
+    row per slice and group) fills the rest. Rows tied on the whole order key
+    are filled in an unspecified order among themselves.
     """
     values = [values] if isinstance(values, str) else list(values)
     order = _norm_order(order)
     if not all(asc for _, asc in order):
         raise ValueError("forward fill needs ascending order keys")
     by = list(by)
-    keys = [k for k, _ in order]
-    okeys = [F.col(f"`{k}`") for k in keys]
+    groups = [F.col(f"`{b}`") for b in by]
     if choose_strategy(df, strategy, by, []) == "window":
-        w = Window.partitionBy(*[F.col(f"`{b}`") for b in by]).orderBy(
-            *[k.asc_nulls_last() for k in okeys]).rowsBetween(Window.unboundedPreceding, 0)
+        w = Window.partitionBy(*groups).orderBy(*sort_order(order)).rowsBetween(Window.unboundedPreceding, 0)
         return df.select(*[F.last(F.col(f"`{c}`"), ignorenulls=True).over(w).alias(c) if c in values
                            else F.col(f"`{c}`") for c in df.columns])
-    pos = positions(df, order, by, null_groups=True).select(
-        *[F.col(f"`{c}`") for c in by + keys],
-        F.floor(F.col("_before") / F.lit(block_rows)).cast("long").alias("_blk"))
-    rows = null_safe_join(df, pos, by + keys, how="left").withColumn(
-        "_blk", F.coalesce(F.col("_blk"), F.lit(2 ** 62)))  # null order keys sort last
-    part = by + ["_blk"]
-    w = Window.partitionBy(*[F.col(f"`{c}`") for c in part]).orderBy(
-        *[k.asc_nulls_last() for k in okeys]).rowsBetween(Window.unboundedPreceding, 0)
+    rows = range_buckets(df, order, by, n_buckets)
+    w = Window.partitionBy("_b", *groups).orderBy(*sort_order(order), "_uid").rowsBetween(
+        Window.unboundedPreceding, 0)
     local = rows.select("*", *[F.last(F.col(f"`{v}`"), ignorenulls=True).over(w).alias(f"_fill{i}")
                                for i, v in enumerate(values)])
-    tails = rows.groupBy(*[F.col(f"`{c}`") for c in part]).agg(*[
-        F.max(F.when(F.col(f"`{v}`").isNotNull(), F.struct(*okeys, F.col(f"`{v}`").alias("_v"))))
-        .alias(f"_t{i}") for i, v in enumerate(values)])
-    wg = (Window.partitionBy(*[F.col(f"`{b}`") for b in by]) if by else Window.partitionBy()).orderBy(
-        "_blk").rowsBetween(Window.unboundedPreceding, -1)
-    carry = tails.select(*[F.col(f"`{c}`") for c in part],
-                         *[F.last(F.col(f"_t{i}._v"), ignorenulls=True).over(wg).alias(f"_c{i}")
-                           for i in range(len(values))])
-    res = null_safe_join(local, carry, part, how="left")
+    place = F.struct(order_key([k for k, _ in order]).alias("k"), F.col("_uid"))
+    tails = rows.groupBy("_b", *groups).agg(*[
+        F.max_by(F.col(f"`{v}`"), F.when(F.col(f"`{v}`").isNotNull(), place)).alias(f"_t{i}")
+        for i, v in enumerate(values)])
+    wg = Window.partitionBy(*groups).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    carry = tails.select("_b", *groups, *[F.last(f"_t{i}", ignorenulls=True).over(wg).alias(f"_c{i}")
+                                          for i in range(len(values))])
+    res = null_safe_join(local, carry, ["_b", *by], how="left")
     return res.select(*[
         (F.coalesce(F.col(f"_fill{values.index(c)}"), F.col(f"_c{values.index(c)}")).alias(c)
          if c in values else F.col(f"`{c}`")) for c in df.columns])

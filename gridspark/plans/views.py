@@ -63,7 +63,7 @@ def apply_view(df: DataFrame, spec: dict) -> DataFrame:
     dropped), then the page when ``page`` is set."""
     out = filter_stack(df, spec.get("filters", []))
     order = [(c, a) for c, a in _sort_items(spec) if c in df.columns]
-    if order:
+    if order and not spec.get("page"):
         out = out.orderBy(*sort_columns(out, order))
     cols = [c for c in (spec.get("columns") or []) if c in df.columns]
     if spec.get("page"):

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from gridspark.operators import clean as C
+from gridspark.operators.issues import apply_fix
 from gridspark.registry.base import query, table
 
 # orders with nulls made from values (no nulls exist in the driver tables)
@@ -281,3 +282,77 @@ def cell_update_batch(spark, d):
     o = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
     edits = o.where("o_totalprice > 450000").select("o_orderkey", F.lit("E").alias("o_orderstatus"))
     return C.apply_edits(o, edits, "o_orderkey")
+
+
+_NULL_TS = "CASE WHEN event_id % 5 = 0 THEN NULL ELSE ts END"
+
+
+def _ffill_null_order(strategy):
+    @query(f"ffill_null_order_{strategy}", f"""
+SELECT event_id, event_type, last_value({_EV_VALUE} IGNORE NULLS) OVER (
+         PARTITION BY event_type ORDER BY {_NULL_TS} NULLS LAST, event_id
+         ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS value
+FROM events""")
+    def run(spark, d):
+        ev = table(spark, d, "events").select("event_id", "event_type", F.expr(_NULL_TS).alias("at"),
+                                              F.expr(_EV_VALUE).alias("value"))
+        return C.forward_fill(ev, ["value"], ["at", "event_id"], ["event_type"], strategy=strategy).drop("at")
+    return run
+
+
+for _s in ("window", "positions"):
+    _ffill_null_order(_s)
+
+_NULL_QTY = "CASE WHEN l_quantity < 30 THEN NULL ELSE l_quantity END"
+
+
+@query("dedupe_null_order", f"""
+SELECT l_suppkey, l_orderkey, l_linenumber, l_partkey, qty FROM (
+  SELECT l_suppkey, l_orderkey, l_linenumber, l_partkey, {_NULL_QTY} AS qty, row_number() OVER (
+    PARTITION BY l_suppkey ORDER BY {_NULL_QTY} NULLS LAST, l_orderkey, l_linenumber, l_partkey) AS rn
+  FROM lineitem) WHERE rn = 1""")
+def dedupe_null_order(spark, d):
+    li = table(spark, d, "lineitem").selectExpr("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", f"{_NULL_QTY} AS qty")
+    return C.dedupe(li, ["l_suppkey"], order_by=["qty", "l_orderkey", "l_linenumber", "l_partkey"])
+
+
+@query("replace_first_null_order", """
+WITH p AS (SELECT p_partkey, p_name, CASE WHEN p_partkey % 2 = 1 THEN NULL ELSE p_partkey END AS ord FROM part),
+f AS (SELECT p_partkey AS k FROM p WHERE contains(lower(p_name), 'ring') ORDER BY ord NULLS LAST, p_partkey LIMIT 1)
+SELECT p_partkey, ord, CASE WHEN p_partkey = (SELECT k FROM f)
+                       THEN regexp_replace(p_name, 'ring', 'RING', 'gi') ELSE p_name END AS p_name FROM p""")
+def replace_first_null_order(spark, d):
+    p = table(spark, d, "part").selectExpr("p_partkey", "p_name",
+                                           "CASE WHEN p_partkey % 2 = 1 THEN NULL ELSE p_partkey END AS ord")
+    return C.replace_first(p, "ring", "RING", "p_name", ["ord", "p_partkey"])
+
+
+@query("fill_all_columns", """
+SELECT coalesce(CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_orderkey END, 0) AS o_orderkey, o_custkey, o_orderstatus,
+       coalesce(CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_totalprice END, 0) AS o_totalprice,
+       CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE o_orderdate END AS o_orderdate, o_orderpriority FROM orders""")
+def fill_all_columns(spark, d):
+    o = table(spark, d, "orders").selectExpr(
+        "CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_orderkey END AS o_orderkey", "o_custkey", "o_orderstatus",
+        "CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_totalprice END AS o_totalprice",
+        "CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE o_orderdate END AS o_orderdate", "o_orderpriority")
+    return C.fill_value(o, 0)
+
+
+@query("issue_fix_dates", """
+SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN NULL ELSE o_orderdate END AS day FROM orders""")
+def issue_fix_dates(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 10 == 0, "not a day").otherwise(
+        F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss")).alias("day"))
+    return apply_fix(o, "day", "date_like_strings")
+
+
+@query("issue_fix_high_nulls", "SELECT c_custkey, c_name FROM customer")
+def issue_fix_high_nulls(spark, d):
+    c = table(spark, d, "customer").select("c_custkey", "c_name", F.when(F.col("c_custkey") % 9 == 0, 1).alias("rare"))
+    return apply_fix(c, "rare", "high_nulls")
+
+
+@query("issue_fix_unique", "SELECT s_suppkey, s_name, true AS s_suppkey_is_id FROM supplier")
+def issue_fix_unique(spark, d):
+    return apply_fix(table(spark, d, "supplier").select("s_suppkey", "s_name"), "s_suppkey", "unique_values")

@@ -18,26 +18,20 @@ def join_inner(spark, d):
                 "inner")
 
 
-_BIG_ORDERS = "o_totalprice > 400000"
-_BUILDING = "c_mktsegment = 'BUILDING'"
+# whole tables on both sides; the expression leaves rows without a partner on either side
+_HALF_KEYS = "SELECT *, c_custkey * 2 AS c_key FROM customer"
 
 
-@query("join_full", f"""
-SELECT * FROM (SELECT * FROM orders WHERE {_BIG_ORDERS}) o
-FULL OUTER JOIN (SELECT * FROM customer WHERE {_BUILDING}) c ON o_custkey = c_custkey""")
+@query("join_full", f"SELECT * FROM orders FULL OUTER JOIN ({_HALF_KEYS}) c ON o_custkey = c_key")
 def join_full(spark, d):
-    o = table(spark, d, "orders").where(_BIG_ORDERS)
-    c = table(spark, d, "customer").where(_BUILDING)
-    return join(o, c, "o_custkey", "c_custkey", "full")
+    c = table(spark, d, "customer").withColumn("c_key", F.col("c_custkey") * 2)
+    return join(table(spark, d, "orders"), c, "o_custkey", "c_key", "full")
 
 
-@query("join_right", f"""
-SELECT * FROM (SELECT * FROM orders WHERE {_BIG_ORDERS}) o
-RIGHT JOIN (SELECT * FROM customer WHERE {_BUILDING}) c ON o_custkey = c_custkey""")
+@query("join_right", f"SELECT * FROM orders RIGHT JOIN ({_HALF_KEYS}) c ON o_custkey = c_key")
 def join_right(spark, d):
-    o = table(spark, d, "orders").where(_BIG_ORDERS)
-    c = table(spark, d, "customer").where(_BUILDING)
-    return join(o, c, "o_custkey", "c_custkey", "right")
+    c = table(spark, d, "customer").withColumn("c_key", F.col("c_custkey") * 2)
+    return join(table(spark, d, "orders"), c, "o_custkey", "c_key", "right")
 
 
 @query("join_suffixes", """
@@ -71,12 +65,12 @@ def join_semi(spark, d):
 @query("join_natural", """
 SELECT a.l_orderkey, a.l_linenumber, a.l_partkey, a.l_quantity, b.l_extendedprice
 FROM (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity FROM lineitem) a
-LEFT JOIN (SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice FROM lineitem WHERE l_quantity > 40) b
+LEFT JOIN (SELECT l_orderkey, l_linenumber + 1 AS l_linenumber, l_partkey, l_extendedprice FROM lineitem) b
   ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber AND a.l_partkey = b.l_partkey""")
 def join_natural(spark, d):
     li = table(spark, d, "lineitem")
     a = li.select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
-    b = li.where("l_quantity > 40").select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
+    b = li.selectExpr("l_orderkey", "l_linenumber + 1 AS l_linenumber", "l_partkey", "l_extendedprice")
     return natural_join(a, b)
 
 
@@ -109,14 +103,12 @@ def lookup_agg(spark, d):
 
 
 @query("stack", """
-SELECT o_orderkey, o_totalprice, NULL::VARCHAR AS o_orderstatus FROM orders WHERE o_orderpriority = '1-URGENT'
+SELECT o_orderkey, o_totalprice, NULL::VARCHAR AS o_orderstatus FROM orders
 UNION ALL
-SELECT o_orderkey, NULL::DOUBLE, o_orderstatus FROM orders WHERE o_orderpriority = '2-HIGH'""")
+SELECT o_orderkey, NULL::DOUBLE, o_orderstatus FROM orders""")
 def stack_q(spark, d):
     o = table(spark, d, "orders")
-    a = o.where("o_orderpriority = '1-URGENT'").select("o_orderkey", "o_totalprice")
-    b = o.where("o_orderpriority = '2-HIGH'").select("o_orderkey", "o_orderstatus")
-    return stack(a, b)
+    return stack(o.select("o_orderkey", "o_totalprice"), o.select("o_orderkey", "o_orderstatus"))
 
 
 @query("concat_cols", """
@@ -129,3 +121,32 @@ def concat_cols(spark, d):
     s = table(spark, d, "supplier").select("s_suppkey", "s_name", "s_acctbal")
     out = concat_columns(c, s, [("c_acctbal", False), "c_custkey"], [("s_acctbal", False), "s_suppkey"])
     return out.select("c_custkey", "c_name", "s_suppkey", "s_name", "row_position")
+
+
+_NULL_LINE = "CASE WHEN l_linenumber % 3 = 1 THEN NULL ELSE l_linenumber END"
+
+
+@query("lookup_null_order", f"""
+SELECT o.*, l.l_partkey FROM orders o LEFT JOIN (
+  SELECT l_orderkey, l_partkey FROM (
+    SELECT l_orderkey, l_partkey, row_number() OVER (
+      PARTITION BY l_orderkey ORDER BY {_NULL_LINE} NULLS LAST, l_partkey, l_quantity) AS rn
+    FROM lineitem) WHERE rn = 1) l ON o.o_orderkey = l.l_orderkey""")
+def lookup_null_order(spark, d):
+    li = table(spark, d, "lineitem").withColumn("line", F.expr(_NULL_LINE))
+    return lookup_column(table(spark, d, "orders"), li, "o_orderkey", "l_orderkey", "l_partkey", "first",
+                         order_by=["line", "l_partkey", "l_quantity"])
+
+
+_NULL_BAL = "CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE c_acctbal END"
+
+
+@query("concat_null_order", f"""
+WITH c AS (SELECT c_custkey, {_NULL_BAL} AS bal,
+                  row_number() OVER (ORDER BY {_NULL_BAL} DESC NULLS LAST, c_custkey) AS p FROM customer),
+     s AS (SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) AS p FROM supplier)
+SELECT c_custkey, bal, s_suppkey, coalesce(c.p, s.p) AS row_position FROM c FULL OUTER JOIN s ON c.p = s.p""")
+def concat_null_order(spark, d):
+    c = table(spark, d, "customer").select("c_custkey", F.expr(_NULL_BAL).alias("bal"))
+    s = table(spark, d, "supplier").select("s_suppkey")
+    return concat_columns(c, s, [("bal", False), "c_custkey"], ["s_suppkey"])

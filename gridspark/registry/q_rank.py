@@ -166,6 +166,35 @@ def rank_global_window(spark, d):
     return rank(li, "l_quantity", "min", group="l_returnflag", strategy="window").drop("l_returnflag")
 
 
+@query("rank_global_plain", """
+SELECT l_orderkey, l_linenumber, l_extendedprice, rank() OVER (ORDER BY l_extendedprice DESC) AS rank_min,
+       dense_rank() OVER (ORDER BY l_extendedprice DESC) AS rank_dense
+FROM lineitem""")
+def rank_global_plain(spark, d):
+    """The data of ``rank_global_bucketed`` through one plain window, for comparison."""
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
+    return ranks(li, "l_extendedprice", {"rank_min": "min", "rank_dense": "dense"}, strategy="window")
+
+
+_NULL_PRICE = "CASE WHEN o_orderkey % 3 <> 0 THEN NULL ELSE o_totalprice END"
+
+
+def _null_ranks(strategy):
+    @query(f"rank_null_keys_{strategy}", f"""
+SELECT o_orderkey, o_orderstatus, {_NULL_PRICE} AS price,
+       CASE WHEN {_NULL_PRICE} IS NOT NULL THEN
+            rank() OVER (PARTITION BY o_orderstatus ORDER BY {_NULL_PRICE} DESC NULLS LAST) END AS price_rank
+FROM orders""")
+    def run(spark, d):
+        o = table(spark, d, "orders").selectExpr("o_orderkey", "o_orderstatus", f"{_NULL_PRICE} AS price")
+        return rank(o, "price", "min", group="o_orderstatus", strategy=strategy)
+    return run
+
+
+for _s in ("auto", "window", "positions"):
+    _null_ranks(_s)
+
+
 @query("category_codes", """
 SELECT p_partkey, p_type, (dense_rank() OVER (ORDER BY p_type) - 1) AS p_type_code FROM part""")
 def category_codes_q(spark, d):

@@ -1,6 +1,8 @@
 """Search and diff queries (Q1-Q3, G1)."""
 
 
+from pyspark.sql import functions as F
+
 from gridspark.operators.diff import diff_summary, table_diff
 from gridspark.operators.search import fuzzy_replace, fuzzy_search, search_all, suggest_values
 from gridspark.registry.base import query, table
@@ -124,3 +126,14 @@ def conversations_text_search(spark, d):
     from gridspark.operators.filter import filter_rows
     c = filter_rows(table(spark, d, "conversations"), "role", "==", "assistant")
     return search_all(c, "the", columns=["text"]).select("conv_id", "turn", "role")
+
+
+@query("diff_null_key", """
+WITH b AS (SELECT nullif(n_nationkey, 3) AS k, n_name, n_regionkey FROM nation)
+SELECT k, 'changed' AS status, 1::BIGINT AS changed_cells, 'n_regionkey' AS changed_columns FROM b
+WHERE k IS NULL OR k % 2 = 0""")
+def diff_null_key(spark, d):
+    b = table(spark, d, "nation").select(F.nullif("n_nationkey", F.lit(3)).alias("k"), "n_name", "n_regionkey")
+    a = b.withColumn("n_regionkey", F.when(F.col("k").isNull() | (F.col("k") % 2 == 0), F.col("n_regionkey") + 100)
+                     .otherwise(F.col("n_regionkey")))
+    return table_diff(b, a, "k")

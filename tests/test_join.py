@@ -1,3 +1,6 @@
+import pytest
+from pyspark.sql import functions as F
+
 
 from gridspark.operators.join import (concat_columns, join, lookup_column, natural_join, stack,
                                       vlookup_join)
@@ -59,16 +62,28 @@ def test_cross_join_refused(spark):
         join(a, a, "id", how="cross")
 
 
-def test_broadcast_only_behind_size_check(spark):
-    from gridspark.operators.join import broadcast_if_small
-    # unknown size (a local frame): never broadcast
-    local = spark.createDataFrame([(1, "a")], "k long, v string")
-    assert "broadcast" not in broadcast_if_small(local)._jdf.queryExecution().analyzed().toString().lower()
-    small = spark.read.parquet("/root/testdata/sf0.01/nation.parquet")
-    hinted = broadcast_if_small(small)._jdf.queryExecution().analyzed().toString()
-    assert "broadcast" in hinted.lower()
-    plain = broadcast_if_small(small, max_bytes=1)._jdf.queryExecution().analyzed().toString()
-    assert "broadcast" not in plain.lower()
-    big = spark.read.parquet("/root/testdata/sf0.01/lineitem.parquet")
-    assert "broadcast" not in broadcast_if_small(big, max_bytes=1024)._jdf.queryExecution().analyzed() \
-        .toString().lower()
+def test_joins_carry_no_broadcast_hint(spark):
+    from gridspark.operators.derive import map_values_table
+    a = spark.range(5).withColumnRenamed("id", "k")
+    m = spark.createDataFrame([("1", "one")], "key string, val string")
+    for df in (join(a, a.withColumn("v", F.col("k")), "k"), map_values_table(a, "k", m, "key", "val")):
+        assert "ResolvedHint" not in df._jdf.queryExecution().analyzed().toString()
+
+
+def test_null_order_keys_come_last(spark):
+    left = spark.createDataFrame([("a",), ("b",)], "k string")
+    right = spark.createDataFrame([("a", None, 1), ("a", 5, 2), ("b", None, 3)], "k string, o long, v long")
+    got = lookup_column(left, right, "k", "k", "v", "first", order_by=["o"])
+    assert sorted(map(tuple, got.collect())) == [("a", 2), ("b", 3)]
+    x = spark.createDataFrame([(1,), (None,)], "x long")
+    y = spark.createDataFrame([(5,), (6,)], "y long")
+    assert sorted(map(tuple, concat_columns(x, y, ["x"], ["y"]).collect()), key=lambda r: r[2]) == [(1, 5, 1), (None, 6, 2)]
+
+
+def test_mapping_key_given_twice(spark):
+    from gridspark.operators.derive import map_values_table
+    a = spark.createDataFrame([("1",), ("2",), (None,)], "k string")
+    same = spark.createDataFrame([("1", "one"), (" 1", "one"), (None, "x")], "key string, val string")
+    assert sorted(map(tuple, map_values_table(a, "k", same, "key", "val").collect()), key=repr) == [("2",), ("one",), (None,)]
+    with pytest.raises(Exception, match="given twice"):
+        map_values_table(a, "k", same.unionAll(spark.createDataFrame([("1", "uno")], same.schema)), "key", "val").collect()
