@@ -34,12 +34,13 @@ def parse_col_letter(letters: str) -> int:
     return n - 1
 
 
-def resolve_column(ref, columns: Sequence[str]) -> str:
+def resolve_column(ref, columns: Sequence[str], fuzzy: float | None = None) -> str:
     """Resolve one reference against ``columns``.
 
     Order: exact name, case-insensitive name, 1-based number, letters,
-    unique substring (case-insensitive). Anything else raises ``KeyError``
-    naming the closest candidates.
+    unique substring (case-insensitive), and with ``fuzzy`` (a similarity from
+    0 to 1) the closest name at least that similar. Anything else raises
+    ``KeyError`` naming the closest candidates.
     """
     cols = list(columns)
     if isinstance(ref, int):
@@ -66,15 +67,19 @@ def resolve_column(ref, columns: Sequence[str]) -> str:
         return hits[0]
     if len(hits) > 1:
         raise KeyError(f"column reference {ref!r} is ambiguous: {hits}")
+    if fuzzy is not None:
+        best = difflib.get_close_matches(r.lower(), low, n=1, cutoff=fuzzy)
+        if best:
+            return cols[low.index(best[0])]
     close = difflib.get_close_matches(r, cols, n=3, cutoff=0.5)
     raise KeyError(f"unknown column {ref!r}; did you mean {close or cols[:5]}?")
 
 
-def resolve_columns(refs, columns: Sequence[str]) -> list[str]:
+def resolve_columns(refs, columns: Sequence[str], fuzzy: float | None = None) -> list[str]:
     """Resolve several references, keeping order and dropping repeats."""
     out: list[str] = []
     for r in refs:
-        c = resolve_column(r, columns)
+        c = resolve_column(r, columns, fuzzy)
         if c not in out:
             out.append(c)
     return out

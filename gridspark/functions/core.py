@@ -128,11 +128,16 @@ def to_date(c, fmt: str | None = None, formats: Iterable[str] = AUTO_DATE_FORMAT
     c = as_col(c)
     s = F.trim(c.cast("string"))
     if fmt:
-        parsed = F.try_to_timestamp(s, F.lit(fmt))
-    else:
-        parsed = F.when(s.rlike(DATE_SHAPE),
-                        F.coalesce(*[F.try_to_timestamp(s, F.lit(f)) for f in formats]))
-    return parsed.cast("timestamp_ntz")
+        return _wall_clock(s, fmt)
+    return F.when(s.rlike(DATE_SHAPE), F.coalesce(*[_wall_clock(s, f) for f in formats]))
+
+
+def _wall_clock(s: Column, fmt: str) -> Column:
+    """``timestamp_ntz`` of a text in a Spark pattern, null if it does not fit.
+
+    The zone-free parse keeps times that a zone skips (a gap in spring); it
+    raises on other text, so the tolerant zoned parse decides what fits."""
+    return F.when(F.try_to_timestamp(s, F.lit(fmt)).isNotNull(), F.to_timestamp_ntz(s, F.lit(fmt)))
 
 
 # ---------------------------------------------------------------------------

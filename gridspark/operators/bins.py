@@ -54,7 +54,8 @@ def equal_width_bins(df: DataFrame, column, n: int, name: str | None = None) ->
 
 
 def quantile_bins(df: DataFrame, column, q: int, name: str | None = None, exact: bool = True) -> DataFrame:
-    """B2: ``q`` quantile bins; duplicate edges are dropped (fewer bins).
+    """B2: ``q`` quantile bins; duplicate edges are dropped (fewer bins; none,
+    so null bins, for a column of one value or of nulls only).
     Edges are the exact quantiles 0, 1/q, ..., 1 (``exact=False``: approximate
     one-pass quantiles)."""
     if q < 1:
@@ -66,11 +67,11 @@ def quantile_bins(df: DataFrame, column, q: int, name: str | None = None, exact:
         F.array_distinct("values").alias("e")).scalar()
     k = F.size(edges)
     # inner edges are positions 2 .. k-1 of the distinct edge list
-    inner = [F.when(F.lit(i) < k, F.element_at(edges, i)) for i in range(2, q + 1)]
+    inner = [F.when(F.lit(i) < k, F.try_element_at(edges, F.lit(i))) for i in range(2, q + 1)]
     v = _c(col).cast("double")
-    b = _bin_of(v, inner)
-    return df.select("*", b.alias(out), F.element_at(edges, b).alias(f"{out}_lo"),
-                     F.element_at(edges, b + 1).alias(f"{out}_hi"))
+    b = F.when(k >= 2, _bin_of(v, inner))
+    return df.select("*", b.alias(out), F.try_element_at(edges, b).alias(f"{out}_lo"),
+                     F.try_element_at(edges, b + 1).alias(f"{out}_hi"))
 
 
 def custom_bins(df: DataFrame, column, edges: Sequence[float], labels: Sequence[str] | None = None,

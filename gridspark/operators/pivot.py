@@ -1,9 +1,9 @@
 """Pivot tables and cross tabulations (V-P1 to V-P5).
 
 The pivot values decide the output *schema*, so they are either passed in or
-read with one bounded distinct query (at most ``max_values`` values; more
-raises instead of truncating). With the values known, Spark plans the pivot
-as a single aggregation with one conditional aggregate per value.
+read with one distinct query; ``max_values`` may bound that (more raise instead
+of being cut off), which is left to the caller. With the values known, Spark
+plans the pivot as a single aggregation with one conditional aggregate per value.
 """
 
 from __future__ import annotations
@@ -16,36 +16,48 @@ from pyspark.sql import functions as F
 from gridspark.functions.columns import resolve_column, resolve_columns
 from gridspark.operators.aggregate import agg_expr, canonical_agg
 
-MAX_PIVOT_VALUES = 10_000
-
-
 def _c(n: str) -> Column:
     return F.col(f"`{n}`")
 
 
-def pivot_values(df: DataFrame, key: Column, max_values: int = MAX_PIVOT_VALUES) -> list:
-    """Sorted distinct non-null values of ``key`` (schema discovery; the
-    list is bounded by ``max_values``)."""
-    rows = (df.select(key.alias("_k")).where("_k IS NOT NULL").distinct()
-            .orderBy("_k").limit(max_values + 1).collect())
-    if len(rows) > max_values:
+def pivot_values(df: DataFrame, columns: Sequence[str], max_values: int | None = None) -> list[tuple]:
+    """Sorted distinct values of the pivot columns, as tuples (none of them null)."""
+    rows = df.select(*[_c(c) for c in columns]).distinct().orderBy(*[_c(c) for c in columns])
+    if max_values is not None:
+        rows = rows.limit(max_values + 1)
+    found = [tuple(r) for r in rows.collect()]
+    if max_values is not None and len(found) > max_values:
         raise ValueError(f"more than {max_values} pivot values; pass values= explicitly")
-    return [r["_k"] for r in rows]
-
-
-def _pivot_key(df: DataFrame, cols: list[str]) -> Column:
-    if len(cols) == 1:
-        return _c(cols[0])
-    return F.concat_ws("_", *[_c(c).cast("string") for c in cols])
+    return found
+
+
+def _pivoted(df: DataFrame, rows: list[str], columns: list[str], values: list[tuple], names: list[str],
+             cell: Column) -> DataFrame:
+    """``rows`` x ``values`` of ``cell``; pivot columns are told apart by the
+    values themselves and named by position."""
+    if len(set(names)) < len(names) or set(names) & set(rows):
+        raise ValueError(f"pivot column names are not unique: {sorted(n for n in names if names.count(n) > 1 or n in rows)}")
+    if len(columns) == 1:
+        key, keys = _c(columns[0]), [v[0] for v in values]
+    else:
+        # quoted text of the struct: distinct values never share it
+        key = F.to_json(F.struct(*[_c(c) for c in columns]))
+        given = df.sparkSession.createDataFrame(values, df.select(*[_c(c) for c in columns]).schema)
+        keys = [r[0] for r in given.select(F.to_json(F.struct(*[_c(c) for c in columns]))).collect()]
+    out = df.withColumn("_pk", key).groupBy(*[_c(r) for r in rows]).pivot("_pk", keys).agg(cell)
+    return out.toDF(*rows, *names)
 
 
 def pivot_table(df: DataFrame, rows: Sequence, columns: Sequence | None, value, agg: str = "sum",
-                values: Sequence | None = None, fill=0, max_values: int = MAX_PIVOT_VALUES) -> DataFrame:
+                values: Sequence | None = None, fill=0, max_values: int | None = None, sep: str = "_") -> DataFrame:
     """V-P1..V-P3: ``rows`` x ``columns`` of ``agg(value)``.
 
     Rows with a null row or column key are dropped; empty cells are filled
-    with ``fill`` (None keeps them null). Several pivot columns are joined
-    with ``_`` into one key. No pivot column gives a plain group summary.
+    with ``fill`` (None keeps them null). Output columns are named by their
+    value; several pivot columns by their values joined with ``sep`` (names that
+    come out equal raise: choose another ``sep``). ``values`` gives the pivot
+    values, as tuples for several columns. No pivot column gives a plain group
+    summary.
     """
     rcols = resolve_columns([rows] if isinstance(rows, (str, int)) else rows, df.columns)
     v = resolve_column(value, df.columns)
@@ -61,33 +73,38 @@ def pivot_table(df: DataFrame, rows: Sequence, columns: Sequence | None, value,
     ccols = resolve_columns([columns] if isinstance(columns, (str, int)) else columns, df.columns)
     for c in ccols:
         base = base.where(_c(c).isNotNull())
-    base = base.withColumn("_pk", _pivot_key(base, ccols))
-    vals = list(values) if values is not None else pivot_values(base, F.col("_pk"), max_values)
-    out = base.groupBy(*[_c(r) for r in rcols]).pivot("_pk", vals).agg(agg_expr(f, v))
-    names = [str(x) for x in vals]
+    vals = pivot_values(base, ccols, max_values) if values is None else [
+        tuple(x) if isinstance(x, (tuple, list)) else (x,) for x in values]
+    names = [sep.join(str(x) for x in t) for t in vals]
+    out = _pivoted(base, rcols, ccols, vals, names, agg_expr(f, v))
     if fill is not None:
         out = out.select(*[_c(r) for r in rcols],
-                         *[F.coalesce(_c(n), F.lit(fill)).alias(n) for n in names])
+                         *[F.coalesce(_quoted(n), F.lit(fill)).alias(n) for n in names])
     return out.orderBy(*[_c(r) for r in rcols])
 
 
+def _quoted(name: str) -> Column:
+    """A column of any name, backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def crosstab(df: DataFrame, row, column, totals: bool = False, values: Sequence | None = None,
-             total_label: str = "Total", max_values: int = MAX_PIVOT_VALUES) -> DataFrame:
+             total_label: str = "Total", max_values: int | None = None) -> DataFrame:
     """V-P4/V-P5: counts of ``row`` x ``column`` values, nulls dropped, zero
     filled; ``totals`` adds a Total column and a Total row (grand total in
     the corner). With totals the row key is text, so the label fits."""
     r, c = resolve_column(row, df.columns), resolve_column(column, df.columns)
     base = df.where(_c(r).isNotNull() & _c(c).isNotNull())
-    vals = list(values) if values is not None else pivot_values(base, _c(c), max_values)
-    names = [str(x) for x in vals]
-    body = base.groupBy(_c(r)).pivot(c, vals).count()
-    body = body.select(_c(r), *[F.coalesce(_c(n), F.lit(0)).cast("long").alias(n) for n in names])
+    vals = pivot_values(base, [c], max_values) if values is None else [(x,) for x in values]
+    names = [str(t[0]) for t in vals]
+    body = _pivoted(base, [r], [c], vals, names, F.count(F.lit(1)))
+    body = body.select(_c(r), *[F.coalesce(_quoted(n), F.lit(0)).cast("long").alias(n) for n in names])
     if not totals:
         return body.orderBy(_c(r))
-    total_col = sum((_c(n) for n in names), F.lit(0)).cast("long").alias(total_label)
-    body = body.select(_c(r).cast("string").alias(r), *[_c(n) for n in names], total_col)
+    total_col = sum((_quoted(n) for n in names), F.lit(0)).cast("long").alias(total_label)
+    body = body.select(_c(r).cast("string").alias(r), *[_quoted(n) for n in names], total_col)
     # the total row sums the (small) body: no second pass over the table
-    foot = body.agg(*[F.coalesce(F.sum(_c(n)), F.lit(0)).cast("long").alias(n) for n in names],
+    foot = body.agg(*[F.coalesce(F.sum(_quoted(n)), F.lit(0)).cast("long").alias(n) for n in names],
                     F.coalesce(F.sum(_c(total_label)), F.lit(0)).cast("long").alias(total_label))
-    foot = foot.select(F.lit(total_label).alias(r), *[_c(n) for n in names], _c(total_label))
+    foot = foot.select(F.lit(total_label).alias(r), *[_quoted(n) for n in names], _c(total_label))
     return body.unionByName(foot)

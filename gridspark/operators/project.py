@@ -10,19 +10,21 @@ from pyspark.sql import functions as F
 
 from gridspark.functions.columns import parse_column_list, resolve_column, resolve_columns
 from gridspark.operators.order import sort_columns
+from gridspark.plans.ordered import range_buckets, sort_order
 
 
 def _c(name: str):
     return F.col(f"`{name}`")
 
 
-def select_columns(df: DataFrame, refs) -> DataFrame:
+def select_columns(df: DataFrame, refs, fuzzy: float | None = None) -> DataFrame:
     """Keep columns given by names, numbers, letters, unique name
-    parts, or a list spec such as ``"1,3,5-7"`` / ``"all"``."""
+    parts, or a list spec such as ``"1,3,5-7"`` / ``"all"``. With ``fuzzy``, a
+    list may also hold misspelt names (see ``resolve_column``)."""
     if isinstance(refs, str):
         cols = parse_column_list(refs, df.columns)
     else:
-        cols = resolve_columns(refs, df.columns)
+        cols = resolve_columns(refs, df.columns, fuzzy)
     return df.select(*[_c(c) for c in cols])
 
 
@@ -88,28 +90,44 @@ def page(df: DataFrame, number: int, size: int, order_by: Sequence,
          reset_past_end: bool = True) -> DataFrame:
     """Rows of page ``number`` (1-based) of ``size`` rows.
 
-    A page past the end gives page 1 when ``reset_past_end``: the first page
-    is unioned in under a scalar-subquery guard ``count(*) <= offset``, so no
-    count is pulled to the driver and both branches are bounded top-k plans.
+    Page 1 is a bounded top-k. For a later page the rows are written once in
+    slices of the order; the slices' row counts tell which of them hold the
+    page, and only those are read and sorted, so the work after the write does
+    not grow with the page number. Rows equal in every order key come in an
+    unspecified order. A page past the end gives page 1 when
+    ``reset_past_end``, else no rows.
     """
     if number < 1 or size < 1:
         raise ValueError("page number and size must be >= 1")
     order = sort_columns(df, order_by)
     offset = (number - 1) * size
-    wanted = df.orderBy(*order).offset(offset).limit(size)
-    if not reset_past_end or offset == 0:
-        return wanted
-    n = df.select(F.count(F.lit(1))).scalar()
-    first = df.orderBy(*order).limit(size).where(n <= F.lit(offset))
-    return wanted.unionByName(first)
+    first = df.orderBy(*order).limit(size)
+    if offset == 0:
+        return first
+    names = [f"_o{i}" for i in range(len(order_by))]
+    specs = [(o, True) if isinstance(o, (str, int)) else (o[0], bool(o[1])) for o in order_by]
+    keyed = df.select("*", *[_c(resolve_column(o, df.columns)).alias(n) for (o, _), n in zip(specs, names)])
+    by = [(n, asc) for n, (_, asc) in zip(names, specs)]
+    rows = range_buckets(keyed, by)
+    held, seen, skip = [], 0, 0
+    for r in rows.groupBy("_b").count().orderBy("_b").collect():   # one row per slice
+        if seen < offset + size and seen + r["count"] > offset:
+            if not held:
+                skip = offset - seen
+            held.append(r["_b"])
+        seen += r["count"]
+    if not held:
+        return first if reset_past_end else first.limit(0)
+    return (rows.where(F.col("_b").isin(held)).orderBy(*sort_order(by), "_uid").offset(skip).limit(size)
+            .select(*[_c(c) for c in df.columns]))
 
 
 def sample_rows(df: DataFrame, n: int, key: Sequence[str] | None = None, seed: int = 42) -> DataFrame:
-    """Deterministic sample of ``n`` rows: the ``n`` smallest values of
-    ``xxhash64(key columns, seed)`` (a bounded top-k, the same rows on any
-    partitioning). ``key`` defaults to all columns."""
+    """Deterministic sample of ``n`` rows: the ``n`` smallest MD5 digests of
+    the seed and the key columns as text, joined with ``|`` (a bounded top-k, the
+    same rows on any partitioning). ``key`` defaults to all columns."""
     cols = list(key) if key else df.columns
-    h = F.xxhash64(*[_c(c) for c in cols], F.lit(seed))
+    h = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(_c(c).cast("string"), F.lit("")) for c in cols]))
     return df.withColumn("_h", h).orderBy("_h", *[_c(c) for c in cols]).limit(n).drop("_h")
 
 

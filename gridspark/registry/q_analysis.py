@@ -88,6 +88,16 @@ def bins_quantile(spark, d):
         "o_totalprice_qbin_hi", F.round("o_totalprice_qbin_hi", 4))
 
 
+@query("bins_quantile_constant", """
+SELECT o_orderkey, 1.5::DOUBLE AS flat, NULL::DOUBLE AS gone, NULL::INTEGER AS flat_qbin, NULL::DOUBLE AS flat_qbin_lo,
+       NULL::DOUBLE AS flat_qbin_hi, NULL::INTEGER AS gone_qbin, NULL::DOUBLE AS gone_qbin_lo,
+       NULL::DOUBLE AS gone_qbin_hi FROM orders""")
+def bins_quantile_constant(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderkey").isNotNull(), 1.5).alias("flat"),
+                                         F.lit(None).cast("double").alias("gone"))
+    return B.quantile_bins(B.quantile_bins(o, "flat", 4), "gone", 4)
+
+
 @query("bins_custom", """
 SELECT p_partkey, p_retailprice,
        CASE WHEN p_retailprice < 900 OR p_retailprice > 1500 THEN NULL

@@ -76,3 +76,28 @@ UNION ALL SELECT 'Total', count(*) FILTER (WHERE toxic = 0), count(*) FILTER (WH
 FROM labels""")
 def labels_crosstab(spark, d):
     return crosstab(table(spark, d, "labels"), "quality", "toxic", totals=True)
+
+
+# two text keys whose values, joined with "_", come out equal for different pairs
+_KEY_A = "CASE WHEN o_orderstatus = 'P' THEN 'a_b' ELSE 'a' END"
+_KEY_B = "CASE WHEN o_orderstatus = 'F' THEN 'c' ELSE 'b_c' END"
+
+
+@query("pivot_colliding_keys", "SELECT o_orderpriority, " + ", ".join(
+    f"count(*) FILTER (WHERE {_KEY_A} = '{a}' AND {_KEY_B} = '{b}') AS \"{a}/{b}\""
+    for a, b in (("a", "b_c"), ("a", "c"), ("a_b", "b_c"), ("a_b", "c"))) + " FROM orders GROUP BY 1")
+def pivot_colliding_keys(spark, d):
+    o = table(spark, d, "orders").withColumn("ka", F.expr(_KEY_A)).withColumn("kb", F.expr(_KEY_B))
+    return pivot_table(o, "o_orderpriority", ["ka", "kb"], "o_orderkey", "count", sep="/",
+                       values=[("a", "b_c"), ("a", "c"), ("a_b", "b_c"), ("a_b", "c")])
+
+
+_RATES = [i / 100000 for i in range(0, 11)]
+
+
+@query("pivot_double", "SELECT l_returnflag, " + ", ".join(
+    f"count(*) FILTER (WHERE round(l_discount * 100) = {i}) AS \"{r}\"" for i, r in enumerate(_RATES))
+    + " FROM lineitem GROUP BY 1")
+def pivot_double(spark, d):
+    li = table(spark, d, "lineitem").withColumn("rate", F.round(F.col("l_discount") * 100) / 100000)
+    return crosstab(li, "l_returnflag", "rate", values=_RATES)

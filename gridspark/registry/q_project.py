@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from gridspark.operators.order import distinct, sort, top_n, union_all
+from gridspark.operators.order import distinct, limit, sort, top_n, union_all
 from gridspark.operators.project import (add_constant, clean_names, column_window, drop_columns,
                                          head, page, rename_column, sample_rows, select_columns,
                                          tail)
@@ -72,7 +72,28 @@ def page_past_end_q(spark, d):
     return page(table(spark, d, "supplier"), 400, 50, order_by=["s_suppkey"])
 
 
-@query("sample_hash")
+# deep in the table at any scale: the page that holds the row after two thirds of the orders
+@query("page_deep", """
+SELECT * FROM orders ORDER BY o_totalprice DESC, o_orderkey
+LIMIT 100 OFFSET (SELECT CAST(count(*) AS BIGINT) * 2 // 300 * 100 FROM orders)""")
+def page_deep_q(spark, d):
+    o = table(spark, d, "orders")
+    number = o.count() * 2 // 300 + 1
+    return page(o, number, 100, order_by=[("o_totalprice", False), "o_orderkey"])
+
+
+@query("limit_after_sort", "SELECT * FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 25")
+def limit_after_sort(spark, d):
+    return limit(sort(table(spark, d, "customer"), ["c_acctbal", "c_custkey"], [False, True]), 25)
+
+
+@query("project_fuzzy", "SELECT o_orderpriority, o_totalprice, o_custkey FROM orders")
+def project_fuzzy(spark, d):
+    return select_columns(table(spark, d, "orders"), ["o_ordrpriorty", "totalprce", "o_custkey"], fuzzy=0.7)
+
+
+@query("sample_hash", """
+SELECT * FROM orders ORDER BY md5('42|' || CAST(o_orderkey AS VARCHAR)), o_orderkey LIMIT 200""")
 def sample_hash_q(spark, d):
     return sample_rows(table(spark, d, "orders"), 200, key=["o_orderkey"], seed=42)
 
