@@ -1,14 +1,14 @@
 """Saved views, SQL, sources/sinks and streaming queries (V1, Z1-Z2,
 S1-S8, 2.14)."""
 
-import uuid
-
 from pyspark.sql import functions as F
 
+from gridspark.operators.derive import transform_column
+from gridspark.operators.filter import filter_rows
 from gridspark.plans.sql import run_sql
 from gridspark.plans.views import apply_view, view_from_json, view_to_json
 from gridspark.registry.base import query, table
-from gridspark.session import checkpoint_dir
+from gridspark.session import scratch_path as _scratch
 from gridspark.sources import io as S
 from gridspark.streaming import stream as ST
 
@@ -82,10 +82,6 @@ def sql_window_q(spark, d):
     return out.withColumn("running", F.round("running", 2))
 
 
-def _scratch(spark, name):
-    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 @query("csv_roundtrip", "SELECT * FROM supplier")
 def csv_roundtrip_q(spark, d):
     path = _scratch(spark, "csv")
@@ -132,7 +128,7 @@ def stream_lookup_q(spark, d):
     ev = table(spark, d, "events")
     sdf = ST.read_stream(spark, d, ev.schema, glob="events.parquet").select("event_id", "user_id")
     joined = ST.lookup_stream(sdf, table(spark, d, "customer"), "user_id", "c_custkey",
-                              ["c_name", "c_mktsegment"])
+                              ["c_name", "c_mktsegment"], order_by=["c_custkey"])
     return ST.run_to_table(joined, "append")
 
 
@@ -142,3 +138,91 @@ def stream_dedupe_q(spark, d):
     sdf = ST.read_stream(spark, d, ev.schema, glob="events.parquet")
     dd = ST.dedupe_stream(sdf, ["user_id", "event_type"], "ts", "1000 days")
     return ST.run_to_table(dd.select("user_id", "event_type"), "append")
+
+
+@query("export_all_rows", "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem")
+def export_all_rows(spark, d):
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    back = S.export_rows(li, _scratch(spark, "export"), n=None)
+    return back.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in li.schema.fields])
+
+
+@query("apply_view_deep", """
+SELECT l_orderkey, l_quantity FROM lineitem WHERE l_linestatus = 'O'
+ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity LIMIT 20 OFFSET 2000""")
+def apply_view_deep(spark, d):
+    return apply_view(table(spark, d, "lineitem"), {
+        "name": "deep", "filters": [{"column": "l_linestatus", "op": "==", "value": "O"}],
+        "sort": [{"column": "l_extendedprice", "ascending": False},
+                 *({"column": c, "ascending": True} for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+                                                              "l_quantity"))],
+        "columns": ["l_orderkey", "l_quantity"], "page": 101, "page_size": 20})
+
+
+@query("table_schema", """
+SELECT CAST(row_number() OVER () AS INTEGER) AS position, column_name AS "column",
+       CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double'
+            WHEN 'VARCHAR' THEN 'string' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' END AS type, true AS nullable
+FROM (SELECT column_name, data_type FROM information_schema.columns WHERE table_name = 'orders' ORDER BY ordinal_position)""")
+def table_schema_q(spark, d):
+    return S.table_schema(table(spark, d, "orders"))
+
+
+@query("table_list", """
+SELECT t AS name, true AS found, n AS rows FROM (
+  SELECT 'gs_orders' AS t, count(*) AS n FROM orders UNION ALL SELECT 'gs_part', count(*) FROM part)""")
+def table_list_q(spark, d):
+    names = {"gs_orders": "orders", "gs_part": "part"}
+    for view, name in names.items():
+        table(spark, d, name).createOrReplaceTempView(view)
+    listed = S.list_tables(spark).where(F.col("name").isin(*names)).select("name")
+    counts = None
+    for view in names:
+        one = S.row_count(S.load_table(spark, view)).select(F.lit(view).alias("view"), "rows", F.lit(
+            S.table_exists(spark, view)).alias("found"))
+        counts = one if counts is None else counts.unionByName(one)
+    return listed.join(counts, F.col("name") == F.col("view")).select("name", "found", "rows")
+
+
+@query("create_table", "SELECT o_orderkey, NULL::VARCHAR AS note, NULL::DOUBLE AS score FROM orders")
+def create_table_q(spark, d):
+    empty = S.create_table(spark, [("o_orderkey", "int"), ("note", "str"), ("score", "float")])
+    return empty.unionByName(table(spark, d, "orders").select("o_orderkey"), allowMissingColumns=True)
+
+
+@query("stream_row_local", """
+SELECT event_id, upper(event_type) AS event_type, value * 2 AS twice FROM events WHERE value > 50""")
+def stream_row_local(spark, d):
+    ev = table(spark, d, "events")
+    sdf = ST.read_stream(spark, d, ev.schema, glob="events.parquet")
+    out = transform_column(filter_rows(sdf, "value", ">", 50), "event_type", ["upper"]).withColumn(
+        "twice", F.col("value") * 2)
+    return ST.run_to_table(out.select("event_id", "event_type", "twice"), "append")
+
+
+def _event_files(spark, d, n=4):
+    """The events as several files, so that a stream takes several batches."""
+    ev = table(spark, d, "events")
+    path = _scratch(spark, "events")
+    ev.repartition(n, "event_id").write.parquet(path)
+    return ST.read_stream(spark, path, ev.schema, max_files_per_trigger=1)
+
+
+@query("stream_update_counts", "SELECT event_type, count(*) AS n, max(event_id) AS last_id FROM events GROUP BY 1")
+def stream_update_counts(spark, d):
+    agg = _event_files(spark, d).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.max("event_id").alias("last_id"))
+    return ST.run_to_table(agg, "update", keys=["event_type"])
+
+
+@query("stream_lookup_duplicates", """
+SELECT e.event_id, c.c_custkey, c.seg FROM events e LEFT JOIN (
+  SELECT c_nationkey, c_custkey, seg FROM (
+    SELECT c_nationkey, c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment END AS seg,
+           row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS rn FROM customer)
+  WHERE rn = 1) c ON e.user_id % 25 = c.c_nationkey""")
+def stream_lookup_duplicates(spark, d):
+    sdf = _event_files(spark, d).select("event_id", (F.col("user_id") % 25).alias("k"))
+    c = table(spark, d, "customer").select("c_nationkey", "c_custkey", (-F.col("c_acctbal")).alias("low"),
+                                           F.when(F.col("c_custkey") % 2 == 0, F.col("c_mktsegment")).alias("seg"))
+    out = ST.lookup_stream(sdf, c, "k", "c_nationkey", ["c_custkey", "seg"], order_by=["low", "c_custkey"])
+    return ST.run_to_table(out.select("event_id", "c_custkey", "seg"), "append")

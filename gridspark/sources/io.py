@@ -18,7 +18,6 @@ TYPE_NAMES = {"str": T.StringType(), "int": T.LongType(), "float": T.DoubleType(
 WRITE_MODES = {"replace": "overwrite", "overwrite": "overwrite", "append": "append",
                "fail": "errorifexists", "error": "errorifexists", "ignore": "ignore"}
 EXPORT_DEFAULT_ROWS = 10_000
-EXPORT_MAX_ROWS = 100_000
 
 
 def sniff_delimiter(spark: SparkSession, path: str) -> str:
@@ -47,9 +46,12 @@ def read_csv(spark: SparkSession, path: str, sep: str | None = None, header: boo
 
 def load_table(spark: SparkSession, name_or_path: str, fmt: str | None = None) -> DataFrame:
     """A catalog table by name, or a file/folder by path (format from
-    ``fmt`` or the extension; Parquet by default)."""
-    if "/" not in name_or_path and "." not in name_or_path:
-        return spark.table(check_identifier(name_or_path))
+    ``fmt`` or the extension; Parquet by default). A dotted name without a
+    slash is a table (``database.table``) if the catalog has it, else a path."""
+    if "/" not in name_or_path and fmt is None:
+        parts = name_or_path.split(".")
+        if len(parts) == 1 or (all(p.isidentifier() for p in parts) and spark.catalog.tableExists(name_or_path)):
+            return spark.table(".".join(check_identifier(p) for p in parts))
     f = fmt or ("csv" if name_or_path.endswith(".csv") else
                 "json" if name_or_path.endswith(".json") else
                 "orc" if name_or_path.endswith(".orc") else "parquet")
@@ -148,12 +150,12 @@ def create_table(spark: SparkSession, columns: Sequence[tuple[str, str]], n_rows
     return spark.range(n_rows).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in fields])
 
 
-def export_rows(df: DataFrame, path: str, n: int = EXPORT_DEFAULT_ROWS, order_by: Sequence[str] | None = None,
-                mode: str = "replace") -> DataFrame:
-    """Write the first ``n`` rows (at most the export cap) as CSV; returns
-    the exported rows as a lazy DataFrame."""
-    n = min(int(n), EXPORT_MAX_ROWS)
+def export_rows(df: DataFrame, path: str, n: int | None = EXPORT_DEFAULT_ROWS,
+                order_by: Sequence[str] | None = None, mode: str = "replace", sep: str = ",") -> DataFrame:
+    """Write the first ``n`` rows (None: all) as CSV; returns what was
+    written, read back as text columns."""
     out = df.orderBy(*order_by) if order_by else df
-    out = out.limit(n)
-    write_csv(out, path, mode)
-    return out
+    if n is not None:
+        out = out.limit(int(n))
+    write_csv(out, path, mode, sep)
+    return read_csv(df.sparkSession, path, sep=sep, infer_schema=False)

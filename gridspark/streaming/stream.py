@@ -8,13 +8,13 @@ lookups and de-duplication within the watermark.
 
 from __future__ import annotations
 
-import uuid
 from typing import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridspark.session import checkpoint_dir
+from gridspark.plans.ordered import order_key
+from gridspark.session import scratch_path
 
 
 def read_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet",
@@ -62,11 +62,14 @@ def period_counts(sdf: DataFrame, ts: str, period: str = "1 day", watermark: str
 
 
 def lookup_stream(sdf: DataFrame, static: DataFrame, stream_key: str, static_key: str,
-                  columns: Sequence[str]) -> DataFrame:
+                  columns: Sequence[str], order_by: Sequence[str]) -> DataFrame:
     """J9 on a stream: left join against a static table reduced to one row
-    per key."""
-    red = static.groupBy(F.col(static_key).alias("__k")).agg(
-        *[F.first(c, ignorenulls=True).alias(c) for c in columns])
+    per key, the first in ``order_by`` order (nulls last)."""
+    if not order_by:
+        raise ValueError("stream lookups need order_by")
+    red = static.where(F.col(static_key).isNotNull()).groupBy(F.col(static_key).alias("__k")).agg(
+        F.min_by(F.struct(*columns), order_key(order_by)).alias("__row"))
+    red = red.select("__k", *[F.col("__row")[c].alias(c) for c in columns])
     return sdf.join(red, sdf[stream_key] == red["__k"], "left").drop("__k")
 
 
@@ -76,20 +79,39 @@ def dedupe_stream(sdf: DataFrame, keys: Sequence[str], ts: str, watermark: str =
     return timed.withWatermark("__et", watermark).dropDuplicatesWithinWatermark(list(keys)).drop("__et")
 
 
-def run_to_table(sdf: DataFrame, output_mode: str = "complete", path: str | None = None) -> DataFrame:
+def run_to_table(sdf: DataFrame, output_mode: str = "complete", path: str | None = None,
+                 keys: Sequence[str] = ()) -> DataFrame:
     """Run a streaming query over everything available now and return its
-    result table. Each micro-batch is written as Parquet under the shared
-    checkpoint folder (``spark.checkpoint.dir``); complete mode overwrites,
-    append / update modes append."""
+    result table.
+
+    Each micro-batch overwrites a folder of its own under the shared checkpoint
+    folder (``spark.checkpoint.dir``), so a replayed batch is not written twice.
+    The result is the last batch in complete mode, all batches in append mode,
+    and in update mode the latest row of each of ``keys`` (required there)."""
     spark = sdf.sparkSession
-    base = path or f"{checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    if output_mode == "update" and not keys:
+        raise ValueError("update mode needs the keys of the result table")
+    base = path or scratch_path(spark, "stream")
     out, ckpt = f"{base}/data", f"{base}/_checkpoint"
-    mode = "overwrite" if output_mode == "complete" else "append"
-
-    def write(batch: DataFrame, _epoch: int) -> None:
-        batch.write.mode(mode).parquet(out)
 
-    q = (sdf.writeStream.outputMode(output_mode).foreachBatch(write)
+    q = (sdf.writeStream.outputMode(output_mode).foreachBatch(batch_writer(out))
          .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.parquet(out)
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(out)
+    if not target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target):
+        return spark.createDataFrame([], sdf.schema)
+    rows = spark.read.option("basePath", out).parquet(out)
+    if output_mode == "complete":
+        last = rows.select(F.max("__batch")).scalar()
+        rows = rows.where(F.col("__batch") == last)
+    elif output_mode == "update":
+        rows = rows.groupBy(*keys).agg(F.max_by(F.struct(*sdf.columns), "__batch").alias("__row")).select("__row.*")
+    return rows.select(*sdf.columns)
+
+
+def batch_writer(out: str):
+    """A ``foreachBatch`` function that keeps each batch in its own folder."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/__batch={batch_id}")
+    return write

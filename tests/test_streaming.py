@@ -34,3 +34,21 @@ def test_dedupe_within_watermark(spark):
     dd = ST.dedupe_stream(_events(spark), ["user_id"], "ts", "1000 days")
     res = ST.run_to_table(dd.select("user_id"), "append")
     assert res.count() == spark.read.parquet(f"{SF}/events.parquet").select("user_id").distinct().count()
+
+
+def test_a_replayed_batch_is_written_once(spark, tmp_path):
+    out = str(tmp_path / "data")
+    write = ST.batch_writer(out)
+    one, two = spark.range(3), spark.range(3, 5)
+    for batch, n in ((one, 0), (two, 1), (two, 1), (one, 0)):
+        write(batch, n)
+    assert sorted(r.id for r in spark.read.parquet(out).collect()) == [0, 1, 2, 3, 4]
+
+
+def test_an_empty_stream_gives_an_empty_table(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    sdf = ST.read_stream(spark, str(tmp_path / "in"), "a long, b string")
+    assert ST.run_to_table(sdf, "append").count() == 0
+    import pytest
+    with pytest.raises(ValueError):
+        ST.run_to_table(sdf, "update")
