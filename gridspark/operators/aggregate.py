@@ -164,14 +164,53 @@ def group_summary(df: DataFrame, keys: Sequence, func: str = "count", value=None
 
 
 def distinct_counts(df: DataFrame, columns: Sequence | None = None, exact: bool = True) -> DataFrame:
-    """``(column, n_distinct)`` (nulls not counted) in one pass."""
+    """``(column, n_distinct)`` (nulls not counted); exact counts shuffle
+    pre-aggregated (column, value) pairs, ``exact=False`` sketches in one pass."""
     cols = resolve_columns(columns, df.columns) if columns else df.columns
-    fn = F.count_distinct if exact else F.approx_count_distinct
-    row = df.agg(F.array(*[F.struct(F.lit(c).alias("column"), fn(_c(c)).alias("n_distinct"))
+    if exact:
+        names = F.array(*[F.lit(c) for c in cols])
+        return distinct_per_column(df.select(*[_c(c) for c in cols])).select(
+            F.element_at(names, F.col("pos") + 1).alias("column"), F.col("distinct_nonnull").alias("n_distinct"))
+    row = df.agg(F.array(*[F.struct(F.lit(c).alias("column"), F.approx_count_distinct(_c(c)).alias("n_distinct"))
                            for c in cols]).alias("s"))
     return row.select(F.inline("s"))
 
 
+def value_key(c: Column, dtype: T.DataType) -> Column:
+    """Text that two non-null values share exactly when they are equal: 0.0 and
+    -0.0 are one value, and a long text is represented by its SHA-256."""
+    if isinstance(dtype, (T.FloatType, T.DoubleType)):
+        return F.when(c == 0, F.lit("0.0")).otherwise(c.cast("string"))
+    text = c.cast("string")
+    if isinstance(dtype, T.StringType):
+        return F.when(F.octet_length(text) > 64, F.concat(F.lit("sha256:"), F.sha2(text, 256))).otherwise(text)
+    return text
+
+
+def distinct_per_column(df: DataFrame, exact: bool = True) -> DataFrame:
+    """``(pos, distinct_nonnull)`` for every column.
+
+    Exact counts unpivot to ``(column, value)`` and count distinct pairs:
+    one shuffle of pre-aggregated pairs, instead of Spark's multi-distinct
+    rewrite that expands every row once per column together with all other
+    aggregates. ``exact=False`` uses HyperLogLog in one pass.
+    """
+    fields = list(enumerate(df.schema.fields))
+    if not exact:
+        row = df.agg(F.array(*[F.struct(F.lit(i).alias("pos"),
+                                        F.approx_count_distinct(_c(f.name)).alias("distinct_nonnull"))
+                               for i, f in fields]).alias("s"))
+        return row.select(F.inline("s"))
+    long = df.select(F.explode(F.array(*[
+        F.struct(F.lit(i).alias("pos"), value_key(_c(f.name), f.dataType).alias("v"))
+        for i, f in fields])).alias("u")).select("u.pos", "u.v")
+    pairs = long.where("v IS NOT NULL").select("pos", "v").distinct()
+    counted = pairs.groupBy("pos").agg(F.count(F.lit(1)).alias("distinct_nonnull"))
+    all_pos = df.sparkSession.range(len(df.columns)).select(F.col("id").cast("int").alias("pos"))
+    return all_pos.join(counted, on="pos", how="left").select(
+        "pos", F.coalesce("distinct_nonnull", F.lit(0)).cast("long").alias("distinct_nonnull"))
+
+
 def value_counts(df: DataFrame, column, normalize: bool = False) -> DataFrame:
     """A10: count per non-null value, most frequent first (ties by value);
     ``normalize`` adds the share of non-null rows."""
@@ -221,8 +260,8 @@ def numeric_summary(df: DataFrame, columns: Sequence[str], qs: Sequence[float],
             n = F.size(srt)
             p = F.lit(float(q)) * (n - 1)
             lo, hi = F.floor(p), F.ceil(p)
-            vlo = F.element_at(srt, (lo + 1).cast("int"))
-            vhi = F.element_at(srt, (hi + 1).cast("int"))
+            vlo = F.try_element_at(srt, (lo + 1).cast("int"))
+            vhi = F.try_element_at(srt, (hi + 1).cast("int"))
             return vlo + (vhi - vlo) * (p - lo)
 
         per = long.groupBy("column").agg(
@@ -277,8 +316,9 @@ def null_counts(df: DataFrame) -> DataFrame:
 
 def corr_matrix(df: DataFrame, columns: Sequence | None = None) -> DataFrame:
     """Pearson correlation matrix (pairwise complete rows), one row per
-    column. Every pair is computed in a single aggregation; a constant
-    column correlates as null instead of failing on division by zero."""
+    column. Every pair is computed once, in a single aggregation; a constant
+    column correlates as null instead of failing on division by zero, any other
+    column as 1 with itself."""
     cols = resolve_columns(columns, df.columns) if columns else numeric_columns(df)
 
     def pair(a, b):
@@ -287,9 +327,11 @@ def corr_matrix(df: DataFrame, columns: Sequence | None = None) -> DataFrame:
         xs, ys = F.when(both, x), F.when(both, y)
         return F.try_divide(F.covar_samp(xs, ys), F.stddev_samp(xs) * F.stddev_samp(ys))
 
-    row = df.agg(*[pair(a, b).alias(f"{i}_{j}") for i, a in enumerate(cols)
-                   for j, b in enumerate(cols)])
+    own = [F.when(F.stddev_samp(_c(a).cast("double")) > 0, F.lit(1.0)).alias(f"{i}_{i}")
+           for i, a in enumerate(cols)]
+    row = df.agg(*own, *[pair(a, b).alias(f"{i}_{j}") for i, a in enumerate(cols)
+                         for j, b in enumerate(cols) if i < j])
     rows = F.array(*[F.struct(F.lit(a).alias("column"),
-                              *[F.col(f"{i}_{j}").alias(b) for j, b in enumerate(cols)])
+                              *[F.col(f"{min(i, j)}_{max(i, j)}").alias(b) for j, b in enumerate(cols)])
                      for i, a in enumerate(cols)])
     return row.select(F.inline(rows))

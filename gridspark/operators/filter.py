@@ -84,9 +84,13 @@ def _bounds(value):
     if isinstance(value, (list, tuple)) and len(value) == 2:
         return value[0], value[1]
     s = str(value)
+    day = r"(\d{4}-\d{2}-\d{2}(?:[ T]\d{2}:\d{2}(?::\d{2}(?:\.\d+)?)?)?)"
+    m = re.fullmatch(rf"\s*{day}\s*(?:\.\.|,|to)\s*{day}\s*", s)
+    if m:
+        return m.group(1), m.group(2)
     m = re.fullmatch(r"\s*(-?[\d.eE+]+)\s*(?:\.\.|-|,)\s*(-?[\d.eE+]+)\s*", s)
     if not m:
-        raise ValueError(f"between needs 'lo-hi' or (lo, hi), got {value!r}")
+        raise ValueError(f"between needs 'lo-hi', two ISO dates or (lo, hi), got {value!r}")
     return _as_number(m.group(1)), _as_number(m.group(2))
 
 

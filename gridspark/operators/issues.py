@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from gridspark.functions.columns import resolve_column
 from gridspark.functions.core import strip, to_date
-from gridspark.operators.profile import distinct_per_column
+from gridspark.operators.aggregate import distinct_per_column
 
 # Fixed rule parameters of the issue scan.
 HIGH_NULL_SHARE = 0.9

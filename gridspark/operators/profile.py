@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from gridspark.functions.columns import col_letter, resolve_columns
 from gridspark.functions.core import FLAG_TEXT_VALUES, to_date
-from gridspark.operators.aggregate import NUMERIC
+from gridspark.operators.aggregate import NUMERIC, distinct_per_column
 from gridspark.plans.ordered import exact_quantiles
 
 # E-mail test (any value matching marks the column), the
@@ -91,29 +91,6 @@ def semantic_type(s=None) -> Column:
             .otherwise("Free Text"))
 
 
-def distinct_per_column(df: DataFrame, exact: bool = True) -> DataFrame:
-    """``(pos, distinct_nonnull)`` for every column.
-
-    Exact counts unpivot to ``(column, value)`` and count distinct pairs:
-    one shuffle of pre-aggregated pairs, instead of Spark's multi-distinct
-    rewrite that expands every row once per column together with all other
-    aggregates. ``exact=False`` uses HyperLogLog in one pass.
-    """
-    if not exact:
-        row = df.agg(F.array(*[F.struct(F.lit(i).alias("pos"),
-                                        F.approx_count_distinct(_c(f.name)).alias("distinct_nonnull"))
-                               for i, f in enumerate(df.schema.fields)]).alias("s"))
-        return row.select(F.inline("s"))
-    long = df.select(F.explode(F.array(*[
-        F.struct(F.lit(i).alias("pos"), _c(f.name).cast("string").alias("v"))
-        for i, f in enumerate(df.schema.fields)])).alias("u")).select("u.pos", "u.v")
-    pairs = long.where("v IS NOT NULL").select("pos", "v").distinct()
-    counted = pairs.groupBy("pos").agg(F.count(F.lit(1)).alias("distinct_nonnull"))
-    all_pos = df.sparkSession.range(len(df.columns)).select(F.col("id").cast("int").alias("pos"))
-    return all_pos.join(counted, on="pos", how="left").select(
-        "pos", F.coalesce("distinct_nonnull", F.lit(0)).cast("long").alias("distinct_nonnull"))
-
-
 def column_facts(df: DataFrame, exact: bool = True) -> DataFrame:
     """One row per column with the raw counts behind D1p/D5p/D6p."""
     structs = [_column_struct(f.name, f.dataType, exact) for f in df.schema.fields]
@@ -141,12 +118,13 @@ def profile(df: DataFrame, exact: bool = True, with_outliers: bool = True) -> Da
             "column", F.col("value").alias("median"))
         out = out.join(med, on="column", how="left")
         if with_outliers:
-            # the moments table has one row per numeric column: a bounded broadcast
-            mom = facts.where(F.col("kind") == "number").select(
-                "column", F.col("mean").alias("_m"), F.col("std").alias("_s"))
-            o = long.join(F.broadcast(mom), on="column").groupBy("column").agg(
-                F.count_if((F.col("_s") > 0) & (F.abs(F.col("v") - F.col("_m")) > 3 * F.col("_s")))
-                .alias("outliers_3sd"))
+            # moments as one scalar subquery, the counts as one wide aggregate: no join
+            mom = df.agg(*[x for i, c in enumerate(numeric) for x in (
+                F.avg(_c(c).cast("double")).alias(f"m{i}"), F.stddev_samp(_c(c).cast("double")).alias(f"s{i}"))])
+            m = mom.select(F.struct(*mom.columns)).scalar()
+            o = df.agg(F.array(*[F.struct(F.lit(c).alias("column"), F.count_if(
+                (m[f"s{i}"] > 0) & (F.abs(_c(c).cast("double") - m[f"m{i}"]) > 3 * m[f"s{i}"])).alias("outliers_3sd"))
+                for i, c in enumerate(numeric)]).alias("s")).select(F.inline("s"))
             out = out.join(o, on="column", how="left")
         else:
             out = out.withColumn("outliers_3sd", F.lit(None).cast("long"))
@@ -203,9 +181,18 @@ def date_ranges(df: DataFrame, threshold: float = 0.7) -> DataFrame:
 
 def missing_report(df: DataFrame) -> DataFrame:
     """D6p: per column: nulls, null %, blank (whitespace-only) texts, and a
-    status: Clean, All Empty, High (> 50 %), Some (> 10 %) or Minor."""
-    facts = column_facts(df, exact=False)
+    status: Clean, All Empty, High (> 50 %), Some (> 10 %) or Minor. One pass."""
+    def blank(f):
+        if _kind(f.dataType) != "text":
+            return F.lit(0).cast("long")
+        return F.count_if(_c(f.name).isNotNull() & F.regexp_replace(_c(f.name), r"^\s+|\s+$", "").eqNullSafe(F.lit("")))
+
+    row = df.agg(F.array(*[F.struct(
+        F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("type"), F.count(F.lit(1)).alias("rows"),
+        F.count_if(_c(f.name).isNull()).alias("nulls"), blank(f).alias("blanks")) for f in df.schema.fields]).alias("s"))
+    facts = row.select(F.inline("s"))
     pct = F.try_divide(F.col("nulls") * F.lit(100.0), F.col("rows"))
+    # fixed values: status words and their limits
     status = (F.when((F.col("nulls") == 0) & (F.col("blanks") == 0), "Clean")
               .when(F.col("nulls") == F.col("rows"), "All Empty")
               .when(pct > 50, "High Missing").when(pct > 10, "Some Missing").otherwise("Minor"))

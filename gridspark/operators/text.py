@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridspark.functions.columns import resolve_column
+from gridspark.operators.aggregate import value_key
 from gridspark.operators.profile import NUMERIC_TEXT_PATTERN
 
 
@@ -31,9 +33,15 @@ def text_issues(df: DataFrame, column) -> DataFrame:
         F.count_if(s.startswith(" ")).alias("leading_spaces"),
         F.count_if(s.endswith(" ")).alias("trailing_spaces"),
         F.count_if(F.regexp_replace(s, r"^\s+|\s+$", "") == "").alias("empty"),
-        F.count_distinct(s).alias("distinct"),
-        F.count_distinct(F.lower(s)).alias("distinct_lower"),
         F.count_if(s.rlike(NUMERIC_TEXT_PATTERN)).alias("numeric_like"))
+    # both distinct counts from one shuffle of short keys
+    pairs = df.select(s.alias("s")).select(F.explode(F.array(
+        F.struct(F.lit(0).alias("low"), value_key(F.col("s"), T.StringType()).alias("v")),
+        F.struct(F.lit(1).alias("low"), value_key(F.lower("s"), T.StringType()).alias("v")))).alias("u")).select(
+        "u.low", "u.v").where("v IS NOT NULL").distinct()
+    both = pairs.agg(F.struct(F.count_if(F.col("low") == 0).alias("d"), F.count_if(F.col("low") == 1).alias("l"))).scalar()
+    row = row.select("values", "leading_spaces", "trailing_spaces", "empty", both["d"].alias("distinct"),
+                     both["l"].alias("distinct_lower"), "numeric_like")
     return row.select("*", (F.col("distinct_lower") < F.col("distinct")).alias("case_variants"),
                       (F.col("numeric_like") > F.col("values") * 0.5).alias("mostly_numeric"))
 
