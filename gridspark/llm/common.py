@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gridspark.session import checkpoint_dir
@@ -64,3 +66,16 @@ def free_name(df: DataFrame, stem: str) -> str:
         n += 1
         name = f"{stem}_{n}"
     return name
+
+
+def by_size(batches: Iterator[pd.DataFrame], column: str, most: int) -> Iterator[pd.DataFrame]:
+    """The rows of pandas batches in parts whose texts in ``column`` have at most
+    ``most`` characters together, or of one row; bounds a task's memory."""
+    for batch in batches:
+        total = batch[column].str.len().fillna(0).cumsum().to_numpy()
+        begin = 0
+        while begin < len(batch):
+            before = total[begin - 1] if begin else 0
+            end = max(begin + 1, int((total <= before + most).sum()))
+            yield batch.iloc[begin:end]
+            begin = end

@@ -23,12 +23,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from gridspark.llm.common import written
+from gridspark.llm.common import by_size, written
 
 GRAM_SHARE = 0.56        # of the length: bytes of an anchor's piece
 MOST_CONTEXTS = 8        # stretches of one piece that one batch passes on to the sort
-_SEGMENT = 1 << 19       # window starts handled at once
-_BITS = 21               # of a position among them
+_SEGMENT = 1 << 18       # window starts handled at once
+_BITS = 20               # of a position among them
+_PART = 1 << 22          # characters of text whose records are held at once
 _UNIQUE, _REMOVED, _OPEN = 0, 1, 2   # kinds of records: to be sorted, known, to be resolved by window
 _SEVERAL = 3                         # to be sorted, piece known to have several stretches
 _LEAST_ID = -(1 << 63)   # stands for a null id
@@ -260,8 +261,8 @@ def repeated_bytes(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
 
     Scale: about one record per ``length / 5`` bytes is shuffled, and one per
     window only where a repeated passage begins or ends. Equal stretches, pieces
-    with many stretches and equal windows are settled within each batch first, so
-    a passage that a third of all documents share sends one record per batch to
+    with many stretches and equal windows are settled within each part of a batch first,
+    so a passage that a third of all documents share sends one record per part to
     the task that sorts it; that task holds one record between batches."""
     if not 20 <= length <= 250:
         raise ValueError("length must be between 20 and 250 bytes")
@@ -271,7 +272,7 @@ def repeated_bytes(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     tagged = source.withColumn("part", _part(F.col("text")))
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in by_size(batches, "text", _PART):
             yield _anchor_rows(b["doc"].tolist(), b["text"], b["part"].tolist(), length, gram)
 
     def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -285,7 +286,7 @@ def repeated_bytes(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     places = places.withColumn("part", F.shiftright("at", 46))
 
     def hard(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in by_size(batches, "text", _PART):
             out = []
             for key, text, part, ats in zip(b["doc"].tolist(), b["text"], b["part"].tolist(), b["ats"]):
                 raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8)
@@ -343,7 +344,7 @@ def repeated_bytes(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
                            T.StructField("n_bytes", T.LongType())])
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in by_size(batches, "text", _PART):
             rows = []
             for key, no_id, text, starts, counts in zip(b["doc"], b["no_id"], b["text"], b["starts"], b["counts"]):
                 raw = text.encode("utf-8", "surrogatepass")
