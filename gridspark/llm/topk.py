@@ -1,8 +1,8 @@
 """Exact top-k inner products by a three-phase uniform threshold.
 
 The components of a vector are split into a few lists; a list knows only its
-own part of each score. Phase 1 gathers every list's local top k; the exact
-scores of those give, for each query, a cutoff that k candidates reach. Phase 2
+own part of each score. Phase 1 gathers every list's local top entries; the
+exact scores of those give, for each query, a cutoff that k candidates reach. Phase 2
 sends the cutoff to all lists: a candidate that reaches it must have at least
 an equal share of it in one list, and each list sends all its entries that do.
 Phase 3 resolves the exact scores of the entries sent. Work is done on blocks of
@@ -19,6 +19,7 @@ from gridspark.llm.common import written
 
 QUERY_BLOCK = 512
 ROW_BLOCK = 8192
+DEPTH = 16     # a local list is this many times k long: the longer, the higher the cutoff
 _INT = "array<bigint>"
 
 
@@ -95,7 +96,7 @@ def top_k(vectors: DataFrame, k: int = 5, query_every: int = 50, id_col: str = "
         order = np.argsort(right.id.to_numpy(), kind="stable")
         score, ids, hashes = score[:, order], right.id.to_numpy()[order], right.rh.to_numpy()[order]
         score[left.id.to_numpy()[:, None] == ids[None]] = -np.inf
-        n = min(k, score.shape[1])
+        n = min(k * DEPTH, score.shape[1])
         best = np.argpartition(-score, n - 1, axis=1)[:, :n]
         part = np.take_along_axis(score, best, 1)
         ok = np.isfinite(part).ravel()
@@ -106,7 +107,8 @@ def top_k(vectors: DataFrame, k: int = 5, query_every: int = 50, id_col: str = "
     found = _cells(asked_b, rows_b, n_queries, n_rows, lists).applyInPandas(
         local_top, "q long, qh long, c long, rh long, p long, part long")
     first = Window.partitionBy("q", "qh", "part").orderBy(F.desc("p"), "c", "rh")
-    local = found.withColumn("n", F.row_number().over(first)).where(F.col("n") <= k).select("q", "qh", "c", "rh").distinct()
+    local = found.withColumn("n", F.row_number().over(first)).where(F.col("n") <= k * DEPTH).select(
+        "q", "qh", "c", "rh").distinct()
 
     def exact(pairs: DataFrame) -> DataFrame:
         one = asked.select(F.col("id").alias("q"), F.xxhash64("v").alias("qh"), F.col("v").alias("qv"))

@@ -32,7 +32,7 @@ def test_matches_brute_force(spark, monkeypatch, seed):
     for i in range(150):
         v = [rnd.choice([0.0, 0.5, -0.25, 1.0]) if seed else rnd.gauss(0, 1) for _ in range(6)]
         rows.append((i - 20, rows[-1][1] if rows and rnd.random() < 0.3 else v))
-    rows += [(300, None), (301, [1.0, None, 0, 0, 0, 0.0]), (302, [float("nan")] * 6), (350, [float("inf")] * 6),
+    rows += [(300, None), (301, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (302, [float("nan")] * 6), (350, [float("inf")] * 6),
              (None, [1.0] * 6), (400, []), (450, []), (500, [1.0, 2.0]), (501, [2.0, 1.0])]
     assert run(spark, rows, "double", k=5, query_every=10) == brute(rows, 5, 10)
 
