@@ -1,7 +1,7 @@
 import math
 import re
 
-from gridspark.llm.license_scan import scan, size_bounds, template_parts
+from gridspark.llm.license_scan import needed_words, scan, size_bounds, template_parts
 from gridspark.llm.license_templates import TEMPLATES
 
 
@@ -52,12 +52,22 @@ def test_size_bounds_are_exact():
             assert (ok[0], ok[-1]) == size_bounds(n, t) and math.isfinite(ok[-1])
 
 
+def test_every_match_holds_a_needed_word():
+    parts = template_parts(TEMPLATES)
+    for t in (0.5, 0.8, 1.0):
+        words = set(needed_words(parts, t))
+        for _, _, g in parts:
+            without = [x for x in g if not words & set(x.split(" "))]
+            # the best unit without any of the words is those bigrams alone
+            assert 2 * len(without) / (len(without) + len(g)) < t
+
+
 def test_repeats_null_ids_clashing_columns_and_empty(spark):
     line = "Licensed under CC BY-NC 4.0."
     df = spark.createDataFrame([(None, line, 1, "a"), (2, line, 1, "a"), (2, line, 1, "a"), (2, line + "\nx", 1, "a")],
                                "doc_id long, text string, size int, license string")
     got = sorted((tuple(r) for r in scan(df).collect()), key=repr)
-    assert [r[:4] for r in got] == [(2, "line", 0, "CC-BY-NC-4.0")] * 2 + [(None, "line", 0, "CC-BY-NC-4.0")]
+    assert [r[:4] for r in got] == [(2, "line", 0, "CC-BY-NC-4.0")] * 2 + [(2, "paragraph", 0, "CC-BY-NC-4.0")] + [(None, "line", 0, "CC-BY-NC-4.0")]
     assert scan(df.limit(0)).count() == 0 and run(spark, [(1, line)], templates=[]) == []
 
 
