@@ -18,12 +18,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from gridspark.llm.common import written
+from gridspark.llm.common import ship_code, written
 
 TRAIN_ROWS = 20_000   # labelled rows that the classifier is fitted on, about, at most
 FEATURES = 4096       # features of the model, at most
 MIN_ROWS = 5          # confirmed toxic documents that must hold a feature
 GRAM = 5              # characters of the word pieces beside whole words
+HELD = 100_000        # words or features that a task keeps counts or scores of at once
 EPOCHS = 300
 RATE = 0.05
 DECAY = 1e-4
@@ -60,19 +61,27 @@ class Model:
                 if s:
                     total += s
             out.append(total)
-            if len(known) > 500_000:
+            if len(known) > HELD:
                 known.clear()
         return 1 / (1 + np.exp(-np.clip(np.array(out, dtype=float), -30, 30)))
 
 
-def count_features(texts: Iterable[tuple[str | None, bool]]) -> Iterator[tuple[str, bool, int]]:
-    """(feature, positive, documents that hold it) of a stream of texts."""
+def count_features(texts: Iterable[tuple[str | None, bool]]) -> Iterator[tuple[list[str], list[bool], list[int]]]:
+    """(features, positive, documents that hold them) of a stream of texts, in
+    parts of bounded size; a feature may come in several parts."""
     found: dict[bool, Counter] = {True: Counter(), False: Counter()}
+
+    def parts():
+        for positive, counts in found.items():
+            if counts:
+                yield list(counts), [positive] * len(counts), list(counts.values())
+                counts.clear()
+
     for text, positive in texts:
         found[positive].update(set().union(*map(features_of, words_of(text))))
-    for positive, counts in found.items():
-        for f, n in counts.items():
-            yield f, positive, n
+        if sum(map(len, found.values())) > HELD:
+            yield from parts()
+    yield from parts()
 
 
 def vector(text: str | None, index: dict[str, int]) -> list[int]:
@@ -129,6 +138,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     Only the sampled ids (broadcast, bounded), the chosen features and the
     sampled texts' feature numbers reach the driver; the texts do not."""
+    ship_code(docs.sparkSession)
     known = (labels.select(F.col(id_col).alias("id"), F.col(toxic_col).alias("toxic"))
              .where("id is not null and toxic is not null").where(learnable(F.col("id")))
              .groupBy("id").agg(F.max(F.when(F.col("toxic") == 1, 1).otherwise(0)).alias("toxic")))
@@ -145,8 +155,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            found = count_features(zip(b["text"], b["toxic"] == 1))
-            yield pd.DataFrame(found, columns=["feature", "toxic", "n"])
+            for f, toxic, n in count_features(zip(b["text"], b["toxic"] == 1)):
+                yield pd.DataFrame({"feature": f, "toxic": toxic, "n": n})
 
     lift = (F.log((F.col("pos") + 0.5) / (confirmed + 1)) - F.log((F.col("every") + 0.5) / (rows + 1))) * F.sqrt("pos")
     features = [r["feature"] for r in
@@ -170,6 +180,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def with_score(docs: DataFrame, model: Model, name: str = "score", text_col: str = "text") -> DataFrame:
     """``docs`` with the score of each whole text; null and empty texts get the
     model's bias alone. The model is bounded by ``FEATURES``."""
+    ship_code(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
