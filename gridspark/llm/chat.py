@@ -16,6 +16,8 @@ from collections.abc import Callable, Iterator, Sequence
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from gridspark.llm.common import ship_code
+
 Turn = tuple[str, str]
 Template = Callable[[Sequence[Turn]], str]
 
@@ -120,6 +122,7 @@ def format_conversations(rows: DataFrame, template: Template = tagged_template,
     Scale: one aggregate gathers a conversation's rows; a conversation is one
     output row, so its rows must fit a task, its rendering is linear in its
     length for templates without long memory."""
+    ship_code(rows.sparkSession)
     found = (rows.select(F.col(id_col).alias("id"), F.struct(
         F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"),
         F.coalesce(F.col(text_col), F.lit("")).alias("text")).alias("t"))

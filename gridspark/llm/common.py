@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
+import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
@@ -22,6 +27,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def ship_code(spark: SparkSession) -> None:
+    """Lets Python tasks import this package wherever the session runs: its source
+    files go to the executors once, as ``--py-files`` would send them."""
+    sc = spark.sparkContext
+    if getattr(sc, "_gridspark_code", None) is not None:
+        return
+    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    folder = tempfile.mkdtemp(prefix="gridspark-code-")   # read by the driver only, which serves it
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = os.path.join(folder, "gridspark-code.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for top, _, names in os.walk(package):
+            for name in sorted(n for n in names if n.endswith(".py")):
+                file = os.path.join(top, name)
+                z.write(file, os.path.relpath(file, os.path.dirname(package)))
+    sc.addPyFile(path)
+    sc._gridspark_code = path
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder named by ``spark.checkpoint.dir``,
     removed when the application's file system client closes."""

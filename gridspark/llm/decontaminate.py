@@ -16,7 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from gridspark.llm.common import free_name
+from gridspark.llm.common import free_name, ship_code
 from gridspark.llm.words import longest_stretch, words_of
 
 #: Fixed masks (1: the word counts). Together they meet every stretch of 13
@@ -157,6 +157,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     Scale: documents are read once for each block of the benchmark and never
     shuffled; what is sent to the tasks is one block, bounded by ``BLOCK_WORDS``."""
     spark = docs.sparkSession
+    ship_code(spark)
     items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("body")).where(
         "body is not null").withColumn("size", F.size(F.split("body", r"\W+")))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")

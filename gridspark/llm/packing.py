@@ -17,6 +17,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from gridspark.llm.common import ship_code
 from gridspark.llm.tokens import tokenizer
 
 SENTENCE_PENALTY = 8.0   # of a cut at a sentence end inside a document, in padding tokens
@@ -162,6 +163,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     their upper bits; a repeated task gives the same pieces."""
     if max_len < 1 or max_len & (max_len - 1):
         raise ValueError("max_len must be a power of two")
+    ship_code(docs.sparkSession)
     source = (docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
               .repartitionByRange("id").sortWithinPartitions("id", "text")
               .withColumn("part", F.spark_partition_id()))

@@ -16,7 +16,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gridspark.llm.common import free_name, written
+from gridspark.llm.common import free_name, ship_code, written
 from gridspark.llm.components import connected_components
 
 _CHUNK = 65536
@@ -45,6 +45,8 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
 
 
 def with_fingerprint(docs: DataFrame, text_col: str, name: str, shingle: int = 3) -> DataFrame:
+    ship_code(docs.sparkSession)
+
     @F.pandas_udf("long")
     def simhash(texts: pd.Series) -> pd.Series:
         return pd.Series(np.array([fingerprint(t, shingle) for t in texts], dtype=np.uint64).view(np.int64))

@@ -23,7 +23,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from gridspark.llm.common import by_size, written
+from gridspark.llm.common import by_size, ship_code, written
 
 GRAM_SHARE = 0.56        # of the length: bytes of an anchor's piece
 MOST_CONTEXTS = 8        # stretches of one piece that one batch passes on to the sort
@@ -266,6 +266,7 @@ def repeated_bytes(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     the task that sorts it; that task holds one record between batches."""
     if not 20 <= length <= 250:
         raise ValueError("length must be between 20 and 250 bytes")
+    ship_code(docs.sparkSession)
     gram = max(8, int(length * GRAM_SHARE))
     source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LEAST_ID)).alias("doc"),
                          F.coalesce(F.col(text_col), F.lit("")).alias("text"))

@@ -15,7 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from gridspark.llm.common import written
+from gridspark.llm.common import ship_code, written
 
 QUERY_BLOCK = 512
 ROW_BLOCK = 8192
@@ -77,6 +77,7 @@ def top_k(vectors: DataFrame, k: int = 5, query_every: int = 50, id_col: str = "
     ``ROW_BLOCK`` by ``QUERY_BLOCK`` rows), so no task and no broadcast grows with
     the data; only local top lists, entries over the cutoff and their exact
     scores are shuffled after that."""
+    ship_code(vectors.sparkSession)
     kept = written(quantised(vectors, id_col, vec_col, scale).distinct(), "topk-vectors")
     asked = kept.where(F.col("id") % query_every == 0)
     # equal vectors score alike, so only the k + 1 smallest ids of each can be among
