@@ -102,8 +102,13 @@ def column_facts(df: DataFrame, exact: bool = True) -> DataFrame:
 def profile(df: DataFrame, exact: bool = True, with_outliers: bool = True) -> DataFrame:
     """D1p/D2p/D5p: per column: type, rows, nulls, null %, distinct (null
     counted as a value), semantic type, mean, median, std, min, max and the
-    number of values more than 3 standard deviations from the mean."""
-    facts = column_facts(df, exact)
+    number of values more than 3 standard deviations from the mean.
+
+    The raw counts (one row per column) are read first; the moments among them
+    then go into the counting pass as constants."""
+    raw = column_facts(df, exact)
+    rows = raw.collect()
+    facts = df.sparkSession.createDataFrame(rows, raw.schema)
     numeric = [f.name for f in df.schema.fields if isinstance(f.dataType, NUMERIC)]
     out = facts.select(
         "pos", "column", "type", "rows", "nulls",
@@ -118,13 +123,16 @@ def profile(df: DataFrame, exact: bool = True, with_outliers: bool = True) -> Da
             "column", F.col("value").alias("median"))
         out = out.join(med, on="column", how="left")
         if with_outliers:
-            # moments as one scalar subquery, the counts as one wide aggregate: no join
-            mom = df.agg(*[x for i, c in enumerate(numeric) for x in (
-                F.avg(_c(c).cast("double")).alias(f"m{i}"), F.stddev_samp(_c(c).cast("double")).alias(f"s{i}"))])
-            m = mom.select(F.struct(*mom.columns)).scalar()
-            o = df.agg(F.array(*[F.struct(F.lit(c).alias("column"), F.count_if(
-                (m[f"s{i}"] > 0) & (F.abs(_c(c).cast("double") - m[f"m{i}"]) > 3 * m[f"s{i}"])).alias("outliers_3sd"))
-                for i, c in enumerate(numeric)]).alias("s")).select(F.inline("s"))
+            known = {r["column"]: r for r in rows}
+
+            def far(c):
+                mean, std = known[c]["mean"], known[c]["std"]
+                if mean is None or std is None or not std > 0:
+                    return F.lit(False)
+                return F.abs(_c(c).cast("double") - F.lit(mean)) > 3 * F.lit(std)
+
+            o = df.agg(F.array(*[F.struct(F.lit(c).alias("column"), F.count_if(far(c)).alias("outliers_3sd"))
+                                 for c in numeric]).alias("s")).select(F.inline("s"))
             out = out.join(o, on="column", how="left")
         else:
             out = out.withColumn("outliers_3sd", F.lit(None).cast("long"))

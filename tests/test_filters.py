@@ -48,7 +48,7 @@ def test_contains_literal_vs_regex(regex_frame):
     assert keys(filter_rows(regex_frame, "t", "starts with", "A")) == [3]
 
 
-def test_reference_filter_age_over_28(spark):
+def test_filter_age_over_28(spark):
     df = spark.createDataFrame([("Alice", 25, "NYC"), ("Bob", 30, "LA"), ("Cara", 35, "SF")],
                                "name string, age long, city string")
     assert filter_rows(df, "age", ">", 28).count() == 2

@@ -16,7 +16,7 @@ def ranks(df, col="score_rank"):
 
 
 @pytest.mark.parametrize("strategy", ["window", "positions"])
-def test_reference_score_ranks(scores, strategy):
+def test_score_ranks(scores, strategy):
     assert ranks(rank(scores, "score", "min", strategy=strategy)) == {"Alice": 1, "Bob": 4, "Cara": 1, "Diana": 3}
     assert ranks(rank(scores, "score", "dense", strategy=strategy)) == {"Alice": 1, "Bob": 3, "Cara": 1, "Diana": 2}
     assert ranks(rank(scores, "score", "max", strategy=strategy)) == {"Alice": 2, "Bob": 4, "Cara": 2, "Diana": 3}
