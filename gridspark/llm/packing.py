@@ -5,7 +5,8 @@ token stream is cut: at document ends (free), sentence ends (a small penalty)
 or, where neither comes for long, between tokens (a larger one), so that the
 padding plus the penalties are least. The best previous cut within one sequence
 length is the head of a monotone queue; a sequence whose length is a power of
-two needs no padding, which adds a handful of fixed transitions for each cut.
+two needs no padding, which adds a handful of fixed transitions for each cut (at
+a penalty below full length, so that full sequences are preferred).
 """
 
 from __future__ import annotations
@@ -20,9 +21,10 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from gridspark.llm.common import ship_code
 from gridspark.llm.tokens import tokenizer
 
-SENTENCE_PENALTY = 8.0   # of a cut at a sentence end inside a document, in padding tokens
-TOKEN_PENALTY = 64.0     # of a cut between any other two tokens
-TOKEN_STEP = 256         # such cuts are offered this far apart where no other comes
+SENTENCE_PENALTY = 4.0   # of a cut at a sentence end inside a document, in padding tokens
+TOKEN_PENALTY = 12.0     # of a cut between any other two tokens
+SHORT_PENALTY = 256.0    # of an unpadded sequence below full length
+TOKEN_STEP = 32          # such cuts are offered this far apart where no other comes
 CHUNK_TOKENS = 1 << 18   # tokens laid out before a program runs; the last sequence is carried on
 
 
@@ -55,8 +57,9 @@ def choose_cuts(pos: np.ndarray, pen: np.ndarray, max_len: int) -> list[int]:
             queue.popleft()
         best, arg = key[queue[0]] + max_len - p, queue[0]
         for i in exact.get(j, ()):
-            if cost[i] <= best:
-                best, arg = cost[i], i
+            c = cost[i] + (SHORT_PENALTY if p - where[i] < max_len else 0.0)
+            if c <= best:
+                best, arg = c, i
         cost[j], back[j] = best + extra[j], arg
         key[j] = cost[j] + p
     cuts, j = [], n - 1
@@ -139,7 +142,7 @@ class Packer:
         start = cuts[-2] if len(cuts) > 1 else 0
         length = cuts[-1] - start
         bits = [1 << k for k in range(length.bit_length()) if length >> k & 1][::-1]
-        if padding(length, self.max_len) <= TOKEN_PENALTY * (len(bits) - 1):
+        if padding(length, self.max_len) <= (TOKEN_PENALTY + SHORT_PENALTY) * (len(bits) - 1):
             return cuts
         return cuts[:-1] + [start + int(x) for x in np.cumsum(bits)]
 

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
 
-from gridspark.llm.packing import Packer, choose_cuts, pack, padding
+from gridspark.llm.packing import SHORT_PENALTY, Packer, choose_cuts, pack, padding
 from gridspark.llm.queries import op3_packing, tokenizer_path
 from gridspark.llm.tokens import tokenizer
 
@@ -35,24 +35,29 @@ def test_ids_with_a_special_string():
     assert tokenizer(PATH).encode("a<|endoftext|>b").tolist() == plain_ids("a<|endoftext|>b")[:-1]
 
 
+def price(n, m):
+    short = n < m and n & (n - 1) == 0
+    return min(m - n, SHORT_PENALTY if short else m - n)
+
+
 def least_cost(pos, pen, m):
     cost = [0.0]
     for j in range(1, len(pos)):
-        cost.append(min(cost[i] + padding(pos[j] - pos[i], m) + pen[j] for i in range(j) if pos[j] - pos[i] <= m))
+        cost.append(min(cost[i] + price(pos[j] - pos[i], m) + pen[j] for i in range(j) if pos[j] - pos[i] <= m))
     return cost[-1]
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.lists(st.tuples(st.integers(1, 16), st.sampled_from([0.0, 1.0, 3.0, 9.0])), min_size=1, max_size=40))
+@given(st.lists(st.tuples(st.integers(1, 128), st.sampled_from([0.0, 1.0, 8.0, 64.0])), min_size=1, max_size=40))
 def test_cuts_are_optimal(steps):
     pos = np.concatenate(([0], np.cumsum([s for s, _ in steps])))
     pen = np.array([0.0] + [p for _, p in steps])
-    cuts = [0] + choose_cuts(pos, pen, 16)
+    cuts = [0] + choose_cuts(pos, pen, 128)
     assert cuts[-1] == len(pos) - 1
     lengths = np.diff(pos[cuts])
-    assert lengths.max() <= 16
-    got = sum(padding(int(n), 16) for n in lengths) + sum(pen[c] for c in cuts[1:])
-    assert got == pytest.approx(least_cost(pos.tolist(), pen.tolist(), 16))
+    assert lengths.max() <= 128
+    got = sum(price(int(n), 128) for n in lengths) + sum(pen[c] for c in cuts[1:])
+    assert got == pytest.approx(least_cost(pos.tolist(), pen.tolist(), 128))
 
 
 def test_packer_keeps_order_over_chunks(monkeypatch):
