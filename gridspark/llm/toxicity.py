@@ -23,6 +23,7 @@ from gridspark.llm.common import ship_code, written
 TRAIN_ROWS = 20_000   # labelled rows that the classifier is fitted on, about, at most
 FEATURES = 4096       # features of the model, at most
 MIN_ROWS = 5          # confirmed toxic documents that must hold a feature
+MIN_Z = 4.0           # standard deviations by which their number must exceed chance
 GRAM = 5              # characters of the word pieces beside whole words
 HELD = 100_000        # words or features that a task keeps counts or scores of at once
 EPOCHS = 300
@@ -159,10 +160,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 yield pd.DataFrame({"feature": f, "toxic": toxic, "n": n})
 
     lift = (F.log((F.col("pos") + 0.5) / (confirmed + 1)) - F.log((F.col("every") + 0.5) / (rows + 1))) * F.sqrt("pos")
+    share_toxic = confirmed / rows
+    chance = F.col("every") * share_toxic
+    z = (F.col("pos") - chance) / F.sqrt(chance * (1 - share_toxic) + 1e-9)
     features = [r["feature"] for r in
                 (texts.mapInPandas(count, "feature string, toxic boolean, n long").groupBy("feature")
                  .agg(F.sum(F.when(F.col("toxic"), F.col("n")).otherwise(0)).alias("pos"), F.sum("n").alias("every"))
-                 .where(F.col("pos") >= MIN_ROWS).select("feature", lift.alias("gain")).where("gain > 0")
+                 .where((F.col("pos") >= MIN_ROWS) & (z >= MIN_Z)).select("feature", lift.alias("gain")).where("gain > 0")
                  .orderBy(F.desc("gain"), "feature").limit(FEATURES)).collect()]
     index = {f: i for i, f in enumerate(features)}
 
