@@ -5,6 +5,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
+from tokenizers import Tokenizer
 
 from gridspark.llm.packing import SHORT_PENALTY, Packer, choose_cuts, pack, padding
 from gridspark.llm.queries import op3_packing, tokenizer_path
@@ -13,9 +14,11 @@ from gridspark.llm.tokens import tokenizer
 PATH = tokenizer_path()
 
 
+LIBRARY = Tokenizer.from_file(PATH)
+
+
 def plain_ids(text):
-    from tokenizers import Tokenizer
-    return Tokenizer.from_file(PATH).encode(text or "", add_special_tokens=False).ids + [1]
+    return LIBRARY.encode(text or "", add_special_tokens=False).ids + [1]
 
 
 @settings(max_examples=150, deadline=None)
