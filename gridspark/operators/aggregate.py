@@ -96,7 +96,7 @@ def aggregate(df: DataFrame, by: Sequence[str], specs: Sequence[tuple[str, str,
 
 
 def row_count(df: DataFrame) -> DataFrame:
-    """A1."""
+    """The row count as a one-row DataFrame."""
     return df.agg(F.count(F.lit(1)).alias("rows"))
 
 
@@ -223,7 +223,7 @@ def value_counts(df: DataFrame, column, normalize: bool = False) -> DataFrame:
 
 
 def distinct_rows(df: DataFrame, subset: Sequence | None = None) -> DataFrame:
-    """A11."""
+    """Distinct rows (or distinct values of ``subset``)."""
     if subset:
         return df.select(*[_c(c) for c in resolve_columns(subset, df.columns)]).distinct()
     return df.distinct()

@@ -145,12 +145,3 @@ def round_column(df: DataFrame, column, digits: int = 0, half_even: bool = True)
     col = resolve_column(column, df.columns)
     fn = F.bround if half_even else F.round
     return df.withColumn(col, fn(_c(col), digits))
-
-
-def add_columns(df: DataFrame, exprs: dict) -> DataFrame:
-    """Several formula columns in one projection."""
-    return df.select("*", *[F.expr(e).alias(n) for n, e in exprs.items()])
-
-
-def select_exprs(df: DataFrame, columns: Sequence) -> DataFrame:
-    return df.select(*[_c(c) for c in resolve_columns(columns, df.columns)])

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridspark.functions.columns import resolve_column
+from gridspark.operators.aggregate import distinct_rows
+from gridspark.operators.join import stack
 
 
 def sort_columns(df: DataFrame, by, ascending=True, reverse: bool = False) -> list[Column]:
@@ -54,16 +56,6 @@ def top_n(df: DataFrame, column, n: int, ascending: bool = False,
     return df.orderBy(*order).limit(n)
 
 
-def union_all(*dfs: DataFrame) -> DataFrame:
-    """Stack by column name; columns missing on one side become null."""
-    out = dfs[0]
-    for d in dfs[1:]:
-        out = out.unionByName(d, allowMissingColumns=True)
-    return out
-
-
-def distinct(df: DataFrame, subset: Sequence[str] | None = None) -> DataFrame:
-    """Distinct rows (or distinct values of ``subset``)."""
-    if subset:
-        return df.select(*[F.col(f"`{resolve_column(c, df.columns)}`") for c in subset]).distinct()
-    return df.distinct()
+#: O4 and O5 are J12 and A11 under the names of set operations.
+union_all = stack
+distinct = distinct_rows

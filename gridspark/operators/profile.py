@@ -72,7 +72,8 @@ def _column_struct(name: str, dt: T.DataType, exact: bool) -> Column:
 
 
 def semantic_type(s=None) -> Column:
-    """D5p: the first matching rule names the column's kind of content."""
+    """D5p: the first matching rule names the column's kind of content.
+    Fixed values: the labels, the shares 0.7 and 0.8 and the order of the rules."""
     col = (lambda n: F.col(n)) if s is None else (lambda n: s[n])
     nonnull = col("rows") - col("nulls")
     distinct_all = col("distinct_nonnull") + (col("nulls") > 0).cast("long")

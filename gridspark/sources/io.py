@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gridspark.operators.aggregate import row_count  # noqa: F401  S4
 from gridspark.plans.sql import check_identifier, run_sql
 
 # Delimiters tried, in order, when sniffing a CSV header line.
@@ -99,11 +100,6 @@ def table_schema(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "position int, column string, type string, nullable boolean")
 
 
-def row_count(df: DataFrame) -> DataFrame:
-    """Row count as a one-row DataFrame (lazy)."""
-    return df.agg(F.count(F.lit(1)).alias("rows"))
-
-
 def write_csv(df: DataFrame, path: str, mode: str = "replace", sep: str = ",") -> None:
     """A folder of CSV part files, each with a header line (the reader
     skips them); ``append`` adds part files."""
