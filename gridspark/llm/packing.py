@@ -40,10 +40,14 @@ def choose_cuts(pos: np.ndarray, pen: np.ndarray, max_len: int) -> list[int]:
     no gap over ``max_len``; ``pen`` is the penalty of a cut at each of them."""
     n = len(pos)
     exact: dict[int, list[int]] = {}
+    place = np.full(int(pos[-1]) + 1, -1, dtype=np.int64)   # of each position among the candidates
+    place[pos] = np.arange(n)
     for k in range(max_len.bit_length()):
-        at = np.searchsorted(pos, pos - (1 << k))
-        for j in np.flatnonzero((pos >= 1 << k) & (pos[at] == pos - (1 << k))).tolist():
-            exact.setdefault(j, []).append(int(at[j]))
+        first = int(np.searchsorted(pos, 1 << k))
+        at = place[pos[first:] - (1 << k)]
+        hit = np.flatnonzero(at >= 0)
+        for j, i in zip((hit + first).tolist(), at[hit].tolist()):
+            exact.setdefault(j, []).append(i)
     where, extra = pos.tolist(), pen.tolist()
     cost, back = [0.0] * n, [0] * n
     key = [0.0] * n          # cost so far plus position: what a sequence from here on is judged by
@@ -72,18 +76,17 @@ def choose_cuts(pos: np.ndarray, pen: np.ndarray, max_len: int) -> list[int]:
 def candidates(ids: np.ndarray, doc_ends: np.ndarray, ends_sentence: np.ndarray, max_len: int
                ) -> tuple[np.ndarray, np.ndarray]:
     """Cut positions of a token stream and their penalties."""
-    stops = np.flatnonzero(ends_sentence[ids]) + 1
-    pos = np.union1d(np.union1d(stops, doc_ends), [0, len(ids)])
+    kind = np.zeros(len(ids) + 1, dtype=np.uint8)   # 1: between tokens, 2: after a sentence, 3: free
+    kind[1:][ends_sentence[ids]] = 2
+    kind[doc_ends] = 3
+    kind[0] = kind[-1] = 3
+    pos = np.flatnonzero(kind)
     step = min(TOKEN_STEP, max_len)
-    gaps = np.diff(pos)
-    more = [np.arange(pos[i] + step, pos[i + 1], step) for i in np.flatnonzero(gaps > step)]
-    forced = np.concatenate(more) if more else np.empty(0, dtype=pos.dtype)
-    pos = np.union1d(pos, forced)
-    pen = np.full(len(pos), SENTENCE_PENALTY)
-    pen[np.isin(pos, forced)] = TOKEN_PENALTY
-    pen[np.isin(pos, doc_ends)] = 0.0
-    pen[0] = pen[-1] = 0.0
-    return pos, pen
+    more = (np.diff(pos) - 1) // step               # cuts to offer in each gap
+    within = np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more)
+    kind[np.repeat(pos[:-1], more) + step * (within + 1)] = 1
+    pos = np.flatnonzero(kind)
+    return pos, np.array([0.0, TOKEN_PENALTY, SENTENCE_PENALTY, 0.0])[kind[pos]]
 
 
 class Packer:
