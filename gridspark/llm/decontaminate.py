@@ -19,9 +19,9 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from gridspark.llm.common import free_name, ship_code
 from gridspark.llm.words import longest_stretch, words_of
 
-#: Fixed masks (1: the word counts). Together they meet every stretch of 13
-#: words in which at most 2 are substituted (tested over all such patterns).
-MASKS = ("111111", "11001010011")
+#: Fixed masks (1: the word counts). Together they meet every stretch of at least
+#: ``MIN_WORDS`` words of which ``SIMILARITY`` are equal (tested over all patterns).
+MASKS = ("111111", "11001010011", "101001100101")
 MIN_WORDS = 13          # a stretch of an item; shorter items count as a whole
 LEAST_WORDS = 5         # items of fewer words are never looked for
 SIMILARITY = 0.8        # least share of equal words along the stretch

@@ -108,3 +108,39 @@ def test_blocks_nulls_repeats_clashing_columns_and_empty(spark, monkeypatch):
     kept = drop_contaminated(df, bench)
     assert kept.columns == df.columns and sorted(map(tuple, kept.collect()), key=repr) == [(4, "clean words only", 1), (None, None, 2)]
     assert find_overlaps(df.limit(0), bench).count() == 0 and find_overlaps(df, bench.limit(0)).count() == 0
+
+
+def test_masks_meet_every_stretch_at_the_threshold():
+    # least substitutions of any pattern that no mask meets, by its last words
+    masks, full = [(int(m, 2), len(m)) for m in MASKS], (1 << max(map(len, MASKS))) - 1
+    least, n = {1: 0}, 1
+    while n < 200:
+        after, n = {}, n + 1
+        for bits, bad in least.items():
+            for equal in (0, 1):
+                b = (bits << 1 | equal) & full
+                if not any(n >= size and b & m == m for m, size in masks):
+                    after[b] = min(after.get(b, n), bad + 1 - equal)
+        least = after
+        assert n < MIN_WORDS or min((bad for b, bad in least.items() if b & 1), default=n) > (1 - SIMILARITY) * n + 1e-9
+    assert min(least.values()) > 0.25 * n   # longer ones only fall further below
+
+
+def test_every_pattern_of_a_leak_equals_brute_force(spark):
+    own = [f"w{i}" for i in range(60)]
+    docs = []
+    for length, most in ((15, 3), (16, 3)):
+        for bad in itertools.combinations(range(1, length - 1), most):
+            docs.append(["other" if i in bad else own[i] for i in range(length)])
+    rnd = random.Random(9)
+    for length in (20, 25, 40, 60):
+        for _ in range(150):
+            bad = set(rnd.sample(range(1, length - 1), length // 5))
+            docs.append(["other" if i in bad else own[i] for i in range(length)])
+    docs = [(i, " ".join(["before", *t, "after"])) for i, t in enumerate(docs)]
+    items = [(n, " ".join(own[:n])) for n in (15, 16, 20, 25, 40, 60)]
+    got = find_overlaps(spark.createDataFrame(docs, "doc_id long, text string"),
+                        spark.createDataFrame(items, "item_id long, text string"))
+    rows = [tuple(r) for r in got.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == brute(docs, items)
+    assert {r[0] for r in rows} == {i for i, _ in docs}
