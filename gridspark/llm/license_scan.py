@@ -44,11 +44,13 @@ def size_bounds(size: int, threshold: float) -> tuple[int, int]:
 
 
 def template_parts(templates: Sequence[tuple[str, str]]) -> list[tuple[str, int, list[str]]]:
-    """(licence, part number, bigrams) of each paragraph of each template."""
+    """(licence, part number, bigrams) of each paragraph of each template and, if it
+    has several, of the whole: blank lines that carry a comment sign part nothing."""
     parts: list[tuple[str, int, list[str]]] = []
     for name, text in templates:
-        for paragraph in re.split(BLANK_LINES, text):
-            words = re.sub(r"[\W_]+", " ", paragraph.lower()).split()
+        paragraphs = re.split(BLANK_LINES, text)
+        for unit in paragraphs + [text] * (len(paragraphs) > 1):
+            words = re.sub(r"[\W_]+", " ", unit.lower()).split()
             if words:
                 grams = [" ".join(p) for p in zip(words, words[1:])] or words
                 parts.append((name, sum(p[0] == name for p in parts), list(dict.fromkeys(grams))))
@@ -117,7 +119,8 @@ def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = tuple(TEMPLATES
          id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per unit that matches a template: the id, ``kind`` (line, paragraph
     or text), ``unit`` (its number among the document's units of that kind, from
-    0), ``license``, ``part`` (the template's paragraph) and ``dice``, for its best
+    0), ``license``, ``part`` (the template's paragraph, or the whole of it after its
+    last paragraph) and ``dice``, for its best
     template (ties to the first by name and part).
 
     Defined cases: null, empty and blank texts match nothing; rows with null or

@@ -1,4 +1,4 @@
-"""Licence templates: (licence, text). Paragraphs of a text are matched one by one.
+"""Licence templates: (licence, text). Paragraphs of a text are matched one by one, and all together.
 
 Fixed values: the public wording of common licence notices and short licences.
 """
@@ -12,11 +12,34 @@ _WARRANTY_MIT = (
     "TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE "
     "SOFTWARE.")
 
+_WARRANTY_ISC = (
+    'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL '
+    "IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, "
+    "INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN "
+    "AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR "
+    "PERFORMANCE OF THIS SOFTWARE.")
+
+_WARRANTY_BSD = (
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, '
+    "INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE "
+    "DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, "
+    "SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR "
+    "SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, "
+    "WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE "
+    "OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.")
+
+_REST_GPL = (
+    "\n\nThis program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the "
+    "implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {0}General Public License for "
+    "more details.\n\n"
+    "You should have received a copy of the GNU {0}General Public License along with this program{1}")
+
 TEMPLATES: list[tuple[str, str]] = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0",
      'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance '
      "with the License. You may obtain a copy of the License at\n\n"
+     "http://www.apache.org/licenses/LICENSE-2.0\n\n"
      'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed '
      'on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for '
      "the specific language governing permissions and limitations under the License."),
@@ -31,32 +54,53 @@ TEMPLATES: list[tuple[str, str]] = [
      "the Software.\n\n" + _WARRANTY_MIT),
     ("ISC",
      "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
-     "granted, provided that the above copyright notice and this permission notice appear in all copies."),
+     "granted, provided that the above copyright notice and this permission notice appear in all copies.\n\n"
+     + _WARRANTY_ISC),
     ("BSD-3-Clause",
      "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
      "following conditions are met:\n\n"
+     "Redistributions of source code must retain the above copyright notice, this list of conditions and the following "
+     "disclaimer.\n\n"
+     "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following "
+     "disclaimer in the documentation and/or other materials provided with the distribution.\n\n"
      "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
-     "products derived from this software without specific prior written permission."),
+     "products derived from this software without specific prior written permission.\n\n" + _WARRANTY_BSD),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-2.0-or-later",
      "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public "
      "License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any "
-     "later version."),
+     "later version."
+     + _REST_GPL.format("", "; if not, write to the Free Software Foundation, Inc., 51 "
+                        "Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA.")),
     ("GPL-3.0-or-later",
      "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public "
      "License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any "
-     "later version."),
+     "later version."
+     + _REST_GPL.format("", ". If not, see <https://www.gnu.org/licenses/>.")),
     ("AGPL-3.0-or-later",
      "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General "
      "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) "
-     "any later version."),
+     "any later version."
+     + _REST_GPL.format("Affero ", ". If not, see <https://www.gnu.org/licenses/>.")),
     ("MPL-2.0",
      "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not "
-     "distributed with this file, You can obtain one at"),
+     "distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-SA-4.0",
      "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("Unlicense",
+     "This is free and unencumbered software released into the public domain.\n\n"
+     "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code "
+     "form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.\n\n"
+     "In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all "
+     "copyright interest in the software to the public domain. We make this dedication for the benefit of the public at "
+     "large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of "
+     "relinquishment in perpetuity of all present and future rights to this software under copyright law.\n\n"
+     'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO '
+     "THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE "
+     "AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, "
+     "ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.\n\n"
+     "For more information, please refer to <https://unlicense.org>"),
 ]

@@ -75,3 +75,21 @@ def test_native_plan(spark):
     df = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     plan = scan(df)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "NestedLoop" not in plan
+
+
+def test_whole_licences_in_comments_are_found(spark):
+    docs, want = [], {}
+    for n, (name, body) in enumerate(t for t in TEMPLATES if "\n\n" in t[1]):
+        for k, sign in enumerate(("# ", " * ", "// ")):
+            rows = [row for p in body.split("\n\n") for row in [*re.findall(r".{1,70}(?: |$)", p), ""]]
+            docs.append((3 * n + k, "\n".join(sign + row for row in ["Copyright 2020 Some Author", "", *rows])))
+            want[3 * n + k] = name
+    found = {(r[0], r[3]) for r in run(spark, docs) if r[1] == "paragraph"}
+    assert found == set(want.items())
+
+
+def test_disclaimers_are_found(spark):
+    bodies = {name: body for name, body in TEMPLATES if "\n\n" in body}
+    docs = [(i, bodies[name].split("\n\n")[-1]) for i, name in enumerate(("ISC", "BSD-3-Clause"))]
+    assert all("AS IS" in text for _, text in docs)
+    assert {(r[0], r[3], r[5]) for r in run(spark, docs)} == {(0, "ISC", 1.0), (1, "BSD-3-Clause", 1.0)}
