@@ -20,6 +20,7 @@ from gridspark.llm.license_templates import TEMPLATES
 from gridspark.llm.line_dedup import drop_shared_lines
 from gridspark.llm.packing import pack
 from gridspark.llm.passages import repeated_passages
+from gridspark.llm.prefix_counts import prefix_tokens, with_token_changes
 from gridspark.llm.simhash import near_duplicates
 from gridspark.llm.suffix_dedup import repeated_bytes
 from gridspark.llm.topk import top_k
@@ -191,3 +192,12 @@ FROM m GROUP BY doc_id""")
 def op9_line_dedup(spark, d):
     out = drop_shared_lines(table(spark, d, "documents"), min_length=20, min_docs=3)
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query("op12_token_counts")
+def op12_token_counts(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    out = with_token_changes(docs, tokenizer_path()).select(
+        "doc_id", F.octet_length("text").cast("long").alias("n_bytes"),
+        prefix_tokens("token_changes", F.length("text")).alias("n_tokens"))
+    return out.withColumn("over_limit", F.col("n_tokens") > 1024)
