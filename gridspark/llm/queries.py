@@ -21,6 +21,7 @@ from gridspark.llm.line_dedup import drop_shared_lines
 from gridspark.llm.packing import pack
 from gridspark.llm.passages import repeated_passages
 from gridspark.llm.prefix_counts import prefix_tokens, with_token_changes
+from gridspark.llm.repair import repair
 from gridspark.llm.simhash import near_duplicates
 from gridspark.llm.suffix_dedup import repeated_bytes
 from gridspark.llm.topk import top_k
@@ -201,3 +202,124 @@ def op12_token_counts(spark, d):
         "doc_id", F.octet_length("text").cast("long").alias("n_bytes"),
         prefix_tokens("token_changes", F.length("text")).alias("n_tokens"))
     return out.withColumn("over_limit", F.col("n_tokens") > 1024)
+
+
+def damaged(turns: DataFrame) -> DataFrame:
+    """Conversations with the contract's faults, by a checksum of id and turn."""
+    shown = [F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")]
+    kind = F.crc32(F.concat(shown[0], F.lit(":"), shown[1])) % 20
+    text = F.coalesce("text", F.lit(" "))
+    return (turns.select("conv_id", "turn", "role", "text", kind.alias("kind")).where("kind <> 0")
+            .select("conv_id", "turn",
+                    F.when(F.col("kind") == 4, "user").otherwise(F.coalesce("role", F.lit(" "))).alias("role"),
+                    F.when(F.col("kind") == 1, "").when(F.col("kind") == 2, F.regexp_replace(text, "[.!?]", ""))
+                    .otherwise(text).alias("text"),
+                    F.explode(F.array_repeat(F.lit(0), F.when(F.col("kind") == 3, 2).otherwise(1))).alias("copy"))
+            .drop("copy"))
+
+
+def _repair_digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Digests of rows sorted by conversation and place; only the edits of the
+    conversation in hand are held."""
+    columns = ["conv_id", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256"]
+    conv, digest, audit, counts, started = None, None, [], [], False
+
+    def line():
+        return (conv, *counts, "".join(audit), digest.hexdigest())
+
+    for batch in batches:
+        out = []
+        for key, copies, fault, illegal, cost, edits, turns in zip(
+                batch["conv_id"], batch["copies"], batch["fault"], batch["illegal"], batch["cost"], batch["edits"],
+                batch["turns"]):
+            if digest is None or key != conv:
+                if digest is not None:
+                    out.append(line())
+                conv, digest, audit, counts, started = key, hashlib.sha256(), [], [0, 0, 0, illegal, cost], False
+            counts[0] += copies if fault == 1 else 0
+            counts[1] += copies if fault == 2 else 0 if fault == 1 else copies - 1
+            counts[2] += fault == 3
+            audit.append(edits)
+            for t in turns:
+                digest.update(f"{chr(10) * started}{t['role']}:{t['text']}".encode())
+                started = True
+        yield pd.DataFrame(out, columns=columns)
+    if digest is not None:
+        yield pd.DataFrame([line()], columns=columns)
+
+
+def _repair_sql() -> str:
+    def least(*xs: str) -> str:
+        return f"list_sort(list_filter([{', '.join(xs)}], lambda x: x IS NOT NULL))[1]"
+
+    def put(cost: str, edit: str, x: str, shown: str = "") -> str:
+        return f"struct_pack(cost := {x}.cost + {cost}, audit := '{edit}' || {x}.audit, shown := {shown}{x}.shown)"
+
+    def insert(x: str, role: str) -> str:
+        return put("5", "I", x, f"['{role}:'] || ")
+
+    space = "(' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+    takes = []     # for each state: the best way to take a row; states are places in a list
+    for state, (needs, keeps) in enumerate([("user", "WHEN 's' THEN 2 WHEN 'u' THEN 3"), ("user", "WHEN 'u' THEN 3"),
+                                            ("assistant", "WHEN 'a' THEN 4"), ("user", "WHEN 'u' THEN 3")], 1):
+        kept = f"CASE b.i {keeps} END"
+        keep = put("b.extra", "K", f"v[{kept}]", "[b.role || ':' || b.text] || ")
+        rerole = put("b.extra + 1", "R", f"v[{3 if needs == 'user' else 4}]", f"['{needs}:' || b.text] || ")
+        takes.append(least(put("2", "D", f"v[{state}]"), f"CASE WHEN NOT b.forced AND {kept} > 0 THEN {keep} END",
+                           f"CASE WHEN NOT b.forced THEN {rerole} END"))
+    return f"""
+WITH RECURSIVE o AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+c AS (SELECT *, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(k, ''), lambda x: ascii(x)::BIGINT)),
+        lambda x, y: list_reduce([xor(x, y), 0, 0, 0, 0, 0, 0, 0, 0], lambda p, q: xor(p >> 1, 3988292384 * (p & 1))))) % 20 AS kind FROM o),
+d AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+             CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+      FROM (SELECT *, unnest(CASE kind WHEN 0 THEN [] WHEN 3 THEN [1, 2] ELSE [1] END) FROM c)),
+n AS (SELECT *, row_number() OVER w AS r, count(*) OVER (PARTITION BY conv_id) AS n, left(role, 1) AS i,
+             lag(left(role, 1)) OVER w AS before, rtrim(text, {space}) AS body
+      FROM d WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+f AS (SELECT *, body = '' AS blank,
+             body <> '' AND row_number() OVER (PARTITION BY conv_id, role, text ORDER BY r) > 1 AS duplicate FROM n),
+b AS (SELECT *, blank OR duplicate AS forced,
+             CASE WHEN NOT blank AND NOT duplicate AND right(body, 1) NOT IN ('.', '!', '?') THEN 5 ELSE 0 END AS extra FROM f),
+dp(conv_id, r, v) AS (
+  SELECT DISTINCT conv_id, n + 1, [
+    struct_pack(cost := 0::BIGINT, audit := '', shown := []::VARCHAR[]),
+    struct_pack(cost := 10::BIGINT, audit := 'II', shown := ['user:', 'assistant:']),
+    struct_pack(cost := 5::BIGINT, audit := 'I', shown := ['assistant:']),
+    struct_pack(cost := 0::BIGINT, audit := '', shown := []::VARCHAR[])] FROM b
+  UNION ALL
+  SELECT conv_id, r, [{least('t[1]', insert('u', 'user'))}, {least('t[2]', insert('u', 'user'))},
+                      {least('t[3]', insert('a', 'assistant'))}, {least('t[4]', insert('u', 'user'))}]
+  FROM (SELECT *, {least('t[3]', insert('t[4]', 'assistant'))} AS u, {least('t[4]', insert('t[3]', 'user'))} AS a
+        FROM (SELECT b.conv_id, b.r, [{", ".join(takes)}] AS t
+              FROM dp JOIN b ON b.conv_id IS NOT DISTINCT FROM dp.conv_id AND b.r = dp.r - 1))),
+s AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+             count(*) FILTER (WHERE blank) AS blank, count(*) FILTER (WHERE duplicate) AS duplicate,
+             count(*) FILTER (WHERE extra > 0) AS truncated,
+             count(*) FILTER (WHERE r > 1 AND before || i NOT IN ('su', 'ua', 'au')) AS illegal FROM b GROUP BY conv_id),
+x AS (SELECT conv_id, v[1] AS best FROM dp WHERE r = 1),
+g AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT g.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(best.cost, 0) AS cost,
+       coalesce(best.audit, '') AS audit, sha256(coalesce(array_to_string(best.shown, chr(10)), '')) AS repaired_sha256
+FROM g LEFT JOIN s ON s.conv_id IS NOT DISTINCT FROM g.conv_id LEFT JOIN x ON x.conv_id IS NOT DISTINCT FROM g.conv_id"""
+
+
+@query("op13_conversation_repair", _repair_sql())
+def op13_conversation_repair(spark, d):
+    turns = table(spark, d, "conversations")
+    rows = damaged(turns)
+    found = (repair(rows).withColumn("conv_id", F.col("conv_id").cast("string")).repartition("conv_id")
+             .sortWithinPartitions("conv_id", "segment", "at")
+             .mapInPandas(_repair_digests, "conv_id string, blank long, duplicate long, truncated long, illegal long, "
+                                           "cost long, audit string, repaired_sha256 string"))
+    gaps = rows.groupBy(F.col("conv_id").alias("c")).agg(
+        (F.max("turn") - F.min("turn") + 1 - F.count_distinct("turn")).cast("long").alias("gaps"))
+    every = turns.select("conv_id").distinct()
+    out = (every.join(gaps, F.col("conv_id").eqNullSafe(F.col("c")), "left").drop("c")
+           .join(found.withColumnRenamed("conv_id", "c"), F.col("conv_id").cast("string").eqNullSafe(F.col("c")), "left"))
+    zero = [F.coalesce(c, F.lit(0).cast("long")).alias(c)
+            for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return out.select("conv_id", *zero, F.coalesce("audit", F.lit("")).alias("audit"),
+                      F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
