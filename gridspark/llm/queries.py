@@ -18,6 +18,7 @@ from gridspark.llm.decontaminate import find_overlaps
 from gridspark.llm.license_scan import BLANK_LINES, scan, size_bounds, template_parts
 from gridspark.llm.license_templates import TEMPLATES
 from gridspark.llm.line_dedup import drop_shared_lines
+from gridspark.llm.negatives import hard_negatives
 from gridspark.llm.packing import pack
 from gridspark.llm.passages import repeated_passages
 from gridspark.llm.prefix_counts import prefix_tokens, with_token_changes
@@ -323,3 +324,23 @@ def op13_conversation_repair(spark, d):
             for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
     return out.select("conv_id", *zero, F.coalesce("audit", F.lit("")).alias("audit"),
                       F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+@query("op11_hard_negatives", """
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
+           FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT a.vec_id AS anchor_id, c.vec_id AS other_id, a.label = c.label AS same,
+             CAST(list_dot_product(a.v, c.v) AS BIGINT) AS score
+      FROM e a JOIN e c ON a.vec_id % 100 = 0 AND c.vec_id <> a.vec_id),
+f AS (SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM p WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5),
+n AS (SELECT f.*, p.other_id AS negative_id, p.score AS negative_score,
+             CAST(row_number() OVER (PARTITION BY f.anchor_id, positive_id ORDER BY p.score DESC, p.other_id) AS INTEGER) AS rank
+      FROM f JOIN p ON p.anchor_id = f.anchor_id AND NOT p.same
+       AND 100 * p.score BETWEEN 30 * f.positive_score AND 90 * f.positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10""")
+def op11_hard_negatives(spark, d):
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, d, "embeddings").withColumn("label", moved))
