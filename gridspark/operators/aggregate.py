@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridspark.functions.columns import resolve_column, resolve_columns
+from gridspark.functions.names import free_name, plain_names
 from gridspark.plans.ordered import exact_quantiles, largest_group, null_safe_join, single_task_rows
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType,
@@ -81,18 +82,17 @@ def aggregate(df: DataFrame, by: Sequence[str], specs: Sequence[tuple[str, str,
     medians = [(c, f, a) for c, f, a in specs if canonical_agg(f) == "median" and exact]
     exprs = [agg_expr(f, c, exact).alias(a) for c, f, a in plain]
     if not exprs:
-        exprs = [F.count(F.lit(1)).alias("__n")]
+        exprs = [F.count(F.lit(1)).alias(free_name([*by, *[a for _, _, a in specs]], "_n"))]
     out = df.groupBy(*[_c(b) for b in by]).agg(*exprs)
+    frame, to = plain_names(df)
     for c, _, a in medians:
-        med = exact_quantiles(df, c, [0.5], by, null_groups=True, strategy=strategy).select(
-            *[_c(b) for b in by], F.col("value").alias(a))
+        med = exact_quantiles(frame, to[c], [0.5], [to[b] for b in by], null_groups=True, strategy=strategy).select(
+            *[_c(to[b]).alias(b) for b in by], F.col("value").alias(a))
         if by:
             out = null_safe_join(out, med, by, how="left")
         else:
             out = out.select("*", med.select(a).scalar().alias(a))
-    if "__n" in out.columns:
-        out = out.drop("__n")
-    return out.select(*by, *[a for _, _, a in specs])
+    return out.select(*[_c(b) for b in by], *[_c(a) for _, _, a in specs])
 
 
 def row_count(df: DataFrame) -> DataFrame:
@@ -258,7 +258,7 @@ def numeric_summary(df: DataFrame, columns: Sequence[str], qs: Sequence[float],
         # moments and sorts the column's values once (columns in parallel)
         def q_of(srt, q):
             n = F.size(srt)
-            p = F.lit(float(q)) * (n - 1)
+            p = F.lit(float(q)) * F.greatest(n - 1, F.lit(0))     # an empty list gives null
             lo, hi = F.floor(p), F.ceil(p)
             vlo = F.try_element_at(srt, (lo + 1).cast("int"))
             vhi = F.try_element_at(srt, (hi + 1).cast("int"))

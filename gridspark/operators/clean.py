@@ -19,6 +19,7 @@ from gridspark.functions.columns import resolve_column, resolve_columns
 from gridspark.functions.core import (clean_number, literal_regex, literal_replacement, to_bool,
                                       to_date, to_float, to_int)
 from gridspark.operators.aggregate import NUMERIC
+from gridspark.functions.names import plain_names
 from gridspark.plans.ordered import exact_quantiles, order_key, segmented_last
 
 
@@ -118,7 +119,9 @@ def forward_fill(df: DataFrame, columns, order_by: Sequence[str], partition_by:
     cols = _cols(df, columns)
     ob = resolve_columns(order_by, df.columns)
     pb = resolve_columns(partition_by, df.columns) if partition_by else []
-    return segmented_last(df, cols, ob, pb, strategy=strategy)
+    frame, to = plain_names(df)
+    return segmented_last(frame, [to[c] for c in cols], [to[c] for c in ob], [to[c] for c in pb],
+                          strategy=strategy).toDF(*df.columns)
 
 
 def all_null_columns(df: DataFrame) -> list[str]:
@@ -305,14 +308,21 @@ def update_cells(df: DataFrame, key, key_value, column, value) -> DataFrame:
 
 def apply_edits(df: DataFrame, edits: DataFrame, key: str) -> DataFrame:
     """C18 batch: ``edits`` holds ``key`` plus the columns to overwrite; a
-    non-null edit value replaces the cell (edits must be unique per key)."""
+    non-null edit value replaces the cell. A key with several edits raises, so no
+    row is ever multiplied; edits of a null key or of an unknown one change nothing."""
     k = resolve_column(key, df.columns)
     cols = [c for c in edits.columns if c != k]
-    e = edits.select(_c(k).alias("__ek"), *[_c(c).alias(f"__e_{c}") for c in cols])
-    j = df.join(e, df[f"`{k}`"] == e["__ek"], "left")
+    unknown = [c for c in cols if c not in df.columns]
+    if unknown:
+        raise ValueError(f"edited columns {unknown} are not in the table")
     types = {f.name: f.dataType for f in df.schema.fields}
-    return j.select(*[F.coalesce(F.col(f"`__e_{c}`").cast(types[c]), df[f"`{c}`"]).alias(c)
-                      if c in cols else df[f"`{c}`"] for c in df.columns])
+    once = F.when(F.count(F.lit(1)) > 1, F.raise_error(F.lit(f"several edits of one {k}")).cast("boolean")).otherwise(True)
+    e = edits.where(_c(k).isNotNull()).groupBy(_c(k).alias("_key")).agg(
+        once.alias("_once"), *[F.first(_c(c)).cast(types[c]).alias(f"_e{i}") for i, c in enumerate(cols)])
+    frame, to = plain_names(df)
+    j = frame.join(e, frame[to[k]] == e["_key"], "left")
+    return j.select(*[F.coalesce(F.when(F.col("_once"), F.col(f"_e{cols.index(c)}")), F.col(to[c])).alias(c)
+                      if c in cols else F.col(to[c]).alias(c) for c in df.columns])
 
 
 def clean_number_column(df: DataFrame, column) -> DataFrame:

@@ -68,7 +68,7 @@ def issue_scan(df: DataFrame) -> DataFrame:
 def apply_fix(df: DataFrame, column, issue: str) -> DataFrame:
     """C20: the standard fix for one issue of one column.
 
-    date_like_strings -> parsed dates; float_id_precision -> long;
+    date_like_strings -> parsed dates; float_id_precision -> long (null beyond its range);
     high_nulls -> column dropped; unique_values -> ``<col>_is_id`` flag;
     mixed_types -> numbers when every non-null value parses, else trimmed
     text (the one boolean deciding the result type is read first).
@@ -78,7 +78,7 @@ def apply_fix(df: DataFrame, column, issue: str) -> DataFrame:
     if issue == "date_like_strings":
         return df.withColumn(name, to_date(c))
     if issue == "float_id_precision":
-        return df.withColumn(name, F.bround(c, 0).cast("long"))
+        return df.withColumn(name, F.bround(c, 0).try_cast("long"))
     if issue == "high_nulls":
         return df.drop(name)
     if issue == "unique_values":

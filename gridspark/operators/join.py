@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from gridspark.functions.columns import resolve_column, resolve_columns
 from gridspark.operators.aggregate import agg_expr, canonical_agg
+from gridspark.functions.names import plain_names
 from gridspark.plans.ordered import order_key, row_numbers
 
 JOIN_TYPES = {"left": "left", "inner": "inner", "outer": "full_outer", "full": "full_outer",
@@ -161,11 +162,15 @@ def concat_columns(left: DataFrame, right: DataFrame, left_order: Sequence[str],
     ``plans.ordered`` (no single-task window; null keys last), then the two are full-outer
     joined on the number; the shorter side pads with nulls.
     """
-    ln = row_numbers(left, list(left_order), name="__pos", null_keys=True)
-    rn = row_numbers(right, list(right_order), name="__pos", null_keys=True)
+    def numbered(df, order, stem):
+        frame, to = plain_names(df, stem)
+        keys = [to[o] if isinstance(o, str) else (to[o[0]], o[1]) for o in order]
+        return row_numbers(frame, keys, name=f"_{stem}", null_keys=True), to
+
+    ln, lto = numbered(left, left_order, "l")
+    rn, rto = numbered(right, right_order, "r")
     clash = (set(left.columns) & set(right.columns))
-    L = ln.select("__pos", *[_c(c).alias(c + suffixes[0]) if c in clash else _c(c) for c in left.columns])
-    R = rn.select(F.col("__pos").alias("__pos_r"),
-                  *[_c(c).alias(c + suffixes[1]) if c in clash else _c(c) for c in right.columns])
-    j = L.join(R, L["__pos"] == R["__pos_r"], "full_outer")
-    return j.withColumn("row_position", F.coalesce("__pos", "__pos_r")).drop("__pos", "__pos_r")
+    j = ln.join(rn, F.col("_l") == F.col("_r"), "full_outer")
+    return j.select(*[F.col(n).alias(c + side if c in clash else c)
+                      for to, side in ((lto, suffixes[0]), (rto, suffixes[1])) for c, n in to.items()],
+                    F.coalesce("_l", "_r").alias("row_position"))

@@ -14,7 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridspark.functions.columns import resolve_column, resolve_columns
-from gridspark.operators.aggregate import agg_expr, canonical_agg
+from gridspark.operators.aggregate import NUMERIC, agg_expr, canonical_agg
+from gridspark.operators.clean import _can_hold
+
 
 def _c(n: str) -> Column:
     return F.col(f"`{n}`")
@@ -53,7 +55,8 @@ def pivot_table(df: DataFrame, rows: Sequence, columns: Sequence | None, value,
     """V-P1..V-P3: ``rows`` x ``columns`` of ``agg(value)``.
 
     Rows with a null row or column key are dropped; empty cells are filled
-    with ``fill`` (None keeps them null). Output columns are named by their
+    with ``fill`` (None keeps them null, as does a fill that the aggregate's type cannot
+    hold, such as 0 for text). Output columns are named by their
     value; several pivot columns by their values joined with ``sep`` (names that
     come out equal raise: choose another ``sep``). ``values`` gives the pivot
     values, as tuples for several columns. No pivot column gives a plain group
@@ -78,8 +81,10 @@ def pivot_table(df: DataFrame, rows: Sequence, columns: Sequence | None, value,
     names = [sep.join(str(x) for x in t) for t in vals]
     out = _pivoted(base, rcols, ccols, vals, names, agg_expr(f, v))
     if fill is not None:
+        number = isinstance(fill, (int, float)) and not isinstance(fill, bool)
+        fits = {x.name: (number and isinstance(x.dataType, NUMERIC)) or _can_hold(x.dataType, fill) for x in out.schema}
         out = out.select(*[_c(r) for r in rcols],
-                         *[F.coalesce(_quoted(n), F.lit(fill)).alias(n) for n in names])
+                         *[F.coalesce(_quoted(n), F.lit(fill)).alias(n) if fits[n] else _quoted(n) for n in names])
     return out.orderBy(*[_c(r) for r in rcols])
 
 

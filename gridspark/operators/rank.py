@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridspark.functions.columns import resolve_column, resolve_columns
+from gridspark.functions.names import plain_names
 from gridspark.plans.ordered import RANK_METHODS, attach_ranks, positions, rank_expr, row_numbers
 
 METHOD_ALIASES = {"ordinal": "first", "standard": "first", "pct": "percentile", "avg": "average",
@@ -57,16 +58,17 @@ def rank(df: DataFrame, columns, method: str = "min", group=None, ascending=Fals
     """
     cols = resolve_columns([columns] if isinstance(columns, (str, int)) else columns, df.columns)
     asc = ascending if isinstance(ascending, (list, tuple)) else [ascending] * len(cols)
-    order = list(zip(cols, [bool(a) for a in asc]))
+    frame, to = plain_names(df)
+    order = list(zip([to[c] for c in cols], [bool(a) for a in asc]))
     by = resolve_columns([group] if isinstance(group, (str, int)) else group, df.columns) if group else []
     m = canonical_method(method)
     out_name = name or f"{cols[0]}_rank"
     if m == "first":
-        tb = [(resolve_column(t, df.columns), True) for t in tiebreak]
-        res = row_numbers(df, order + tb, by, name="__r", strategy=strategy, n_buckets=n_buckets)
+        tb = [(to[resolve_column(t, df.columns)], True) for t in tiebreak]
+        res = row_numbers(frame, order + tb, [to[b] for b in by], name="_r", strategy=strategy, n_buckets=n_buckets)
     else:
-        res = attach_ranks(df, order, by, {"__r": m}, strategy=strategy, n_buckets=n_buckets)
-    return res.select(*[_c(c) for c in df.columns], _cast(m, F.col("__r")).alias(out_name))
+        res = attach_ranks(frame, order, [to[b] for b in by], {"_r": m}, strategy=strategy, n_buckets=n_buckets)
+    return res.select(*[_c(to[c]).alias(c) for c in df.columns], _cast(m, F.col("_r")).alias(out_name))
 
 
 def ranks(df: DataFrame, columns, methods: dict, group=None, ascending=False,
@@ -75,14 +77,15 @@ def ranks(df: DataFrame, columns, methods: dict, group=None, ascending=False,
     ``first``), sharing one ordering pass."""
     cols = resolve_columns([columns] if isinstance(columns, (str, int)) else columns, df.columns)
     asc = ascending if isinstance(ascending, (list, tuple)) else [ascending] * len(cols)
-    order = list(zip(cols, [bool(a) for a in asc]))
+    frame, to = plain_names(df)
+    order = list(zip([to[c] for c in cols], [bool(a) for a in asc]))
     by = resolve_columns([group] if isinstance(group, (str, int)) else group, df.columns) if group else []
     ms = {n: canonical_method(m) for n, m in methods.items()}
     if "first" in ms.values():
         raise ValueError("use rank(..., 'first') for ordinal ranks")
-    tmp = {f"__r{i}": m for i, m in enumerate(ms.values())}
-    res = attach_ranks(df, order, by, tmp, strategy=strategy)
-    return res.select(*[_c(c) for c in df.columns],
+    tmp = {f"_r{i}": m for i, m in enumerate(ms.values())}
+    res = attach_ranks(frame, order, [to[b] for b in by], tmp, strategy=strategy)
+    return res.select(*[_c(to[c]).alias(c) for c in df.columns],
                       *[_cast(m, F.col(t)).alias(n) for (n, m), t in zip(ms.items(), tmp)])
 
 
@@ -102,14 +105,17 @@ def top_n_ranked(df: DataFrame, column, n: int, method: str = "min", group=None,
     by = resolve_columns([group] if isinstance(group, (str, int)) else group, df.columns) if group else []
     m = canonical_method(method)
     out_name = name or f"{col}_rank"
+    frame, to = plain_names(df)
+    col, by, ties = to[col], [to[b] for b in by], [to[resolve_column(t, df.columns)] for t in tiebreak]
+    rows = [_c(to[c]).alias(c) for c in df.columns]
     key = _c(col).asc() if ascending else _c(col).desc()
-    base = df.where(_c(col).isNotNull())
+    base = frame.where(_c(col).isNotNull())
     for b in by:
         base = base.where(_c(b).isNotNull())
     if m == "first":
-        w = Window.partitionBy(*[_c(b) for b in by]).orderBy(key, *[_c(t).asc() for t in tiebreak])
-        return base.withColumn(out_name, F.row_number().over(w).cast("long")).where(
-            F.col(out_name) <= n)
+        w = Window.partitionBy(*[_c(b) for b in by]).orderBy(key, *[_c(t).asc() for t in ties])
+        return base.withColumn("_r", F.row_number().over(w).cast("long")).where(
+            F.col("_r") <= n).select(*rows, F.col("_r").alias(out_name))
     if m == "percentile":
         raise ValueError("use top_percent for percentile ranks")
     counts = base.groupBy(*[_c(b) for b in by], _c(col)).agg(F.count(F.lit(1)).alias("_n"))
@@ -118,8 +124,8 @@ def top_n_ranked(df: DataFrame, column, n: int, method: str = "min", group=None,
     wc = wd.rowsBetween(Window.unboundedPreceding, -1)
     cands = cands.withColumn("_before", F.coalesce(F.sum("_n").over(wc), F.lit(0)))
     cands = cands.withColumn("_r", rank_expr(m)).where(F.col("_r") <= n)
-    keep = cands.select(*[_c(b) for b in by], _c(col), _cast(m, F.col("_r")).alias(out_name))
-    return base.join(keep, on=by + [col], how="inner").select(*[_c(c) for c in df.columns], out_name)
+    keep = cands.select(*[_c(b) for b in by], _c(col), _cast(m, F.col("_r")).alias("_rank"))
+    return base.join(keep, on=by + [col], how="inner").select(*rows, F.col("_rank").alias(out_name))
 
 
 def top_percent(df: DataFrame, column, percent: float, group=None, ascending: bool = False,
@@ -138,6 +144,7 @@ def category_codes(df: DataFrame, column, name: str | None = None) -> DataFrame:
     """C14 helper: dense 0-based code of each distinct value in sorted order
     (null stays null), via the position table."""
     col = resolve_column(column, df.columns)
-    pos = positions(df, [col]).select(_c(col), (F.col("_dense") - 1).cast("long").alias(
-        name or f"{col}_code"))
-    return df.join(pos, on=[col], how="left")
+    frame, to = plain_names(df)
+    pos = positions(frame, [to[col]]).select(_c(to[col]), (F.col("_dense") - 1).cast("long").alias("_code"))
+    return frame.join(pos, on=[to[col]], how="left").select(
+        *[_c(to[c]).alias(c) for c in df.columns], F.col("_code").alias(name or f"{col}_code"))

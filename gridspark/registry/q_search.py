@@ -129,11 +129,13 @@ def conversations_text_search(spark, d):
 
 
 @query("diff_null_key", """
-WITH b AS (SELECT nullif(n_nationkey, 3) AS k, n_name, n_regionkey FROM nation)
-SELECT k, 'changed' AS status, 1::BIGINT AS changed_cells, 'n_regionkey' AS changed_columns FROM b
+WITH b AS (SELECT nullif(c_custkey, (SELECT min(c_custkey) FROM customer)) AS k FROM customer)
+SELECT k, 'changed' AS status, 1::BIGINT AS changed_cells, 'c_nationkey' AS changed_columns FROM b
 WHERE k IS NULL OR k % 2 = 0""")
 def diff_null_key(spark, d):
-    b = table(spark, d, "nation").select(F.nullif("n_nationkey", F.lit(3)).alias("k"), "n_name", "n_regionkey")
-    a = b.withColumn("n_regionkey", F.when(F.col("k").isNull() | (F.col("k") % 2 == 0), F.col("n_regionkey") + 100)
-                     .otherwise(F.col("n_regionkey")))
+    c = table(spark, d, "customer")
+    least = c.select(F.min("c_custkey")).scalar()
+    b = c.select(F.nullif(F.col("c_custkey"), least).alias("k"), "c_name", "c_nationkey")
+    a = b.withColumn("c_nationkey", F.when(F.col("k").isNull() | (F.col("k") % 2 == 0), F.col("c_nationkey") + 100)
+                     .otherwise(F.col("c_nationkey")))
     return table_diff(b, a, "k")
