@@ -4,6 +4,7 @@
 from pyspark.sql import functions as F
 
 from gridspark.operators.diff import diff_summary, table_diff
+from gridspark.operators.fuzzy import filter_fuzzy_table, fuzzy_join_table, fuzzy_replace_from
 from gridspark.operators.search import fuzzy_replace, fuzzy_search, search_all, suggest_values
 from gridspark.registry.base import query, table
 
@@ -139,3 +140,41 @@ def diff_null_key(spark, d):
     a = b.withColumn("c_nationkey", F.when(F.col("k").isNull() | (F.col("k") % 2 == 0), F.col("c_nationkey") + 100)
                      .otherwise(F.col("c_nationkey")))
     return table_diff(b, a, "k")
+
+
+_LABEL = "p_name || ' ' || p_brand || ' ' || p_type"
+#: Each distinct label with its closest reference label (a misspelt list), by all pairs.
+_FUZZY_TABLE = f"""
+WITH v AS (SELECT {_LABEL} AS value, count(*) AS count FROM part GROUP BY 1),
+r AS (SELECT DISTINCT replace(replace({_LABEL}, 'i', 'y'), 'Brand#', 'Brnd ') AS ref FROM part WHERE p_size > 25),
+s AS (SELECT value, count, ref,
+             100.0 * (1 - levenshtein(lower(value), lower(ref)) / greatest(length(value), length(ref))) AS score FROM v, r),
+b AS (SELECT * FROM s WHERE score >= 85 QUALIFY row_number() OVER (PARTITION BY value ORDER BY score DESC, ref) = 1),
+m AS (SELECT v.value, b.ref AS match, b.score, v.count FROM v LEFT JOIN b ON b.value = v.value)"""
+
+
+def _labels(spark, d):
+    label = F.concat_ws(" ", "p_name", "p_brand", "p_type")
+    part = table(spark, d, "part").withColumn("label", label)
+    misspelt = F.replace(F.replace("label", F.lit("i"), F.lit("y")), F.lit("Brand#"), F.lit("Brnd "))
+    return part, part.where("p_size > 25").select(misspelt.alias("ref"))
+
+
+@query("fuzzy_join_table", f"{_FUZZY_TABLE} SELECT value, match, score, count FROM m")
+def fuzzy_join_table_q(spark, d):
+    part, refs = _labels(spark, d)
+    return fuzzy_join_table(part, "label", refs, "ref", 85)
+
+
+@query("fuzzy_replace_table", f"""{_FUZZY_TABLE}
+SELECT p_partkey, coalesce(match, value) AS label FROM part JOIN m ON m.value = {_LABEL}""")
+def fuzzy_replace_table_q(spark, d):
+    part, refs = _labels(spark, d)
+    return fuzzy_replace_from(part.select("p_partkey", "label"), "label", refs, "ref", 85)
+
+
+@query("filter_fuzzy_table", f"""{_FUZZY_TABLE}
+SELECT part.* FROM part JOIN m ON m.value = {_LABEL} WHERE match IS NOT NULL""")
+def filter_fuzzy_table_q(spark, d):
+    part, refs = _labels(spark, d)
+    return filter_fuzzy_table(part, "label", refs, "ref", 85).drop("label")
