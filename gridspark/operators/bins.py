@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridspark.functions.columns import resolve_column
+from gridspark.functions.names import plain_names
 from gridspark.plans.ordered import quantile_array
 
 
@@ -63,15 +64,17 @@ def quantile_bins(df: DataFrame, column, q: int, name: str | None = None, exact:
     col = resolve_column(column, df.columns)
     out = name or f"{col}_qbin"
     qs = [i / q for i in range(q + 1)]
-    edges = quantile_array(df, col, qs, exact=exact).select(
-        F.array_distinct("values").alias("e")).scalar()
-    k = F.size(edges)
-    # inner edges are positions 2 .. k-1 of the distinct edge list
-    inner = [F.when(F.lit(i) < k, F.try_element_at(edges, F.lit(i))) for i in range(2, q + 1)]
-    v = _c(col).cast("double")
-    b = F.when(k >= 2, _bin_of(v, inner))
-    return df.select("*", b.alias(out), F.try_element_at(edges, b).alias(f"{out}_lo"),
-                     F.try_element_at(edges, b + 1).alias(f"{out}_hi"))
+    found = quantile_array(df, col, qs, exact=exact).select(F.array_distinct("values").alias("e")).scalar()
+    frame, to = plain_names(df)
+    frame = frame.withColumn("_e", found)     # one subquery; everything after reads the column
+    k, v = F.size("_e"), F.col(to[col]).cast("double")
+    # 1 + number of inner edges (2 .. k-1 of the distinct edge list) below the value
+    inner = F.slice("_e", F.lit(2), F.greatest(k - 2, F.lit(0)))
+    b = F.when((k >= 2) & v.isNotNull(), F.size(F.filter(inner, lambda e: e < v)) + 1)
+    frame = frame.withColumn("_bin", b)
+    return frame.select(*[F.col(to[c]).alias(c) for c in df.columns], F.col("_bin").alias(out),
+                        F.try_element_at("_e", F.col("_bin")).alias(f"{out}_lo"),
+                        F.try_element_at("_e", F.col("_bin") + 1).alias(f"{out}_hi"))
 
 
 def custom_bins(df: DataFrame, column, edges: Sequence[float], labels: Sequence[str] | None = None,

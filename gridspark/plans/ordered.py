@@ -13,6 +13,9 @@ bounded instead:
    tiny table of per-slice totals (at most buckets + groups rows) turns them
    into offsets.
 
+Exact quantiles of large groups need less: ``bracketed_quantiles`` brackets the wanted
+ranks with a sketch and then keeps the values inside the brackets only.
+
 From the resulting *position table* come every tie method of rank (min, max,
 average, dense, percentile), exact quantiles with linear interpolation, and
 row numbering. Results are exact; nothing is sampled or capped.
@@ -310,11 +313,21 @@ def exact_quantiles(df: DataFrame, column: str, qs: Sequence[float], by: Sequenc
                     strategy: str = "auto") -> DataFrame:
     """Exact quantiles with linear interpolation (pandas / ``quantile_cont``).
 
-    Returns ``(by..., q, value)`` with one row per group and requested q.
-    Uses the position table, so no group's values are gathered in one task.
+    Returns ``(by..., q, value)`` with one row per group and requested q. Groups
+    that fit one task are sorted there; larger ones are selected within brackets
+    (``bracketed_quantiles``), or by the position table where told so. ``strategy``:
+    auto, window, brackets or positions.
     """
     by = list(by)
     not_null = [column] if null_groups else by + [column]
+    if strategy == "auto" and df.schema[column].dataType.typeName() != "decimal":
+        rows = largest_group(df, by, not_null)
+        strategy = "window" if rows <= single_task_rows(df) else "brackets"
+        if strategy == "brackets":
+            most = min(MOST_ACCURACY, max(ACCURACY, 64 * rows // max(1, single_task_rows(df))))
+            return bracketed_quantiles(df, column, qs, by, null_groups, most, n_buckets)
+    if strategy == "brackets":
+        return bracketed_quantiles(df, column, qs, by, null_groups, n_buckets=n_buckets)
     if choose_strategy(df, strategy, by, not_null) == "window":
         # every group is proven to fit one task: sort its values once and
         # interpolate (about twice as fast as Spark's map-based percentile)
@@ -332,28 +345,90 @@ def exact_quantiles(df: DataFrame, column: str, qs: Sequence[float], by: Sequenc
             vhi = F.element_at("_s", (hi + 1).cast("int"))
             picks.append(F.struct(F.lit(float(q)).alias("q"), (vlo + (vhi - vlo) * (p - lo)).alias("value")))
         return srt.select(*[F.col(f"`{b}`") for b in by], F.inline(F.array(*picks)))
-    qarr = F.array(*[F.lit(float(q)) for q in qs])
     pos = positions(df, [column], by, n_buckets, null_groups=null_groups)
+    return _interpolated(pos.withColumn("_v", F.col(f"`{column}`").cast("double")), qs, by)
+
+
+def _interpolated(pos: DataFrame, qs: Sequence[float], by: list[str]) -> DataFrame:
+    """``(by..., q, value)`` from rows of values (``_v``) with the number of rows before
+    them, at them and in their group (``_before``, ``_n``, ``_total``)."""
+    hits = _hits(pos, qs, by)
+    agg = hits.groupBy(*[F.col(f"`{b}`") for b in by], F.col("h.q").alias("q")).agg(
+        F.max(F.when(F.col("h.is_lo"), F.col("_v"))).alias("_lo"),
+        F.max(F.when(F.col("h.is_hi"), F.col("_v"))).alias("_hi"),
+        F.max(F.col("h.p")).alias("_p"))
+    frac = F.col("_p") - F.floor(F.col("_p"))
+    return agg.select(*[F.col(f"`{b}`") for b in by], "q",
+                      (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * frac).alias("value"))
+
+
+def _hits(pos: DataFrame, qs: Sequence[float], by: list[str]) -> DataFrame:
+    """The rows that hold one of the two ranks of a quantile, as ``h``."""
+    qarr = F.array(*[F.lit(float(q)) for q in qs])
     p = lambda q: q * (F.col("_total") - 1)
     start, end = F.col("_before"), F.col("_before") + F.col("_n")
 
     def holds(i):
         return (start <= i) & (i < end)
 
-    hits = pos.select(
-        *[F.col(f"`{b}`") for b in by], F.col(f"`{column}`").cast("double").alias("_v"),
+    return pos.select(
+        *[F.col(f"`{b}`") for b in by], "_v", *[c for c in pos.columns if c == "_gap"],
         F.explode(F.filter(
             F.transform(qarr, lambda q: F.struct(
                 q.alias("q"), p(q).alias("p"),
                 holds(F.floor(p(q))).alias("is_lo"), holds(F.ceil(p(q))).alias("is_hi"))),
             lambda s: s["is_lo"] | s["is_hi"])).alias("h"))
-    agg = hits.groupBy(*[F.col(f"`{b}`") for b in by], F.col("h.q").alias("q")).agg(
-        F.max(F.when(F.col("h.is_lo"), F.col("_v"))).alias("_lo"),
-        F.max(F.when(F.col("h.is_hi"), F.col("_v"))).alias("_hi"),
-        F.max(F.col("h.p")).alias("_p"))
-    frac = F.col("_p") - F.floor(F.col("_p"))
-    return agg.select(*[F.col(f"`{b}`") for b in by], "q",
-                      (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * frac).alias("value"))
+
+
+ACCURACY, MOST_ACCURACY = 10_000, 1_000_000
+
+
+def bracketed_quantiles(df: DataFrame, column: str, qs: Sequence[float], by: Sequence[str] = (),
+                        null_groups: bool = False, accuracy: int = ACCURACY,
+                        n_buckets: int | None = None) -> DataFrame:
+    """Exact quantiles in two scans, as ``exact_quantiles`` returns them.
+
+    The first scan sketches each group (``percentile_approx``): a bracket of values
+    around each wanted rank, three times as wide as the sketch's error; groups of up to
+    ``accuracy`` rows take the whole line. In the second, values inside a bracket are
+    counted one by one and all others by the gap between brackets they fall into, both
+    in map-side partial aggregates, so neither all values nor a frequent value is
+    shuffled. Running counts over what is kept give the ranks. If a rank should lie in a
+    gap after all, or more is kept of a group than one task may order, the position
+    table answers instead; nothing rests on the sketch but speed."""
+    by, keys = list(by), [F.col(f"`{b}`") for b in by]
+    rows = df.select(*keys, F.col(f"`{column}`").cast("double").alias("_v")).where("_v is not null")
+    for b in [] if null_groups else by:
+        rows = rows.where(F.col(f"`{b}`").isNotNull())
+    margin, ends = 3.0 / accuracy, []
+    for q in qs:
+        ends += [max(0.0, q - margin), min(1.0, q + margin)]
+    # the sketch orders numbers; NaN, which Spark sorts last, goes with the infinite ones
+    number = F.when(F.isnan("_v"), float("inf")).otherwise(F.col("_v"))
+    told = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"),
+                                   F.percentile_approx(number, ends, accuracy).alias("_ends"))
+    whole, nan, least = F.col("_rows") <= accuracy, F.lit(float("nan")), F.lit(float("-inf"))
+    told = told.select(*keys, *[x for i, q in enumerate(qs) for x in (
+        F.when(whole | F.lit(q <= margin), least).otherwise(F.get("_ends", F.lit(2 * i))).alias(f"_l{i}"),
+        F.when(whole | F.lit(q >= 1 - margin) | (F.get("_ends", F.lit(2 * i + 1)) == float("inf")), nan)
+        .otherwise(F.get("_ends", F.lit(2 * i + 1))).alias(f"_h{i}"))])
+    marked = null_safe_join(rows, told, by) if null_groups or not by else rows.join(told, by)
+    inside, gap = F.lit(False), F.lit(0)
+    for i in range(len(qs)):
+        inside = inside | F.col("_v").between(F.col(f"_l{i}"), F.col(f"_h{i}"))
+    for i in range(len(qs)):
+        gap = gap + (F.col("_v") > F.col(f"_h{i}")).cast("int")
+    entries = marked.groupBy(*keys, F.when(~inside, gap).alias("_gap"), F.when(inside, F.col("_v")).alias("_x")).agg(
+        F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_v")).drop("_x")
+    entries = materialize(entries, "brackets")
+    if largest_group(entries, by, []) > single_task_rows(df):
+        return exact_quantiles(df, column, qs, by, n_buckets, null_groups, "positions")
+    order = Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    placed = entries.select("*", F.coalesce(F.sum("_n").over(order), F.lit(0)).alias("_before"),
+                            F.sum("_n").over(Window.partitionBy(*keys)).alias("_total"))
+    if not _hits(placed, qs, by).where("_gap is not null").isEmpty():
+        return exact_quantiles(df, column, qs, by, n_buckets, null_groups, "positions")
+    return _interpolated(placed, qs, by)
 
 
 def quantile_array(df: DataFrame, column: str, qs: Sequence[float], by: Sequence[str] = (),

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from gridspark.operators import aggregate as A
+from gridspark.plans.ordered import exact_quantiles
 from gridspark.registry.base import query, table
 
 
@@ -64,6 +65,29 @@ def agg_median_by_bucketed(spark, d):
     return _r4(out, "median_l_extendedprice")
 
 
+@query("agg_median_by_brackets", """
+SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.5), 4) AS median_l_extendedprice
+FROM lineitem GROUP BY 1""")
+def agg_median_by_brackets(spark, d):
+    out = A.custom_agg(table(spark, d, "lineitem"), "l_extendedprice", "median", key="l_returnflag",
+                       strategy="brackets")
+    return _r4(out, "median_l_extendedprice")
+
+
+@query("quantiles_brackets_hot", """
+WITH t AS (SELECT l_linestatus, CASE WHEN l_orderkey % 3 = 0 THEN 30000 WHEN l_orderkey % 7 = 0 THEN NULL
+                                     ELSE l_extendedprice END AS v FROM lineitem),
+q AS (SELECT l_linestatus, unnest([0.01, 0.25, 0.5, 0.9, 0.99]) AS q,
+             unnest(quantile_cont(v, [0.01, 0.25, 0.5, 0.9, 0.99])) AS value FROM t GROUP BY 1)
+SELECT l_linestatus, CAST(q AS DOUBLE) AS q, round(value, 4) AS value FROM q""")
+def quantiles_brackets_hot(spark, d):
+    hot = F.when(F.col("l_orderkey") % 3 == 0, 30000.0).when(F.col("l_orderkey") % 7 == 0, F.lit(None)).otherwise(
+        F.col("l_extendedprice"))
+    out = exact_quantiles(table(spark, d, "lineitem").withColumn("v", hot), "v", [0.01, 0.25, 0.5, 0.9, 0.99],
+                          ["l_linestatus"], strategy="brackets")
+    return _r4(out, "value")
+
+
 @query("agg_median_all", "SELECT round(quantile_cont(o_totalprice, 0.5), 4) AS median_o_totalprice FROM orders")
 def agg_median_all(spark, d):
     return _r4(A.custom_agg(table(spark, d, "orders"), "o_totalprice", "median"), "median_o_totalprice")
@@ -163,6 +187,24 @@ def describe_bucketed(spark, d):
     return _r4(A.describe(table(spark, d, "lineitem"), _LI_NUM, strategy="positions"), *_DESC)
 
 
+@query("describe_brackets", _stats_sql("lineitem", _LI_NUM, [0.25, 0.5, 0.75], digits=4))
+def describe_brackets(spark, d):
+    return _r4(A.describe(table(spark, d, "lineitem"), _LI_NUM, strategy="brackets"), *_DESC)
+
+
+@query("describe_null_column", """
+WITH t AS (SELECT CASE WHEN o_orderkey < 0 THEN o_totalprice END AS none, o_custkey FROM orders)
+SELECT 'none' AS "column", count(none) AS count, avg(none) AS mean, stddev_samp(none) AS std, min(none)::DOUBLE AS min,
+       quantile_cont(none, 0.25)::DOUBLE AS p25, quantile_cont(none, 0.5)::DOUBLE AS p50,
+       quantile_cont(none, 0.75)::DOUBLE AS p75, max(none)::DOUBLE AS max FROM t
+UNION ALL
+SELECT 'o_custkey', count(o_custkey), round(avg(o_custkey), 4), round(stddev_samp(o_custkey), 4), min(o_custkey),
+       quantile_cont(o_custkey, 0.25), quantile_cont(o_custkey, 0.5), quantile_cont(o_custkey, 0.75), max(o_custkey) FROM t""")
+def describe_null_column(spark, d):
+    t = table(spark, d, "orders").select(F.when(F.col("o_orderkey") < 0, F.col("o_totalprice")).alias("none"), "o_custkey")
+    return _r4(A.describe(t), *_DESC)
+
+
 @query("stats_percentiles", _stats_sql("orders", ["o_totalprice", "o_custkey"],
                                        [0.1, 0.25, 0.5, 0.75, 0.9, 0.95], digits=4))
 def stats_percentiles(spark, d):
