@@ -113,3 +113,38 @@ def crosstab(df: DataFrame, row, column, totals: bool = False, values: Sequence
                     F.coalesce(F.sum(_c(total_label)), F.lit(0)).cast("long").alias(total_label))
     foot = foot.select(F.lit(total_label).alias(r), *[_quoted(n) for n in names], _c(total_label))
     return body.unionByName(foot)
+
+
+def pivot_long(df: DataFrame, rows: Sequence, columns: Sequence, value, agg: str = "sum") -> DataFrame:
+    """V-P1/V-P2 without a schema that depends on the data: one row for each non-empty
+    cell, (row keys, column keys, ``<agg>_<value>``). A plain grouped aggregation: nothing
+    is read first, and neither many column keys nor many cells of one row matter."""
+    rcols = resolve_columns([rows] if isinstance(rows, (str, int)) else rows, df.columns)
+    ccols = resolve_columns([columns] if isinstance(columns, (str, int)) else columns, df.columns)
+    v, f = resolve_column(value, df.columns), canonical_agg(agg)
+    if f == "median":
+        raise ValueError("median is not a pivot aggregate; use sum, mean, count, min, max, nunique")
+    base = df
+    for c in [*rcols, *ccols]:
+        base = base.where(_c(c).isNotNull())
+    return base.groupBy(*[_c(c) for c in [*rcols, *ccols]]).agg(agg_expr(f, v).alias(f"{f}_{v}"))
+
+
+def pivot_map(df: DataFrame, rows: Sequence, columns: Sequence, value, agg: str = "sum", name: str = "cells",
+              sep: str = "_") -> DataFrame:
+    """V-P1/V-P2 with unknown column keys: one row for each row key, its cells as a map
+    from column key (several joined with ``sep``) to aggregate, keys in order. Rows
+    whose cells do not fit a value of their own belong into ``pivot_long``; column keys of
+    one row that come out equal as text raise."""
+    rcols = resolve_columns([rows] if isinstance(rows, (str, int)) else rows, df.columns)
+    ccols = resolve_columns([columns] if isinstance(columns, (str, int)) else columns, df.columns)
+    if name in rcols:
+        raise ValueError(f"the map needs a name of its own, not {name!r}")
+    long = pivot_long(df, rcols, ccols, value, agg)
+    cell = long.columns[-1]
+    entry = F.struct(F.concat_ws(sep, *[_c(c).cast("string") for c in ccols]).alias("key"),
+                     F.col(f"`{cell}`").alias("value"))
+    frame = long.select(*[_c(r).alias(f"r{i}") for i, r in enumerate(rcols)], entry.alias("_cell"))
+    out = frame.groupBy(*[f"r{i}" for i in range(len(rcols))]).agg(
+        F.map_from_entries(F.array_sort(F.collect_list("_cell"))).alias("_cells"))
+    return out.select(*[F.col(f"r{i}").alias(r) for i, r in enumerate(rcols)], F.col("_cells").alias(name))

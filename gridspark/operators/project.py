@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from gridspark.functions.columns import parse_column_list, resolve_column, resolve_columns
 from gridspark.operators.order import sort_columns
-from gridspark.plans.ordered import range_buckets, sort_order
+from gridspark.plans.order_index import OrderIndex, first_page
 
 
 def _c(name: str):
@@ -90,36 +90,17 @@ def page(df: DataFrame, number: int, size: int, order_by: Sequence,
          reset_past_end: bool = True) -> DataFrame:
     """Rows of page ``number`` (1-based) of ``size`` rows.
 
-    Page 1 is a bounded top-k. For a later page the rows are written once in
-    slices of the order; the slices' row counts tell which of them hold the
-    page, and only those are read and sorted, so the work after the write does
-    not grow with the page number. Rows equal in every order key come in an
-    unspecified order. A page past the end gives page 1 when
-    ``reset_past_end``, else no rows.
+    Page 1 is a bounded top-k. A later page goes through an ``OrderIndex``: bounds
+    and counts of the order keys, then one read of the slices that hold the page;
+    nothing is written. Keep an index to read several pages of one table. Rows equal
+    in every order key come in the order of a row hash. A page past the end gives
+    page 1 when ``reset_past_end``, else no rows.
     """
     if number < 1 or size < 1:
         raise ValueError("page number and size must be >= 1")
-    order = sort_columns(df, order_by)
-    offset = (number - 1) * size
-    first = df.orderBy(*order).limit(size)
-    if offset == 0:
-        return first
-    names = [f"_o{i}" for i in range(len(order_by))]
-    specs = [(o, True) if isinstance(o, (str, int)) else (o[0], bool(o[1])) for o in order_by]
-    keyed = df.select("*", *[_c(resolve_column(o, df.columns)).alias(n) for (o, _), n in zip(specs, names)])
-    by = [(n, asc) for n, (_, asc) in zip(names, specs)]
-    rows = range_buckets(keyed, by)
-    held, seen, skip = [], 0, 0
-    for r in rows.groupBy("_b").count().orderBy("_b").collect():   # one row per slice
-        if seen < offset + size and seen + r["count"] > offset:
-            if not held:
-                skip = offset - seen
-            held.append(r["_b"])
-        seen += r["count"]
-    if not held:
-        return first if reset_past_end else first.limit(0)
-    return (rows.where(F.col("_b").isin(held)).orderBy(*sort_order(by), "_uid").offset(skip).limit(size)
-            .select(*[_c(c) for c in df.columns]))
+    if number == 1:
+        return first_page(df, order_by, size)
+    return OrderIndex(df, order_by).page(number, size, reset_past_end)
 
 
 def sample_rows(df: DataFrame, n: int, key: Sequence[str] | None = None, seed: int = 42) -> DataFrame:

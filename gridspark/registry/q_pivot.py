@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from gridspark.operators.pivot import crosstab, pivot_table
+from gridspark.operators.pivot import crosstab, pivot_long, pivot_map, pivot_table
 from gridspark.registry.base import query, table
 
 
@@ -101,3 +101,29 @@ _RATES = [i / 100000 for i in range(0, 11)]
 def pivot_double(spark, d):
     li = table(spark, d, "lineitem").withColumn("rate", F.round(F.col("l_discount") * 100) / 100000)
     return crosstab(li, "l_returnflag", "rate", values=_RATES)
+
+
+@query("pivot_long_orders", """
+SELECT o_custkey, o_orderkey, sum(o_totalprice) AS sum_o_totalprice FROM orders GROUP BY 1, 2""")
+def pivot_long_orders(spark, d):
+    return pivot_long(table(spark, d, "orders"), "o_custkey", "o_orderkey", "o_totalprice")
+
+
+# a column key for each order: the map's entries, written out
+@query("pivot_map_orders", """
+WITH c AS (SELECT l_suppkey, CAST(l_orderkey AS VARCHAR) || '/' || l_linestatus AS k, count(l_quantity) AS n
+           FROM lineitem GROUP BY 1, 2)
+SELECT l_suppkey, string_agg(k || '=' || n, ',' ORDER BY k) AS cells, count(*) AS keys FROM c GROUP BY 1""")
+def pivot_map_orders(spark, d):
+    out = pivot_map(table(spark, d, "lineitem"), "l_suppkey", ["l_orderkey", "l_linestatus"], "l_quantity", "count", sep="/")
+    entry = F.transform(F.map_entries("cells"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
+    return out.select("l_suppkey", F.array_join(entry, ",").alias("cells"), F.size("cells").cast("long").alias("keys"))
+
+
+@query("pivot_text_max", """
+SELECT o_orderpriority, max(CAST(o_orderdate AS VARCHAR)) FILTER (WHERE o_orderstatus = 'F') AS "F",
+       max(CAST(o_orderdate AS VARCHAR)) FILTER (WHERE o_orderstatus = 'O') AS "O" FROM orders
+WHERE o_orderstatus IN ('F', 'O') GROUP BY 1""")
+def pivot_text_max(spark, d):
+    o = table(spark, d, "orders").where("o_orderstatus in ('F', 'O')").withColumn("day", F.col("o_orderdate").cast("string"))
+    return pivot_table(o, "o_orderpriority", "o_orderstatus", "day", "max", values=["F", "O"])

@@ -7,6 +7,7 @@ from gridspark.operators.derive import transform_column
 from gridspark.operators.filter import filter_rows
 from gridspark.plans.sql import run_sql
 from gridspark.plans.views import apply_view, view_from_json, view_to_json
+from gridspark.sources.edits import edit_table
 from gridspark.registry.base import query, table
 from gridspark.session import scratch_path as _scratch
 from gridspark.sources import io as S
@@ -226,3 +227,26 @@ def stream_lookup_duplicates(spark, d):
                                            F.when(F.col("c_custkey") % 2 == 0, F.col("c_mktsegment")).alias("seg"))
     out = ST.lookup_stream(sdf, c, "k", "c_nationkey", ["c_custkey", "seg"], order_by=["low", "c_custkey"])
     return ST.run_to_table(out.select("event_id", "c_custkey", "seg"), "append")
+
+
+# edits of two priorities rewrite two of five partitions; the row keeps the number rewritten
+@query("edit_table_partitions", """
+SELECT o_orderkey, o_custkey, o_orderstatus, CASE WHEN o_orderkey % 5 = 0 AND o_orderpriority IN ('1-URGENT', '5-LOW')
+       THEN -1.0 ELSE o_totalprice END AS o_totalprice, o_orderdate, o_orderpriority,
+       (SELECT count(DISTINCT o_orderpriority) FROM orders
+        WHERE o_orderkey % 5 = 0 AND o_orderpriority IN ('1-URGENT', '5-LOW')) AS rewritten FROM orders""")
+def edit_table_partitions_q(spark, d):
+    orders, path = table(spark, d, "orders"), _scratch(spark, "edit")
+    S.write_table(orders, path, partition_by=["o_orderpriority"])
+    edits = orders.where("o_orderkey % 5 = 0 and o_orderpriority in ('1-URGENT', '5-LOW')").select(
+        "o_orderkey", F.lit(-1.0).alias("o_totalprice"))
+    n = edit_table(spark, path, edits, "o_orderkey", ["o_orderpriority"])
+    return S.load_table(spark, path).select(*orders.columns, F.lit(n).cast("long").alias("rewritten"))
+
+
+@query("read_sql_orders", """
+SELECT o_orderstatus, count(*) AS orders, max(o_orderdate) AS latest FROM orders WHERE o_totalprice > 1000 GROUP BY 1""")
+def read_sql_orders_q(spark, d):
+    table(spark, d, "orders").createOrReplaceTempView("orders")
+    return S.read_sql(spark, "SELECT o_orderstatus, count(1) AS orders, max(o_orderdate) AS latest FROM orders "
+                             "WHERE NOT o_totalprice <= 1000 GROUP BY o_orderstatus")

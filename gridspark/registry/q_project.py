@@ -6,6 +6,8 @@ from gridspark.operators.order import distinct, limit, sort, top_n, union_all
 from gridspark.operators.project import (add_constant, clean_names, column_window, drop_columns,
                                          head, page, rename_column, sample_rows, select_columns,
                                          tail)
+from gridspark.operators.join import stack
+from gridspark.plans.order_index import OrderIndex
 from gridspark.registry.base import query, table
 
 
@@ -82,6 +84,19 @@ def page_deep_q(spark, d):
     return page(o, number, 100, order_by=[("o_totalprice", False), "o_orderkey"])
 
 
+# three pages of one index, its slices cut small enough to need several of them
+@query("page_index", """
+WITH o AS (SELECT *, row_number() OVER (ORDER BY o_orderpriority DESC, o_custkey, o_orderkey) AS r FROM orders)
+SELECT o_orderkey, o_custkey, o_orderpriority, CAST((r - 1) // 40 + 1 AS INTEGER) AS page FROM o
+WHERE (r - 1) // 40 + 1 IN (1, 7, (SELECT count(*) FROM orders) // 80)""")
+def page_index_q(spark, d):
+    o = table(spark, d, "orders")
+    index = OrderIndex(o, [("o_orderpriority", False), "o_custkey", "o_orderkey"], most=1000)
+    pages = [index.page(n, 40).select("o_orderkey", "o_custkey", "o_orderpriority", F.lit(n).alias("page"))
+             for n in sorted({1, 7, index.rows // 80})]
+    return stack(*pages)
+
+
 @query("limit_after_sort", "SELECT * FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 25")
 def limit_after_sort(spark, d):
     return limit(sort(table(spark, d, "customer"), ["c_acctbal", "c_custkey"], [False, True]), 25)

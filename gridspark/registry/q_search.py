@@ -3,9 +3,11 @@
 
 from pyspark.sql import functions as F
 
+from gridspark.operators.checksums import checksums, diff_by_checksum
 from gridspark.operators.diff import diff_summary, table_diff
 from gridspark.operators.fuzzy import filter_fuzzy_table, fuzzy_join_table, fuzzy_replace_from
 from gridspark.operators.search import fuzzy_replace, fuzzy_search, search_all, suggest_values
+from gridspark.plans.ordered import materialize
 from gridspark.registry.base import query, table
 
 
@@ -81,7 +83,7 @@ def _after(spark, d):
     return spark.sql(_AFTER_SPARK)
 
 
-@query("table_diff", f"""
+_TABLE_DIFF = f"""
 WITH a AS ({_AFTER_SPARK}),
 j AS (SELECT coalesce(b.o_orderkey, a.o_orderkey) AS o_orderkey, b.o_orderkey IS NOT NULL AS in_b,
              a.o_orderkey IS NOT NULL AS in_a,
@@ -95,7 +97,23 @@ SELECT o_orderkey,
        CAST(CASE WHEN in_a AND in_b THEN n ELSE 5 END AS BIGINT) AS changed_cells,
        CASE WHEN in_a AND in_b THEN 'o_totalprice'
             ELSE 'o_custkey,o_orderstatus,o_totalprice,o_orderdate,o_orderpriority' END AS changed_columns
-FROM j WHERE NOT (in_a AND in_b AND n = 0)""")
+FROM j WHERE NOT (in_a AND in_b AND n = 0)"""
+
+
+@query("diff_by_checksum", _TABLE_DIFF)
+def diff_by_checksum_q(spark, d):
+    return diff_by_checksum(table(spark, d, "orders"), _after(spark, d), "o_orderkey")
+
+
+# the same diff against stored checksums of the first version
+@query("diff_by_stored_checksum", _TABLE_DIFF)
+def diff_by_stored_checksum_q(spark, d):
+    before = table(spark, d, "orders")
+    stored = materialize(checksums(before, "o_orderkey", bits=12), "checksums")
+    return diff_by_checksum(before, _after(spark, d), "o_orderkey", bits=12, before_checksums=stored)
+
+
+@query("table_diff", _TABLE_DIFF)
 def table_diff_q(spark, d):
     return table_diff(table(spark, d, "orders"), _after(spark, d), "o_orderkey")
 
