@@ -30,3 +30,36 @@ def longest_stretch(equal: np.ndarray, share: float) -> tuple[int, int]:
     i, j = int(starts[best]), int(ends[best])
     inside = np.flatnonzero(equal[i:j])
     return (i + int(inside[0]), i + int(inside[-1]) + 1) if len(inside) else (0, 0)
+
+
+def _longest_between(equal: np.ndarray, share: float) -> tuple[int, int]:
+    """The longest [i, j) that begins and ends with a true one and of which at least
+    ``share`` is true (the first of them); (0, 0) if none is true."""
+    places = np.flatnonzero(equal)
+    if not len(places):
+        return 0, 0
+    total = np.concatenate(([0.0], np.cumsum(equal - share)))
+    lead, tail = total[places], total[places + 1]
+    lower = np.concatenate(([True], lead[1:] < np.minimum.accumulate(lead)[:-1]))
+    starts = np.flatnonzero(lower)                  # no earlier start is as low
+    above = np.maximum.accumulate(tail[::-1])       # by place from the last, never falling
+    last = len(places) - 1 - np.searchsorted(above, lead[starts] - 1e-9, "left")
+    length = places[last] - places[starts]
+    best = int(np.argmax(length))
+    return int(places[starts[best]]), int(places[last[best]]) + 1
+
+
+def stretches(equal: np.ndarray, share: float, least: int) -> list[tuple[int, int]]:
+    """Disjoint stretches of at least ``least`` that begin and end with a true one and of
+    which at least ``share`` is true: the longest (first of them), then those of what
+    lies to its left and right, in order."""
+    found, open_ = [], [(0, len(equal))]
+    while open_:
+        a, b = open_.pop()
+        if b - a < least:
+            continue
+        i, j = _longest_between(equal[a:b], share)
+        if j - i >= least:
+            found.append((a + i, a + j))
+            open_ += [(a, a + i), (a + j, b)]
+    return sorted(found)
