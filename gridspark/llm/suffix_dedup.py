@@ -33,6 +33,7 @@ _PART = 1 << 22          # characters of text whose records are held at once
 _UNIQUE, _REMOVED, _OPEN = 0, 1, 2   # kinds of records: to be sorted, known, to be resolved by window
 _SEVERAL = 3                         # to be sorted, piece known to have several stretches
 _LEAST_ID = -(1 << 63)   # stands for a null id
+_PLACE = ("doc", "tag", "at")        # of a record: id, hash of the text, position
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _C1, _C2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
@@ -111,23 +112,28 @@ def runs(chunk: list[bytes], length: int, gram: int):
     return piece, anchor - begins[piece], lo - begins[piece], hi - begins[piece], grams[anchor], stretch
 
 
-def _pack(part, pos, near, far):
-    return (part << 46) | (pos << 14) | (near << 7) | far
+def _pack(pos, near, far):
+    return (pos << 14) | (near << 7) | far
 
 
-def _keep_first(key: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(order, kind) of records sorted by (key, doc, at): 0 for the first of a key,
+def _by_place(doc: np.ndarray, tag: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A sort key for records that only pass through: spread by their place."""
+    return _mix((doc ^ (at << 17) ^ tag).view(np.uint64)).view(np.int64)
+
+
+def _keep_first(key: np.ndarray, doc: np.ndarray, tag: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, kind) of records sorted by (key, doc, tag, at): 0 for the first of a key,
     1 for a later place, 2 for a repetition of the very place before it."""
-    order = np.lexsort((at, doc, key))
-    k, d, a = key[order], doc[order], at[order]
+    order = np.lexsort((at, tag, doc, key))
+    k, d, t, a = key[order], doc[order], tag[order], at[order]
     same = np.zeros(len(k), dtype=bool)
     same[1:] = k[1:] == k[:-1]
     again = same.copy()
-    again[1:] &= (d[1:] == d[:-1]) & (a[1:] == a[:-1])
+    again[1:] &= (d[1:] == d[:-1]) & (t[1:] == t[:-1]) & (a[1:] == a[:-1])
     return order, np.where(again, 2, same.astype(np.int8))
 
 
-def _anchor_rows(ids, texts, parts, length: int, gram: int) -> pd.DataFrame:
+def _anchor_rows(ids, texts, tags, length: int, gram: int) -> pd.DataFrame:
     """Records of one batch, after what can be settled within it."""
     found, chunk, owner, size = [], [], [], 0
 
@@ -135,29 +141,27 @@ def _anchor_rows(ids, texts, parts, length: int, gram: int) -> pd.DataFrame:
         nonlocal chunk, owner, size
         if chunk:
             piece, anchor, lo, hi, kh, ch = runs(chunk, length, gram)
-            base = np.array([o[2] for o in owner], dtype=np.int64)[piece]
-            found.append((kh.view(np.int64), ch.view(np.int64),
-                          np.array([o[0] for o in owner], dtype=np.int64)[piece],
-                          _pack(np.array([o[1] for o in owner], dtype=np.int64)[piece], anchor + base, anchor - hi, anchor - lo)))
+            doc, tag, base = (x[piece] for x in np.array(owner, dtype=np.int64).T)
+            found.append((kh.view(np.int64), ch.view(np.int64), doc, tag, _pack(anchor + base, anchor - hi, anchor - lo)))
         chunk, owner, size = [], [], 0
 
-    for key, text, part in zip(ids, texts, parts):
+    for key, text, tag in zip(ids, texts, tags):
         raw = text.encode("utf-8", "surrogatepass")
         if len(raw) < length:
             continue
         for at, b in pieces(raw, length):
             chunk.append(b)
-            owner.append((key, part, at))
+            owner.append((key, tag, at))
             size += len(b)
             if size >= _SEGMENT:
                 flush()
     flush()
     if not found:
-        return pd.DataFrame({"kh": [], "ch": [], "doc": [], "at": [], "kind": []}).astype("int64")
-    kh, ch, doc, at = (np.concatenate(c) for c in zip(*found))
+        return pd.DataFrame({"kh": [], "ch": [], "doc": [], "tag": [], "at": [], "kind": []}).astype("int64")
+    kh, ch, doc, tag, at = (np.concatenate(c) for c in zip(*found))
     kind = np.zeros(len(kh), dtype=np.int64)
     # stretches that repeat within the batch: all but the first are settled
-    order, state = _keep_first(ch, doc, at)
+    order, state = _keep_first(ch, doc, tag, at)
     kind[order[state == 1]] = _REMOVED
     drop = np.zeros(len(kh), dtype=bool)
     drop[order[state == 2]] = True
@@ -172,13 +176,13 @@ def _anchor_rows(ids, texts, parts, length: int, gram: int) -> pd.DataFrame:
     kind[by[many & ~new]] = _OPEN
     # settled records only pass through; they travel by their place, not their piece
     through = (kind == _REMOVED) | (kind == _OPEN)
-    kh = np.where(through, _mix((doc ^ (at << 17)).view(np.uint64)).view(np.int64), kh)
-    out = pd.DataFrame({"kh": kh, "ch": np.where(through, 0, ch), "doc": doc, "at": at, "kind": kind})
+    kh = np.where(through, _by_place(doc, tag, at), kh)
+    out = pd.DataFrame({"kh": kh, "ch": np.where(through, 0, ch), "doc": doc, "tag": tag, "at": at, "kind": kind})
     return out[~drop]
 
 
 class _Sorted:
-    """Settles records that come sorted by (kh, ch, doc, at), batch by batch; keeps
+    """Settles records that come sorted by (kh, ch, doc, tag, at), batch by batch; keeps
     one record between batches."""
 
     def __init__(self):
@@ -187,61 +191,61 @@ class _Sorted:
     def add(self, b: pd.DataFrame) -> list[tuple]:
         kind = b["kind"].to_numpy()
         through = (kind == _REMOVED) | (kind == _OPEN)
-        out = [(b["doc"].to_numpy()[through], b["at"].to_numpy()[through], kind[through])]
+        out = [(*(b[c].to_numpy()[through] for c in _PLACE), kind[through])]
         b = b[~through]
         if not len(b):
             return out
-        kh, ch, doc, at = (b[c].to_numpy() for c in ("kh", "ch", "doc", "at"))
+        kh, ch, doc, tag, at = (b[c].to_numpy() for c in ("kh", "ch", *_PLACE))
         several = b["kind"].to_numpy() == _SEVERAL
         if self.last is not None:
             t = self.last
-            kh, ch, doc, at = (np.concatenate((np.array([t[n]], dtype=np.int64), v))
-                               for n, v in (("kh", kh), ("ch", ch), ("doc", doc), ("at", at)))
+            kh, ch, doc, tag, at = (np.concatenate((np.array([t[n]], dtype=np.int64), v)) for n, v in (
+                ("kh", kh), ("ch", ch), ("doc", doc), ("tag", tag), ("at", at)))
             several = np.concatenate(([t["several"]], several))
         new = np.ones(len(kh), dtype=bool)
         new[1:] = kh[1:] != kh[:-1]
         fresh = new.copy()
         fresh[1:] |= ch[1:] != ch[:-1]
         again = np.zeros(len(kh), dtype=bool)
-        again[1:] = ~fresh[1:] & (doc[1:] == doc[:-1]) & (at[1:] == at[:-1])
+        again[1:] = ~fresh[1:] & (doc[1:] == doc[:-1]) & (tag[1:] == tag[:-1]) & (at[1:] == at[:-1])
         starts = np.flatnonzero(new)
         group = np.cumsum(new) - 1
         multi = (np.add.reduceat(fresh, starts) > 1) | np.maximum.reduceat(several, starts)
         later = ~fresh & ~again
-        out.append((doc[later], at[later], np.full(later.sum(), _REMOVED)))
+        out.append((doc[later], tag[later], at[later], np.full(later.sum(), _REMOVED)))
         # first records of stretches of pieces with several stretches
         opened = fresh & multi[group]
         if self.last is not None and self.last["several"]:
             opened[0] = False
-        out.append((doc[opened], at[opened], np.full(opened.sum(), _OPEN)))
+        out.append((doc[opened], tag[opened], at[opened], np.full(opened.sum(), _OPEN)))
         # a piece with one stretch so far waits with its first record; of others the
         # last stretch is kept, its first record already given out
         f = int(np.flatnonzero(fresh)[-1])
-        self.last = {"kh": kh[f], "ch": ch[f], "doc": doc[f], "at": at[f], "several": bool(multi[-1])}
+        self.last = {"kh": kh[f], "ch": ch[f], "doc": doc[f], "tag": tag[f], "at": at[f], "several": bool(multi[-1])}
         return out
 
 
 def _places(parts: list[tuple]) -> pd.DataFrame:
-    doc, at, kind = (np.concatenate(c) for c in zip(*parts))
-    return pd.DataFrame({"doc": doc, "at": at, "kind": kind.astype(np.int64)})
+    doc, tag, at, kind = (np.concatenate(c) for c in zip(*parts))
+    return pd.DataFrame({"doc": doc, "tag": tag, "at": at, "kind": kind.astype(np.int64)})
 
 
 def _later_windows(b: pd.DataFrame, last: tuple | None) -> tuple[pd.DataFrame, tuple]:
-    """Places, sorted by (wh, doc, at), that are not the first of their window."""
-    wh, doc, at = (b[c].to_numpy() for c in ("wh", "doc", "at"))
+    """Places, sorted by (wh, doc, tag, at), that are not the first of their window."""
+    wh, doc, tag, at = (b[c].to_numpy() for c in ("wh", *_PLACE))
     if last is not None:
-        wh, doc, at = (np.concatenate((np.array([x], dtype=np.int64), v)) for x, v in zip(last, (wh, doc, at)))
+        wh, doc, tag, at = (np.concatenate((np.array([x], dtype=np.int64), v)) for x, v in zip(last, (wh, doc, tag, at)))
     same = np.zeros(len(wh), dtype=bool)
     same[1:] = wh[1:] == wh[:-1]
     firsts = np.maximum.accumulate(np.where(same, 0, np.arange(len(wh))))
-    later = same & ((doc != doc[firsts]) | (at != at[firsts]))
+    later = same & ((doc != doc[firsts]) | (tag != tag[firsts]) | (at != at[firsts]))
     f = firsts[-1]
-    return pd.DataFrame({"doc": doc[later], "at": at[later]}), (wh[f], doc[f], at[f])
+    return pd.DataFrame({"doc": doc[later], "tag": tag[later], "at": at[later]}), (wh[f], doc[f], tag[f], at[f])
 
 
-def _part(text: Column) -> Column:
+def _tag(text: Column) -> Column:
     """Tells rows of one id apart; their order is by it."""
-    return F.pmod(F.xxhash64(text), F.lit(1 << 15))
+    return F.xxhash64(text)
 
 
 def repeated_bytes(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -254,7 +258,7 @@ def repeated_bytes(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
 
     Defined cases: null text is empty; texts under ``length`` bytes stay whole; a
     null id counts as the smallest; rows with one id but different texts are
-    documents of their own, in an order by a hash of the text; repeated rows are
+    documents of their own, in the order of a 64-bit hash of the text; repeated rows are
     one document and get the same result; extra columns are ignored; an empty
     table gives no rows. Equality is judged by hashes: 64 bits of a piece and 64 of
     the stretch, or 64 bits of a window. Ids must be whole numbers.
@@ -270,29 +274,28 @@ def repeated_bytes(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     gram = max(8, int(length * GRAM_SHARE))
     source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LEAST_ID)).alias("doc"),
                          F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    tagged = source.withColumn("part", _part(F.col("text")))
+    tagged = source.withColumn("tag", _tag(F.col("text")))
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in by_size(batches, "text", _PART):
-            yield _anchor_rows(b["doc"].tolist(), b["text"], b["part"].tolist(), length, gram)
+            yield _anchor_rows(b["doc"].tolist(), b["text"], b["tag"].tolist(), length, gram)
 
     def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         state = _Sorted()
         for b in batches:
             yield _places(state.add(b))
 
-    records = tagged.mapInPandas(find, "kh long, ch long, doc long, at long, kind long")
-    places = written(records.repartition("kh").sortWithinPartitions("kh", "ch", "doc", "at")
-                     .mapInPandas(settle, "doc long, at long, kind long"), "suffix-places")
-    places = places.withColumn("part", F.shiftright("at", 46))
+    records = tagged.mapInPandas(find, "kh long, ch long, doc long, tag long, at long, kind long")
+    places = written(records.repartition("kh").sortWithinPartitions("kh", "ch", "doc", "tag", "at")
+                     .mapInPandas(settle, "doc long, tag long, at long, kind long"), "suffix-places")
 
     def hard(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in by_size(batches, "text", _PART):
             out = []
-            for key, text, part, ats in zip(b["doc"].tolist(), b["text"], b["part"].tolist(), b["ats"]):
+            for key, text, tag, ats in zip(b["doc"].tolist(), b["text"], b["tag"].tolist(), b["ats"]):
                 raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8)
                 a = np.asarray(ats, dtype=np.int64)
-                pos, near, far = a >> 14 & 0xFFFFFFFF, a >> 7 & 127, a & 127
+                pos, near, far = a >> 14, a >> 7 & 127, a & 127
                 n = far - near + 1
                 start = np.repeat(pos - far, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 start = np.unique(start)
@@ -301,44 +304,45 @@ def repeated_bytes(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
                     if len(own):
                         h = Hashes(raw[at:at + _SEGMENT + length])
                         wh = h.of(own - at, own - at + length).view(np.int64)
-                        out.append((wh, np.full(len(own), key), own | (part << 46)))
+                        out.append((wh, np.full(len(own), key), np.full(len(own), tag), own))
             if not out:
                 continue
-            wh, doc, at = (np.concatenate(c) for c in zip(*out))
-            order, state = _keep_first(wh, doc, at)
+            wh, doc, tag, at = (np.concatenate(c) for c in zip(*out))
+            order, state = _keep_first(wh, doc, tag, at)
             keep = state != 2
-            wh, doc, at, later = wh[order][keep], doc[order][keep], at[order][keep], state[keep] == 1
+            wh, doc, tag, at = (x[order][keep] for x in (wh, doc, tag, at))
+            later = state[keep] == 1
             # known as repeated already: travels by its place
-            wh = np.where(later, _mix((doc ^ (at << 17)).view(np.uint64)).view(np.int64), wh)
-            yield pd.DataFrame({"wh": wh, "doc": doc, "at": at, "known": later})
+            wh = np.where(later, _by_place(doc, tag, at), wh)
+            yield pd.DataFrame({"wh": wh, "doc": doc, "tag": tag, "at": at, "known": later})
 
     def resolve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last = None
         for b in batches:
             known = b["known"].to_numpy(dtype=bool)
-            yield b.loc[known, ["doc", "at"]]
+            yield b.loc[known, list(_PLACE)]
             if not known.all():
                 out, last = _later_windows(b[~known], last)
                 yield out
 
-    open_runs = (places.where(F.col("kind") == _OPEN).select("doc", "part", "at").distinct()
-                 .groupBy("doc", "part").agg(F.collect_list("at").alias("ats")))
-    windows = tagged.join(open_runs, ["doc", "part"]).mapInPandas(hard, "wh long, doc long, at long, known boolean")
-    single = written(windows.repartition("wh").sortWithinPartitions("wh", "doc", "at")
-                     .mapInPandas(resolve, "doc long, at long"), "suffix-windows")
+    open_runs = (places.where(F.col("kind") == _OPEN).select(*_PLACE).distinct()
+                 .groupBy("doc", "tag").agg(F.collect_list("at").alias("ats")))
+    windows = tagged.join(open_runs, ["doc", "tag"]).mapInPandas(hard, "wh long, doc long, tag long, at long, known boolean")
+    single = written(windows.repartition("wh").sortWithinPartitions("wh", "doc", "tag", "at")
+                     .mapInPandas(resolve, "doc long, tag long, at long"), "suffix-windows")
     # every removed stretch as (start, windows in a row)
     removed = (places.where(F.col("kind") == _REMOVED).select(
-        "doc", "part", F.struct(
-            (F.shiftright("at", 14).bitwiseAND(F.lit(0xFFFFFFFF)) - F.col("at").bitwiseAND(F.lit(127))).alias("start"),
+        "doc", "tag", F.struct(
+            (F.shiftright("at", 14) - F.col("at").bitwiseAND(F.lit(127))).alias("start"),
             (F.col("at").bitwiseAND(F.lit(127)) - F.shiftright("at", 7).bitwiseAND(F.lit(127)) + 1).alias("n")).alias("s"))
-        .unionByName(single.select("doc", F.shiftright("at", 46).alias("part"), F.struct(
-            F.col("at").bitwiseAND(F.lit((1 << 46) - 1)).alias("start"), F.lit(1).cast("long").alias("n")).alias("s")))
-        .groupBy("doc", "part").agg(F.collect_list("s").alias("s"))
-        .select("doc", "part", F.col("s.start").alias("starts"), F.col("s.n").alias("counts")))
+        .unionByName(single.select("doc", "tag", F.struct(
+            F.col("at").alias("start"), F.lit(1).cast("long").alias("n")).alias("s")))
+        .groupBy("doc", "tag").agg(F.collect_list("s").alias("s"))
+        .select("doc", "tag", F.col("s.start").alias("starts"), F.col("s.n").alias("counts")))
     null_id = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).select(
         "id", F.coalesce("text", F.lit("")).alias("text"),
         F.coalesce(F.col("id").cast("long"), F.lit(_LEAST_ID)).alias("doc"))
-    null_id = null_id.withColumn("part", _part(F.col("text"))).withColumn("no_id", F.col("id").isNull()).drop("id")
+    null_id = null_id.withColumn("tag", _tag(F.col("text"))).withColumn("no_id", F.col("id").isNull()).drop("id")
     pair = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
     schema = T.StructType([T.StructField("doc", T.LongType()), T.StructField("no_id", T.BooleanType()),
                            T.StructField("kept", T.BinaryType()), T.StructField("spans", pair),
@@ -361,6 +365,6 @@ def repeated_bytes(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
                              [{"start": i, "end": j} for i, j in zip(turn[::2].tolist(), turn[1::2].tolist())], len(raw)))
             yield pd.DataFrame(rows, columns=schema.names)
 
-    out = null_id.join(removed, ["doc", "part"], "left").drop("part").mapInPandas(cut, schema)
+    out = null_id.join(removed, ["doc", "tag"], "left").drop("tag").mapInPandas(cut, schema)
     return out.select(F.when(~F.col("no_id"), F.col("doc")).cast(docs.schema[id_col].dataType).alias(id_col),
                       "kept", "spans", "n_bytes")
