@@ -30,7 +30,7 @@ from gridspark.llm.tokens import BpeTokenizer, _byte_alphabet
 
 #: Pieces kept with their counts in a Python worker, in each of two generations: when
 #: the newer is full, it takes the place of the older.
-CACHED = 150_000
+CACHED = 250_000
 CACHED_CHARS = 48
 _KNOWN = 0x250   # characters below are named in the splitting pattern itself
 
@@ -124,7 +124,7 @@ class PrefixCounter:
         piece, none of which is split further."""
         data = text.encode("utf-8")
         last, count = [-1] * (len(data) + 1), [0] * (len(data) + 1)
-        apart, done = self._apart_cache, -1      # by one number for each pair of tokens
+        apart, done = self._apart_cache, -1
         if len(apart) > 4 * CACHED:
             apart.clear()
         for at, (token, size) in self._ends.iter(data.decode("latin-1")):
@@ -132,9 +132,9 @@ class PrefixCounter:
                 continue
             begin = at + 1 - size
             if begin:
-                pair = last[begin] << 32 | token
+                pair = last[begin], token
                 if pair not in apart:
-                    apart[pair] = self._stay_apart(last[begin], token)
+                    apart[pair] = self._stay_apart(*pair)
                 if not apart[pair]:
                     continue
             last[at + 1], count[at + 1], done = token, count[begin] + 1, at
