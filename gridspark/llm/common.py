@@ -61,7 +61,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
             spark.conf.unset(_CLEANUP)
         else:
             spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Removes tables that ``written`` made, after their last reader has ended."""
+    for df in frames:
+        sc = df.sparkSession.sparkContext
+        target = sc._jvm.org.apache.hadoop.fs.Path(df.scratch)
+        target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def ascii_lower(text: Column) -> Column:
