@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from gridspark.operators import aggregate as A
+from gridspark.operators.wide import corr_pairs
 from gridspark.plans.ordered import exact_quantiles
 from gridspark.registry.base import query, table
 
@@ -235,6 +236,22 @@ def corr_matrix_q(spark, d):
     return out.select("column", *[F.round(c, 6).alias(c) for c in _CORR])
 
 
+# every other tax and every third discount is missing, so that pairs differ in their rows
+_WIDE = {"l_quantity": "l_quantity", "l_extendedprice": "l_extendedprice",
+         "l_discount": "CASE WHEN l_orderkey % 3 = 0 THEN NULL ELSE l_discount END",
+         "l_tax": "CASE WHEN l_orderkey % 2 = 0 THEN NULL ELSE l_tax END",
+         "l_partkey": "CAST(l_partkey AS DOUBLE)", "l_linenumber": "CAST(l_linenumber AS DOUBLE)"}
+
+
+@query("corr_pairs", "WITH t AS (SELECT " + ", ".join(f"{e} AS {c}" for c, e in _WIDE.items()) + " FROM lineitem)\n"
+       + "\nUNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, count(CASE WHEN {b} IS NOT NULL THEN {a} END) AS n, "
+                             f"round(corr({a}, {b}), 6) AS corr FROM t"
+                             for i, a in enumerate(_WIDE) for b in list(_WIDE)[i:]))
+def corr_pairs_q(spark, d):
+    t = table(spark, d, "lineitem").select(*[F.expr(e).alias(c) for c, e in _WIDE.items()])
+    return corr_pairs(t, block=4).withColumn("corr", F.round("corr", 6))
+
+
 @query("conversations_role_counts", 'SELECT role, count(*) AS "Count" FROM conversations GROUP BY 1')
 def conversations_role_counts(spark, d):
     return A.count_by(table(spark, d, "conversations"), "role")

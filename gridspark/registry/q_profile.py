@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from gridspark.operators import issues as I
 from gridspark.operators import profile as P
 from gridspark.operators import text as L
+from gridspark.operators.heavy import top_values_bounded
 from gridspark.registry.base import query, table
 
 # (column, spark simple type, kind) of customer
@@ -83,6 +84,23 @@ def top_values_q(spark, d):
     return P.top_values(table(spark, d, "orders"), ["o_orderstatus", "o_orderpriority", "o_custkey"], k=5)
 
 
+def _bounded_sql(table_name, column, k):
+    return f"""
+SELECT {column} AS value, count(*) AS count,
+       CAST(row_number() OVER (ORDER BY count(*) DESC, {column}) AS INTEGER) AS rank
+FROM {table_name} WHERE {column} IS NOT NULL GROUP BY {column} ORDER BY rank LIMIT {k}"""
+
+
+@query("top_values_bounded", _bounded_sql("lineitem", "l_extendedprice", 10))
+def top_values_bounded_q(spark, d):
+    return top_values_bounded(table(spark, d, "lineitem"), "l_extendedprice", k=10)
+
+
+@query("top_values_bounded_text", _bounded_sql("events", "props", 25))
+def top_values_bounded_text(spark, d):
+    return top_values_bounded(table(spark, d, "events"), "props", k=25)
+
+
 _PRIO_NULL = "CASE WHEN o_orderpriority = '5-LOW' THEN NULL WHEN o_orderpriority = '3-MEDIUM' THEN '  ' ELSE o_orderpriority END"
 _PRICE_NULL = "CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_totalprice END"
 
