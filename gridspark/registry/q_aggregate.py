@@ -252,6 +252,18 @@ def corr_pairs_q(spark, d):
     return corr_pairs(t, block=4).withColumn("corr", F.round("corr", 6))
 
 
+@query("corr_pairs_embeddings", """
+WITH t AS (SELECT row_number() OVER () AS r, embedding FROM embeddings),
+u AS (SELECT r, i, CAST(embedding[i + 1] AS DOUBLE) AS x FROM t, range(64) AS g(i)),
+p AS (SELECT a.i AS i, b.i AS j, count(*) FILTER (WHERE a.x IS NOT NULL AND b.x IS NOT NULL) AS n, corr(a.x, b.x) AS corr
+      FROM u AS a JOIN u AS b ON a.r = b.r AND a.i <= b.i GROUP BY 1, 2)
+SELECT 'x' || i AS a, 'x' || j AS b, n, round(corr, 6) AS corr FROM p""")
+def corr_pairs_embeddings(spark, d):
+    """Every pair of the 64 components of the vectors, as columns of a wide table."""
+    t = table(spark, d, "embeddings").select(*[F.get("embedding", F.lit(i)).alias(f"x{i}") for i in range(64)])
+    return corr_pairs(t, block=24).withColumn("corr", F.round("corr", 6))
+
+
 @query("conversations_role_counts", 'SELECT role, count(*) AS "Count" FROM conversations GROUP BY 1')
 def conversations_role_counts(spark, d):
     return A.count_by(table(spark, d, "conversations"), "role")

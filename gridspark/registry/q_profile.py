@@ -101,6 +101,12 @@ def top_values_bounded_text(spark, d):
     return top_values_bounded(table(spark, d, "events"), "props", k=25)
 
 
+@query("top_values_copied_texts", _bounded_sql("documents", "text", 20))
+def top_values_copied_texts(spark, d):
+    """The most copied texts, whole."""
+    return top_values_bounded(table(spark, d, "documents"), "text", k=20)
+
+
 _PRIO_NULL = "CASE WHEN o_orderpriority = '5-LOW' THEN NULL WHEN o_orderpriority = '3-MEDIUM' THEN '  ' ELSE o_orderpriority END"
 _PRICE_NULL = "CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_totalprice END"
 
