@@ -161,18 +161,21 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     padded to that unless it is a power of two itself.
 
     Defined cases: null or empty text is the single token ``end_id``; rows with
-    null or equal ids are documents of their own; very long documents run over
+    null or equal ids are documents of their own, in the order of a hash of the
+    text; very long documents run over
     many sequences; extra columns are ignored; an empty table gives no rows.
 
-    Scale: one shuffle puts ranges of ids in order; each task holds one chunk of
+    Scale: one shuffle puts ranges of ids, and of text hashes within an id, in order,
+    so many rows of one id or without any spread over the tasks; each task holds one chunk of
     tokens and one document at a time. Sequence ids carry the partition number in
     their upper bits; a repeated task gives the same pieces."""
     if max_len < 1 or max_len & (max_len - 1):
         raise ValueError("max_len must be a power of two")
     ship_code(docs.sparkSession)
     source = (docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-              .repartitionByRange("id").sortWithinPartitions("id", "text")
-              .withColumn("part", F.spark_partition_id()))
+              .withColumn("tag", F.xxhash64("text"))
+              .repartitionByRange("id", "tag").sortWithinPartitions("id", "tag", "text")
+              .drop("tag").withColumn("part", F.spark_partition_id()))
     schema = T.StructType([
         T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("start", T.LongType()),
         T.StructField("length", T.LongType()), T.StructField("ids", T.BinaryType()),

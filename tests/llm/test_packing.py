@@ -115,3 +115,18 @@ def test_nulls_repeats_clashing_columns_and_empty(spark):
     assert pack(df.limit(0), PATH).count() == 0
     with pytest.raises(ValueError):
         pack(df, PATH, max_len=1000)
+
+
+def test_rows_without_an_id_spread_over_tasks(spark):
+    rows = [(None, f"text number {i} of many") for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")    # so small a table would be put together again
+    try:
+        got = pack(df, tokenizer_path(), max_len=256).collect()
+    finally:
+        spark.conf.set(key, before)
+    assert len({r.sequence_id >> 40 for r in got}) == 4
+    assert sum(r.length for r in got) == sum(r.doc_tokens for r in got if r.start == 0)
+    assert len([r for r in got if r.start == 0]) == 2000
