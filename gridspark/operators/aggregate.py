@@ -252,8 +252,7 @@ def numeric_summary(df: DataFrame, columns: Sequence[str], qs: Sequence[float],
     names = [f"p{round(q * 100):d}" if abs(q * 100 - round(q * 100)) < 1e-9 else f"p{q}" for q in qs]
     stat_cols = ["mean", "std", "min"] + names + ["max"]
     long = _unpivot_numeric(df, cols)
-    if exact and strategy in ("auto", "window") and (
-            strategy == "window" or largest_group(df, [], []) <= single_task_rows(df)):
+    if exact and strategy in ("auto", "window") and largest_group(df, [], []) <= single_task_rows(df):
         # every column fits one task: one aggregation by column computes the
         # moments and sorts the column's values once (columns in parallel)
         def q_of(srt, q):

@@ -53,8 +53,9 @@ def rank(df: DataFrame, columns, method: str = "min", group=None, ascending=Fals
     percentile. ``first`` breaks ties by the ``tiebreak`` columns, then by
     scan order. ``strategy``: ``auto`` checks the largest group and uses a
     plain window when it fits one task, else the bucketed position table;
-    ``window`` / ``positions`` force one of them; ``n_buckets`` sets the
-    number of range buckets of the position table.
+    ``window`` does the same, since a plain window over a larger group would
+    gather it in one task; ``positions`` forces the table; ``n_buckets`` sets
+    the number of range buckets of the position table.
     """
     cols = resolve_columns([columns] if isinstance(columns, (str, int)) else columns, df.columns)
     asc = ascending if isinstance(ascending, (list, tuple)) else [ascending] * len(cols)

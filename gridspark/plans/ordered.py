@@ -71,11 +71,13 @@ def largest_group(df: DataFrame, by: Sequence[str], not_null: Sequence[str]) ->
 
 
 def choose_strategy(df: DataFrame, strategy: str, by: Sequence[str], not_null: Sequence[str]) -> str:
-    """``auto``: a plain window when the largest group is proven to fit one
-    task (checked with one aggregation), else the bucketed position table."""
+    """A plain window when the largest group is proven to fit one task (checked
+    with one aggregation), else the bucketed position table, whose windows run
+    over slices of the order. ``window`` is checked like ``auto``, so no task
+    ever orders a larger group."""
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy {strategy!r}; choose from {STRATEGIES}")
-    if strategy != "auto":
+    if strategy == "positions":
         return strategy
     return "window" if largest_group(df, by, not_null) <= single_task_rows(df) else "positions"
 
@@ -316,19 +318,22 @@ def exact_quantiles(df: DataFrame, column: str, qs: Sequence[float], by: Sequenc
     Returns ``(by..., q, value)`` with one row per group and requested q. Groups
     that fit one task are sorted there; larger ones are selected within brackets
     (``bracketed_quantiles``), or by the position table where told so. ``strategy``:
-    auto, window, brackets or positions.
+    auto or window (both as said), brackets or positions.
     """
     by = list(by)
     not_null = [column] if null_groups else by + [column]
-    if strategy == "auto" and df.schema[column].dataType.typeName() != "decimal":
+    if strategy in ("auto", "window"):
         rows = largest_group(df, by, not_null)
-        strategy = "window" if rows <= single_task_rows(df) else "brackets"
-        if strategy == "brackets":
+        if rows <= single_task_rows(df):
+            strategy = "window"
+        elif df.schema[column].dataType.typeName() == "decimal":
+            strategy = "positions"
+        else:
             most = min(MOST_ACCURACY, max(ACCURACY, 64 * rows // max(1, single_task_rows(df))))
             return bracketed_quantiles(df, column, qs, by, null_groups, most, n_buckets)
     if strategy == "brackets":
         return bracketed_quantiles(df, column, qs, by, null_groups, n_buckets=n_buckets)
-    if choose_strategy(df, strategy, by, not_null) == "window":
+    if strategy == "window" or choose_strategy(df, strategy, by, not_null) == "window":
         # every group is proven to fit one task: sort its values once and
         # interpolate (about twice as fast as Spark's map-based percentile)
         base = df

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridspark.operators.rank import rank, top_n_ranked, top_percent
+from gridspark.operators.rank import ranks as several_ranks
 from gridspark.plans.ordered import exact_quantiles, row_numbers
 
 
@@ -107,3 +108,20 @@ def test_row_numbers_after_a_shuffle(spark):
     r = row_numbers(df, ["v"], by=["g"], name="n", strategy="positions")
     got = r.groupBy("g").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.count("*").alias("c"))
     assert got.where("lo != 1 OR hi != c").count() == 0
+
+
+def test_forced_window_leaves_large_groups_to_slices(spark):
+    df = spark.range(3000).select((F.col("id") % 3).alias("g"), F.when(F.col("id") % 10 > 0, F.col("id") % 700).alias("v"), "id")
+    shown = lambda d: sorted(map(str, d.collect()))
+    ways = [lambda: several_ranks(df, "v", {"a": "min", "b": "dense", "c": "max"}, strategy="window")]
+    for way in ways:
+        want = shown(way())
+        spark.conf.set("gridspark.singleTaskRows", "100")
+        try:
+            got = way()
+            # ``_alone`` is the mark of a window over whole groups
+            assert "_alone" not in got._jdf.queryExecution().analyzed().toString()
+            assert shown(got) == want
+        finally:
+            spark.conf.unset("gridspark.singleTaskRows")
+        assert "_alone" in way()._jdf.queryExecution().analyzed().toString()
