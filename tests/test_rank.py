@@ -113,7 +113,8 @@ def test_row_numbers_after_a_shuffle(spark):
 def test_forced_window_leaves_large_groups_to_slices(spark):
     df = spark.range(3000).select((F.col("id") % 3).alias("g"), F.when(F.col("id") % 10 > 0, F.col("id") % 700).alias("v"), "id")
     shown = lambda d: sorted(map(str, d.collect()))
-    ways = [lambda: several_ranks(df, "v", {"a": "min", "b": "dense", "c": "max"}, strategy="window")]
+    ways = [lambda: several_ranks(df, "v", {"a": "min", "b": "dense", "c": "max"}, strategy="window"),
+            lambda: rank(df, "v", "min", group="g", strategy="window")]
     for way in ways:
         want = shown(way())
         spark.conf.set("gridspark.singleTaskRows", "100")
