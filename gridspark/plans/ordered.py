@@ -395,7 +395,8 @@ def bracketed_quantiles(df: DataFrame, column: str, qs: Sequence[float], by: Seq
 
     The first scan sketches each group (``percentile_approx``): a bracket of values
     around each wanted rank, three times as wide as the sketch's error; groups of up to
-    ``accuracy`` rows take the whole line. In the second, values inside a bracket are
+    ``accuracy`` rows take the whole line, and the brackets of the others are sent to all
+    tasks. In the second, values inside a bracket are
     counted one by one and all others by the gap between brackets they fall into, both
     in map-side partial aggregates, so neither all values nor a frequent value is
     shuffled. Running counts over what is kept give the ranks. If a rank should lie in a
@@ -413,11 +414,19 @@ def bracketed_quantiles(df: DataFrame, column: str, qs: Sequence[float], by: Seq
     told = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"),
                                    F.percentile_approx(number, ends, accuracy).alias("_ends"))
     whole, nan, least = F.col("_rows") <= accuracy, F.lit(float("nan")), F.lit(float("-inf"))
-    told = told.select(*keys, *[x for i, q in enumerate(qs) for x in (
-        F.when(whole | F.lit(q <= margin), least).otherwise(F.get("_ends", F.lit(2 * i))).alias(f"_l{i}"),
+    brackets = [f"_{side}{i}" for i in range(len(qs)) for side in "lh"]
+    told = told.select(*keys, whole.alias("_whole"), *[x.alias(n) for x, n in zip([x for i, q in enumerate(qs) for x in (
+        F.when(whole | F.lit(q <= margin), least).otherwise(F.get("_ends", F.lit(2 * i))),
         F.when(whole | F.lit(q >= 1 - margin) | (F.get("_ends", F.lit(2 * i + 1)) == float("inf")), nan)
-        .otherwise(F.get("_ends", F.lit(2 * i + 1))).alias(f"_h{i}"))])
-    marked = null_safe_join(rows, told, by) if null_groups or not by else rows.join(told, by)
+        .otherwise(F.get("_ends", F.lit(2 * i + 1))))], brackets)])
+    if by:
+        # a join by sorting would gather each group in one task; the groups with brackets of
+        # their own, at most one for ``accuracy`` rows, go to the rows instead
+        large = F.broadcast(told.where(~F.col("_whole")).drop("_whole"))
+        marked = null_safe_join(rows, large, by, "left").select(*keys, "_v", *[
+            F.coalesce(n, least if n.startswith("_l") else nan).alias(n) for n in brackets])
+    else:
+        marked = _scalar_join(rows, told)
     inside, gap = F.lit(False), F.lit(0)
     for i in range(len(qs)):
         inside = inside | F.col("_v").between(F.col(f"_l{i}"), F.col(f"_h{i}"))

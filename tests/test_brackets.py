@@ -84,3 +84,28 @@ def test_quantile_bins_plan_holds_the_edges_once(spark):
     got = {r["c0"]: (r["_e_qbin"], r["_e_qbin_lo"]) for r in out.collect()}
     assert got[0] == (1, 0.0) and got[99][0] == 20 and got[-1] == (None, None)
     assert out._jdf.queryExecution().optimizedPlan().toString().count("scalar-subquery") <= 3
+
+
+def bracket_plans(spark, monkeypatch, build):
+    """Rows of ``build`` and the plans of the bracketed values, with tables too large to be broadcast unasked."""
+    from gridspark.plans import ordered
+    real, plans = ordered.materialize, []
+    monkeypatch.setattr(ordered, "materialize", lambda d, *a, **k: plans.append(
+        d._jdf.queryExecution().executedPlan().toString()) or real(d, *a, **k))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("gridspark.singleTaskRows", "1000")
+    try:
+        out = shown(build())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("gridspark.singleTaskRows")
+    assert plans and not any("SortMergeJoin" in p for p in plans)
+    return out
+
+
+@pytest.mark.parametrize("strategy", ["auto"])
+def test_described_columns_are_not_gathered_by_column(spark, monkeypatch, strategy):
+    df = spark.range(30_000).select((F.col("id") % 17_011).alias("a"), F.when(F.col("id") % 4 > 0, F.sqrt("id")).alias("b"),
+                                    F.when(F.col("id") < 50, F.col("id")).alias("c"))
+    got = bracket_plans(spark, monkeypatch, lambda: describe(df, strategy=strategy))
+    assert got == shown(describe(df, strategy="positions"))
