@@ -103,7 +103,7 @@ def bracket_plans(spark, monkeypatch, build):
     return out
 
 
-@pytest.mark.parametrize("strategy", ["auto"])
+@pytest.mark.parametrize("strategy", ["auto", "brackets"])
 def test_described_columns_are_not_gathered_by_column(spark, monkeypatch, strategy):
     df = spark.range(30_000).select((F.col("id") % 17_011).alias("a"), F.when(F.col("id") % 4 > 0, F.sqrt("id")).alias("b"),
                                     F.when(F.col("id") < 50, F.col("id")).alias("c"))
