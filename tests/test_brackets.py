@@ -109,3 +109,10 @@ def test_described_columns_are_not_gathered_by_column(spark, monkeypatch, strate
                                     F.when(F.col("id") < 50, F.col("id")).alias("c"))
     got = bracket_plans(spark, monkeypatch, lambda: describe(df, strategy=strategy))
     assert got == shown(describe(df, strategy="positions"))
+
+
+def test_hot_groups_are_not_gathered(spark, monkeypatch):
+    df = spark.range(30_000).select((F.col("id") % 2).cast("string").alias("g"), F.when(
+        F.col("id") % 3 == 0, 300.0).when(F.col("id") % 7 > 0, F.sqrt("id")).alias("v"))
+    got = bracket_plans(spark, monkeypatch, lambda: exact_quantiles(df, "v", QS, ["g"], strategy="brackets"))
+    assert got == shown(exact_quantiles(df, "v", QS, ["g"], strategy="positions"))
