@@ -116,3 +116,10 @@ def test_hot_groups_are_not_gathered(spark, monkeypatch):
         F.col("id") % 3 == 0, 300.0).when(F.col("id") % 7 > 0, F.sqrt("id")).alias("v"))
     got = bracket_plans(spark, monkeypatch, lambda: exact_quantiles(df, "v", QS, ["g"], strategy="brackets"))
     assert got == shown(exact_quantiles(df, "v", QS, ["g"], strategy="positions"))
+
+
+def test_medians_of_null_groups_are_not_gathered(spark, monkeypatch):
+    df = spark.range(30_000).select(F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("g"), (F.col("id") % 9 / 100).alias("v"))
+    specs = [("v", "median", "m"), ("v", "nunique", "n"), ("v", "count", "c")]
+    got = bracket_plans(spark, monkeypatch, lambda: aggregate(df, ["g"], specs))
+    assert got == shown(aggregate(df, ["g"], specs, strategy="positions")) and len(got) == 3
