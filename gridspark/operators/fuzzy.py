@@ -13,7 +13,8 @@ inverted index of q-grams with three filters, none of which loses a pair:
 * length: the shorter length is at least threshold percent of the longer. It is
   part of the join key, so that the list of a frequent gram is cut by length.
 
-What the index finds is verified with the score itself. Everything is a join of
+What the index finds is verified where it is found, by an edit distance that stops
+at d, and then with the score itself. Everything is a join of
 distinct values; no list is inlined, sent to all tasks or compared in all pairs.
 """
 
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 from gridspark.functions.columns import resolve_column
 from gridspark.functions.core import similarity
 from gridspark.functions.names import plain_names, quoted
+from gridspark.plans.ordered import default_buckets
 
 _EPS = 1e-9
 
@@ -81,7 +83,13 @@ def fuzzy_pairs(left: DataFrame, right: DataFrame, threshold: float = 80.0) -> D
         F.col("low").alias("b"), F.col("length").alias("lb"), "gram", F.col("at").alias("at_b"))
     shortest = F.ceil(F.col("lb") * (threshold / 100) - _EPS).cast("int")
     b = b.withColumn("la", F.explode(F.sequence(shortest, _longest_partner(F.col("lb"), threshold))))
-    near = F.abs(F.col("at_a") - F.col("at_b")) <= _allowed(F.greatest(F.col("la"), F.col("lb")), threshold)
+    most = _allowed(F.greatest(F.col("la"), F.col("lb")), threshold)
+    # pairs too far apart go where they meet, so only true pairs are shuffled
+    near = (F.abs(F.col("at_a") - F.col("at_b")) <= most) & (
+        F.call_function("levenshtein", F.col("a"), F.col("b"), most) >= 0)
+    # few bytes make many pairs here: a fixed number of partitions is not coalesced by size
+    n = default_buckets(left)
+    a, b = a.repartition(n, "gram", "la"), b.repartition(n, "gram", "la")
     met = a.join(b, ["gram", "la"]).where(near).select("a", "b").distinct()
     return met.withColumn("score", similarity("a", "b")).where(F.col("score") >= threshold)
 

@@ -74,3 +74,14 @@ def test_no_cross_join_and_no_hinted_broadcast(spark):
         assert word not in plan
     with pytest.raises(ValueError):
         fuzzy_join_table(df, "t", df, "t", 0)
+
+
+@pytest.mark.parametrize("way", [fuzzy_replace_from])
+def test_few_texts_with_many_pairs_are_met_by_many_tasks(spark, way):
+    words = spark.range(400).select(F.concat(F.lit("old "), F.col("id") % 20, F.lit(" plate "), F.col("id")).alias("low"))
+    refs = words.select(F.replace("low", F.lit("plate"), F.lit("plates")).alias("ref"))
+    found = way(words, "low", refs, "ref", 85)
+    assert found.count() == 400
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") >= 2     # not put together by their few bytes
+    assert any("levenshtein" in line for line in plan.splitlines() if "Join" in line)
