@@ -76,7 +76,7 @@ def test_no_cross_join_and_no_hinted_broadcast(spark):
         fuzzy_join_table(df, "t", df, "t", 0)
 
 
-@pytest.mark.parametrize("way", [fuzzy_replace_from, fuzzy_join_table])
+@pytest.mark.parametrize("way", [fuzzy_replace_from, fuzzy_join_table, filter_fuzzy_table])
 def test_few_texts_with_many_pairs_are_met_by_many_tasks(spark, way):
     words = spark.range(400).select(F.concat(F.lit("old "), F.col("id") % 20, F.lit(" plate "), F.col("id")).alias("low"))
     refs = words.select(F.replace("low", F.lit("plate"), F.lit("plates")).alias("ref"))
